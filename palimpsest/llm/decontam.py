@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import buffers
+from palimpsest.llm.common import without
 
 #: Words of a shingle, and the least share of an item's shingles that contaminates a document.
 WORDS, THRESHOLD = 5, 0.75
@@ -156,5 +157,4 @@ def _pass(docs: DataFrame, sent, threshold: float, k: int) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
     """``docs`` without the documents that hold an item; a null id is kept.  All columns stay as they are."""
-    bad = contaminated(docs, items, threshold, k).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, contaminated(docs, items, threshold, k))

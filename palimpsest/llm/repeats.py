@@ -17,6 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from palimpsest.llm import buffers
 from palimpsest.scratch import stored
@@ -208,24 +209,33 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) ->
     The cuts are those of ``measure``, drawn in to whole characters.  A null text stays null.
     """
     names = docs.columns
-    with_key = docs.withColumn("_r", F.xxhash64("doc_id", "text"))
-    spans = repeated_ranges(docs, depth, anchor).withColumnRenamed("r", "_r").withColumnRenamed("spans", "_spans")
-    joined = with_key.join(spans, "_r", "left").select(*names, "_spans")
+    place = names.index("text")
+    small = StructType([StructField(f.name, BinaryType()) if f.name == "text" else f for f in docs.schema.fields] + [StructField("_r", LongType())])
+
+    def pack(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            columns = batch.columns
+            columns[place] = pa.array([press.compress(x.as_py().encode()) if x.is_valid else None for x in columns[place]], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            at, out = batch.schema.get_field_index("text"), []
-            for text, spans in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
-                value = text.as_py()
-                if value and spans.is_valid:
-                    data = value.encode()
+            out = []
+            for packed, spans in zip(batch.column(place), batch.column(batch.num_columns - 1), strict=True):
+                data = unpack.decompress(packed.as_py()) if packed.is_valid else None
+                if data and spans.is_valid:
                     cuts = [whole_characters(data, a, b) for a, b in _kept(data, spans.as_py())[0]]
                     edges = [0, *(x for cut in cuts for x in cut), len(data)]
-                    value = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode()
-                out.append(value)
+                    data = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                out.append(None if data is None else data.decode())
             columns = batch.columns[:-1]
-            columns[at] = pa.array(out, pa.string())
+            columns[place] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    packed = docs.withColumn("_r", F.xxhash64("doc_id", "text")).mapInArrow(pack, small)
+    spans = repeated_ranges(docs, depth, anchor).withColumnRenamed("r", "_r").withColumnRenamed("spans", "_spans")
+    joined = packed.join(spans, "_r", "left").select(*names, "_spans")
     out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
