@@ -14,13 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import buffers
+from palimpsest.llm.common import without
 from palimpsest.operators.components import components
 from palimpsest.scratch import stored
 
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Groups of a point.
-GROUPS = 64
+#: Groups of a point, and of the coarser point over which trees are packed.
+GROUPS, COARSE = 256, 64
 #: Lowest hashes kept of a set.  Two linked sets of up to 4 * SKETCH shingles surely share one of them; for
 #: larger sets each of the lowest hashes of the union is shared with probability 3/4 or more, so that all
 #: SKETCH miss with probability below 0.25 ** SKETCH, less than that of a collision of hashes.
@@ -36,7 +37,7 @@ _LEAF, _FAN = 32, 16
 
 
 def point(hashes: np.ndarray) -> bytes:
-    """Counts by group in 64 bytes after a scale byte; scaled counts are rounded up, so bounds stay bounds."""
+    """Counts by group, a byte each, after a scale byte; scaled counts are rounded up, so bounds stay bounds."""
     counts = np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
     scale = max(0, int(counts.max()).bit_length() - 8) if len(counts) else 0
     return bytes([scale]) + (-(-counts >> scale) if scale == 0 else -(-counts // (1 << scale))).clip(0, 255).astype(np.uint8).tobytes()
@@ -44,7 +45,12 @@ def point(hashes: np.ndarray) -> bytes:
 
 def points(column: list[bytes]) -> np.ndarray:
     raw = np.frombuffer(b"".join(column), np.uint8).reshape(-1, GROUPS + 1)
-    return raw[:, 1:].astype(np.int64) << raw[:, :1].astype(np.int64)
+    return raw[:, 1:].astype(np.int32) << raw[:, :1].astype(np.int32)
+
+
+def coarse(at: np.ndarray) -> np.ndarray:
+    """The points over COARSE groups."""
+    return at.reshape(len(at), GROUPS // COARSE, COARSE).sum(axis=1, dtype=np.int32)
 
 
 def needed(n, m):
@@ -81,8 +87,11 @@ class CountTree:
             out[r] = np.minimum(at[r], high[r]).sum(axis=1) >= needed(n[r], low)
         return out
 
-    def search(self, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, entry) numbers of all pairs that sizes and points allow to be linked."""
+    def search(self, at: np.ndarray, sizes: np.ndarray, wanted=None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, entry) numbers of all pairs that sizes and points allow to be linked.
+
+        ``wanted`` of (queries, entries) may rule pairs out before their points are compared.
+        """
         if not len(at) or not len(self.at):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         top = len(self.levels[-1][0])
@@ -95,6 +104,9 @@ class CountTree:
             below = len(self.levels[depth - 1][0]) if depth else len(self.at)
             first, count = node * step, np.minimum(step, below - node * step)
             query, node = np.repeat(query, count), buffers.ragged_positions(first, count)
+        if wanted is not None and len(query):
+            ok = wanted(query, self.order[node])
+            query, node = query[ok], node[ok]
         ok = self._fits(at[query], sizes[query], self.at[node], self.sizes[node], self.sizes[node])
         return query[ok], self.order[node[ok]]
 
@@ -176,66 +188,86 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _earlier(seen: list, t: int) -> np.ndarray:
+    """Bits of each member for the frequent hashes below ``t`` that several members hold."""
+    counts = np.fromiter(map(len, seen), np.int64, len(seen))
+    flat = np.fromiter((x for one in seen for x in one), np.int64, int(counts.sum()))
+    own = np.repeat(np.arange(len(seen)), counts)[flat < t]
+    hashes, code, n = np.unique(flat[flat < t], return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    bits = np.zeros((len(seen), max(1, int((n > 1).sum()))), bool)
+    several = n[code] > 1
+    bits[own[several], place[code[several]]] = True
+    return np.packbits(bits, axis=1)
+
+
 def _tree_pairs(members: DataFrame) -> DataFrame:
     """Pairs of different components inside each frequent hash's block, found by R-tree search.
 
-    ``members`` has t, sid, root, n, point.  A hash's sets are split by hash of the set into parts of about
-    BLOCK; every two parts of it meet in one task, which holds two parts at most.
+    ``members`` has t, sid, root, n, point and seen (the set's frequent hashes).  A hash's sets are split by
+    hash of the set into parts of about BLOCK; every two parts of it meet in one task, which holds two parts
+    at most.  A pair belongs to the least frequent hash that both hold, so it comes out once.
     """
     sizes = members.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parts"))
     split = members.join(sizes, "t").withColumn("_p", F.pmod(F.xxhash64("sid"), F.col("_parts")).cast("int"))
     meet = split.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    meet = meet.select("t", F.least("_p", "_q").alias("_i"), F.greatest("_p", "_q").alias("_j"), "_p", "sid", "root", "n", "point")
+    meet = meet.select("t", F.least("_p", "_q").alias("_i"), F.greatest("_p", "_q").alias("_j"), "_p", "sid", "root", "n", "point", "seen")
 
     def run(key, found):
         sid, root, n, part = (found.column(c).to_numpy() for c in ("sid", "root", "n", "_p"))
         at = points(found.column("point").to_pylist())
+        wide, early = coarse(at), _earlier(found.column("seen").to_pylist(), key[0].as_py())
         left, right = np.flatnonzero(part == key[1].as_py()), np.flatnonzero(part == key[2].as_py())
-        tree, out = CountTree(at[right], n[right]), []
-        for a in range(0, len(left), 256):
-            q, e = tree.search(at[left[a : a + 256]], n[left[a : a + 256]])
-            x, y = left[a : a + 256][q], right[e]
-            ok = root[x] != root[y]
+        tree, out = CountTree(wide[right], n[right]), [np.zeros((2, 0), np.int64)]
+        for a in range(0, len(left), 128):
+            q = left[a : a + 128]
+
+            def wanted(x, y, q=q):
+                x, y = q[x], right[y]
+                ok = (root[x] != root[y]) & ((key[1] != key[2]) | (x < y))
+                rows = np.flatnonzero(ok)
+                ok[rows] = ~(early[x[rows]] & early[y[rows]]).any(axis=1)
+                return ok
+
+            x, y = tree.search(wide[q], n[q], wanted)
+            x, y = q[x], right[y]
+            ok = np.minimum(at[x], at[y]).sum(axis=1) >= needed(n[x], n[y])
             out.append(np.stack([np.minimum(sid[x[ok]], sid[y[ok]]), np.maximum(sid[x[ok]], sid[y[ok]])]))
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        pairs = np.concatenate(out, axis=1)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
-    return meet.groupBy("t", "_i", "_j").applyInArrow(run, "a long, b long").distinct()
+    return meet.groupBy("t", "_i", "_j").applyInArrow(run, "a long, b long")
 
 
 def links(sets: DataFrame) -> DataFrame:
     """node, root for the distinct sets (sid) of ``sets`` (see ``profile``) that are linked with another.
 
-    First stars: in each shared hash's block all sets are verified against one chosen set, twice with
-    different choices.  Then every pair that shares a hash and isn't in one component yet is verified, so no
-    link between different components is missed, while a large group of near copies costs one star.
+    First stars: in each shared hash's block all sets are verified against one, that of the most frequent
+    hashes, which in a group of near copies is the least changed.  Then every pair that shares a hash and
+    isn't in one component yet is verified, so no link between different components is missed, while a
+    large group of near copies mostly costs one star.
     """
     distinct = stored(sets.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("point").alias("point")), "sets")
     records = distinct.select("sid", "n", F.explode("sketch").alias("t"))
     blocks = records.groupBy("t").agg(F.count("*").alias("_c")).where("_c > 1")
     shared = stored(records.join(blocks, "t").select("t", "sid", "n", (F.col("_c") > FREQUENT).alias("frequent")), "shared")
-    mostly = shared.where("frequent").groupBy("sid", "n").agg(F.count("*").alias("_f")).where(F.col("_f") >= FREQUENT_SHARE * F.least("n", F.lit(SKETCH))).select("sid", F.lit(True).alias("_mostly"))
-    blocks = stored(shared.join(mostly, "sid", "left").where("not frequent or _mostly").drop("_mostly"), "blocks")
+    mostly = shared.where("frequent").groupBy("sid", "n").agg(F.collect_list("t").alias("seen")).where(F.size("seen") >= FREQUENT_SHARE * F.least("n", F.lit(SKETCH)))
+    mostly = stored(mostly.select("sid", "seen", F.size("seen").alias("weight")), "mostly")
+    blocks = stored(shared.join(mostly.select("sid", "weight"), "sid", "left").where("not frequent or weight is not null"), "blocks")
     used = blocks.select("sid").distinct()
     texts = stored(sets.select("sid", "packed").join(used, "sid", "left_semi").dropDuplicates(["sid"]), "texts", "none")
     known = distinct.select("sid", "n", "point")
-    found, roots = None, None
-    for seed in (1, 2):
-        rows = blocks if roots is None else _rooted(blocks, roots)
-        lead = rows.groupBy("t").agg(F.min(F.struct(F.xxhash64("sid", F.lit(seed)).alias("_h"), F.col("sid").alias("a"), F.col("n").alias("_na"), *([] if roots is None else ["root"]))).alias("_l"))
-        lead = lead.select("t", "_l.a", "_l._na", *([] if roots is None else [F.col("_l.root").alias("_root")]))
-        star = rows.join(lead, "t").where("sid <> a").where(f"100 * least(n, _na) >= {PERCENT} * greatest(n, _na)")
-        star = star if roots is None else star.where("root <> _root")
-        new = _verified(_bounded(star.select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct(), known), texts)
-        found = stored(new if found is None else found.unionByName(new), "links")
-        roots = components(found)
-    rows = stored(_rooted(blocks, roots), "rooted")
+    best = F.struct((-F.coalesce("weight", F.lit(0))).alias("w"), F.xxhash64("sid").alias("h"), F.col("sid").alias("a"), F.col("n").alias("_na"))
+    lead = blocks.groupBy("t").agg(F.min(best).alias("_l")).select("t", "_l.a", "_l._na")
+    star = blocks.join(lead, "t").where(f"sid <> a and 100 * least(n, _na) >= {PERCENT} * greatest(n, _na)")
+    found = stored(_verified(_bounded(star.select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct(), known), texts), "links")
+    rows = stored(_rooted(blocks.drop("weight"), components(found)), "rooted")
     mixed = rows.groupBy("t").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("t")
     rows = rows.join(mixed, "t")
     light = rows.where("not frequent")
     other = light.select("t", F.col("sid").alias("b"), F.col("root").alias("_rb"), F.col("n").alias("_nb"))
     pairs = light.join(other, "t").where(f"sid < b and root <> _rb and 100 * least(n, _nb) >= {PERCENT} * greatest(n, _nb)").select(F.col("sid").alias("a"), "b").distinct()
-    trees = _tree_pairs(rows.where("frequent").select("t", "sid", "root", "n").join(known.select("sid", "point"), "sid"))
+    trees = _tree_pairs(rows.where("frequent").select("t", "sid", "root", "n").join(known.select("sid", "point"), "sid").join(mostly.select("sid", "seen"), "sid"))
     rest = _verified(_bounded(pairs, known).unionByName(trees).distinct(), texts)
     return components(found.unionByName(rest))
 
@@ -266,5 +298,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows with a null id are kept.  Of rows that share the kept id all stay.
     """
-    gone = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, jaccard_components(docs).where("doc_id <> component_id"))
