@@ -261,13 +261,14 @@ def links(sets: DataFrame) -> DataFrame:
     lead = blocks.groupBy("t").agg(F.min(best).alias("_l")).select("t", "_l.a", "_l._na")
     star = blocks.join(lead, "t").where(f"sid <> a and 100 * least(n, _na) >= {PERCENT} * greatest(n, _na)")
     found = stored(_verified(_bounded(star.select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct(), known), texts), "links")
-    rows = stored(_rooted(blocks.drop("weight"), components(found)), "rooted")
+    roots = stored(components(found), "roots")
+    rows = stored(_rooted(blocks.drop("weight"), roots), "rooted")
     mixed = rows.groupBy("t").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("t")
-    rows = rows.join(mixed, "t")
-    light = rows.where("not frequent")
+    light = rows.where("not frequent").join(mixed, "t")
     other = light.select("t", F.col("sid").alias("b"), F.col("root").alias("_rb"), F.col("n").alias("_nb"))
     pairs = light.join(other, "t").where(f"sid < b and root <> _rb and 100 * least(n, _nb) >= {PERCENT} * greatest(n, _nb)").select(F.col("sid").alias("a"), "b").distinct()
-    trees = _tree_pairs(rows.where("frequent").select("t", "sid", "root", "n").join(known.select("sid", "point"), "sid").join(mostly.select("sid", "seen"), "sid"))
+    placed = _rooted(mostly.select("sid", "seen").join(known, "sid"), roots)
+    trees = _tree_pairs(placed.withColumn("t", F.explode("seen")).join(mixed, "t"))
     rest = _verified(_bounded(pairs, known).unionByName(trees).distinct(), texts)
     return components(found.unionByName(rest))
 
