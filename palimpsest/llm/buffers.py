@@ -53,6 +53,13 @@ def utf8(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(batches, rows: int = 1000):
+    """The record batches in slices of few rows, so that copies of a batch's texts stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def runs_of_documents(offsets: np.ndarray, limit: int = CHUNK_BYTES):
     """(first, last + 1) documents whose bytes together stay under ``limit``; a longer document is alone."""
     first, n = 0, len(offsets) - 1

@@ -79,7 +79,7 @@ def records(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFr
     names = ["r", "anchor", "whole", "lo", "hi"]
 
     def run(batches):
-        for batch in batches:
+        for batch in buffers.slices(batches):
             data, offsets = buffers.utf8(batch.column(1))
             r = batch.column(2).to_numpy()
             for first, last in buffers.runs_of_documents(offsets):
@@ -96,7 +96,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in buffers.slices(batches):
             packed = [press.compress((x.as_py() or "").encode()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], names=["doc_id", "r", "packed"])
 
@@ -109,7 +109,7 @@ def _windows(opened: DataFrame, depth: int) -> DataFrame:
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in buffers.slices(batches):
             runs = batch.column(2)
             spans = runs.flatten()
             ends = runs.offsets.to_numpy()
@@ -180,7 +180,7 @@ def measure(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFr
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in buffers.slices(batches):
             rows = []
             for doc, packed, spans in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 data = unpack.decompress(packed.as_py())
@@ -214,14 +214,14 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) ->
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in buffers.slices(batches):
             columns = batch.columns
             columns[place] = pa.array([press.compress(x.as_py().encode()) if x.is_valid else None for x in columns[place]], pa.binary())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in buffers.slices(batches):
             out = []
             for packed, spans in zip(batch.column(place), batch.column(batch.num_columns - 1), strict=True):
                 data = unpack.decompress(packed.as_py()) if packed.is_valid else None
