@@ -16,8 +16,9 @@ from pyspark.sql.types import DoubleType, IntegerType
 
 from palimpsest.llm import buffers
 from palimpsest.llm.common import extended, id_remainder
+from palimpsest.scratch import stored
 
-#: Distinct texts that the model is fitted on, at most, of each of the two kinds; a documented bound.
+#: Distinct positive texts that the model is fitted on, at most about, and half of the unlabelled ones; a documented bound.
 SAMPLE = 12_000
 #: Features: shares of the 128 ASCII characters and of other bytes, then the figures of ``_shape``.
 _SHAPES = 8
@@ -110,21 +111,29 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return Model(mean, scale, w, float(b), prior)
 
 
-def _drawn(rows: DataFrame, sample: int) -> np.ndarray:
-    """Features of about ``sample`` distinct texts, drawn by a hash of the text."""
-    rows = rows.select("text", F.xxhash64("text").alias("h"))
-    n = rows.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
-    if not n:
-        return np.zeros((0, WIDTH), np.float32)
-    drawn = rows.where(F.pmod("h", F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20))).dropDuplicates(["h"])
+def _drawn(docs: DataFrame, marks: DataFrame, n_positive: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of positives and of unlabelled texts: about ``sample`` and twice as many distinct texts, drawn by hash.
+
+    Ids and text hashes alone meet the labels; of the texts only the drawn ones, a bounded number, are read.
+    """
+    keyed = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"))
+    n = keyed.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
+    kind = F.when(F.col("_quality").isNull(), "u").when(F.col("_quality") == 1, "p")
+    rate = F.when(F.col("_kind") == "p", min(1.0, sample / max(1, n_positive))).otherwise(min(1.0, 2 * sample / max(1, n)))
+    rows = keyed.join(marks, "doc_id", "left").withColumn("_kind", kind).where(F.col("_kind").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.where(F.pmod("h", F.lit(1 << 20)) < rate * (1 << 20)).groupBy("h", "_kind").agg(F.min("doc_id").alias("doc_id"))
+    chosen = stored(rows, "drawn")
 
     def run(batches):
         for batch in batches:
             for first, x in features(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(x)), batch.column(2).slice(first, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "kind", "x"])
 
-    got = drawn.mapInArrow(run, "h long, x binary").toArrow().sort_by("h")
-    return np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, WIDTH)[: 2 * sample]
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.xxhash64("text") == F.col("h"))
+    got = texts.select("text", "h", "_kind").mapInArrow(run, "h long, kind string, x binary").dropDuplicates(["h", "kind"]).toArrow().sort_by("h")
+    kinds = np.array(got["kind"].to_pylist(), object)
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
+    return x[kinds == "p"], x[kinds == "u"]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -137,9 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     seen = marks.agg(F.count("*").alias("n"), F.sum((F.col("_quality") == 1).cast("long")).alias("p")).first()
     prior = min(0.98, max(0.02, (seen["p"] or 0) / seen["n"])) if seen["n"] else 0.5
-    joined = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    positive = _drawn(joined.join(marks.where("_quality = 1"), "doc_id", "left_semi"), sample)
-    unlabelled = _drawn(joined.join(marks, "doc_id", "left_anti"), sample)
+    positive, unlabelled = _drawn(docs, marks, seen["p"] or 0, sample)
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), float(np.log(prior / (1 - prior))), prior)
     return fit_nnpu(positive, unlabelled, prior)
