@@ -8,6 +8,7 @@ alone tokens can be read at any place, counted, and located.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import zlib
 
@@ -19,7 +20,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm import buffers
 from palimpsest.llm.bpe import byte_characters
 from palimpsest.llm.common import shuffle_partitions
 from palimpsest.llm.segcodes import SegmentCoder
@@ -173,20 +173,24 @@ def coder(path: str) -> SegmentCoder:
 
     def encode_many(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out: list = [None] * len(segments)
-        rest = []
+        rest, known = [], {}
         for k, segment in enumerate(segments):
             text = segment.decode("utf-8")
             word = text.strip(" \t\n\r\x0b\x0c").lower()
-            tail = word[-1:] if word[-1:] in tails else ""
-            word = word[: len(word) - len(tail)]
-            if word.isalpha() and max(word) < "Ā" and max(text) < "Ā":
-                out[k] = of_word(word) + tails[tail]
+            tail = word[-1:]
+            if tail in tails:
+                word = word[: len(word) - len(tail)]
+            if word.isalpha() and (text.isascii() or max(text) < "Ā"):
+                ids = known.get(word)
+                if ids is None:
+                    ids = known[word] = of_word(word)
+                out[k] = ids + tails[tail] if tail in tails else ids
             else:
                 rest.append((k, text))
         for (k, _), got in zip(rest, tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
             out[k] = got.ids
         lengths = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter((i for x in out for i in x), np.uint32, int(lengths.sum())), lengths
+        return np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(lengths.sum())), lengths
 
     return SegmentCoder(encode_many)
 
