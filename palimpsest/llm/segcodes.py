@@ -22,7 +22,8 @@ class SegmentCoder:
     """encode_many(list of segments as bytes) -> (ids end to end as uint32, id count of each segment).
 
     Known segments are kept until there are ``limit`` of them, then all are forgotten: memory stays
-    bounded whatever the corpus holds, and results don't depend on what is kept.
+    bounded whatever the corpus holds, and results don't depend on what is kept.  A segment is known by
+    128 bits of hash and its length, so that only new segments become Python objects.
     """
 
     def __init__(self, encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000):
@@ -30,13 +31,14 @@ class SegmentCoder:
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.keys, self.checks, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.used, self.known = np.zeros(1 << 16, np.uint32), 0, 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, new: list[bytes]) -> np.ndarray:
+        """The slots of newly encoded segments."""
         ids, lengths = self.encode_many(new)
-        have, total = len(self.slot), self.used + len(ids)
+        have, total = self.known, self.used + len(ids)
         while len(self.ids) < total:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while len(self.starts) < have + len(new):
@@ -45,19 +47,39 @@ class SegmentCoder:
         self.ids[self.used : total] = ids
         self.lengths[have : have + len(new)] = lengths
         self.starts[have : have + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.slot.update(zip(new, range(have, have + len(new)), strict=True))
-        self.used = total
+        self.known, self.used = have + len(new), total
+        return np.arange(have, have + len(new))
+
+    def _slots_of(self, distinct: pa.Array) -> np.ndarray:
+        data, ends = np.frombuffer(distinct.buffers()[2], np.uint8), np.frombuffer(distinct.buffers()[1], np.int64)
+        ends = ends[distinct.offset : distinct.offset + len(distinct) + 1]
+        data, ends = data[ends[0] : ends[-1]], ends - ends[0]
+        size = np.diff(ends).astype(np.uint64)
+        key = buffers.mix(buffers.Rolling(data, 0).range(ends[:-1], ends[1:]) + size)
+        check = buffers.Rolling(data, 1).range(ends[:-1], ends[1:])
+        if self.known + len(key) > self.limit:
+            self.forget()
+        at = np.searchsorted(self.keys, key)
+        inside = np.minimum(at, max(0, len(self.keys) - 1))
+        same_key = (self.keys[inside] == key) if len(self.keys) else np.zeros(len(key), bool)
+        hit = same_key & (self.checks[inside] == check) if len(self.keys) else same_key
+        slots = np.zeros(len(key), np.int64)
+        slots[hit] = self.slots[inside[hit]]
+        new = np.flatnonzero(~hit)
+        if len(new):
+            slots[new] = self._learn(distinct.take(pa.array(new)).to_pylist())
+            fresh = new[~same_key[new]]
+            fresh = fresh[np.argsort(key[fresh], kind="stable")]
+            place = np.searchsorted(self.keys, key[fresh])
+            self.keys, self.checks, self.slots = (np.insert(a, place, b[fresh]) for a, b in ((self.keys, key), (self.checks, check), (self.slots, slots)))
+        return slots
 
     def run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all documents end to end, and each document's offsets in them."""
         codes, distinct, per_doc = buffers.segments(data, offsets)
-        known = distinct.to_pylist()
-        if len(self.slot) + len(known) > self.limit:
-            self.forget()
-        if new := [x for x in known if x not in self.slot]:
-            self._learn(new)
-        slots = np.fromiter(map(self.slot.__getitem__, known), np.int64, len(known))
-        of = slots[codes]
+        if not len(codes):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        of = self._slots_of(distinct)[codes]
         lengths = self.lengths[of].astype(np.int64)
         ids = self.ids[buffers.ragged_positions(self.starts[of], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
