@@ -1,4 +1,4 @@
-"""License scans: normalised lines compared with licence templates by the Dice coefficient of word bigrams.
+"""License scans: normalised lines, or windows of words, compared with licence templates by the Dice coefficient of word bigrams.
 
 DataFrame functions only.  A line is compared with a template only if their bigram counts allow the
 wanted coefficient, which most lines fail by their number of words alone.
@@ -6,6 +6,7 @@ wanted coefficient, which most lines fail by their number of words alone.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -47,10 +48,13 @@ def words(line: Column) -> Column:
     return F.filter(F.split(lower, "[^a-z0-9]+"), lambda w: w != "")
 
 
+def _pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def bigrams(words: Column) -> Column:
     """Distinct pairs of neighbouring words; a single word is a pair with nothing."""
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.when(F.size(words) == 1, words).otherwise(pairs))
+    return F.array_distinct(F.when(F.size(words) == 1, words).otherwise(_pairs(words)))
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -86,6 +90,66 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     return found.select("doc_id", "line_no", "_t.license", "_t.template_no", "_t.n_shared", "n_line", "_t._n").withColumn("dice", dice).where(2 * F.col("n_shared") >= threshold * (F.col("n_line") + F.col("_n"))).drop("_n")
 
 
+def gate(pairs: list[str], threshold: float) -> list[str]:
+    """Bigrams of a template of which any window that reaches the threshold holds one: all but the greatest count that it can lack, the longest ones."""
+    lo = size_bounds(len(pairs), threshold)[0]
+    return sorted(pairs, key=lambda p: (-len(p), p))[: len(pairs) - lo + 1]
+
+
+def _best_windows(pairs: Column, known: list[str], threshold: float) -> Column:
+    """array of (first, n_words, n_shared, n_window, dice): the best windows of one template that don't overlap, by place."""
+    lo, hi = size_bounds(len(known), threshold)
+    mine = F.array(*[F.lit(p) for p in known])
+    starts = F.filter(F.transform(pairs, lambda p, i: F.when(p.isin(known), i)), lambda i: i.isNotNull())
+    local = lambda i: F.transform(F.sequence(F.lit(0), F.least(F.lit(hi), F.size(pairs) - i) - 1), lambda q: F.get(pairs, i + q))
+
+    def tries(x: Column) -> Column:
+        def measure(n: Column) -> Column:
+            some = F.slice(x["_near"], F.lit(1), n)
+            shared, size = F.size(F.array_intersect(some, mine)), F.size(F.array_distinct(some))
+            return F.struct((2.0 * shared / (size + len(known))).alias("dice"), (-x["_at"]).alias("_at"), (-n).alias("_n"), shared.alias("n_shared"), size.alias("n_window"))
+
+        return F.array_max(F.transform(F.sequence(F.lit(lo), F.size(x["_near"])), measure))
+
+    near = F.filter(F.transform(starts, lambda i: F.struct(i.alias("_at"), local(i).alias("_near"))), lambda x: F.size(F.array_intersect(x["_near"], mine)) >= lo)
+    found = F.filter(F.transform(near, tries), lambda t: 2 * t["n_shared"] >= threshold * (t["n_window"] + len(known)))
+    # Greatest dice first, then the earliest, then the shortest; a window stands if it shares no word with one that stands.
+    order = F.reverse(F.array_sort(found))
+    none = F.array().cast("array<struct<dice:double,_at:int,_n:int,n_shared:int,n_window:int>>")
+    apart = lambda a, b: (-a["_at"] > -b["_at"] - b["_n"]) | (-b["_at"] > -a["_at"] - a["_n"])
+    kept = F.aggregate(order, none, lambda out, t: F.when(F.forall(out, lambda o: apart(o, t)), F.concat(out, F.array(t))).otherwise(out))
+    return F.transform(kept, lambda t: F.struct((1 - t["_at"]).alias("first_word"), (1 - t["_n"]).alias("n_words"), t["n_shared"].alias("n_shared"), t["n_window"].alias("n_window"), t["dice"].alias("dice")))
+
+
+def passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, license, template_no, first_word, n_words, n_shared, n_window, dice: every passage that matches a template.
+
+    The whole text is one run of words, in which line feeds separate like any other sign, so wrapped notices
+    and notices inside longer lines are found.  Windows of consecutive words whose count of bigrams is
+    within ``size_bounds`` are compared; of windows that share words the best stands (greatest Dice, then the first,
+    then the shortest), for each template by itself.  Words are numbered from 1.  Templates have two words at least.
+    """
+    known = [(k, name, template_bigrams(text)) for k, (name, text) in enumerate(templates)]
+    if any(" " not in p for *_, pairs in known for p in pairs):
+        raise ValueError("a template needs two words at least")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    flat = F.concat(F.lit(" "), F.regexp_replace(lower, "[^a-z0-9]+", " "), F.lit(" "))
+    # Exploded, so that no later expression takes the rewriting of the text into itself, once for each use.
+    rows = docs.where(F.length("text") > 0).select("doc_id", F.explode(F.array(flat)).alias("_flat"))
+    # No window can match without a bigram of the gate: a search for plain strings leaves few documents.
+    either = lambda x: functools.reduce(lambda a, b: a | b, x)
+    may = [either([F.col("_flat").contains(f" {p} ") for p in gate(pairs, threshold)]) for *_, pairs in known]
+    rows = rows.where(either(may)).withColumn("_pairs", _pairs(F.filter(F.split("_flat", " "), lambda w: w != "")))
+
+    def named(k: int, name: str, pairs: list[str]) -> Column:
+        best = F.transform(_best_windows(F.col("_pairs"), pairs, threshold), lambda t: F.struct(F.lit(name).alias("license"), F.lit(k).alias("template_no"), t.alias("_t")))
+        return F.when(may[k], best)
+
+    tries = [named(*x) for x in known]
+    found = rows.select("doc_id", F.explode(F.flatten(F.filter(F.array(*tries), lambda t: t.isNotNull()))).alias("_m"))
+    return found.select("doc_id", "_m.license", "_m.template_no", "_m._t.*")
+
+
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
     """The same scan for DuckDB over the view ``documents``, without pruning."""
     rows = ", ".join("(%d, '%s', [%s])" % (k, name, ", ".join("'%s'" % p for p in template_bigrams(text))) for k, (name, text) in enumerate(templates))

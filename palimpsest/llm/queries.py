@@ -46,6 +46,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
@@ -54,7 +58,7 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int")))
 
 
-QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_token_id_wavelet, op3_bpe_round_trip, op4_language_id, op5_suffix_array_dedup, op6_matroska_columns, op7_ngram_jaccard_join, op8_license_scan, op9_rendezvous_sharding, op10_pu_quality)}
+QUERIES = {f.__name__: f for f in (op1_benchmark_decontamination, op2_token_id_wavelet, op3_bpe_round_trip, op4_language_id, op5_suffix_array_dedup, op6_matroska_columns, op7_ngram_jaccard_join, op8_license_scan, op8_license_passages, op9_rendezvous_sharding, op10_pu_quality)}
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 

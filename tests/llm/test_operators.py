@@ -198,6 +198,50 @@ def test_license_scan(spark, none):
     assert got == want and licenses.scan(none).count() == 0
 
 
+def plain_passages(text):
+    """Every window of every length that bounds allow, for each template; overlapping ones go by dice, place, length."""
+    w, out = licenses.normal_words(text or ""), []
+    pairs = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    for k, (name, template) in enumerate(licenses.TEMPLATES):
+        b = set(licenses.template_bigrams(template))
+        lo, hi = licenses.size_bounds(len(b), licenses.THRESHOLD)
+        some = []
+        for i in range(len(pairs)):
+            for n in range(lo, min(hi, len(pairs) - i) + 1):
+                a = set(pairs[i : i + n])
+                if 2 * len(a & b) >= licenses.THRESHOLD * (len(a) + len(b)):
+                    some.append((-2 * len(a & b) / (len(a) + len(b)), i, n, len(a & b), len(a)))
+        kept = []
+        for x in sorted(some):
+            if all(x[1] > y[1] + y[2] or y[1] > x[1] + x[2] for y in kept):
+                kept.append(x)
+        out += [(name, k, i + 1, n + 1, shared, size, round(-d, 9)) for d, i, n, shared, size in kept]
+    return out
+
+
+def test_license_passages(spark, none):
+    """Notices that are wrapped over lines or stand inside longer ones, which no single line gives."""
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n"
+    cut = [(1, gpl, "GPL-3.0"), (2, bsd, "BSD-3-Clause"), (3, "Copyright (c) 2020 Acme Corp. All rights reserved.", "proprietary"), (4, "This package by Jane Doe is released under the MIT License.", "MIT")]
+    pick = random.Random(8)
+    text = lambda n: sentence(pick, n)
+    rows = [(i, t) for i, t, _ in cut] + [(5, None), (6, ""), (7, " .\n"), (8, "reserved"), (9, "All rights reserved. All rights\nreserved. " * 3), (10, f"{text(50)}\n{gpl}\n{text(30)} {gpl.replace('either', 'EITHER a')}"), (11, text(40)), (1, gpl)]
+    for i in range(40):
+        words = pick.choice(licenses.TEMPLATES)[1].split()
+        for _ in range(pick.randrange(len(words) // 5 + 2)):
+            words[pick.randrange(len(words))] = pick.choice(["the", "and", "License", "under the", ""])
+        rows.append((20 + i, f"{text(9)} {pick.choice([' ', chr(10)]).join(words)} {text(9)}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.passages(frame).collect()
+    for i, _, name in cut:
+        assert any(r["doc_id"] == i and r["license"] == name for r in got)
+    assert not licenses.scan(frame.where("doc_id <= 4")).count()
+    want = Counter((i, *m) for i, t in rows for m in plain_passages(t))
+    assert Counter((*tuple(r)[:-1], round(r["dice"], 9)) for r in got) == want and want
+    assert licenses.passages(none).count() == 0
+
+
 def test_sharding(docs, rows, none):
     weights = [1.0] * 7 + [3.0, 0.0]
     got = sharding.assign(docs, weights).collect()
