@@ -44,7 +44,7 @@ def circles_in_viewport(boxes: DataFrame, circles: DataFrame, level: int = 4) ->
     """box, fact_id: circles (fact_id, lat, lon, radius_m) that meet a box.
 
     Circle rectangles become tiles too; a candidate is kept when the nearest point of a half box is within
-    the radius on the ellipsoid (the nearest point by latitude and longitude, exact for boxes of map size).
+    the radius on the ellipsoid.  Beside a box that is the foot of the great circle onto its nearer meridian edge.
     """
     rects = circles.select("fact_id", F.explode(geo.bounding_rects(F.col("lat"), F.col("lon"), F.col("radius_m"))).alias("_r")).select(F.col("fact_id").alias("box"), "_r.*")
     mine = geo.viewport_tiles(rects, level).withColumnRenamed("box", "fact_id")
@@ -52,5 +52,7 @@ def circles_in_viewport(boxes: DataFrame, circles: DataFrame, level: int = 4) ->
     clamp = lambda v, a, b: F.greatest(F.col(a), F.least(F.col(b), v))
     gap = lambda edge: F.abs(F.pmod(F.col("lon") - F.col(edge) + 540.0, F.lit(360.0)) - 180.0)
     near_lon = F.when(F.col("lon").between(F.col("west"), F.col("east")), F.col("lon")).when(gap("west") <= gap("east"), F.col("west")).otherwise(F.col("east"))
-    pairs = pairs.withColumn("_m", geo.geodesic_m("lat", "lon", clamp(F.col("lat"), "south", "north"), near_lon))
+    y, away = F.radians("lat"), F.radians(F.col("lon") - near_lon)
+    near_lat = F.when(F.col("lon").between(F.col("west"), F.col("east")), F.col("lat")).otherwise(F.degrees(F.atan2(F.sin(y), F.cos(y) * F.cos(away))))
+    pairs = pairs.withColumn("_m", geo.geodesic_m("lat", "lon", clamp(near_lat, "south", "north"), near_lon))
     return pairs.where("_m <= radius_m").select("box", "fact_id").distinct()

@@ -49,6 +49,16 @@ def flt5_in_viewport(spark, d):
     return maps.viewport_join(T.viewports(spark, d).where("box < 5"), located(spark, d)).select("fact_id").distinct()
 
 
+def circles(spark, d):
+    """Points with radii from 0 to 980 km."""
+    return T.points(spark, d).withColumn("radius_m", F.col("fact_id") % 50 * 20_000.0)
+
+
+@query()
+def flt5_circles_in_viewport(spark, d):
+    return maps.circles_in_viewport(T.viewports(spark, d), circles(spark, d))
+
+
 @query(sql("points", f", {_keyed_sql('points')} select tile, fact_id from (select quadkey >> 42 as tile, fact_id, row_number() over (partition by quadkey >> 42 order by quadkey, fact_id) as rn from located) where rn <= 32").replace("\n, tiles_", ",\ntiles_"))
 def win1_tile_top_n(spark, d):
     return maps.tile_top_n(located(spark, d), 3).select("tile", "fact_id")
