@@ -70,6 +70,46 @@ def gr4_touched_targets(spark, d):
     return snapshot.touched_targets(f.where("kind = 'retract' and fact_id % 29 = 0"), snapshot.retraction_edges(f))
 
 
+def share_bound(f):
+    """A snapshot bound that follows the log: seven tenths of the greatest id."""
+    return f.agg(F.expr("max(fact_id) * 7 div 10")).first()[0]
+
+
+_SHARE = "(select max(fact_id) * 7 // 10 from facts)"
+#: The retraction views of ``testbed`` as of that bound.
+_KNOWN = f", known as (select * from facts where fact_id < {_SHARE}),\n{T.VIEWS['retracted'].replace('from facts', 'from known').replace('join facts', 'join known')}\n"
+
+
+@query(sql("facts", f"select fact_id, kind, entity from facts where fact_id < {_SHARE}"))
+def src5_facts_at_share(spark, d):
+    f = T.facts(spark, d)
+    return snapshot.facts_at(f, share_bound(f)).select("fact_id", "kind", "entity")
+
+
+@query(sql("facts", f"select count(*) as n_facts, max(fact_id) + 1 as next_fact_id, count(*) filter (where fact_id < {_SHARE}) as n_base from facts"))
+def src6_mount_share(spark, d):
+    f = T.facts(spark, d)
+    n = share_bound(f)
+    both = snapshot.mount(snapshot.facts_at(f, n).withColumn("base", F.lit(1)), f.where(F.col("fact_id") >= n))
+    return both.agg(F.count("*").alias("n_facts"), (F.max("fact_id") + 1).alias("next_fact_id"), F.count("base").alias("n_base"))
+
+
+@query(sql("facts", _KNOWN + f"""select i as fact_id, case when f.fact_id is null then 'unknown' when i >= {_SHARE} then 'future' when r.fact_id is not null then 'retracted' else 'active' end as state, r.retractor
+from (select event_id * 2 as i from events) left join facts f on f.fact_id = i left join retracted r on r.fact_id = i and f.fact_id is not null and i < {_SHARE}""").replace("\n, known", ",\nknown"))
+def flt8_lookup_share(spark, d):
+    f = T.facts(spark, d)
+    n = share_bound(f)
+    by = snapshot.effective_retractors(snapshot.retraction_edges(snapshot.facts_at(f, n)))
+    return snapshot.lookup(T.table(spark, d, "events").select((F.col("event_id") * 2).alias("fact_id")), f, by, n)
+
+
+@query(sql("retracted", """, touched(x) as (select fact_id from facts where kind = 'retract' union select e.x from touched t join redges e on e.r = t.x)
+select x as fact_id from touched""").replace("\n, touched", ",\ntouched"))
+def gr4_touched_by_all(spark, d):
+    f = T.facts(spark, d)
+    return snapshot.touched_targets(f.where("kind = 'retract'"), snapshot.retraction_edges(f))
+
+
 @query("""with recursive e(a, b) as (select c_custkey, c_custkey - 1 from customer where c_custkey % 5 <> 0),
 both_(a, b) as (select a, b from e union select b, a from e),
 reach(a, b) as (select a, b from both_ union select reach.a, both_.b from reach join both_ on reach.b = both_.a)

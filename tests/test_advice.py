@@ -40,3 +40,19 @@ def test_circle_beside_a_high_box(spark):
     rows = [(1, 60.0, -40.0, m + 1000), (2, 60.0, -40.0, m - 1000)]
     found = maps.circles_in_viewport(box, spark.createDataFrame(rows, "fact_id long, lat double, lon double, radius_m double")).collect()
     assert [tuple(r) for r in found] == [(1, 1)]
+
+
+def test_bounds_follow_the_log(spark):
+    ids = sorted(r[0] for r in T.facts(spark, DIR).select("fact_id").collect())
+    bound = max(ids) * 7 // 10
+    assert sorted(r[0] for r in QUERIES["src5_facts_at_share"](spark, DIR).select("fact_id").collect()) == [i for i in ids if i < bound]
+    larger = "/root/testdata/sf0.01"
+    top = T.facts(spark, larger).count()
+    assert QUERIES["src5_facts_at_share"](spark, larger).count() > top // 2
+    states = {r["state"]: r["count"] for r in QUERIES["flt8_lookup_share"](spark, larger).groupBy("state").count().collect()}
+    assert set(states) == {"active", "retracted", "future", "unknown"} and states["active"] > states["future"]
+
+
+def test_touched_by_all_starts_from_every_retraction(spark):
+    got = {r[0] for r in QUERIES["gr4_touched_by_all"](spark, DIR).collect()}
+    assert got >= {r[0] for r in T.facts(spark, DIR).where("kind = 'retract'").select("fact_id").collect()}
