@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -122,6 +123,50 @@ def near_dups(hashes: DataFrame, max_bits: int, bands: int = 8) -> DataFrame:
     return keyed.join(other, "_band").where("id < b").select(F.col("id").alias("a"), "b", bits.alias("bits")).where(F.col("bits") <= max_bits).distinct()
 
 
+def content_hashes(rows: DataFrame, key: str, content: str) -> DataFrame:
+    """id, hash (array of four longs): 256-bit similarity hash of the whole content; no row for content without a word.
+
+    Each bit is the majority of that bit over the content's words, so a changed word changes few bits.
+    """
+
+    def run(parts):
+        import hashlib
+        from collections import Counter
+
+        for pdf in parts:
+            out, pdf = [], pdf[np.array([bool(t.split()) for t in pdf["content"]], bool)]
+            for text in pdf["content"]:
+                words = Counter(text.split())
+                counts = np.array(list(words.values()))
+                raw = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=32).digest() for w in words)
+                votes = counts @ np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 32), axis=1).astype(np.int64)
+                out.append(np.packbits(2 * votes > counts.sum()).view(">i8").astype(np.int64).tolist())
+            if out:
+                yield pd.DataFrame({"id": pdf["id"].to_numpy(), "hash": out})
+
+    texts = rows.select(F.col(key).alias("id"), F.col(content).alias("content")).where("content is not null")
+    return texts.mapInPandas(run, "id long, hash array<long>")
+
+
+def near_dups_wide(hashes: DataFrame, max_bits: int, blocks: int = 8) -> DataFrame:
+    """a, b, bits: pairs of different 256-bit hashes (id, hash of four longs) at most ``max_bits`` apart.
+
+    The bits are cut into ``blocks`` (8 or 16) and keyed by every choice of all but ``max_bits`` of them: as so many
+    flipped bits touch at most so many blocks, some key is equal, and a key is wide, so only near hashes share one.
+    Equal hashes are one class: only the least id of each stands for it.
+    """
+    if max_bits >= blocks or blocks not in (8, 16):
+        raise ValueError("blocks must be 8 or 16 and more than max_bits")
+    width = 256 // blocks
+    rows = hashes.groupBy("hash").agg(F.min("id").alias("id"))
+    part = lambda k: F.shiftrightunsigned(F.col("hash")[k * width // 64], k * width % 64).bitwiseAND(F.lit((1 << width) - 1))
+    bands = [F.struct(F.lit(i).alias("k"), F.array(*[part(k) for k in chosen]).alias("v")) for i, chosen in enumerate(itertools.combinations(range(blocks), blocks - max_bits))]
+    keyed = rows.select("id", "hash", F.explode(F.array(*bands)).alias("_band"))
+    other = keyed.select(F.col("id").alias("b"), F.col("hash").alias("_h"), "_band")
+    bits = sum((F.bit_count(F.col("hash")[i].bitwiseXOR(F.col("_h")[i])) for i in range(1, 4)), F.bit_count(F.col("hash")[0].bitwiseXOR(F.col("_h")[0])))
+    return keyed.join(other, "_band").where("id < b").select(F.col("id").alias("a"), "b", bits.alias("bits")).where(F.col("bits") <= max_bits).distinct()
+
+
 def clean_detections(masks: DataFrame, k: int, overlap: float = 0.7, survive: float = 0.1) -> DataFrame:
     """image, mask, score, pixels, left, place: detections of each image after clean-up.
 

@@ -156,6 +156,12 @@ def job6_near_dups(spark, d):
     return capture.near_dups(T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), h.bitwiseXOR(bit).alias("hash")), 3)
 
 
+@query()
+def job6_near_contents(spark, d):
+    hashes = stored(capture.content_hashes(T.table(spark, d, "documents"), "doc_id", "text"), "hashes")
+    return capture.near_dups_wide(hashes, 6)
+
+
 @query()
 def job7_clean_detections(spark, d):
     x = T.table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("image"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("mask"), (F.col("l_discount") + F.col("l_tax")).alias("score"), F.lit(64).alias("width"), (F.col("l_partkey") % 4000).alias("_s"), F.col("l_quantity").cast("int").alias("_q"))

@@ -1,9 +1,11 @@
 """Queries that do the whole job where older ones, as their SQL has it, read a part."""
 
+import random
+
 import numpy as np
 
 from palimpsest.functions import geo
-from palimpsest.operators import maps
+from palimpsest.operators import capture, maps
 from palimpsest.plans import QUERIES, map_queries
 from palimpsest.sources import testbed as T
 
@@ -56,3 +58,31 @@ def test_bounds_follow_the_log(spark):
 def test_touched_by_all_starts_from_every_retraction(spark):
     got = {r[0] for r in QUERIES["gr4_touched_by_all"](spark, DIR).collect()}
     assert got >= {r[0] for r in T.facts(spark, DIR).where("kind = 'retract'").select("fact_id").collect()}
+
+
+def test_near_dups_of_whole_contents(spark):
+    """Texts that differ at their first sign only are pairs; texts with a common head only are not."""
+    pick = random.Random(4)
+    words = lambda n: [f"w{pick.randrange(10**6)}" for _ in range(n)]
+    head, body = " ".join(words(20)), words(3000)
+    rows = [(1, " ".join(body)), (2, "Other " + " ".join(body)), (3, f"{head} {' '.join(words(400))}"), (4, f"{head} {' '.join(words(400))}"), (5, None), (6, " \n"), (7, " ".join(body)), (8, "one")]
+    hashes = capture.content_hashes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    by_id = {r["id"]: r["hash"] for r in hashes.collect()}
+    assert set(by_id) == {1, 2, 3, 4, 7, 8} and by_id[1] == by_id[7] != by_id[2]
+    bits = lambda a, b: sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b, strict=True))
+    assert bits(by_id[3], by_id[4]) > 6 >= bits(by_id[1], by_id[2])
+    assert (1, 2) in {(r["a"], r["b"]) for r in capture.near_dups_wide(hashes, 6).collect()}
+    base = [[pick.getrandbits(64) - 2**63 for _ in range(4)] for _ in range(10)]
+    table = []
+    for i in range(60):
+        h = list(base[i % 10])
+        for _ in range(pick.randrange(5)):
+            k, n = pick.randrange(4), pick.randrange(63)
+            h[k] ^= 1 << n
+        table.append((i, h))
+    got = {tuple(r) for r in capture.near_dups_wide(spark.createDataFrame(table, "id long, hash array<long>"), 3).collect()}
+    least = {}
+    for i, h in table:
+        least.setdefault(tuple(h), i)
+    ids = {i: h for h, i in least.items()}
+    assert got == {(i, j, bits(ids[i], ids[j])) for i in ids for j in ids if i < j and bits(ids[i], ids[j]) <= 3} and got
