@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import buffers
-from palimpsest.llm.common import without
+from palimpsest.llm.common import keyed_text, without
+from palimpsest.scratch import stored
 
 #: Words of a shingle, and the least share of an item's shingles that contaminates a document.
 WORDS, THRESHOLD = 5, 0.75
@@ -36,79 +38,122 @@ def shingle_texts(text: str | None, k: int = WORDS) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
 
 
+def size_class(n: int) -> int:
+    """The partition of items with n shingles: the exponent of the next power of two."""
+    return max(0, (n - 1).bit_length())
+
+
 def sketch_size(n: int, threshold: float) -> int:
-    """Bottom hashes kept for items of n shingles: at the upper size of n's partition (a power of two) one more
-    than may be missing, so that at least one kept shingle is in any document that reaches the threshold."""
-    upper = 1 << max(0, (n - 1).bit_length())
+    """Bottom hashes kept for items of n shingles: at the upper size of n's partition one more than may be
+    missing, so that at least one kept shingle is in any document that reaches the threshold."""
+    upper = 1 << size_class(n)
     return min(n, upper - math.ceil(threshold * upper - 1e-9) + 1)
 
 
+@dataclass
+class SizePartition:
+    """The sketches of the items of one size class: hashes in rising order, their items, and a bit table over them."""
+
+    keys: np.ndarray
+    owners: np.ndarray
+    shift: np.uint64
+    seen: np.ndarray
+
+    @classmethod
+    def of(cls, members: list[int], sets: list[np.ndarray], threshold: float) -> SizePartition:
+        low = [sets[j][: sketch_size(len(sets[j]), threshold)] for j in members]
+        keys, owners = np.concatenate(low), np.repeat(members, [len(x) for x in low])
+        order = np.argsort(keys, kind="stable")
+        bits = min(26, max(12, int(len(keys) * 16).bit_length()))
+        seen = np.zeros(1 << bits, bool)
+        seen[keys >> np.uint64(64 - bits)] = True
+        return cls(keys[order], owners[order], np.uint64(64 - bits), seen)
+
+    def candidates(self, hashes: np.ndarray, to: np.ndarray, n_items: int) -> np.ndarray:
+        """document * n_items + item of all documents that hold a sketched hash of an item."""
+        maybe = np.flatnonzero(self.seen[hashes >> self.shift])
+        lo, hi = (np.searchsorted(self.keys, hashes[maybe], side) for side in ("left", "right"))
+        items = self.owners[buffers.ragged_positions(lo, hi - lo)]
+        docs = np.repeat(np.searchsorted(to, maybe, "right") - 1, hi - lo)
+        return np.unique(docs * n_items + items)
+
+
 @dataclass
 class Block:
-    """Items, their shingle hashes, and the sketched hashes in rising order with the items they stand for."""
+    """Item texts, their shingle hashes, and by size of a shingle the sketched hashes of each size partition."""
 
-    ids: list
     texts: list[str]
     threshold: float
     k: int
 
     def __post_init__(self):
         column = pa.array(self.texts, pa.string())
-        self.sets, self.lengths = [np.zeros(0, np.uint64)] * len(self.texts), np.zeros(len(self.texts), np.int64)
+        self.keys_of = [md5(t.encode()).digest() for t in self.texts]
+        self.sets = [np.zeros(0, np.uint64)] * len(self.texts)
         for first, hashes, offsets in buffers.shingle_sets(column, self.k):
             for j, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
                 self.sets[first + j] = hashes[a:b].copy()
-        self.lengths = np.array([len(_WORD.findall(t.encode())) for t in self.texts], np.int64)
-        keys, owners = [], []
-        for j, s in enumerate(self.sets):
-            low = s[: sketch_size(len(s), self.threshold)] if len(s) else s
-            keys.append(low)
-            owners.append(np.full(len(low), j))
-        keys, owners = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (owners, np.int64)))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owners = keys[order], owners[order]
-        bits = min(26, max(16, int(len(keys) * 16).bit_length()))
-        self.shift = np.uint64(64 - bits)
-        self.seen = np.zeros(1 << bits, bool)
-        self.seen[self.keys >> self.shift] = True
         #: Items shorter than a shingle are probed with windows of their own length.
-        self.sizes = sorted({self.k} | {int(n) for n in self.lengths if 0 < n < self.k})
+        self.sizes = np.array([min(self.k, len(_WORD.findall(t.encode()))) for t in self.texts], np.int64)
+        #: (words of a shingle, size class): the class's sketches as one index of its own
+        self.parts: dict[tuple[int, int], SizePartition] = {}
+        classes: dict[tuple[int, int], list[int]] = {}
+        for j, s in enumerate(self.sets):
+            if len(s):
+                classes.setdefault((int(self.sizes[j]), size_class(len(s))), []).append(j)
+        for key, members in classes.items():
+            self.parts[key] = SizePartition.of(members, self.sets, self.threshold)
 
     def probe(self, data: np.ndarray, offsets: np.ndarray):
         """Yield (document, item, shared shingle count) of all pairs that reach the threshold by hashes."""
         words, at = buffers.word_hashes(data, offsets)
-        by_size = {}
-        pairs = []
-        for size in self.sizes:
-            hashes, to = by_size[size] = buffers.shingle_hashes(words, at, size)
-            maybe = np.flatnonzero(self.seen[hashes >> self.shift])
-            lo, hi = (np.searchsorted(self.keys, hashes[maybe], side) for side in ("left", "right"))
-            n = hi - lo
-            items = self.owners[buffers.ragged_positions(lo, n)]
-            docs = np.repeat(np.searchsorted(to, maybe, "right") - 1, n)
-            fits = np.minimum(self.lengths[items], self.k) == size
-            pairs.append(np.unique(docs[fits] * len(self.ids) + items[fits]))
-        last, own = -1, {}
-        for pair in np.unique(np.concatenate(pairs)):
-            doc, item = divmod(int(pair), len(self.ids))
-            if doc != last:
-                last, own = doc, {}
-            size = int(min(self.lengths[item], self.k))
-            if size not in own:
-                hashes, to = by_size[size]
-                own[size] = np.unique(hashes[to[doc] : to[doc + 1]])
-            shared = int(np.isin(self.sets[item], own[size], assume_unique=True).sum())
-            if shared >= self.threshold * len(self.sets[item]) - 1e-9:
-                yield doc, item, shared
+        for size in sorted({k for k, _ in self.parts}):
+            hashes, to = buffers.shingle_hashes(words, at, size)
+            found = [part.candidates(hashes, to, len(self.texts)) for (k, _), part in self.parts.items() if k == size]
+            last, own = -1, None
+            for pair in np.unique(np.concatenate(found)):
+                doc, item = divmod(int(pair), len(self.texts))
+                if doc != last:
+                    last, own = doc, np.unique(hashes[to[doc] : to[doc + 1]])
+                shared = int(np.isin(self.sets[item], own, assume_unique=True).sum())
+                if shared >= self.threshold * len(self.sets[item]) - 1e-9:
+                    yield doc, item, shared
 
     def verify(self, text: bytes, item: int) -> tuple[int, int]:
         """(item shingles, those that the text holds), by comparing the words themselves."""
         wanted = shingle_texts(self.texts[item], self.k)
-        size = int(min(self.lengths[item], self.k))
-        return len(wanted), len(wanted & shingle_texts(text.decode(), size))
+        return len(wanted), len(wanted & shingle_texts(text.decode(), int(self.sizes[item])))
 
 
-PAIRS = "doc_id long, item_id long, n_item long, n_shared long, containment double"
+PAIRS = "doc_id long, item_id long, n_item long, n_shared long, containment double, text_key binary"
+_FOUND = "doc_id long, text_key binary, item_key binary, n_item long, n_shared long, containment double"
+
+
+def _blocks(items: DataFrame):
+    """Yield (distinct item texts sent to tasks, item_id and item_key of their rows) in blocks of bounded size.
+
+    Each text is in a block once, however many items have it, and blocks deal out texts by hash.
+    """
+    rows = items.where(F.length("text") > 0).select("item_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("item_key"))
+    texts = rows.groupBy("item_key").agg(F.first("text").alias("text"))
+    total = texts.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-total // (4 * BLOCK_SHINGLES)))
+    block = F.pmod(F.xxhash64("item_key"), F.lit(blocks))
+    if blocks > 1:
+        texts = stored(texts, "items")
+    for b in range(blocks):
+        found = [r["text"] for r in texts.where(block == b).orderBy("item_key").collect()]
+        if found:
+            yield items.sparkSession.sparkContext.broadcast(found), rows.where(block == b).select("item_id", "item_key")
+
+
+def pairs(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
+    """``contaminated`` with text_key, which tells the texts of one doc_id apart."""
+    out = None
+    for sent, ids in _blocks(items):
+        found = _pass(keyed_text(docs), sent, threshold, k).join(ids, "item_key").select("doc_id", "item_id", "n_item", "n_shared", "containment", "text_key")
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], PAIRS) if out is None else out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
@@ -120,41 +165,35 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     hold nothing and are found nowhere.  Repeated document rows or items give repeated pairs.  Items go
     through in blocks of bounded size, each block to every task; any number of items gives whole results.
     """
-    spark = docs.sparkSession
-    items = items.where(F.length("text") > 0).select("item_id", "text")
-    total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // (4 * BLOCK_SHINGLES)))
-    out = None
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        sent = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
-        found = _pass(docs, sent, threshold, k) if rows else None
-        if found is not None:
-            out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], PAIRS) if out is None else out
+    return pairs(docs, items, threshold, k).drop("text_key")
 
 
 def _pass(docs: DataFrame, sent, threshold: float, k: int) -> DataFrame:
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
+    names = [f.split()[0] for f in _FOUND.split(", ")]
+
     def run(batches):
         block = None
-        for batch in batches:
-            block = block or Block(*sent.value, threshold, k)
+        for batch in buffers.slices(batches):
+            block = block or Block(sent.value, threshold, k)
             data, offsets = buffers.utf8(batch.column(1))
             rows = []
             for first, last in buffers.runs_of_documents(offsets):
                 part = offsets[first : last + 1]
                 for doc, item, _ in block.probe(data[part[0] : part[-1]], part - part[0]):
-                    raw = bytes(data[offsets[first + doc] : offsets[first + doc + 1]])
-                    n, shared = block.verify(raw, item)
+                    at = first + doc
+                    n, shared = block.verify(bytes(data[offsets[at] : offsets[at + 1]]), item)
                     if shared >= threshold * n - 1e-9:
-                        rows.append((batch.column(0)[first + doc].as_py(), block.ids[item], n, shared, shared / n))
+                        rows.append((batch.column(0)[at].as_py(), batch.column(2)[at].as_py(), block.keys_of[item], n, shared, shared / n))
             if rows:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "item_id", "n_item", "n_shared", "containment"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PAIRS)
+    return docs.mapInArrow(run, _FOUND)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
-    """``docs`` without the documents that hold an item; a null id is kept.  All columns stay as they are."""
-    return without(docs, contaminated(docs, items, threshold, k))
+    """``docs`` without the documents that hold an item; a null id is kept.  All columns stay as they are.
+
+    Rows that share an id but not the text are judged each by its own text.
+    """
+    return without(docs, pairs(docs, items, threshold, k).select("doc_id", "text_key"))

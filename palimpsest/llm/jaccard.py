@@ -1,20 +1,26 @@
 """N-gram Jaccard join: documents whose shingle sets overlap by at least three quarters.
 
 Each distinct set has a point, the counts of its shingles in hashed groups.  The overlap of two sets is at
-most the sum of the coordinate minima of their points, which bounds single pairs and, over the upper
-corners of an R-tree's boxes, whole nodes.  Blocks for the trees come from bottom-hash sketches.
+most the sum of the coordinate minima of their points; over the upper corners of an R-tree's boxes the same
+sum bounds whole nodes.  A tree over all points would prune badly, as unrelated texts have like counts, so
+the space is first cut by rare coordinates: each set goes to the neighbourhoods of its rarest shingles, as
+many as two linked sets cannot lack in common.  Each neighbourhood has its own tree, and all pairs that are
+verified on whole sets come from its bounds.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import buffers
-from palimpsest.llm.common import without
+from palimpsest.llm.common import keyed_text, without
 from palimpsest.operators.components import components
 from palimpsest.scratch import stored
 
@@ -22,25 +28,22 @@ from palimpsest.scratch import stored
 PERCENT = 75
 #: Groups of a point, and of the coarser point over which trees are packed.
 GROUPS, COARSE = 256, 64
-#: Lowest hashes kept of a set.  Two linked sets of up to 4 * SKETCH shingles surely share one of them; for
-#: larger sets each of the lowest hashes of the union is shared with probability 3/4 or more, so that all
-#: SKETCH miss with probability below 0.25 ** SKETCH, less than that of a collision of hashes.
-SKETCH = 32
-#: A hash held by more distinct sets than this is a frequent one.
-FREQUENT = 64
-#: Sets with this share of frequent hashes in their sketch are also joined on those.  Of other linked sets the
-#: rest of the sketch is shared with probability 0.6 or more each, so all miss with probability below 3e-9.
-FREQUENT_SHARE = 0.35
-#: Sets of one search block.
-BLOCK = 2048
+#: Groups in which the holders of shingles are counted over the whole corpus, to tell rare shingles from frequent ones.
+LOADS = 1 << 18
+#: Points of one side of a search; a larger neighbourhood is searched in several tasks.
+BLOCK = 8192
+#: Compressed bytes of the texts that are verified together.
+VERIFY_BYTES = 1 << 20
 _LEAF, _FAN = 32, 16
 
 
 def point(hashes: np.ndarray) -> bytes:
     """Counts by group, a byte each, after a scale byte; scaled counts are rounded up, so bounds stay bounds."""
     counts = np.bincount((hashes & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    scale = max(0, int(counts.max()).bit_length() - 8) if len(counts) else 0
-    return bytes([scale]) + (-(-counts >> scale) if scale == 0 else -(-counts // (1 << scale))).clip(0, 255).astype(np.uint8).tobytes()
+    scale = 0
+    while -(-int(counts.max()) >> scale) > 255:
+        scale += 1
+    return bytes([scale]) + (-(-counts >> scale)).astype(np.uint8).tobytes()
 
 
 def points(column: list[bytes]) -> np.ndarray:
@@ -111,35 +114,85 @@ class CountTree:
         return query[ok], self.order[node[ok]]
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sid, sketch, point, packed: the shingle set of each whole text.
+def _group(hashes: np.ndarray) -> np.ndarray:
+    """The load group of each shingle hash; its bits are none that ``point`` uses."""
+    return (hashes >> np.uint64(40)).astype(np.int64) & (LOADS - 1)
+
+
+def loads(docs: DataFrame, slices: int = 16) -> np.ndarray:
+    """How many documents' shingles fall into each of LOADS groups, over all texts: one fixed-size table.
+
+    Tasks count their own share; the counts are summed slice by slice in two steps, so no task sees more
+    than a part of a slice's tables.
+    """
+    width = LOADS // slices
+
+    def count(batches):
+        seen = np.zeros(LOADS, np.int64)
+        for batch in buffers.slices(batches):
+            for _, hashes, _ in buffers.shingle_sets(batch.column(0)):
+                seen += np.bincount(_group(hashes), minlength=LOADS)
+        salt = TaskContext.get().partitionId() % 64
+        parts = [zstandard.compress(x.tobytes(), 1) for x in seen.reshape(slices, width)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([salt] * slices, pa.int32()), pa.array(parts, pa.binary())], names=["slice", "salt", "counts"])
+
+    def add(found):
+        total = sum(np.frombuffer(zstandard.decompress(x.as_py()), np.int64) for x in found.column("counts"))
+        return pa.table({"slice": found.column("slice")[:1], "salt": pa.array([0], pa.int32()), "counts": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
+
+    schema = "slice int, salt int, counts binary"
+    some = docs.select("text").mapInArrow(count, schema).groupBy("slice", "salt").applyInArrow(add, schema)
+    rows = some.groupBy("slice").applyInArrow(add, schema).collect()
+    out = np.zeros((slices, width), np.int64)
+    for r in rows:
+        out[r["slice"]] = np.frombuffer(zstandard.decompress(r["counts"]), np.int64)
+    return out.ravel()
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """A level from 0 (rare) up for each load group: how many times it doubles the mean load."""
+    mean = max(1.0, float(counts.mean()))
+    return np.clip(np.log2(np.maximum(counts, 1) / mean), 0, 40).astype(np.uint8)
+
+
+def prefix_size(n):
+    """How many of its rarest shingles a set of n must show: of any 75 % of them at least one is shown."""
+    return n - (PERCENT * n + 99) // 100 + 1
+
+
+def profile(docs: DataFrame, level: np.ndarray) -> DataFrame:
+    """doc_id, text_key, n, digest, prefix, point, packed: the shingle set of each whole text.
 
-    ``sid`` identifies the set (a 64-bit sum over its hashes), ``packed`` is the compressed text.
+    ``digest`` (BLAKE2 of 16 bytes over the set's sorted hashes) identifies the set, ``prefix`` has its rarest
+    shingles in the one order that ``level`` and then the hash give, ``packed`` is the compressed text.
     """
-    odd = np.uint64(0x9FB21C651E98DF25)
+    sent = docs.sparkSession.sparkContext.broadcast(level)
+    names = ["doc_id", "text_key", "n", "digest", "prefix", "point", "packed"]
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in buffers.slices(batches, 500):
             texts = batch.column(1)
             for first, hashes, offsets in buffers.shingle_sets(texts):
-                count = len(offsets) - 1
-                sizes = np.diff(offsets)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(buffers.mix(hashes ^ odd))])
-                sid = buffers.mix(sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)
-                kept = np.minimum(sizes, SKETCH)
-                low = hashes[buffers.ragged_positions(offsets[:-1], kept)].view(np.int64)
-                sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(low))
-                at = [point(hashes[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
+                count, sizes = len(offsets) - 1, np.diff(offsets)
+                kept = np.where(sizes > 0, prefix_size(sizes), 0)
+                doc = np.repeat(np.arange(count), sizes)
+                order = np.lexsort((hashes, sent.value[_group(hashes)], doc))
+                rare = hashes[order[buffers.ragged_positions(offsets[:-1], kept)]].view(np.int64)
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(rare))
+                ranges = list(zip(offsets.tolist(), offsets[1:].tolist(), strict=False))
+                at = [point(hashes[a:b]) for a, b in ranges]
+                digest = [blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in ranges]
                 packed = [press.compress((texts[first + k].as_py() or "").encode()) for k in range(count)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, count), pa.array(sizes), pa.array(sid), sketch, pa.array(at, pa.binary()), pa.array(packed, pa.binary())], names=["doc_id", "n", "sid", "sketch", "point", "packed"])
+                part = [batch.column(c).slice(first, count) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*part, pa.array(sizes), pa.array(digest, pa.binary()), prefix, pa.array(at, pa.binary()), pa.array(packed, pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, sketch array<long>, point binary, packed binary")
+    return keyed_text(docs).mapInArrow(run, "doc_id long, text_key binary, n long, digest binary, prefix array<long>, point binary, packed binary")
 
 
 def _bounded(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and points allow to be linked."""
-    side = lambda x: known.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
+    side = lambda x: known.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
 
     def run(batches):
         for batch in batches:
@@ -153,128 +206,124 @@ def _bounded(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many members two sorted sets have in common."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are linked, by comparing the sets."""
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                known: dict[int, bytes] = {}
-                ends = []
-                for node, packed in (("a", "ta"), ("b", "tb")):
-                    nodes = part.column(node).to_pylist()
-                    ends.append(nodes)
-                    for k, sid in enumerate(nodes):
-                        if sid not in known:
-                            known[sid] = part.column(packed)[k].as_py()
-                sets, order = {}, list(known)
-                texts_of = pa.array([unpack.decompress(known[s]) for s in order], pa.binary()).cast(pa.string())
-                for first, hashes, offsets in buffers.shingle_sets(texts_of):
-                    for k, (lo, hi) in enumerate(zip(offsets, offsets[1:], strict=False)):
-                        sets[order[first + k]] = hashes[lo:hi]
-                ok = []
-                for a, b in zip(*ends, strict=True):
-                    x, y = sets[a], sets[b]
-                    if len(x) > len(y):
-                        x, y = y, x
-                    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-                    ok.append(100 * shared >= PERCENT * (len(x) + len(y) - shared) and shared > 0)
-                mask = pa.array(ok, pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(mask), part.column("b").filter(mask)], names=["a", "b"])
-
-    side = lambda x: texts.select(F.col("sid").alias(x), F.col("packed").alias(f"t{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
+        def linked(rows):
+            packed = {x: t for a, b, ta, tb in rows for x, t in ((a, ta), (b, tb))}
+            order, sets = list(packed), {}
+            texts_of = pa.array([unpack.decompress(packed[x].as_py()) for x in order], pa.binary()).cast(pa.string())
+            for first, hashes, offsets in buffers.shingle_sets(texts_of):
+                for k, (lo, hi) in enumerate(zip(offsets, offsets[1:], strict=False)):
+                    sets[order[first + k]] = hashes[lo:hi]
+            found = []
+            for a, b, *_ in rows:
+                both = _shared(sets[a], sets[b])
+                if both and 100 * both >= PERCENT * (len(sets[a]) + len(sets[b]) - both):
+                    found.append((a, b))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], names=["a", "b"])
 
-def _earlier(seen: list, t: int) -> np.ndarray:
-    """Bits of each member for the frequent hashes below ``t`` that several members hold."""
-    counts = np.fromiter(map(len, seen), np.int64, len(seen))
-    flat = np.fromiter((x for one in seen for x in one), np.int64, int(counts.sum()))
-    own = np.repeat(np.arange(len(seen)), counts)[flat < t]
-    hashes, code, n = np.unique(flat[flat < t], return_inverse=True, return_counts=True)
-    place = np.cumsum(n > 1) - 1
-    bits = np.zeros((len(seen), max(1, int((n > 1).sum()))), bool)
-    several = n[code] > 1
-    bits[own[several], place[code[several]]] = True
-    return np.packbits(bits, axis=1)
+        for batch in batches:
+            rows, size = [], 0
+            for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                rows.append((a, b, ta, tb))
+                size += len(ta.as_buffer()) + len(tb.as_buffer())
+                if size >= VERIFY_BYTES:
+                    yield linked(rows)
+                    rows, size = [], 0
+            if rows:
+                yield linked(rows)
+
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("packed").alias(f"t{x}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _tree_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components inside each frequent hash's block, found by R-tree search.
+    """Pairs of different components inside each neighbourhood (``lead``), found by R-tree search.
 
-    ``members`` has t, sid, root, n, point and seen (the set's frequent hashes).  A hash's sets are split by
-    hash of the set into parts of about BLOCK; every two parts of it meet in one task, which holds two parts
-    at most.  A pair belongs to the least frequent hash that both hold, so it comes out once.
+    ``members`` has lead, node, root, n, point and stray: whether the set is outside its lead's component.  Any
+    pair across components has a stray set, so only those are searched, in a tree over all the members.
+    Both sides are split by hash into parts of about BLOCK; a task holds one part of each.
     """
-    sizes = members.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_parts"))
-    split = members.join(sizes, "t").withColumn("_p", F.pmod(F.xxhash64("sid"), F.col("_parts")).cast("int"))
-    meet = split.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    meet = meet.select("t", F.least("_p", "_q").alias("_i"), F.greatest("_p", "_q").alias("_j"), "_p", "sid", "root", "n", "point", "seen")
-
-    def run(key, found):
-        sid, root, n, part = (found.column(c).to_numpy() for c in ("sid", "root", "n", "_p"))
+    sizes = members.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_all"), F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).cast("int").alias("_strays")).where("_strays > 0")
+    split = members.join(sizes, "lead")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["lead", "_i", "_j", "asked", "node", "root", "n", "point"]
+    entries = split.withColumns({"asked": F.lit(False), "_j": part("_all")}).withColumn("_i", every("_strays")).select(*columns)
+    queries = split.where("stray").withColumns({"asked": F.lit(True), "_i": part("_strays")}).withColumn("_j", every("_all")).select(*columns)
+
+    def run(found):
+        node, root, n = (found.column(c).to_numpy() for c in ("node", "root", "n"))
+        asked = found.column("asked").to_numpy(zero_copy_only=False) if isinstance(found, pa.RecordBatch) else found.column("asked").to_numpy()
         at = points(found.column("point").to_pylist())
-        wide, early = coarse(at), _earlier(found.column("seen").to_pylist(), key[0].as_py())
-        left, right = np.flatnonzero(part == key[1].as_py()), np.flatnonzero(part == key[2].as_py())
-        tree, out = CountTree(wide[right], n[right]), [np.zeros((2, 0), np.int64)]
+        left, right = np.flatnonzero(asked), np.flatnonzero(~asked)
+        tree, out = CountTree(coarse(at[right]), n[right]), [np.zeros((2, 0), np.int64)]
         for a in range(0, len(left), 128):
             q = left[a : a + 128]
-
-            def wanted(x, y, q=q):
-                x, y = q[x], right[y]
-                ok = (root[x] != root[y]) & ((key[1] != key[2]) | (x < y))
-                rows = np.flatnonzero(ok)
-                ok[rows] = ~(early[x[rows]] & early[y[rows]]).any(axis=1)
-                return ok
-
-            x, y = tree.search(wide[q], n[q], wanted)
+            x, y = tree.search(coarse(at[q]), n[q], lambda x, y, q=q: root[q[x]] != root[right[y]])
             x, y = q[x], right[y]
             ok = np.minimum(at[x], at[y]).sum(axis=1) >= needed(n[x], n[y])
-            out.append(np.stack([np.minimum(sid[x[ok]], sid[y[ok]]), np.maximum(sid[x[ok]], sid[y[ok]])]))
-        pairs = np.concatenate(out, axis=1)
+            out.append(np.stack([np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])]))
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
-    return meet.groupBy("t", "_i", "_j").applyInArrow(run, "a long, b long")
+    return entries.unionByName(queries).groupBy("lead", "_i", "_j").applyInArrow(run, "a long, b long").distinct()
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """node, root for the distinct sets (sid) of ``sets`` (see ``profile``) that are linked with another.
+def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, digest of each distinct set; node, root of the sets that are linked with another) of ``profile``'s rows.
 
-    First stars: in each shared hash's block all sets are verified against one, that of the most frequent
-    hashes, which in a group of near copies is the least changed.  Then every pair that shares a hash and
-    isn't in one component yet is verified, so no link between different components is missed, while a
-    large group of near copies mostly costs one star.
+    Two linked sets have a shingle in common among their rarest (see ``prefix_size``).  The holders of a
+    shingle meet in the neighbourhood of its lead, the holder that shares the most.  First every set is
+    compared with its leads; then the sets that stayed outside their lead's component are searched for in
+    the neighbourhood's tree.  So no link between different components is missed, while a large group of
+    near copies mostly costs one star.
     """
-    distinct = stored(sets.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("point").alias("point")), "sets")
-    records = distinct.select("sid", "n", F.explode("sketch").alias("t"))
-    blocks = records.groupBy("t").agg(F.count("*").alias("_c")).where("_c > 1")
-    shared = stored(records.join(blocks, "t").select("t", "sid", "n", (F.col("_c") > FREQUENT).alias("frequent")), "shared")
-    mostly = shared.where("frequent").groupBy("sid", "n").agg(F.collect_list("t").alias("seen")).where(F.size("seen") >= FREQUENT_SHARE * F.least("n", F.lit(SKETCH)))
-    mostly = stored(mostly.select("sid", "seen", F.size("seen").alias("weight")), "mostly")
-    blocks = stored(shared.join(mostly.select("sid", "weight"), "sid", "left").where("not frequent or weight is not null"), "blocks")
-    used = blocks.select("sid").distinct()
-    texts = stored(sets.select("sid", "packed").join(used, "sid", "left_semi").dropDuplicates(["sid"]), "texts", "none")
-    known = distinct.select("sid", "n", "point")
-    best = F.struct((-F.coalesce("weight", F.lit(0))).alias("w"), F.xxhash64("sid").alias("h"), F.col("sid").alias("a"), F.col("n").alias("_na"))
-    lead = blocks.groupBy("t").agg(F.min(best).alias("_l")).select("t", "_l.a", "_l._na")
-    star = blocks.join(lead, "t").where(f"sid <> a and 100 * least(n, _na) >= {PERCENT} * greatest(n, _na)")
-    found = stored(_verified(_bounded(star.select(F.least("a", "sid").alias("a"), F.greatest("a", "sid").alias("b")).distinct(), known), texts), "links")
+    distinct = sets.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("point").alias("point"))
+    distinct = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "sets")
+    records = distinct.select("node", "n", F.explode("prefix").alias("t"))
+    held = records.groupBy("t").agg(F.count("*").alias("_c")).where("_c > 1").select("t")
+    shared = stored(records.join(held, "t").select("t", "node", "n"), "shared")
+    weight = shared.groupBy("node").agg(F.count("*").alias("_w"))
+    ranked = shared.join(weight, "node").select("t", "node", F.struct((-F.col("_w")).alias("w"), F.xxhash64("node").alias("h"), F.col("node").alias("lead")).alias("_l"))
+    leads = ranked.groupBy("t").agg(F.min("_l").alias("_l")).select("t", "_l.lead")
+    near = stored(shared.join(leads, "t").select("lead", "node").distinct(), "near")
+    used = near.select("node").distinct()
+    texts = stored(sets.join(distinct.join(used, "node").select("node", "digest"), "digest").groupBy("node").agg(F.first("packed").alias("packed")), "texts", "none")
+    known = stored(distinct.join(used, "node").select("node", "n", "point"), "points")
+    star = near.where("lead <> node").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+    found = stored(_verified(_bounded(star, known), texts), "links")
     roots = stored(components(found), "roots")
-    rows = stored(_rooted(blocks.drop("weight"), roots), "rooted")
-    mixed = rows.groupBy("t").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("t")
-    light = rows.where("not frequent").join(mixed, "t")
-    other = light.select("t", F.col("sid").alias("b"), F.col("root").alias("_rb"), F.col("n").alias("_nb"))
-    pairs = light.join(other, "t").where(f"sid < b and root <> _rb and 100 * least(n, _nb) >= {PERCENT} * greatest(n, _nb)").select(F.col("sid").alias("a"), "b").distinct()
-    placed = _rooted(mostly.select("sid", "seen").join(known, "sid"), roots)
-    trees = _tree_pairs(placed.withColumn("t", F.explode("seen")).join(mixed, "t"))
-    rest = _verified(_bounded(pairs, known).unionByName(trees).distinct(), texts)
-    return components(found.unionByName(rest))
+    placed = _rooted(known, roots)
+    lead_root = _rooted(near.select(F.col("lead").alias("node")).distinct(), roots).select(F.col("node").alias("lead"), F.col("root").alias("_r"))
+    members = near.join(placed, "node").join(lead_root, "lead").withColumn("stray", F.col("root") != F.col("_r"))
+    rest = _verified(_tree_pairs(members), texts)
+    return distinct.select("node", "digest"), components(found.unionByName(rest))
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n, component_id of each row of ``docs``."""
+    sets = stored(profile(docs, levels(loads(docs))), "profiles", "none")
+    nodes, linked = links(sets)
+    roots = stored(_rooted(nodes, linked).select("digest", "root"), "roots")
+    placed = sets.select("doc_id", "text_key", "n", "digest").join(roots, "digest", "left")
+    lowest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("_low"))
+    return placed.join(lowest, "root", "left").select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("_low")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -285,18 +334,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     with nothing.  component_id is the smallest doc_id reachable over links, the row's own included; null ids
     are smaller than none.  Repeated rows are copies of each other.  Other columns are left out.
     """
-    sets = stored(profile(docs), "profiles", "none")
-    members = sets.select("doc_id", "n", "sid")
-    roots = stored(links(sets).select(F.col("node").alias("sid"), "root"), "roots")
-    placed = members.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    lowest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("_low"))
-    out = placed.join(lowest, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("_low")).otherwise(F.col("doc_id")).alias("component_id"))
+    return _placed(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that a smaller doc_id of their component stands for; columns unchanged.
 
-    Rows with a null id are kept.  Of rows that share the kept id all stay.
+    Rows with a null id are kept.  Of rows that share the kept id all stay; rows that share an id but not the
+    text are judged each by its own text.
     """
-    return without(docs, jaccard_components(docs).where("doc_id <> component_id"))
+    return without(docs, _placed(docs).where("doc_id <> component_id").select("doc_id", "text_key"))

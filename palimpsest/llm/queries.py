@@ -75,7 +75,9 @@ with {_shingles("items", "benchmark", "item_id")}, {_shingles("docs", "documents
 size as (select item_id, count(*) as n_item from items group by item_id)
 select doc_id, item_id, n_item, count(*) as n_shared, count(*)::double / n_item as containment
 from items join docs using (s) join size using (item_id) where items.n >= 5
-group by doc_id, item_id, n_item having count(*) >= 0.75 * n_item""",
+group by doc_id, item_id, n_item having count(*) >= 0.75 * n_item
+union all select doc_id, item_id, 1, 1, 1.0 from (select distinct item_id, s, n from items where n < 5)
+join (select distinct doc_id, k as n, array_to_string(w[i : i + k - 1], ' ') as s from docs_w, (select distinct n as k from items where n < 5), lateral (select unnest(range(1, len(w) - k + 2)) as i) where len(w) >= k) using (s, n)""",
     "op7_ngram_jaccard_join": f"""
 with recursive {_shingles("docs", "documents", "doc_id")},
 size as (select doc_id, count(*) as n from docs group by doc_id),

@@ -45,7 +45,7 @@ def none(spark):
 
 def test_decontamination(spark, docs, rows, none):
     items = [(1, rows[200 - 110][1]), (2, "one two"), (3, " ".join(rows[0][1].split()[:40])), (4, None), (5, ""), (2, "one two"), (6, "not in any of these texts at all")]
-    table = spark.createDataFrame([(*x, "clash") for x in items], "item_id long, text string, doc_id string").drop("doc_id")
+    table = spark.createDataFrame([(*x, "clash", 0) for x in items], "item_id long, text string, doc_id string, n_item int")
     want = Counter()
     for i, text, *_ in rows:
         for item, short in items:
@@ -59,6 +59,8 @@ def test_decontamination(spark, docs, rows, none):
     assert decontam.contaminated(none, table).count() == 0 == decontam.contaminated(docs, table.limit(0)).count()
     kept = decontam.decontaminate(docs, table)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, *_ in rows} - {k[0] for k in want}
+    two = spark.createDataFrame([(7, "one two", 1), (7, "quite another text", 2)], "doc_id long, text string, _text_key int")
+    assert [tuple(r) for r in decontam.decontaminate(two, table).collect()] == [(7, "quite another text", 2)]
 
 
 def test_wavelet_shards(spark, docs, rows, none, tmp_path):
@@ -165,11 +167,12 @@ def test_jaccard_components(docs, rows, none):
     assert jaccard.jaccard_components(none).count() == 0
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns and {200} == {r["doc_id"] for r in kept.collect()} & {200, 201, 202}
+    few = docs.sparkSession.createDataFrame([(3, "a b", 1), (5, "a b", 2), (5, "c d", 3)], "doc_id long, text string, node int")
+    assert {tuple(r) for r in jaccard.keep_one(few).collect()} == {(3, "a b", 1), (5, "c d", 3)}
 
 
 def test_jaccard_with_frequent_shingles(spark, monkeypatch):
-    """Near copies of one text, and texts that share a long passage, with tiny blocks: the tree search runs."""
-    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    """Near copies of one text, and texts that share a long passage, with tiny parts: every pair comes from a tree."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     pick = random.Random(3)
     base, out = sentence(pick, 80).split(), []
@@ -182,6 +185,35 @@ def test_jaccard_with_frequent_shingles(spark, monkeypatch):
     assert Counter(tuple(r) for r in jaccard.jaccard_components(spark.createDataFrame(out, DOCS)).collect()) == plain_components(out)
 
 
+def test_jaccard_with_a_shingle_in_thousands_of_sets(spark):
+    """One passage in 3,000 otherwise different texts links none of them, and hides no pair of near copies among them."""
+    pick = random.Random(13)
+    passage, out = sentence(pick, 30), []
+    for i in range(3000):
+        own = " ".join(f"{pick.randrange(10**9):x}" for _ in range(20))
+        out.append((i, f"{own} {passage}", "en", "x", 1))
+    out += [(5000 + i, out[i][1] + " again", "en", "x", 1) for i in range(0, 3000, 100)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(out, DOCS)).collect()}
+    assert got == {i: i % 5000 if i >= 5000 else i for i, *_ in out}
+
+
+@pytest.mark.parametrize("n", [*range(1, 40), 1000, 1001])
+def test_rarest_shingles_of_linked_sets_meet(n):
+    """Any two linked sets with least overlap share one of their prefixes, for the worst order."""
+    for m in range(n, (4 * n) // 3 + 1):
+        both = int(jaccard.needed(n, m))
+        assert 100 * both >= 75 * (n + m - both)
+        assert jaccard.prefix_size(n) + both > n and jaccard.prefix_size(m) + both > m
+
+
+def test_points_bound_overlaps():
+    import numpy as np
+
+    for n in (0, 1, 255 * 256, 511, 130_000):
+        hashes = np.zeros(n, np.uint64)
+        assert jaccard.points([jaccard.point(hashes)])[0, 0] >= n
+
+
 def test_license_scan(spark, none):
     rows = [(1, "x\nReleased under the MIT License.\ny"), (2, "licensed UNDER the apache license version 2.0"), (3, None), (4, ""), (5, "All rights reserved. Not at all."), (1, "All rights reserved."), (6, "word\n" * 2000 + "Licensed under CC BY-NC 4.0.")]
     got = Counter((r["doc_id"], r["line_no"], r["license"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
