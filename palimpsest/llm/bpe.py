@@ -24,7 +24,7 @@ from palimpsest.llm.segcodes import SegmentCoder
 
 #: The pre-tokeniser's rule of byte-level BPE.  Fixed value.
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words of more bytes are merged one by one with a heap.
+#: Failing words of more bytes are merged one by one with a heap, which costs less than a wide table.
 LONG_WORD = 48
 _NEVER = np.int64(1) << np.int64(40)
 _U = np.uint64
@@ -107,7 +107,7 @@ class ByteBpe:
         self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         for to, what in ((self.rank, order), (self.left, left), (self.right, right)):
             to[made[::-1]] = what[::-1]
-        self.merge_of = {(int(a), int(b)): r for r, (a, b) in enumerate(zip(left, right, strict=True))}
+        self.merges = left, right
         # A token may be proposed only if merging its own bytes gives it.
         whole = np.zeros(n, bool)
         whole[self.byte_token] = True
@@ -119,6 +119,11 @@ class ByteBpe:
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = regex.compile(WORD_RULE)
 
+    @functools.cached_property
+    def merge_of(self) -> dict[tuple[int, int], int]:
+        """Rank of each merge; made when the first long word fails."""
+        return {(int(a), int(b)): r for r, (a, b) in enumerate(zip(*self.merges, strict=True))}
+
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a.astype(np.uint64) << _U(32)) | b.astype(np.uint64)
@@ -252,23 +257,24 @@ class ByteBpe:
         data = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(lengths)
         begins = ends - lengths
-        short = np.flatnonzero((lengths > 0) & (lengths <= LONG_WORD))
-        word, token = self._greedy(data, begins[short], ends[short])
+        some = np.flatnonzero(lengths > 0)
+        word, token = self._greedy(data, begins[some], ends[some])
         same = word[1:] == word[:-1]
         pairs, back = np.unique(self._pair(token[:-1][same], token[1:][same]), return_inverse=True)
         ok = self._compatible((pairs >> _U(32)).astype(np.int64), (pairs & _U(0xFFFFFFFF)).astype(np.int64))
         failed = np.unique(word[1:][same][~ok[back]])
         counts = np.zeros(len(words), np.int64)
-        counts[short] = np.bincount(word, minlength=len(short))
-        good = np.ones(len(short), bool)
+        counts[some] = np.bincount(word, minlength=len(some))
+        good = np.ones(len(some), bool)
         good[failed] = False
-        pieces = [(short[word[good[word]]], token[good[word]])]
-        if len(failed):
-            rows = short[failed]
+        pieces = [(some[word[good[word]]], token[good[word]])]
+        failed = some[failed]
+        rows = failed[lengths[failed] <= LONG_WORD]
+        if len(rows):
             merged, n = self._exact(data, begins[rows], ends[rows])
             counts[rows] = n
             pieces.append((np.repeat(rows, n), merged))
-        for k in np.flatnonzero(lengths > LONG_WORD):
+        for k in failed[lengths[failed] > LONG_WORD]:
             ids = self.merge_long(words[k])
             counts[k] = len(ids)
             pieces.append((np.full(len(ids), k), np.array(ids, np.int64)))

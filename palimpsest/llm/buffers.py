@@ -60,12 +60,12 @@ def slices(batches, rows: int = 1000):
             yield batch.slice(at, rows)
 
 
-def runs_of_documents(offsets: np.ndarray, limit: int = CHUNK_BYTES):
-    """(first, last + 1) documents whose bytes together stay under ``limit``; a longer document is alone."""
+def runs_of_documents(offsets: np.ndarray, limit: int = CHUNK_BYTES, most: int | None = None):
+    """(first, last + 1) documents, ``most`` at most, whose bytes together stay under ``limit``; a longer document is alone."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        last = min(n, max(first + 1, last))
+        last = min(n, max(first + 1, last), first + (most or n))
         yield first, last
         first = last
 
@@ -110,18 +110,26 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Arra
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, per_doc
 
 
-_powers: dict[tuple[int, bool], np.ndarray] = {}
+#: A power is a product of one entry of a low and one of a high table, so tables stay small for texts of any length.
+_STEP = 12
+_tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(which: int, n: int, inverse: bool) -> np.ndarray:
-    """1, p, p^2, ... for n places, grown as needed and kept."""
-    have = _powers.get((which, inverse))
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        steps = np.full(size, (_P_INV if inverse else _P)[which], np.uint64)
-        steps[0] = 1
-        have = _powers[which, inverse] = np.multiply.accumulate(steps)
-    return have[:n]
+def _table(which: int, n: int, inverse: bool) -> tuple[np.ndarray, np.ndarray]:
+    """p^0 to p^(2^_STEP - 1), and p^(k * 2^_STEP) for as many k as ``n`` places need."""
+    have = _tables.get((which, inverse))
+    steps = (n >> _STEP) + 1
+    if have is None or len(have[1]) < steps:
+        p = (_P_INV if inverse else _P)[which]
+        grow = lambda base, size: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
+        have = _tables[which, inverse] = grow(p, 1 << _STEP), grow(pow(p, 1 << _STEP, 1 << 64), 1 << max(9, (steps - 1).bit_length()))
+    return have
+
+
+def _powers(which: int, n: int, inverse: bool) -> np.ndarray:
+    """1, p, p^2, ... for n places."""
+    low, high = _table(which, n, inverse)
+    return (high[: (n >> _STEP) + 1, None] * low).ravel()[:n]
 
 
 class Rolling:
@@ -130,17 +138,17 @@ class Rolling:
     def __init__(self, data: np.ndarray, which: int = 0):
         self.which, self.n = which, len(data)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[which][data] * _power(which, len(data), False), out=self.sums[1:])
-        self.inverse = _power(which, len(data) + 1, True)
+        np.cumsum(_BYTE_CODE[which][data] * _powers(which, len(data), False), out=self.sums[1:])
 
     def range(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+        low, high = _table(self.which, self.n + 1, True)
+        return mix((self.sums[ends] - self.sums[starts]) * (high[starts >> _STEP] * low[starts & ((1 << _STEP) - 1)]))
 
     def windows(self, length: int) -> np.ndarray:
         """The hash of data[i : i + length] for every i."""
         if self.n < length:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[length:] - self.sums[: self.n - length + 1]) * self.inverse[: self.n - length + 1])
+        return mix((self.sums[length:] - self.sums[: self.n - length + 1]) * _powers(self.which, self.n - length + 1, True))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -28,6 +28,10 @@ from palimpsest.scratch import stored
 PERCENT = 75
 #: Groups of a point, and of the coarser point over which trees are packed.
 GROUPS, COARSE = 256, 64
+#: Rarest shingles that a set shows of which at most a share of FREQUENT is frequent.  Of the other shingles of the
+#: union with a linked set 0.6875 or more are shared, evenly over the order of hashes, so all SKETCH are unshared with
+#: probability below 0.3125 ** SKETCH, less than that of a collision of hashes.  Any other set shows its whole prefix.
+SKETCH, FREQUENT = 40, 1 / 16
 #: Groups in which the holders of shingles are counted over the whole corpus, to tell rare shingles from frequent ones.
 LOADS = 1 << 18
 #: Points of one side of a search; a larger neighbourhood is searched in several tasks.
@@ -120,7 +124,7 @@ def _group(hashes: np.ndarray) -> np.ndarray:
 
 
 def loads(docs: DataFrame, slices: int = 16) -> np.ndarray:
-    """How many documents' shingles fall into each of LOADS groups, over all texts: one fixed-size table.
+    """How many shingles of all texts, repeats included, fall into each of LOADS groups: one fixed-size table.
 
     Tasks count their own share; the counts are summed slice by slice in two steps, so no task sees more
     than a part of a slice's tables.
@@ -130,7 +134,10 @@ def loads(docs: DataFrame, slices: int = 16) -> np.ndarray:
     def count(batches):
         seen = np.zeros(LOADS, np.int64)
         for batch in buffers.slices(batches):
-            for _, hashes, _ in buffers.shingle_sets(batch.column(0)):
+            data, offsets = buffers.utf8(batch.column(0))
+            for first, last in buffers.runs_of_documents(offsets):
+                part = offsets[first : last + 1]
+                hashes, _ = buffers.shingle_hashes(*buffers.word_hashes(data[part[0] : part[-1]], part - part[0]))
                 seen += np.bincount(_group(hashes), minlength=LOADS)
         salt = TaskContext.get().partitionId() % 64
         parts = [zstandard.compress(x.tobytes(), 1) for x in seen.reshape(slices, width)]
@@ -150,9 +157,9 @@ def loads(docs: DataFrame, slices: int = 16) -> np.ndarray:
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """A level from 0 (rare) up for each load group: how many times it doubles the mean load."""
+    """A level for each load group: 0 up to four times the mean load, and one more for each further doubling."""
     mean = max(1.0, float(counts.mean()))
-    return np.clip(np.log2(np.maximum(counts, 1) / mean), 0, 40).astype(np.uint8)
+    return np.clip(np.log2(np.maximum(counts, 1) / mean) - 1, 0, 40).astype(np.uint8)
 
 
 def prefix_size(n):
@@ -161,13 +168,14 @@ def prefix_size(n):
 
 
 def profile(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """doc_id, text_key, n, digest, prefix, point, packed: the shingle set of each whole text.
+    """doc_id, text_key, n, frequent, digest, prefix, point, packed: the shingle set of each whole text.
 
     ``digest`` (BLAKE2 of 16 bytes over the set's sorted hashes) identifies the set, ``prefix`` has its rarest
-    shingles in the one order that ``level`` and then the hash give, ``packed`` is the compressed text.
+    shingles in the one order that ``level`` and then the hash give, ``frequent`` counts the shingles above
+    level 0, ``packed`` is the compressed text.
     """
     sent = docs.sparkSession.sparkContext.broadcast(level)
-    names = ["doc_id", "text_key", "n", "digest", "prefix", "point", "packed"]
+    names = ["doc_id", "text_key", "n", "frequent", "digest", "prefix", "point", "packed"]
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
@@ -175,19 +183,21 @@ def profile(docs: DataFrame, level: np.ndarray) -> DataFrame:
             texts = batch.column(1)
             for first, hashes, offsets in buffers.shingle_sets(texts):
                 count, sizes = len(offsets) - 1, np.diff(offsets)
+                doc, at_level = np.repeat(np.arange(count), sizes), sent.value[_group(hashes)]
+                frequent = np.bincount(doc, weights=at_level > 0, minlength=count).astype(np.int64)
                 kept = np.where(sizes > 0, prefix_size(sizes), 0)
-                doc = np.repeat(np.arange(count), sizes)
-                order = np.lexsort((hashes, sent.value[_group(hashes)], doc))
-                rare = hashes[order[buffers.ragged_positions(offsets[:-1], kept)]].view(np.int64)
+                kept = np.where(frequent > FREQUENT * sizes, kept, np.minimum(kept, SKETCH))
+                ordered = hashes[np.argsort(doc * 64 + at_level, kind="stable")] if frequent.any() else hashes
+                rare = ordered[buffers.ragged_positions(offsets[:-1], kept)].view(np.int64)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(rare))
                 ranges = list(zip(offsets.tolist(), offsets[1:].tolist(), strict=False))
                 at = [point(hashes[a:b]) for a, b in ranges]
                 digest = [blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in ranges]
                 packed = [press.compress((texts[first + k].as_py() or "").encode()) for k in range(count)]
                 part = [batch.column(c).slice(first, count) for c in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*part, pa.array(sizes), pa.array(digest, pa.binary()), prefix, pa.array(at, pa.binary()), pa.array(packed, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*part, pa.array(sizes), pa.array(frequent), pa.array(digest, pa.binary()), prefix, pa.array(at, pa.binary()), pa.array(packed, pa.binary())], names=names)
 
-    return keyed_text(docs).mapInArrow(run, "doc_id long, text_key binary, n long, digest binary, prefix array<long>, point binary, packed binary")
+    return keyed_text(docs).mapInArrow(run, "doc_id long, text_key binary, n long, frequent long, digest binary, prefix array<long>, point binary, packed binary")
 
 
 def _bounded(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -248,66 +258,112 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _search(node, root, n, at, asked) -> np.ndarray:
+    """(a, b) of all pairs of different components in one neighbourhood that the tree over its entries allows."""
+    left, right = np.flatnonzero(asked), np.flatnonzero(~asked)
+    tree, out = CountTree(coarse(at[right]), n[right]), [np.zeros((2, 0), np.int64)]
+    for a in range(0, len(left), 128):
+        q = left[a : a + 128]
+        x, y = tree.search(coarse(at[q]), n[q], lambda x, y, q=q: root[q[x]] != root[right[y]])
+        x, y = q[x], right[y]
+        ok = np.minimum(at[x], at[y]).sum(axis=1) >= needed(n[x], n[y])
+        out.append(np.stack([node[x[ok]], node[y[ok]]]))
+    return np.concatenate(out, axis=1)
+
+
+def _leaves(node, root, n, at, asked, starts, sizes) -> np.ndarray:
+    """As ``_search`` for many neighbourhoods of one leaf each, all at once; entries come before queries in each."""
+    group = np.repeat(np.arange(len(starts)), sizes)
+    rows = buffers.ragged_positions(starts, sizes)
+    entries = np.bincount(group[~asked[rows]], minlength=len(starts))
+    q = rows[asked[rows]]
+    own = group[asked[rows]]
+    x, y = np.repeat(q, entries[own]), buffers.ragged_positions(starts[own], entries[own])
+    ok = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y]))
+    x, y = x[ok], y[ok]
+    ok = np.zeros(len(x), bool)
+    for a in range(0, len(x), 4096):
+        i, j = x[a : a + 4096], y[a : a + 4096]
+        ok[a : a + 4096] = np.minimum(at[i], at[j]).sum(axis=1) >= needed(n[i], n[j])
+    return np.stack([node[x[ok]], node[y[ok]]])
+
+
 def _tree_pairs(members: DataFrame) -> DataFrame:
     """Pairs of different components inside each neighbourhood (``lead``), found by R-tree search.
 
     ``members`` has lead, node, root, n, point and stray: whether the set is outside its lead's component.  Any
     pair across components has a stray set, so only those are searched, in a tree over all the members.
-    Both sides are split by hash into parts of about BLOCK; a task holds one part of each.
+    Both sides are split by hash into parts of about BLOCK; a task holds one part of each at a time.
     """
     sizes = members.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_all"), F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).cast("int").alias("_strays")).where("_strays > 0")
     split = members.join(sizes, "lead")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["lead", "_i", "_j", "asked", "node", "root", "n", "point"]
+    key = ["lead", "_i", "_j", "asked"]
+    columns = [*key, "node", "root", "n", "point"]
     entries = split.withColumns({"asked": F.lit(False), "_j": part("_all")}).withColumn("_i", every("_strays")).select(*columns)
     queries = split.where("stray").withColumns({"asked": F.lit(True), "_i": part("_strays")}).withColumn("_j", every("_all")).select(*columns)
 
-    def run(found):
-        node, root, n = (found.column(c).to_numpy() for c in ("node", "root", "n"))
-        asked = found.column("asked").to_numpy(zero_copy_only=False) if isinstance(found, pa.RecordBatch) else found.column("asked").to_numpy()
-        at = points(found.column("point").to_pylist())
-        left, right = np.flatnonzero(asked), np.flatnonzero(~asked)
-        tree, out = CountTree(coarse(at[right]), n[right]), [np.zeros((2, 0), np.int64)]
-        for a in range(0, len(left), 128):
-            q = left[a : a + 128]
-            x, y = tree.search(coarse(at[q]), n[q], lambda x, y, q=q: root[q[x]] != root[right[y]])
-            x, y = q[x], right[y]
-            ok = np.minimum(at[x], at[y]).sum(axis=1) >= needed(n[x], n[y])
-            out.append(np.stack([np.minimum(node[x[ok]], node[y[ok]]), np.maximum(node[x[ok]], node[y[ok]])]))
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+    def found(rows: pa.Table) -> pa.RecordBatch:
+        lead, i, j, asked, node, root, n = (rows.column(c).to_numpy() for c in columns[:-1])
+        at = points(rows.column("point").to_pylist())
+        new = np.append(True, (lead[1:] != lead[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        starts = np.flatnonzero(new)
+        counts = np.diff(np.append(starts, len(lead)))
+        small = counts <= _LEAF
+        out = [_leaves(node, root, n, at, asked, starts[small], counts[small])]
+        for a, m in zip(starts[~small], counts[~small], strict=True):
+            out.append(_search(*(v[a : a + m] for v in (node, root, n, at, asked))))
+        both = np.sort(np.concatenate(out, axis=1), axis=0)
+        both = np.unique(both, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+    def run(batches):
+        # Neighbourhoods come whole and in order; the last one of a batch may go on in the next.
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not rows.num_rows:
+                continue
+            keys = [rows.column(c).to_numpy() for c in key[:3]]
+            same = np.logical_and.reduce([k == k[-1] for k in keys])
+            cut = rows.num_rows - int(same[::-1].argmin() if not same.all() else rows.num_rows)
+            if cut:
+                yield found(rows.slice(0, cut).combine_chunks())
+            held = rows.slice(cut)
+        if held is not None and held.num_rows:
+            yield found(held.combine_chunks())
 
-    return entries.unionByName(queries).groupBy("lead", "_i", "_j").applyInArrow(run, "a long, b long").distinct()
+    return entries.unionByName(queries).repartition(*key[:3]).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
 
 
 def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, digest of each distinct set; node, root of the sets that are linked with another) of ``profile``'s rows.
 
-    Two linked sets have a shingle in common among their rarest (see ``prefix_size``).  The holders of a
-    shingle meet in the neighbourhood of its lead, the holder that shares the most.  First every set is
-    compared with its leads; then the sets that stayed outside their lead's component are searched for in
-    the neighbourhood's tree.  So no link between different components is missed, while a large group of
-    near copies mostly costs one star.
+    Two linked sets have a shingle in common among their rarest (see ``prefix_size``, SKETCH).  The holders of a
+    shingle meet in the neighbourhood of its lead, the holder with the most frequent shingles, which in a
+    group of near copies is the least changed.  First every set is compared with its leads; then the sets
+    that stayed outside their lead's component are searched for in the neighbourhood's tree.  So no link
+    between different components is missed, while a large group of near copies mostly costs one star.
     """
-    distinct = sets.where("n > 0").groupBy("digest").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("point").alias("point"))
-    distinct = stored(distinct.withColumn("node", F.monotonically_increasing_id()), "sets")
-    records = distinct.select("node", "n", F.explode("prefix").alias("t"))
-    held = records.groupBy("t").agg(F.count("*").alias("_c")).where("_c > 1").select("t")
-    shared = stored(records.join(held, "t").select("t", "node", "n"), "shared")
-    weight = shared.groupBy("node").agg(F.count("*").alias("_w"))
-    ranked = shared.join(weight, "node").select("t", "node", F.struct((-F.col("_w")).alias("w"), F.xxhash64("node").alias("h"), F.col("node").alias("lead")).alias("_l"))
-    leads = ranked.groupBy("t").agg(F.min("_l").alias("_l")).select("t", "_l.lead")
-    near = stored(shared.join(leads, "t").select("lead", "node").distinct(), "near")
+    distinct = sets.where("n > 0").groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "frequent", "prefix", "point")])
+    distinct = distinct.withColumn("node", F.monotonically_increasing_id())
+    # Rank among holders, and by that the neighbourhood's name: frequent shingles, then a hash.  Were two sets to
+    # share a rank, their neighbourhoods would be one, which loses nothing.
+    rank = F.shiftleft(32767 - F.least("frequent", F.lit(32767)), 48).bitwiseOR(F.xxhash64("node").bitwiseAND(F.lit((1 << 48) - 1)))
+    distinct = stored(distinct.withColumn("rank", rank), "sets")
+    records = distinct.select("node", "rank", F.explode("prefix").alias("t"))
+    held = records.groupBy("t").agg(F.count("*").alias("_c"), F.min("rank").alias("lead")).where("_c > 1").select("t", "lead")
+    near = stored(records.select("t", "node").join(held, "t").select("lead", "node").distinct(), "near")
     used = near.select("node").distinct()
-    texts = stored(sets.join(distinct.join(used, "node").select("node", "digest"), "digest").groupBy("node").agg(F.first("packed").alias("packed")), "texts", "none")
-    known = stored(distinct.join(used, "node").select("node", "n", "point"), "points")
-    star = near.where("lead <> node").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+    known = stored(distinct.join(used, "node").select("node", "digest", "rank", "n", "point"), "points")
+    texts = stored(sets.select("digest", "packed").join(known.select("node", "digest"), "digest").groupBy("node").agg(F.first("packed").alias("packed")), "texts", "none")
+    leads = known.groupBy(F.col("rank").alias("lead")).agg(F.min("node").alias("first"))
+    star = near.join(leads, "lead").where("first <> node").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct()
     found = stored(_verified(_bounded(star, known), texts), "links")
     roots = stored(components(found), "roots")
-    placed = _rooted(known, roots)
-    lead_root = _rooted(near.select(F.col("lead").alias("node")).distinct(), roots).select(F.col("node").alias("lead"), F.col("root").alias("_r"))
-    members = near.join(placed, "node").join(lead_root, "lead").withColumn("stray", F.col("root") != F.col("_r"))
+    lead_root = _rooted(leads.select("lead", F.col("first").alias("node")), roots).select("lead", F.col("root").alias("_r"))
+    members = near.join(_rooted(known.select("node", "n", "point"), roots), "node").join(lead_root, "lead").withColumn("stray", F.col("root") != F.col("_r"))
     rest = _verified(_tree_pairs(members), texts)
     return distinct.select("node", "digest"), components(found.unionByName(rest))
 

@@ -14,10 +14,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
 
 from palimpsest.llm import buffers
-from palimpsest.llm.common import extended, id_remainder
+from palimpsest.llm.common import id_remainder, unused
 
 #: Families of language codes.  Fixed values; a code that isn't listed is a family of its own.
 FAMILIES = {
@@ -27,6 +26,8 @@ FAMILIES = {
 }
 #: Cells of a hashed profile.
 CELLS = 4096
+#: Documents profiled in one step, so that memory doesn't follow the number of short texts in a batch.
+ROWS = 256
 #: Distinct texts of each language that the machines are fitted on, at most; a documented bound.
 SAMPLE = 800
 UNKNOWN = "und"
@@ -36,24 +37,19 @@ _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
 def profiles(texts: pa.Array):
-    """Yield (first document, profile matrix, whether each has a letter) for runs of documents."""
+    """Yield (first document, profile matrix, whether each has a letter) for runs of at most ROWS documents."""
     data, offsets = buffers.utf8(texts)
-    for first, last in buffers.runs_of_documents(offsets):
+    for first, last in buffers.runs_of_documents(offsets, most=ROWS):
         part = offsets[first : last + 1]
         raw, ends = data[part[0] : part[-1]], part - part[0]
         n = len(ends) - 1
-        low = buffers._LOWER[raw].astype(np.uint32)
         sums = np.zeros((n, CELLS), np.float32)
-        if len(low) > 2:
+        if len(raw) > 2:
+            low = buffers._LOWER[raw].astype(np.uint32)
             code = (low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA77) + low[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(20)
-            doc = np.repeat(np.arange(n), np.diff(ends))
+            doc = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))
             inside = doc[:-2] == doc[2:]
-            for a in range(0, n, 256):  # keeps the counters of one step small
-                lo, hi = np.searchsorted(doc[:-2], [a, min(n, a + 256)])
-                ok = inside[lo:hi]
-                cell = (doc[:-2][lo:hi][ok] - a) * CELLS + code[lo:hi][ok]
-                rows = min(n, a + 256) - a
-                sums[a : a + rows] = np.bincount(cell, minlength=rows * CELLS).reshape(rows, CELLS)
+            sums += np.bincount(doc[:-2][inside] * np.int64(CELLS) + code[inside], minlength=n * CELLS).reshape(n, CELLS)
         np.sqrt(sums, out=sums)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
         sums /= np.where(norm == 0, 1, norm)
@@ -162,6 +158,27 @@ def train(labelled: DataFrame, sample: int = SAMPLE, families: dict[str, str] =
     return Model(Duels.fit(x, kin), {k: Duels.fit(x[kin == k], labels[kin == k]) for k in sorted(set(kin))})
 
 
+def _judged(texts: pa.Array, model: Model) -> tuple[pa.Array, pa.Array]:
+    """(lang_pred, score) of each text."""
+    lang, score = [], []
+    for _, x, has in profiles(texts):
+        best, sure = model.predict(x)
+        lang.append(np.where(has, best, UNKNOWN))
+        score.append(np.where(has, sure, 0.0))
+    flat = np.concatenate(lang).tolist() if lang else []
+    return pa.array(flat, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0), pa.float64())
+
+
+def language_of(model: Model):
+    """A column function of a text column that gives struct(lang_pred, score), see ``predict``; only the text goes to Python."""
+
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def judge(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(_judged(texts, model), names=["lang_pred", "score"])
+
+    return judge.asNondeterministic()  # never evaluated twice for a filter and a result
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1): the language of each whole text.
 
@@ -169,26 +186,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     are.  Rows map one to one; other columns pass through; lang_pred and score of the input are replaced.
     """
     keep = docs.drop("lang_pred", "score")
-
-    def run(batches):
-        for batch in batches:
-            lang, score = [], []
-            for _, x, has in profiles(batch.column(batch.schema.get_field_index("text"))):
-                best, sure = model.predict(x)
-                lang.append(np.where(has, best, UNKNOWN))
-                score.append(np.where(has, sure, 0.0))
-            lang = np.concatenate(lang) if lang else np.zeros(0, object)
-            score = np.concatenate(score) if score else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
-
-    return keep.mapInArrow(run, extended(keep.schema, lang_pred=StringType(), score=DoubleType()))
+    told = unused(keep, "_told")
+    return keep.withColumn(told, language_of(model)("text")).select(*keep.columns, f"{told}.lang_pred", f"{told}.score")
 
 
 def identify(docs: DataFrame, folds: int = 5, held_out: int = 0, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the rows that aren't held out, predicted for all.
 
     A row is held out when crc32 of its id as text, modulo ``folds``, is ``held_out``; one with a null id is
-    held out as well.
+    held out as well.  Other columns are left out; a null text or one without a letter is ``und``.
     """
     out = F.coalesce(id_remainder("doc_id", folds) == held_out, F.lit(True))
     model = train(docs.where(~out).select("text", "lang"), sample)

@@ -12,14 +12,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
 
 from palimpsest.llm import buffers
-from palimpsest.llm.common import extended, id_remainder
+from palimpsest.llm.common import id_remainder
 from palimpsest.scratch import stored
 
 #: Distinct positive texts that the model is fitted on, at most about, and half of the unlabelled ones; a documented bound.
 SAMPLE = 12_000
+#: Documents whose features are computed in one step.
+ROWS = 2048
 #: Features: shares of the 128 ASCII characters and of other bytes, then the figures of ``_shape``.
 _SHAPES = 8
 WIDTH = 129 + _SHAPES
@@ -61,7 +62,7 @@ def _shape(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def features(texts: pa.Array):
     """Yield (first document, feature matrix) for runs of documents."""
     data, offsets = buffers.utf8(texts)
-    for first, last in buffers.runs_of_documents(offsets):
+    for first, last in buffers.runs_of_documents(offsets, most=ROWS):
         part = offsets[first : last + 1]
         raw, ends = data[part[0] : part[-1]], part - part[0]
         n = len(ends) - 1
@@ -159,13 +160,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     keep = docs.drop("score", "predicted")
 
-    def run(batches):
-        for batch in batches:
-            parts = [model.score(x) for _, x in features(batch.column(batch.schema.get_field_index("text")))]
-            score = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
+    @F.arrow_udf("double")
+    def judge(texts: pa.Array) -> pa.Array:
+        parts = [model.score(x) for _, x in features(texts)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-    return keep.mapInArrow(run, extended(keep.schema, score=DoubleType(), predicted=IntegerType()))
+    scored = keep.withColumn("score", judge.asNondeterministic()("text"))  # only the text goes to Python, once
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample: int = SAMPLE) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from palimpsest.llm import buffers
 
 #: Bytes of text that are coded together.
-RUN_BYTES = 12 << 20
+RUN_BYTES = 2 << 20
 
 
 class SegmentCoder:
@@ -26,7 +26,7 @@ class SegmentCoder:
     128 bits of hash and its length, so that only new segments become Python objects.
     """
 
-    def __init__(self, encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000):
+    def __init__(self, encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
         self.encode_many, self.limit = encode_many, limit
         self.forget()
 
