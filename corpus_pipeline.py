@@ -7,15 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, decontam, jaccard, langid, repeats
-from palimpsest.llm.common import id_remainder, table
+from palimpsest.llm.common import id_remainder, table, unused
 from palimpsest.scratch import stored
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those with a null text or no letter go."""
+    """Documents whose language can be told, which fills in ``lang`` where it is null; those with a null text or no letter go."""
     held_out = F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(True))
     model = langid.train(docs.where(~held_out).select("text", "lang"))
-    return langid.predict(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    told = unused(docs, "_told")
+    kept = docs.withColumn(told, langid.language_of(model)("text")).where(F.col(told)["lang_pred"] != langid.UNKNOWN)
+    return kept.select(*[F.coalesce("lang", F.col(told)["lang_pred"]).alias("lang") if c == "lang" else c for c in docs.columns])
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
