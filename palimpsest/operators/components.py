@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.scratch import stored
-
-#: Rounds after which the loop gives up; a path of n nodes needs about log2(n).
-MAX_ROUNDS = 60
+from palimpsest.scratch import drop, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,15 +25,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: the smallest node of its component, for every node on an edge between two nodes.
 
-    Alternates large-star and small-star steps until nothing moves.  Edges with a null end and loops are
+    Alternates large-star and small-star steps until nothing moves; a path of n nodes needs about log2(n) rounds.  Edges with a null end and loops are
     ignored, repeated edges count once; a node without an edge is in no row (it is its own component).
     No group of a node's edges is ever collected: minima are partly aggregated before the shuffle.
     """
     now = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("a <> b").distinct()
     now, before = stored(now, "edges"), None
-    for _ in range(MAX_ROUNDS):
+    while True:
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if seen == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before, now = seen, stored(_small_star(_large_star(now)), "edges")
-    raise RuntimeError(f"components did not settle within {MAX_ROUNDS} rounds")
+        before, last = seen, now
+        now = stored(_small_star(_large_star(last)), "edges")
+        drop(last)

@@ -7,19 +7,16 @@ from pyspark.sql import functions as F
 
 from palimpsest.scratch import stored
 
-MAX_ROUNDS = 200
-
 
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """type: the roots and everything below them over (child, parent) edges; cycles end by themselves."""
     found = frontier = stored(roots.select("type").distinct(), "types")
-    for _ in range(MAX_ROUNDS):
+    while True:
         below = edges.join(frontier.withColumnRenamed("type", "parent"), "parent").select(F.col("child").alias("type")).distinct()
-        frontier = stored(below.join(found, "type", "left_anti"), "frontier")
+        frontier = stored(below.join(found, "type", "left_anti"), "types")
         if frontier.isEmpty():
             return found
-        found = stored(found.unionByName(frontier), "types")
-    raise RuntimeError("type closure did not settle")
+        found = found.unionByName(frontier)
 
 
 def type_closure(edges: DataFrame, roots: DataFrame, excluded: DataFrame) -> DataFrame:

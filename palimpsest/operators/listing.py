@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import geo
+from palimpsest.operators import existence, maps
+from palimpsest.operators.records import numbered
+from palimpsest.scratch import stored
+
 
 def class_walk(rows: DataFrame, after: tuple[int, int] | None, limit: int) -> DataFrame:
     """The next ``limit`` distinct (rep, fact_id) rows past a cursor, in order: a distributed top-k."""
@@ -67,9 +71,9 @@ def current_location(sites: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def picker(members: DataFrame) -> DataFrame:
-    """pin, entities: the entities of a pin, oldest first, undated last, ties by entity."""
-    row = F.struct(F.col("earliest").isNull().alias("u"), F.col("earliest").alias("d"), F.col("entity").alias("e"))
-    return members.groupBy("pin").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["e"]).alias("entities"))
+    """pin, entity, place: the entities of a pin (pin, entity, earliest), oldest first, undated last, ties by entity."""
+    x = members.select("pin", "entity", F.col("earliest").isNull().cast("int").alias("_undated"), "earliest")
+    return numbered(x, "pin", ["_undated", "earliest", "entity"]).select("pin", "entity", "place")
 
 
 def moments(events: DataFrame) -> DataFrame:
@@ -86,29 +90,51 @@ STAGES = ["construction", "other", "demolition"]
 def timeline_order(rows: DataFrame) -> DataFrame:
     """``rows`` (rep, event, role, stage, day) with ``place`` from 0: dates first, then lifecycle rules.
 
-    A topological order: a dated moment comes before later dated ones; an undated one keeps its lifecycle
-    stage and follows its own start; ties by role (started first) and event.  Each entity has few moments.
+    Dated moments stand in the order of their days; on one day, and where dates are missing, constructions
+    come before other kinds and these before demolitions, and a start before its own completion.  So an
+    undated construction comes first, an undated demolition last, and another undated moment right after
+    the constructions, each drawn to its own event's dated end if that lies on the wrong side.  Ties go by
+    role (started first) and event.  Every moment has one sort key, so no task holds a whole entity.
     """
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        rank = {s: k for k, s in enumerate(STAGES)}
-        left = pdf.assign(_s=pdf["stage"].map(rank).fillna(1), _r=(pdf["role"] != "started").astype(int)).to_dict("records")
-        done, place = [], []
-
-        def before(a, b):  # whether a must come before b
-            if pd.notna(a["day"]) and pd.notna(b["day"]) and a["day"] != b["day"]:
-                return a["day"] < b["day"]
-            if a["event"] == b["event"] and a["_r"] != b["_r"]:
-                return a["_r"] < b["_r"]
-            return (pd.isna(a["day"]) or pd.isna(b["day"])) and a["_s"] < b["_s"]
-
-        while left:
-            free = [x for x in left if not any(before(y, x) for y in left if y is not x)]
-            dated_free = [x for x in left if not any(pd.notna(y["day"]) and pd.notna(x["day"]) and y["day"] < x["day"] for y in left)]
-            pick = min(free or dated_free, key=lambda x: (x["_s"], pd.isna(x["day"]), x["day"] if pd.notna(x["day"]) else 0, x["_r"], x["event"]))
-            left.remove(pick)
-            place.append(len(done))
-            done.append(pick)
-        return pd.DataFrame(done).assign(place=place)[["rep", "event", "role", "stage", "day", "place"]]
-
-    return rows.select("rep", "event", "role", "stage", F.col("day").cast("double")).groupBy("rep").applyInPandas(order, "rep long, event long, role string, stage string, day double, place int")
+    rank = F.coalesce(F.create_map(*[F.lit(x) for k, s in enumerate(STAGES) for x in (s, k)])[F.col("stage")], F.lit(1))
+    x = rows.select("rep", "event", "role", "stage", F.col("day").cast("double").alias("day")).withColumn("_s", rank).withColumn("_r", (F.col("role") != "started").cast("int"))
+    built = x.where("_s = 0").groupBy("rep").agg(F.max("day").alias("_built"))
+    own = x.groupBy("rep", "event").agg(F.max(F.when(F.col("_r") == 0, F.col("day"))).alias("_begun"), F.min(F.when(F.col("_r") == 1, F.col("day"))).alias("_done"))
+    low, high, start = F.lit(float("-inf")), F.lit(float("inf")), F.col("_r") == 0
+    usual = F.when(F.col("_s") == 0, low).when(F.col("_s") == 1, F.coalesce("_built", low)).otherwise(high)
+    at = F.coalesce("day", F.when(start, F.least(usual, "_done")).otherwise(F.greatest(usual, "_begun")))
+    keyed = x.join(built, "rep", "left").join(own, ["rep", "event"], "left").withColumn("_at", at).withColumn("_undated", F.col("day").isNull().cast("int"))
+    placed = numbered(keyed.select("rep", "event", "role", "stage", "day", "_at", "_s", "_r", "_undated"), "rep", ["_at", "_s", "_r", "_undated", "event"])
+    return placed.select("rep", "event", "role", "stage", "day", F.col("place").cast("int").alias("place"))
+
+
+def list_entities(box: DataFrame, sites: DataFrame, moves: DataFrame, spans: DataFrame, witnesses: DataFrame, names: DataFrame, depicts: DataFrame, day: int, k: int) -> DataFrame:
+    """The first ``k`` entities whose current place is in the box: entity, lat, lon, verdict, earliest, latest, names, thumbnail.
+
+    ``sites`` and ``moves`` as in ``current_location``; ``spans`` has entity and the columns of a lifespan,
+    ``witnesses`` entity, lo, hi, ``names`` entity, name, ``depicts`` entity, image, exterior.  Any place that an
+    entity ever had in the box makes it a candidate; one that has since moved out is dropped before the
+    limit, so it takes no slot.  The rest is joined to the ``k`` kept entities only.
+    """
+    keyed = lambda x: x.withColumn("quadkey", geo.quadkey(F.col("lat"), F.col("lon")))
+    ever = sites.select("entity", "lat", "lon").unionByName(moves.select("entity", "lat", "lon")).withColumnRenamed("entity", "fact_id")
+    may = maps.viewport_join(box, keyed(ever)).select(F.col("fact_id").alias("entity")).distinct()
+    now = current_location(sites.join(may, "entity", "left_semi"), moves.join(may, "entity", "left_semi"))
+    inside = maps.viewport_join(box, keyed(now.withColumnRenamed("entity", "fact_id"))).select(F.col("fact_id").alias("entity"))
+    page = stored(inside.distinct().orderBy("entity").limit(k).join(now, "entity"), "page")
+    own = lambda x: x.join(F.broadcast(page.select("entity")), "entity", "left_semi")
+    verdicts = own(spans).select("entity", existence.verdict(day).alias("verdict"))
+    span = own(witnesses).groupBy("entity").agg(F.min("lo").alias("earliest"), F.max("hi").alias("latest"))
+    called = own(names).groupBy("entity").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    out = page.join(verdicts, "entity", "left").join(span, "entity", "left").join(called, "entity", "left").join(representative_image(own(depicts)).withColumnRenamed("image", "thumbnail"), "entity", "left")
+    return out.select("entity", "lat", "lon", F.coalesce("verdict", F.lit("unknown")).alias("verdict"), "earliest", "latest", F.coalesce("names", F.array().cast("array<string>")).alias("names"), "thumbnail")
+
+
+def followed(items: DataFrame, follows: DataFrame, k: int) -> DataFrame:
+    """user, item, created_at: the ``k`` newest items (item, subject, created_at) of what each user follows (user, subject).
+
+    The rank limit reaches below the shuffle, so at most ``k`` rows of a user leave each task.
+    """
+    rows = items.join(follows.select("user", "subject").distinct(), "subject").select("user", "item", "created_at")
+    w = Window.partitionBy("user").orderBy(F.desc("created_at"), F.desc("item"))
+    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")

@@ -56,3 +56,38 @@ def circles_in_viewport(boxes: DataFrame, circles: DataFrame, level: int = 4) ->
     near_lat = F.when(F.col("lon").between(F.col("west"), F.col("east")), F.col("lat")).otherwise(F.degrees(F.atan2(F.sin(y), F.cos(y) * F.cos(away))))
     pairs = pairs.withColumn("_m", geo.geodesic_m("lat", "lon", clamp(near_lat, "south", "north"), near_lon))
     return pairs.where("_m <= radius_m").select("box", "fact_id").distinct()
+
+
+#: Which fact kind places which kind of subject.  Fixed values.
+PLACES = [("construction_location", "entity"), ("moved_to_location", "event"), ("captured_location", "image")]
+
+
+def located(facts: DataFrame) -> DataFrame:
+    """fact_id, subject_kind, subject_id, lat, lon, radius_m of the facts that place a subject.
+
+    A construction site places its entity, a move's destination its event, a capture point its image; other
+    kinds, and facts without a known place, give no row.
+    """
+    subject = F.coalesce(*[F.when(F.col("kind") == kind, F.struct(F.lit(what).alias("kind"), F.col(what).alias("id"))) for kind, what in PLACES])
+    rows = facts.where(F.col("kind").isin([k for k, _ in PLACES]) & F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("_s", subject)
+    return rows.where("_s.id is not null").select("fact_id", F.col("_s.kind").alias("subject_kind"), F.col("_s.id").alias("subject_id"), "lat", "lon", "radius_m")
+
+
+def attributed(placed: DataFrame, owners: DataFrame, reps: DataFrame) -> DataFrame:
+    """fact_id, rep, lat, lon of the located subjects (see ``located``) that an entity has: its sites and its owned events' places.
+
+    An image's capture point and an orphan event's place belong to no entity.
+    """
+    own = placed.where("subject_kind = 'entity'").select("fact_id", F.col("subject_id").alias("_e"), "lat", "lon")
+    moved = placed.where("subject_kind = 'event'").withColumnRenamed("subject_id", "event").join(owners.select("event", F.col("owner").alias("_e")), "event").select("fact_id", "_e", "lat", "lon")
+    return own.unionByName(moved).join(reps.withColumnRenamed("member", "_e"), "_e", "left").select("fact_id", F.coalesce("rep", "_e").alias("rep"), "lat", "lon")
+
+
+def in_viewport_and_time(boxes: DataFrame, places: DataFrame, supported: DataFrame) -> DataFrame:
+    """box, rep: classes with a place (fact_id, rep, lat, lon) in the box that are also in ``supported`` (rep).
+
+    The two conditions meet per class, not per fact: the place and the time may come from different facts.
+    """
+    keyed = places.withColumn("quadkey", geo.quadkey(F.col("lat"), F.col("lon")))
+    inside = viewport_join(boxes, keyed).join(places.select("fact_id", "rep"), "fact_id").select("box", "rep").distinct()
+    return inside.join(supported.select("rep"), "rep", "left_semi").select("box", "rep")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import folds
 from palimpsest.scratch import stored
 
+#: Kinds of facts that speak of a day.  Fixed values.
+DATED = ["existence", "construction_started", "demolition_completed", "event"]
+
 
 def facts_at(facts: DataFrame, n: int) -> DataFrame:
     """Facts below the exclusive snapshot bound; the filter reaches Parquet row groups."""
@@ -30,13 +34,27 @@ def append_ids(new: DataFrame, first: int, order: list[str]) -> DataFrame:
     n = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = new.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
     parts = stored(parts, "append")
-    from pyspark.sql import Window
-
     counts = parts.groupBy("_part").count()
     before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
     return parts.join(F.broadcast(before), "_part").withColumn("fact_id", F.col("_before") + F.col("_at") + first).drop("_part", "_at", "_before")
 
 
+def append_facts(new: DataFrame, first: int, order: list[str], subjects: Column, path: str) -> None:
+    """Write ``new`` (kind, entity, lo, hi and more) with dense ids as three tables under ``path``.
+
+    ``facts`` has all columns, ``fact_subjects`` each distinct (fact_id, kind, subject) once, ``witnesses`` the
+    dated kinds by view.  The derived tables are made from the facts as written, so a lost task or a repeated
+    write (which replaces all three) can't make them differ.
+    """
+    spark = new.sparkSession
+    rows = append_ids(new, first, order)
+    rows.write.mode("overwrite").parquet(f"{path}/facts")
+    facts = spark.read.schema(rows.schema).parquet(f"{path}/facts")
+    folds.mentions(facts, subjects).write.mode("overwrite").parquet(f"{path}/fact_subjects")
+    dated = facts.where(F.col("kind").isin(DATED) & (F.col("lo").isNotNull() | F.col("hi").isNotNull()))
+    folds.witness_views(dated).write.mode("overwrite").partitionBy("view").parquet(f"{path}/witnesses")
+
+
 def retraction_edges(facts: DataFrame) -> DataFrame:
     """retractor, target: direct retractions, and one edge per fact of a retracted commit."""
     single = facts.where("retracts_fact_id is not null").select(F.col("fact_id").alias("retractor"), F.col("retracts_fact_id").alias("target"))
@@ -44,24 +62,40 @@ def retraction_edges(facts: DataFrame) -> DataFrame:
     return single.unionByName(whole.join(facts.select("commit_seq", F.col("fact_id").alias("target")), "commit_seq").select("retractor", "target"))
 
 
-def effective_retractors(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _dead_retractors(edges: DataFrame) -> DataFrame:
+    """node: the retractors among (retractor, target) edges that are themselves retracted in effect.
+
+    An edge (r, x, when_live) makes x dead when r is live (or, the flag being false, when r is dead).  Each
+    round settles what follows from settled nodes, drops it, and contracts the rest: an edge from a node with
+    one edge of its own is drawn to that edge's begin.  Chains so halve in each round, whatever their length.
+    """
+    inner = edges.join(edges.select(F.col("retractor").alias("target")).distinct(), "target", "left_semi")
+    open_ = stored(inner.select(F.col("retractor").alias("r"), F.col("target").alias("x"), F.lit(True).alias("when_live")), "chains")
+    # Retractors that nothing retracts are live.
+    settled = open_.select("r").distinct().join(open_.select(F.col("x").alias("r")).distinct(), "r", "left_anti").withColumn("live", F.lit(True))
+    dead = edges.select(F.col("retractor").alias("node")).limit(0)
+    while not open_.isEmpty():
+        known = open_.join(settled, "r", "left")
+        hit = F.coalesce(F.bool_or(F.col("live") == F.col("when_live")), F.lit(False))
+        fate = stored(known.groupBy("x").agg(hit.alias("dead"), F.count_if(F.col("live").isNull()).alias("n")).where("dead or n = 0").select("x", "dead"), "fates")
+        dead = dead.unionByName(fate.where("dead").select(F.col("x").alias("node")))
+        rest = known.where("live is null").join(fate, "x", "left_anti").select("r", "x", "when_live")
+        one = rest.groupBy("x").agg(F.count("*").alias("n"), F.first("r").alias("_q"), F.first("when_live").alias("_w")).where("n = 1").select(F.col("x").alias("r"), "_q", "_w")
+        drawn = rest.join(one, "r", "left").select(F.coalesce("_q", "r").alias("r"), "x", F.when(F.col("_q").isNull(), F.col("when_live")).otherwise(F.col("when_live") != F.col("_w")).alias("when_live"))
+        open_ = stored(drawn.distinct(), "chains")
+        settled = fate.select(F.col("x").alias("r"), (~F.col("dead")).alias("live"))
+    return dead
+
+
+def effective_retractors(edges: DataFrame) -> DataFrame:
     """target, retractor: the lowest retractor of each target that is itself not retracted.
 
-    A target is dead when any of its retractors is not.  Round k is exact for chains of up to k links, and
-    the rounds end when the set of dead retractors rests; facts outside the retraction graph take no part.
+    A retractor is always younger than its target; other edges retract nothing.  Facts outside the
+    retraction graph take no part.
     """
-    edges = stored(edges.distinct(), "retractions")
-    inner = stored(edges.join(edges.select(F.col("retractor").alias("target")).distinct(), "target", "left_semi"), "chains")
-    dead, seen = inner.select("target").limit(0), (0, None)
-    for _ in range(max_rounds):
-        dead = stored(inner.join(dead.withColumnRenamed("target", "retractor"), "retractor", "left_anti").select("target").distinct(), "dead")
-        now = tuple(dead.agg(F.count("*"), F.sum(F.xxhash64("target").cast("decimal(38,0)"))).first())
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("retraction chains did not settle")
-    return edges.join(dead.withColumnRenamed("target", "retractor"), "retractor", "left_anti").groupBy("target").agg(F.min("retractor").alias("retractor"))
+    edges = stored(edges.where("retractor > target").distinct(), "retractions")
+    dead = _dead_retractors(edges).withColumnRenamed("node", "retractor")
+    return edges.join(dead, "retractor", "left_anti").groupBy("target").agg(F.min("retractor").alias("retractor"))
 
 
 def live(facts: DataFrame, retractors: DataFrame | None = None) -> DataFrame:
@@ -78,12 +112,16 @@ def lookup(ids: DataFrame, facts: DataFrame, retractors: DataFrame, n: int) -> D
     return ids.join(known, "fact_id", "left").join(by, "fact_id", "left").select("fact_id", state.alias("state"), F.when(state == "retracted", F.col("retractor")).alias("retractor"))
 
 
-def touched_targets(seeds: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """fact_id: all facts that retractions starting from ``seeds`` reach, downward over retraction edges."""
+def touched_targets(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """fact_id: all facts that retractions starting from ``seeds`` reach, downward over retraction edges.
+
+    Each round writes only what it newly found; earlier rounds' tables are read, never written again.
+    """
     found = frontier = stored(seeds.select("fact_id").distinct(), "touched")
-    for _ in range(max_rounds):
-        frontier = stored(edges.join(frontier.withColumnRenamed("fact_id", "retractor"), "retractor").select(F.col("target").alias("fact_id")).distinct().join(found, "fact_id", "left_anti"), "frontier")
+    edges = stored(edges.distinct(), "retractions")
+    while True:
+        below = edges.join(frontier.withColumnRenamed("fact_id", "retractor"), "retractor").select(F.col("target").alias("fact_id")).distinct()
+        frontier = stored(below.join(found, "fact_id", "left_anti"), "touched")
         if frontier.isEmpty():
             return found
-        found = stored(found.unionByName(frontier), "touched")
-    raise RuntimeError("retraction closure did not settle")
+        found = found.unionByName(frontier)

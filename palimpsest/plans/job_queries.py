@@ -220,12 +220,17 @@ def jn16_connecting_glue(spark, d):
     return glue.select("member", "rep", F.size("glue").alias("hops")).join(c, "member", "left_semi")
 
 
-@query()
+@query(sql("owned_events", """, m as (select owner as rep, event, role, day, case event % 3 when 0 then 'construction' when 1 then 'other' else 'demolition' end as stage, event % 3 as s, case when role = 'started' then 0 else 1 end as r from owned_events join
+(select event, 'started' as role, case when event % 4 <> 0 then started end as day from owned_events union all select event, 'completed', completed from owned_events where event % 5 <> 0 and completed is not null) using (event)),
+k as (select *, case when day is not null then day when r = 0 then least(case s when 0 then -1e9 when 1 then coalesce(built, -1e9) else 1e9 end, coalesce(done, 1e9)) else greatest(case s when 0 then -1e9 when 1 then coalesce(built, -1e9) else 1e9 end, coalesce(begun, -1e9)) end as pos
+ from (select *, max(case when s = 0 then day end) over (partition by rep) as built, max(case when r = 0 then day end) over (partition by rep, event) as begun, min(case when r = 1 then day end) over (partition by rep, event) as done from m))
+select rep, event, role, stage, day::double as day, (row_number() over (partition by rep order by pos, s, r, day is null, event) - 1)::int as place from k""").replace("\n, m as", ",\nm as"))
 def win8_timeline_order(spark, d):
-    m = listing.moments(T.owned_events(spark, d).select("event", "started", F.when(F.col("event") % 5 != 0, F.col("completed")).alias("completed")))
-    o = T.owned_events(spark, d).select("event", F.col("owner").alias("rep"))
+    e = T.owned_events(spark, d)
+    started = e.select("event", F.lit("started").alias("role"), F.when(F.col("event") % 4 != 0, F.col("started")).alias("day"))
+    ended = e.where("event % 5 <> 0 and completed is not null").select("event", F.lit("completed").alias("role"), F.col("completed").alias("day"))
     stage = F.when(F.col("event") % 3 == 0, "construction").when(F.col("event") % 3 == 1, "other").otherwise("demolition")
-    return listing.timeline_order(m.join(o, "event").withColumn("stage", stage))
+    return listing.timeline_order(started.unionByName(ended).join(e.select("event", F.col("owner").alias("rep")), "event").withColumn("stage", stage))
 
 
 @query("select event_id as fact, sha256((event_id // 10)::varchar) as commit_id, true as dense from events")

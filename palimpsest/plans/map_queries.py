@@ -245,9 +245,12 @@ def win7_negotiate_name(spark, d):
     return listing.negotiate_name(T.names(spark, d), ["de", "es"])
 
 
-@query(sql("facts", "select distinct entity as rep, fact_id from facts where (entity, fact_id) > (1000, 50) order by 1, 2 limit 256"))
+@query(sql("facts", "select distinct entity as rep, fact_id from facts where (entity, fact_id) > ((select max(entity) // 2 from facts), 50) order by 1, 2 limit 256"))
 def win2_class_walk(spark, d):
-    return listing.class_walk(T.facts(spark, d).select(F.col("entity").alias("rep"), "fact_id"), (1000, 50), 256)
+    """A page that begins in the middle of the log's entities."""
+    f = T.facts(spark, d)
+    middle = f.agg(F.expr("max(entity) div 2")).first()[0]
+    return listing.class_walk(f.select(F.col("entity").alias("rep"), "fact_id"), (middle, 50), 256)
 
 
 @query("select event_id, ts from events where (ts, event_id) < ((select ts from events where event_id = 500), 500) order by ts desc, event_id desc limit 50")
@@ -278,11 +281,11 @@ def win11_current_location(spark, d):
     return listing.current_location(sites, moves)
 
 
-@query(sql("owned_events", "select owner % 50 as pin, array_to_string(list(owner order by m nulls last, owner), ',') as entities from (select c_custkey as owner, m from customer left join (select owner, min(started) as m from owned_events group by owner) on owner = c_custkey) group by 1"))
+@query(sql("owned_events", "select owner // 25 as pin, owner as entity, row_number() over (partition by owner // 25 order by m nulls last, owner) - 1 as place from (select c_custkey as owner, m from customer left join (select owner, min(started) as m from owned_events group by owner) on owner = c_custkey)"))
 def win12_picker(spark, d):
     first = T.owned_events(spark, d).groupBy("owner").agg(F.min("started").alias("earliest"))
-    m = T.table(spark, d, "customer").select(F.col("c_custkey").alias("owner")).join(first, "owner", "left").select((F.col("owner") % 50).alias("pin"), F.col("owner").alias("entity"), "earliest")
-    return listing.picker(m).select("pin", F.array_join(F.col("entities").cast("array<string>"), ",").alias("entities"))
+    m = T.table(spark, d, "customer").select(F.col("c_custkey").alias("owner")).join(first, "owner", "left").select(F.expr("owner div 25").alias("pin"), F.col("owner").alias("entity"), "earliest")
+    return listing.picker(m)
 
 
 @query(sql("points owned_events", "select entity, n from (select fact_id as entity, n from points left join (select owner, count(*) as n from owned_events group by owner) on owner = fact_id where lat between -30 and 30 and lon between -60 and 60) order by entity limit 40"))
@@ -293,9 +296,9 @@ def win10_list_entities(spark, d):
     return inside.join(n, "entity", "left").select("entity", "n").orderBy("entity").limit(40)
 
 
-@query(sql("facts", "select kind, array_to_string(list_sort(list(distinct lo % 3)), ',') as values, case when count(distinct lo % 3) = 1 then min(lo % 3) end as agreed, count(distinct lo % 3) > 1 as conflict from (select entity % 500 as kind, lo from facts where lo is not null and kind = 'construction_started') group by kind"))
+@query(sql("facts", "select kind, array_to_string(list_sort(list(distinct lo % 3)), ',') as values, case when count(distinct lo % 3) = 1 then min(lo % 3) end as agreed, count(distinct lo % 3) > 1 as conflict from (select entity // 2 as kind, lo from facts where lo is not null and kind = 'construction_started') group by kind"))
 def agg3_value_bracket(spark, d):
-    c = T.facts(spark, d).where("lo is not null and kind = 'construction_started'").select((F.col("entity") % 500).alias("kind"), (F.col("lo") % 3).cast("long").alias("v"))
+    c = T.facts(spark, d).where("lo is not null and kind = 'construction_started'").select(F.expr("entity div 2").alias("kind"), (F.col("lo") % 3).cast("long").alias("v"))
     return folds.value_bracket(c, "kind", "v").withColumn("values", F.array_join(F.col("values").cast("array<string>"), ","))
 
 
@@ -357,16 +360,17 @@ def set4_upsert_media(spark, d):
     return validate.upsert_media(x.where("id % 3 <> 0"), x.where("id % 3 = 0"))
 
 
-_EDGES = "(select o_orderkey % 3000 as event, o_custkey % 7 as owner, substr(o_orderpriority, 1, 1) as kind, o_orderkey as fact_id from orders)"
+_EDGES = "(select o_orderkey // 2 as event, o_custkey % 7 as owner, substr(o_orderpriority, 1, 1) as kind, o_orderkey as fact_id from orders where o_orderkey % 3 <> 0)"
 
 
 def ownership(spark, d):
-    return T.table(spark, d, "orders").select((F.col("o_orderkey") % 3000).alias("event"), (F.col("o_custkey") % 7).alias("owner"), F.substring("o_orderpriority", 1, 1).alias("kind"), F.col("o_orderkey").alias("fact_id"))
+    """One or two ownership edges of each event; later orders' numbers are events without any."""
+    return T.table(spark, d, "orders").where("o_orderkey % 3 <> 0").select(F.expr("o_orderkey div 2").alias("event"), (F.col("o_custkey") % 7).alias("owner"), F.substring("o_orderpriority", 1, 1).alias("kind"), F.col("o_orderkey").alias("fact_id"))
 
 
-@query(f"select e as event, coalesce(n, 0) as n, case when n is null then 'missing' else 'multiple' end as fault from (select distinct l_orderkey % 4000 as e from lineitem) left join (select event, count(distinct (owner, kind)) as n from {_EDGES} group by event) on event = e where coalesce(n, 0) <> 1")
+@query(f"select e as event, coalesce(n, 0) as n, case when n is null then 'missing' else 'multiple' end as fault from (select distinct l_orderkey as e from lineitem) left join (select event, count(distinct (owner, kind)) as n from {_EDGES} group by event) on event = e where coalesce(n, 0) <> 1")
 def val1_event_one_kind(spark, d):
-    return validate.event_one_kind(ownership(spark, d), T.table(spark, d, "lineitem").select((F.col("l_orderkey") % 4000).alias("event")))
+    return validate.event_one_kind(ownership(spark, d), T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event")))
 
 
 @query(sql("owned_events", "select event, kind, case when event % 2 = 0 then 'span' else 'point' end as payload from owned_events where (event % 2 = 0 and kind = 'usage_changed') or (event % 2 = 1 and kind <> 'usage_changed')"))

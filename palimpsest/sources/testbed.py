@@ -85,6 +85,62 @@ def depicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fact_id"), F.col("l_orderkey").alias("image"), F.col("l_partkey").alias("entity"), (F.col("l_returnflag") == "R").alias("exterior"), day("l_shipdate").alias("subject_day"))
 
 
+def place_of(k):
+    """lat, lon that belong to a key."""
+    return ((k * 7919) % 170000 / 1000.0 - 85).alias("lat"), ((k * 104729) % 360000 / 1000.0 - 180).alias("lon")
+
+
+def placing_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fact_id, kind, entity, event, image, lat, lon, radius_m: sites of customers, destinations of orders, capture points of shipments, and names."""
+    none = F.lit(None).cast("long")
+    radius = lambda k: (k % 50 * 1000.0).alias("radius_m")
+    c, o, e = F.col("c_custkey"), F.col("o_orderkey"), F.col("event_id")
+    sites = table(spark, sf_dir, "customer").select((c * 4).alias("fact_id"), F.lit("construction_location").alias("kind"), c.alias("entity"), none.alias("event"), none.alias("image"), *place_of(c), radius(c))
+    moves = table(spark, sf_dir, "orders").select((o * 4 + 1).alias("fact_id"), F.lit("moved_to_location").alias("kind"), none.alias("entity"), o.alias("event"), none.alias("image"), *(F.when(o % 13 != 0, x).alias(n) for x, n in zip(place_of(o + 17), ("lat", "lon"), strict=True)), radius(o))
+    shots = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i")).distinct().select((F.col("i") * 4 + 2).alias("fact_id"), F.lit("captured_location").alias("kind"), none.alias("entity"), none.alias("event"), F.col("i").alias("image"), *place_of(F.col("i") + 31), radius(F.col("i")))
+    named = table(spark, sf_dir, "events").select((e * 4 + 3).alias("fact_id"), F.lit("name").alias("kind"), F.col("user_id").alias("entity"), none.alias("event"), none.alias("image"), *(F.lit(None).cast("double").alias(n) for n in ("lat", "lon", "radius_m")))
+    return sites.unionByName(moves).unionByName(shots).unionByName(named)
+
+
+def event_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event, slot, fact_id, value, lo, hi, lat, lon: what sources say of events, from ``orders`` and ``lineitem``.
+
+    Every 11th event has a second source that calls it a modification.
+    """
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event"), F.element_at(F.array(*map(F.lit, ("modified", "damaged", "repaired", "moved", "usage_changed"))), F.substring("o_orderpriority", 1, 1).cast("int")).alias("kind"), day("o_orderdate").alias("day"), F.col("o_orderstatus").alias("status"))
+    none, text, number = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def rows(x, slot, at, value=text, lo=none, hi=none, lat=number, lon=number):
+        return x.select("event", F.lit(slot).alias("slot"), (F.col("event") * 16 + at).alias("fact_id"), value.alias("value"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), lat.alias("lat"), lon.alias("lon"))
+
+    lat, lon = place_of(F.col("event") + 17)
+    out = rows(o, "kind", 0, F.col("kind")).unionByName(rows(o.where("event % 11 = 0"), "kind", 1, F.lit("modified"))).unionByName(rows(o, "started", 2, lo=F.col("day"), hi=F.col("day") + 10))
+    out = out.unionByName(rows(o.where("kind = 'moved'"), "destination", 3, lat=lat, lon=lon)).unionByName(rows(o.where("kind = 'moved'"), "method", 4, F.col("status"))).unionByName(rows(o.where("kind = 'damaged'"), "cause", 5, F.col("status"))).unionByName(rows(o.where("kind = 'usage_changed'"), "usage", 6, F.col("status")))
+    ends = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event"), day("l_shipdate").alias("day"), F.col("l_linenumber").alias("n"))
+    return out.unionByName(rows(ends, "completed", F.col("n") + 7, lo=F.col("day"), hi=F.when(F.col("n") != 1, F.col("day") + 40))).unionByName(rows(ends.where("n = 2"), "description", 15, F.concat(F.lit("d"), (F.col("day") % 5).cast("string"))))
+
+
+def image_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image, slot, fact_id, value, lo, hi: medium, subject date, source url and depicted entity of images from ``lineitem``."""
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("f"), day("l_shipdate").alias("day"), "l_partkey", "l_linestatus", "l_linenumber")
+    none = F.lit(None).cast("int")
+    rows = lambda y, slot, at, value, lo=none, hi=none: y.select("image", F.lit(slot).alias("slot"), (F.col("f") * 4 + at).alias("fact_id"), value.cast("string").alias("value"), lo.alias("lo"), hi.alias("hi"))
+    url = F.concat(F.lit("https://img.example.org/"), F.col("image").cast("string"), F.lit("/"), (F.col("l_linenumber") % 2).cast("string"))
+    return rows(x.where("l_linenumber < 3"), "medium", 0, F.when(F.col("l_linestatus") == "O", "photograph").otherwise("painting")).unionByName(rows(x, "subject_date", 1, F.lit(None), F.col("day"), F.col("day") + 60)).unionByName(rows(x, "url", 2, url)).unionByName(rows(x, "depicts", 3, F.col("l_partkey")))
+
+
+def composites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """subimage, parent, fact_id: every fourth image is a part of the image before it."""
+    i = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").where(i % 4 == 1).select(i.alias("subimage"), (i - 1).alias("parent"), (i + 10_000_000).alias("fact_id"))
+
+
+def image_reps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """member, rep: of every twenty images the first two are one artifact."""
+    i = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(i.alias("member"), F.when(i % 20 == 1, i - 1).otherwise(i).alias("rep"))
+
+
 _DAY = "date_diff('day', date '2024-01-01', cast({} as date))"
 VIEWS = {
     "facts": f"""facts as (select event_id as fact_id, event_id // 10 as commit_seq, user_id * 20 + event_id % 20 as entity,
@@ -105,6 +161,16 @@ VIEWS = {
 }
 
 
+_AT = "({0} * 7919) % 170000 / 1000.0::double - 85 as lat, ({0} * 104729) % 360000 / 1000.0::double - 180 as lon"
+VIEWS["placing_facts"] = f"""placing_facts as (select c_custkey * 4 as fact_id, 'construction_location' as kind, c_custkey as entity, null::bigint as event, null::bigint as image, {_AT.format("c_custkey")}, c_custkey % 50 * 1000.0::double as radius_m from customer
+ union all select o_orderkey * 4 + 1, 'moved_to_location', null, o_orderkey, null, case when o_orderkey % 13 <> 0 then lat end, case when o_orderkey % 13 <> 0 then lon end, o_orderkey % 50 * 1000.0::double from (select *, {_AT.format("(o_orderkey + 17)")} from orders)
+ union all select i * 4 + 2, 'captured_location', null, null, i, {_AT.format("(i + 31)")}, i % 50 * 1000.0::double from (select distinct l_orderkey as i from lineitem)
+ union all select event_id * 4 + 3, 'name', user_id, null, null, null, null, null from events)"""
+VIEWS["said"] = f"""o_ as (select o_orderkey as event, ['modified', 'damaged', 'repaired', 'moved', 'usage_changed'][cast(substr(o_orderpriority, 1, 1) as int)] as kind, {_DAY.format("o_orderdate")} as d, o_orderstatus as status, {_AT.format("(o_orderkey + 17)")} from orders),
+l_ as (select l_orderkey as event, {_DAY.format("l_shipdate")} as d, l_linenumber as n from lineitem)"""
+VIEWS["shown"] = f"""shown as (select l_orderkey as image, l_orderkey * 8 + l_linenumber as f, {_DAY.format("l_shipdate")} as d, l_partkey, l_linestatus, l_linenumber as n, case when l_orderkey % 20 = 1 then l_orderkey - 1 else l_orderkey end as rep from lineitem)"""
+
+
 #: Depth to which the SQL unrolls chains of retractions.
 DEPTH = 12
 
