@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import buffers
 from palimpsest.llm.common import keyed_text, without
 from palimpsest.operators.components import components
-from palimpsest.scratch import stored
+from palimpsest.scratch import drop, stored
 
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -365,7 +365,9 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     lead_root = _rooted(leads.select("lead", F.col("first").alias("node")), roots).select("lead", F.col("root").alias("_r"))
     members = near.join(_rooted(known.select("node", "n", "point"), roots), "node").join(lead_root, "lead").withColumn("stray", F.col("root") != F.col("_r"))
     rest = _verified(_tree_pairs(members), texts)
-    return distinct.select("node", "digest"), components(found.unionByName(rest))
+    linked = components(found.unionByName(rest))
+    drop(near, known, texts, found, roots)
+    return distinct, linked
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -375,9 +377,11 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def _placed(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n, component_id of each row of ``docs``."""
     sets = stored(profile(docs, levels(loads(docs))), "profiles", "none")
+    members = stored(sets.select("doc_id", "text_key", "n", "digest"), "members")
     nodes, linked = links(sets)
-    roots = stored(_rooted(nodes, linked).select("digest", "root"), "roots")
-    placed = sets.select("doc_id", "text_key", "n", "digest").join(roots, "digest", "left")
+    roots = stored(_rooted(nodes.select("node", "digest"), linked).select("digest", "root"), "roots")
+    drop(sets, nodes)
+    placed = members.join(roots, "digest", "left")
     lowest = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("_low"))
     return placed.join(lowest, "root", "left").select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("_low")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -15,12 +15,13 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from palimpsest.llm import buffers
-from palimpsest.scratch import stored
+from palimpsest.llm.common import unused
+from palimpsest.scratch import drop, stored
 
 #: Bytes of a repeated window, and of the anchor block that is its first digit.
 DEPTH, ANCHOR = 200, 100
@@ -69,38 +70,46 @@ def anchors(data: np.ndarray, offsets: np.ndarray, depth: int, anchor: int):
     return doc, blocks[a].view(np.int64), whole.view(np.int64), lo - offsets[doc], hi - offsets[doc]
 
 
-def _keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """Rows with ``r``, a hash of id and text: rows alike in both share it, and get the same result."""
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("r"), *more)
+def _base(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, str, str]:
+    """The rows of ``docs`` written once with a row number and the compressed text in place of the text; the two columns' names.
 
+    The number is fixed by the writing, so rows alike in id and text stay two rows.
+    """
+    row, packed = unused(docs, "_row"), unused(docs, "_packed")
+    kept = docs.select(*columns, "text").withColumn(row, F.monotonically_increasing_id())
+    schema = StructType([f for f in kept.schema.fields if f.name != "text"] + [StructField(packed, BinaryType())])
+    place = kept.columns.index("text")
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in buffers.slices(batches):
+            column = pa.array([press.compress(x.as_py().encode()) if x.is_valid else None for x in batch.column(place)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != place), column], names=schema.names)
+
+    return stored(kept.mapInArrow(run, schema), "base", "none"), row, packed
 
-def records(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
-    """r, anchor, whole, lo, hi: the records of all texts of at least ``depth`` bytes (see ``anchors``)."""
+
+def unpacked(batch: pa.RecordBatch, column: int) -> pa.Array:
+    """The texts of a column of compressed ones; null stays null."""
+    unpack = zstandard.ZstdDecompressor()
+    return pa.array([unpack.decompress(x.as_py()) if x.is_valid else None for x in batch.column(column)], pa.binary()).cast(pa.string())
+
+
+def records(texts: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
+    """r, anchor, whole, lo, hi: the records of all ``texts`` (r, packed) of at least ``depth`` bytes (see ``anchors``)."""
     names = ["r", "anchor", "whole", "lo", "hi"]
 
     def run(batches):
         for batch in buffers.slices(batches):
-            data, offsets = buffers.utf8(batch.column(1))
-            r = batch.column(2).to_numpy()
+            data, offsets = buffers.utf8(unpacked(batch, 1))
+            r = batch.column(0).to_numpy()
             for first, last in buffers.runs_of_documents(offsets):
                 part = offsets[first : last + 1]
                 doc, a, whole, lo, hi = anchors(data[part[0] : part[-1]], part - part[0], depth, anchor)
                 if len(doc):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r[first:last][doc], a, whole, lo.astype(np.int32), hi.astype(np.int32))], names=names)
 
-    return _keyed(docs).mapInArrow(run, "r long, anchor long, whole long, lo int, hi int")
-
-
-def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, r, packed: the compressed text, which is all of a text that is ever shuffled."""
-
-    def run(batches):
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in buffers.slices(batches):
-            packed = [press.compress((x.as_py() or "").encode()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], names=["doc_id", "r", "packed"])
-
-    return _keyed(docs).mapInArrow(run, "doc_id long, r long, packed binary")
+    return texts.mapInArrow(run, "r long, anchor long, whole long, lo int, hi int")
 
 
 def _windows(opened: DataFrame, depth: int) -> DataFrame:
@@ -125,30 +134,37 @@ def _windows(opened: DataFrame, depth: int) -> DataFrame:
     return opened.select("r", "packed", "runs").mapInArrow(run, "code long, r long, at int, sole boolean")
 
 
-def repeated_ranges(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
-    """r, spans: byte ranges (begin, end) of each row of ``docs`` that repeated windows cover, unmerged.
+def repeated_ranges(texts: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
+    """r, spans: maximal byte ranges (begin, end) of each of ``texts`` (r, packed) that repeated windows cover.
 
     Pass 1 counts records by their first digit and drops the single ones.  Pass 2 compares the second digit:
     where a whole group agrees, all its windows are repeated.  In the other groups each different second
     digit sends one record on; pass 3 opens these and compares windows at full depth.  Counts are made
     before each shuffle and answers come back by joins, so a very frequent string is never in one task.
     """
-    all_records = records(docs, depth, anchor)
+    all_records = records(texts, depth, anchor)
     seen = all_records.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("whole").alias("_a"), F.max("whole").alias("_b")).where("_n > 1")
     seen = stored(seen.select("anchor", (F.col("_a") != F.col("_b")).alias("mixed")), "anchors")
     alike = stored(all_records.join(seen, "anchor"), "records")
+    drop(seen)
     mixed = alike.where("mixed")
     digits = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("_n"), F.min(F.struct("r", "lo", "hi")).alias("_x"))
     digits = stored(digits.select("anchor", "whole", (F.col("_n") == 1).alias("sole"), "_x.r", "_x.lo", "_x.hi"), "digits")
     twice = mixed.select("r", "anchor", "whole", "lo", "hi").join(digits.where("not sole").select("anchor", "whole"), ["anchor", "whole"])
-    span = lambda lo, hi: F.struct(lo.cast("int").alias("begin"), (hi + F.lit(depth)).cast("int").alias("end")).alias("span")
-    covered = alike.where("not mixed").unionByName(twice, allowMissingColumns=True).select("r", span(F.col("lo"), F.col("hi")))
+    covered = alike.where("not mixed").select("r", "lo", "hi").unionByName(twice.select("r", "lo", "hi"))
     runs = digits.groupBy("r").agg(F.collect_list(F.struct("lo", "hi", "anchor", "sole")).alias("runs"))
-    texts = _packed(docs).select("r", "packed").join(runs, "r").dropDuplicates(["r"])
-    windows = _windows(stored(texts, "opened", "none"), depth)
+    opened = stored(texts.toDF("r", "packed").join(runs, "r"), "opened", "none")
+    windows = _windows(opened, depth)
     found = windows.groupBy("code").agg(F.count("*").alias("_n")).where("_n > 1").select("code")
-    single = windows.where("sole").select("code", "r", "at").join(found, "code").select("r", span(F.col("at"), F.col("at")))
-    return stored(covered.unionByName(single).groupBy("r").agg(F.collect_list("span").alias("spans")), "spans")
+    single = windows.where("sole").select("code", "r", "at").join(found, "code").select("r", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    # Ranges that meet become one before a row's are gathered.
+    w = Window.partitionBy("r").orderBy("lo", "hi")
+    fresh = F.coalesce((F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)) + depth).cast("int"), F.lit(0))
+    numbered = covered.unionByName(single).withColumn("_new", fresh).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = numbered.groupBy("r", "_g").agg(F.min("lo").alias("begin"), (F.max("hi") + depth).cast("int").alias("end"))
+    out = stored(spans.groupBy("r").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
+    drop(alike, digits, opened)
+    return out
 
 
 def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,21 +193,22 @@ def measure(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFr
     count as empty; texts shorter than ``depth`` lose nothing; repeated rows lose all windows.  Strings are
     compared by 64-bit codes.  Other columns are left out.
     """
+    base, row, packed = _base(docs.select("doc_id", "text"), ["doc_id"])
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
         for batch in buffers.slices(batches):
             rows = []
-            for doc, packed, spans in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                data = unpack.decompress(packed.as_py())
-                runs, kept = _kept(data, spans.as_py())
-                rows.append((doc.as_py(), len(data), len(data) - len(kept), len(runs), sha256(kept).hexdigest()))
+            data, offsets = buffers.utf8(unpacked(batch, 1))
+            for k, (doc, spans) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+                text = data[offsets[k] : offsets[k + 1]].tobytes()
+                runs, kept = _kept(text, spans.as_py())
+                rows.append((doc, len(text), len(text) - len(kept), len(runs), sha256(kept).hexdigest()))
             if rows:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _packed(docs).join(repeated_ranges(docs, depth, anchor), "r", "left").select("doc_id", "packed", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    spans = repeated_ranges(base.select(row, packed), depth, anchor).withColumnRenamed("r", row)
+    return base.join(spans, row, "left").select("doc_id", packed, "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def whole_characters(data: bytes, begin: int, end: int) -> tuple[int, int]:
@@ -209,33 +226,24 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) ->
     The cuts are those of ``measure``, drawn in to whole characters.  A null text stays null.
     """
     names = docs.columns
-    place = names.index("text")
-    small = StructType([StructField(f.name, BinaryType()) if f.name == "text" else f for f in docs.schema.fields] + [StructField("_r", LongType())])
-
-    def pack(batches):
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in buffers.slices(batches):
-            columns = batch.columns
-            columns[place] = pa.array([press.compress(x.as_py().encode()) if x.is_valid else None for x in columns[place]], pa.binary())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+    others = [c for c in names if c != "text"]
+    base, row, packed = _base(docs, others)
+    span = unused(docs, "_spans")
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
         for batch in buffers.slices(batches):
             out = []
-            for packed, spans in zip(batch.column(place), batch.column(batch.num_columns - 1), strict=True):
-                data = unpack.decompress(packed.as_py()) if packed.is_valid else None
-                if data and spans.is_valid:
-                    cuts = [whole_characters(data, a, b) for a, b in _kept(data, spans.as_py())[0]]
-                    edges = [0, *(x for cut in cuts for x in cut), len(data)]
-                    data = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append(None if data is None else data.decode())
-            columns = batch.columns[:-1]
-            columns[place] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    packed = docs.withColumn("_r", F.xxhash64("doc_id", "text")).mapInArrow(pack, small)
-    spans = repeated_ranges(docs, depth, anchor).withColumnRenamed("r", "_r").withColumnRenamed("spans", "_spans")
-    joined = packed.join(spans, "_r", "left").select(*names, "_spans")
-    out = joined.mapInArrow(run, docs.schema)
+            for data, spans in zip(unpacked(batch, len(others)), batch.column(len(others) + 1), strict=True):
+                text = data.as_py()
+                if text and spans.is_valid:
+                    raw = text.encode()
+                    cuts = [whole_characters(raw, a, b) for a, b in _kept(raw, spans.as_py())[0]]
+                    edges = [0, *(x for cut in cuts for x in cut), len(raw)]
+                    text = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode()
+                out.append(text)
+            columns = dict(zip(others, batch.columns, strict=False)) | {"text": pa.array(out, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    spans = repeated_ranges(base.select(row, packed), depth, anchor).withColumnRenamed("r", row).withColumnRenamed("spans", span)
+    out = base.join(spans, row, "left").select(*others, packed, span).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
