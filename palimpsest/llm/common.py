@@ -47,10 +47,6 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.withColumn(key, text_key()).join(F.broadcast(gone) if few else gone, ["doc_id", key], "left_anti").select(*docs.columns)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def id_remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of the id written as text, modulo ``divisor``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(divisor)

@@ -6,6 +6,7 @@ of variable-length elements into packets with track, timestamp and byte range.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from hashlib import sha256
@@ -161,41 +162,117 @@ def _frames(raw, begin: int, end: int) -> tuple[int, int, bool, list[tuple[int,
     return track, time, bool(flags & 0x80), [*ranges, (at, end)]
 
 
+def _value(raw, begin: int, end: int) -> int:
+    if end - begin > 8:
+        raise ValueError(f"a number of {end - begin} bytes at {begin}")
+    return int.from_bytes(raw[begin:end], "big")
+
+
+def children(raw, begin: int, end: int):
+    """Yield (id, begin, body begin, body end) of the elements of one level; bodies are stepped over, not read."""
+    at = begin
+    while at < end:
+        first = raw[at]
+        width = 9 - first.bit_length() if first else 9
+        if width > 4:
+            raise ValueError(f"no element id at {at}")
+        size, body, unknown = _vint(raw, at + width)
+        to = end if unknown else body + size
+        if to > end:
+            raise ValueError(f"an element at {at} runs past its parent")
+        yield int.from_bytes(raw[at : at + width], "big"), at, body, to
+        at = to
+
+
+def _checked(read):
+    """Whatever damage a stream has, ``read`` raises ValueError."""
+
+    @functools.wraps(read)
+    def run(raw, *rest):
+        if raw is None:
+            raise ValueError("no stream")
+        try:
+            return read(memoryview(raw), *rest)
+        except (IndexError, TypeError, OverflowError, struct.error, UnicodeDecodeError) as e:
+            raise ValueError(f"damaged stream: {e}") from e
+
+    return run
+
+
+@_checked
 def read_packets(raw: bytes) -> dict:
     """Packets, tracks, cues and clusters of a stream.
 
     packets: (track, block timestamp in nanoseconds, place in its lace, key, begin, end); cues: (timestamp,
-    track, cluster's place in the file); tracks: {number: codec}; clusters: their places; damaged streams raise ValueError.
+    track, cluster's place in the file); tracks: {number: codec}; clusters: {place: timestamp}; scale and segment
+    (where its body begins).  Damaged streams raise ValueError.
     """
-    raw = memoryview(raw)
-    scale, cluster, base = 1_000_000, 0, 0
+    scale, cluster, base, at = 1_000_000, 0, 0, 0
     packets, cues, tracks, cue, track = [], [], {}, [0, 0], 0
-    clusters = set()
+    clusters = {}
     for tag, start, begin, end in elements(raw):
-        value = None if tag in MASTERS or end - begin > 8 else int.from_bytes(raw[begin:end], "big")
         if tag == SEGMENT:
             base = begin
         elif tag == TIMESTAMP_SCALE:
-            scale = value
+            scale = _value(raw, begin, end)
         elif tag == CLUSTER:
-            cluster = 0
-            clusters.add(start)
+            cluster, at = 0, start
+            clusters[at] = 0
         elif tag == TIMESTAMP:
-            cluster = value
+            cluster = _value(raw, begin, end)
+            clusters[at] = cluster * scale
         elif tag in (SIMPLE_BLOCK, BLOCK):
             number_, time, key, ranges = _frames(raw, begin, end)
             packets += [(number_, (cluster + time) * scale, k, key, a, b) for k, (a, b) in enumerate(ranges)]
         elif tag == TRACK_NUMBER:
-            track = value
+            track = _value(raw, begin, end)
         elif tag == CODEC_ID:
             tracks[track] = bytes(raw[begin:end]).decode("ascii")
         elif tag == CUE_TIME:
-            cue[0] = value
+            cue[0] = _value(raw, begin, end)
         elif tag == CUE_TRACK:
-            cue[1] = value
+            cue[1] = _value(raw, begin, end)
         elif tag == CUE_CLUSTER_POSITION:
-            cues.append((cue[0] * scale, cue[1], base + value))
-    return {"packets": packets, "tracks": tracks, "cues": cues, "clusters": clusters}
+            cues.append((cue[0] * scale, cue[1], base + _value(raw, begin, end)))
+    return {"packets": packets, "tracks": tracks, "cues": cues, "clusters": clusters, "scale": scale, "segment": base}
+
+
+@_checked
+def seek(raw: bytes, timestamp_ns: int, track: int = 1) -> list[tuple]:
+    """The packets of the cluster that the cues name for a time: the last cue at or before it.
+
+    Only the headers on the segment's level, the cues and that one cluster are read.  Without a cue that
+    early there are none.
+    """
+    segment = next(((b, e) for tag, _, b, e in children(raw, 0, len(raw)) if tag == SEGMENT), None)
+    if segment is None:
+        raise ValueError("no segment")
+    scale, best = 1_000_000, None
+    tops = list(children(raw, *segment))
+    for tag, _, b, e in tops:
+        if tag == INFO:
+            scale = next((_value(raw, x, y) for t, _, x, y in children(raw, b, e) if t == TIMESTAMP_SCALE), scale)
+    for tag, _, b, e in tops:
+        for t, _, x, y in children(raw, b, e) if tag == CUES else ():
+            if t == CUE_POINT:
+                point = {name: (p, q) for name, _, p, q in children(raw, x, y)}
+                at = {name: _value(raw, p, q) for name, _, p, q in children(raw, *point[CUE_TRACK_POSITIONS])}
+                time = _value(raw, *point[CUE_TIME]) * scale
+                if at.get(CUE_TRACK, track) == track and time <= timestamp_ns and (best is None or time >= best[0]):
+                    best = (time, segment[0] + at[CUE_CLUSTER_POSITION])
+    if best is None:
+        return []
+    tag, _, b, e = next(children(raw, best[1], segment[1]))
+    if tag != CLUSTER:
+        raise ValueError("a cue names no cluster")
+    base, out = 0, []
+    for t, _, x, y in elements(raw, b, e):
+        if t == TIMESTAMP:
+            base = _value(raw, x, y)
+        elif t in (SIMPLE_BLOCK, BLOCK):
+            number_, time, key, ranges = _frames(raw, x, y)
+            out += [(number_, (base + time) * scale, k, key, p, q) for k, (p, q) in enumerate(ranges) if number_ == track]
+    return out
 
 
 def payload_of(raw: bytes, track: int = 1) -> bytes:
@@ -221,51 +298,67 @@ def mux(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-PACKETS = "doc_id long, track int, timestamp_ns long, lace int, key boolean, begin long, end long"
+PACKETS = "doc_id long, track int, timestamp_ns long, lace int, key boolean, begin long, end long, error string"
 
 
 def packets(media: DataFrame) -> DataFrame:
     """The packet table of a media column: one row per frame, with its byte range in the stream.
 
-    ``media`` has doc_id and media; a null stream has no packets, a damaged one raises ValueError.
+    ``media`` has doc_id and media.  A null or damaged stream gives one row with the reason in ``error`` and
+    null elsewhere; of other rows ``error`` is null.
     """
-    names = ["doc_id", "track", "timestamp_ns", "lace", "key", "begin", "end"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+    names = [f.split()[0] for f in PACKETS.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches):
         for batch in batches:
-            for doc, raw in zip(batch.column(0), batch.column(1), strict=True):
-                if raw.is_valid and (found := read_packets(raw.as_py())["packets"]):
-                    columns = [[doc.as_py()] * len(found), *zip(*found, strict=True)]
+            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    found = [(*p, None) for p in read_packets(raw.as_py())["packets"]]
+                except ValueError as e:
+                    found = [(None,) * 6 + (str(e),)]
+                if found:
+                    columns = [[doc] * len(found), *zip(*found, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return media.select("doc_id", "media").mapInArrow(run, PACKETS)
 
 
 def _feature(samples: np.ndarray, found: dict) -> str:
-    """Packets, clusters and cues, duration in samples, peak, mean and zero-crossing count of the samples."""
+    """Packets, clusters, cues that name a cluster of their time, samples, peak, sum and zero-crossing count of the samples."""
     centred = samples.astype(np.int16) - 128
     crossings = int(np.count_nonzero((centred[1:] < 0) != (centred[:-1] < 0)))
-    good = sum(place in found["clusters"] for _, _, place in found["cues"])
-    return f"packets={len(found['packets'])};clusters={len(found['clusters'])};cues={good};samples={len(samples)};peak={int(np.abs(centred).max())};sum={int(centred.sum())};crossings={crossings}"
+    good = sum(found["clusters"].get(place) == time for time, _, place in found["cues"])
+    return f"packets={len(found['packets'])};clusters={len(found['clusters'])};cues={good};samples={len(samples)};peak={int(np.abs(centred).max(initial=0))};sum={int(centred.sum())};crossings={crossings}"
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Per row of doc_id, n_bytes, media: the payload read from its packets, and features of the samples."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """Per row of doc_id, n_bytes, media: the payload read from its packets, and features of the samples.
+
+    The packets of the last cluster are also reached through the cues, and must be those of the whole reading.  A null
+    or damaged stream gives a row with the reason in ``error``, and nulls where its payload would be told.
+    """
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def told(raw: bytes | None) -> tuple:
+        stored = (None, None) if raw is None else (len(raw), sha256(raw).hexdigest())
+        try:
+            found = read_packets(raw)
+            last = max((time for time, *_ in found["cues"]), default=None)
+            if last is not None and seek(raw, last) != [p for p in found["packets"] if p[0] == 1 and p[1] >= last]:
+                raise ValueError("the cues name another cluster")
+        except ValueError as e:
+            return None, None, None, *stored, None, str(e)
+        view = memoryview(raw)
+        payload = b"".join(view[a:b] for t, _, _, _, a, b in found["packets"] if t == 1)
+        return len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), *stored, _feature(np.frombuffer(payload, np.uint8), found), None
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for doc, n, cell in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                raw = cell.as_py()
-                found = read_packets(raw)
-                view = memoryview(raw)
-                payload = b"".join(view[a:b] for t, _, _, _, a, b in found["packets"] if t == 1)
-                rows.append((doc.as_py(), n.as_py(), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(raw), sha256(raw).hexdigest(), _feature(np.frombuffer(payload, np.uint8), found)))
+            rows = [(doc, n, *told(cell.as_py())) for doc, n, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)]
             if rows:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)

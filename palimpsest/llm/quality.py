@@ -84,11 +84,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, penalty: float = 1e-3) -> Model:
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, penalty: float = 1e-3, plain: bool = False) -> Model:
     """Minimise prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]) with the logistic loss.
 
     When the bracket, the estimated risk on negatives, falls below zero the step goes against it, which
-    keeps the model from fitting the positives as negatives.
+    keeps the model from fitting the positives as negatives.  ``plain`` minimises E_p[l(g)] + E_u[l(-g)] instead.
     """
     both = np.vstack([positive, unlabelled]).astype(np.float64)
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
@@ -101,7 +101,9 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
         slope = lambda g: -1 / (1 + np.exp(np.clip(g, -30, 30)))
         negative = loss(-gu).mean() - prior * loss(-gp).mean()
         dn_p, dn_u = prior * slope(-gp) / len(p), -slope(-gu) / len(u)
-        if negative >= 0:
+        if plain:
+            d_p, d_u = slope(gp) / len(p), dn_u
+        elif negative >= 0:
             d_p, d_u = prior * slope(gp) / len(p) + dn_p, dn_u
         else:
             d_p, d_u = -dn_p, -dn_u
@@ -112,18 +114,43 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return Model(mean, scale, w, float(b), prior)
 
 
-def _drawn(docs: DataFrame, marks: DataFrame, n_positive: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+def fit_membership(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600) -> Model:
+    """A logistic model of being among the positives rather than the unlabelled texts, both weighted alike."""
+    return fit_nnpu(positive, unlabelled, 0.0, steps, plain=True)
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, surety: float = 0.1) -> float:
+    """The share of positives among the unlabelled texts, from the two samples alone (best bin estimation).
+
+    Half of each sample trains a membership model, the other half is scored.  For any threshold, the share of
+    unlabelled texts above it over that of positives bounds the prior from above; the threshold with the
+    least bound, sampling error included, gives the estimate.  No negative's label is read.
+    """
+    p, u = positive[1::2], unlabelled[1::2]
+    if not len(p) or not len(u):
+        return 0.5
+    model = fit_membership(positive[::2], unlabelled[::2])
+    sp, su = np.sort(model.score(p)), np.sort(model.score(u))
+    above_p = np.arange(len(sp), 0, -1) / len(sp)
+    above_u = (len(su) - np.searchsorted(su, sp, "left")) / len(su)
+    error = np.sqrt(np.log(4 / surety) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
+    best = int(np.argmin((above_u + error) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
+
+
+def _drawn(docs: DataFrame, positives: DataFrame, n_positive: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Features of positives and of unlabelled texts: about ``sample`` and twice as many distinct texts, drawn by hash.
 
-    Ids and text hashes alone meet the labels; of the texts only the drawn ones, a bounded number, are read.
+    Unlabelled texts are drawn from all of ``docs``, whatever is known of them.  Ids and text hashes alone meet
+    the labels; of the texts only the drawn ones, a bounded number, are read.
     """
-    keyed = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"))
+    keyed = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("h"))
     n = keyed.agg(F.approx_count_distinct("h").alias("n")).first()["n"]
-    kind = F.when(F.col("_quality").isNull(), "u").when(F.col("_quality") == 1, "p")
     rate = F.when(F.col("_kind") == "p", min(1.0, sample / max(1, n_positive))).otherwise(min(1.0, 2 * sample / max(1, n)))
-    rows = keyed.join(marks, "doc_id", "left").withColumn("_kind", kind).where(F.col("_kind").isNotNull() & F.col("doc_id").isNotNull())
-    rows = rows.where(F.pmod("h", F.lit(1 << 20)) < rate * (1 << 20)).groupBy("h", "_kind").agg(F.min("doc_id").alias("doc_id"))
-    chosen = stored(rows, "drawn")
+    # Two draws by different bits of the hash, so that neither sample shapes the other.
+    at = F.when(F.col("_kind") == "p", F.pmod("h", F.lit(1 << 20))).otherwise(F.pmod(F.xxhash64("h"), F.lit(1 << 20)))
+    rows = keyed.join(positives.withColumn("_good", F.lit(True)), "doc_id", "left").withColumn("_kind", F.explode(F.when(F.col("_good"), F.array(F.lit("p"), F.lit("u"))).otherwise(F.array(F.lit("u")))))
+    chosen = stored(rows.where(at < rate * (1 << 20)).groupBy("h", "_kind").agg(F.min("doc_id").alias("doc_id")), "drawn")
 
     def run(batches):
         for batch in batches:
@@ -138,19 +165,17 @@ def _drawn(docs: DataFrame, marks: DataFrame, n_positive: int, sample: int) -> t
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on labelled positives (quality 1) of ``labels`` against unlabelled texts of ``docs``.
+    """Fit on trusted positives (quality 1) of ``labels`` against unlabelled texts of ``docs``.
 
-    ``docs`` has doc_id and text, ``labels`` doc_id and quality, of which only rows to learn from may be
-    given.  The class prior is the share of positives among them (one half without labels).  Without a
-    positive or an unlabelled text the model scores every text by the prior.
+    ``docs`` has doc_id and text, ``labels`` doc_id and quality; only rows to learn from may be given.  Of the
+    labels only the positives are read; the class prior is estimated from the two samples.  Without a
+    positive or an unlabelled text the model scores every text one half.
     """
-    marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("_quality"))
-    seen = marks.agg(F.count("*").alias("n"), F.sum((F.col("_quality") == 1).cast("long")).alias("p")).first()
-    prior = min(0.98, max(0.02, (seen["p"] or 0) / seen["n"])) if seen["n"] else 0.5
-    positive, unlabelled = _drawn(docs, marks, seen["p"] or 0, sample)
+    positives = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    positive, unlabelled = _drawn(docs, positives, positives.count(), sample)
     if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), float(np.log(prior / (1 - prior))), prior)
-    return fit_nnpu(positive, unlabelled, prior)
+        return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0, 0.5)
+    return fit_nnpu(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -170,10 +195,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score, predicted.  Labels are learned only from rows that aren't held out.
+    """doc_id, held_out, score, predicted.  Labels and texts are learned only from rows that aren't held out.
 
-    A row is held out when crc32 of its id as text, modulo ``folds``, is ``held_out``; null ids are held out.
+    Equal texts get equal scores; a null text is scored as an empty one; repeated rows repeat.  A row is held out when crc32 of its id as text, modulo ``folds``, is ``held_out``; null ids are held out.
     """
     out = F.coalesce(id_remainder("doc_id", folds) == held_out, F.lit(True))
-    model = train(docs, labels.where(~out), sample)
+    model = train(docs.where(~out), labels.where(~out), sample)
     return predict(docs.select("doc_id", out.alias("held_out"), "text"), model).drop("text")

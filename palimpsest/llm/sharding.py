@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Groups of a shard within which slots are counted; bounds the rows of one counting task.
-SLOT_GROUPS = 256
+from palimpsest.scratch import stored
+
 _SPAN = float(1 << 60)
 
 
@@ -43,23 +43,25 @@ def assign(docs: DataFrame, weights: Sequence[float], further: float = 1.0) -> D
 
     ``size`` is the UTF-8 length of the text (null: none) plus 16.  The law is ``key``: doc_id and the
     weights decide.  Null ids are a key of their own; rows that share an id share a shard.  ``slot``
-    numbers each shard's rows from 0 without gaps: rows are counted inside hashed groups of a shard, and
-    the few group sizes are summed up, so no task ever holds a shard.  Other columns are left out.
+    numbers each shard's rows from 0 without gaps, in the order of the written rows: rows are counted inside
+    one written part of a shard, and the parts' sizes are summed up, so no task ever holds a shard or all
+    rows of a key.  Other columns are left out.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = docs.select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), key.alias("_key"))
     rows = rows.withColumn("shard", rendezvous(F.col("_key"), weights))
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64("_key", "text_crc32"), F.lit(SLOT_GROUPS)).cast("int"))
-    inside = Window.partitionBy("shard", "_group").orderBy("_key", "text_crc32", "size")
-    sizes = rows.groupBy("shard", "_group").count()  # at most shards x groups rows
-    before = sizes.select("shard", "_group", (F.sum("count").over(Window.partitionBy("shard").orderBy("_group")) - F.col("count")).alias("_before"))
-    numbered = rows.withColumn("_row", F.row_number().over(inside)).join(F.broadcast(before), ["shard", "_group"])
-    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + F.col("_row") - 1).cast("long").alias("slot"), grown(F.col("_key"), F.col("shard"), weights, further).alias("grown_shard"))
+    rows = rows.withColumn("grown_shard", grown(F.col("_key"), F.col("shard"), weights, further)).drop("_key")
+    rows = stored(rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "shards")
+    sizes = rows.groupBy("shard", "_part").count()
+    before = sizes.select("shard", "_part", (F.sum("count").over(Window.partitionBy("shard").orderBy("_part")) - F.col("count")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_at"))
+    numbered = rows.withColumn("_row", inside).join(before, ["shard", "_part"])
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + F.col("_row") - 1).cast("long").alias("slot"), "grown_shard")
 
 
 def write(docs: DataFrame, weights: Sequence[float], path: str) -> None:
     """Write ``docs`` with its columns as one folder per shard; a ``shard`` column of the input is replaced."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    spread = F.pmod(F.xxhash64(key), F.lit(64))
+    spread = F.pmod(F.xxhash64(key, "text"), F.lit(64))
     docs.drop("shard").withColumn("shard", rendezvous(key, weights)).repartition("shard", spread).write.partitionBy("shard").parquet(path)

@@ -1,8 +1,8 @@
 """Token ids in wavelet-matrix shards: succinct bit planes with rank and select.
 
-One shard is one compressed file image: a JSON header line, then zstandard-compressed sections (the
-used ids, the document index, one bit plane per code bit, and the planes' running counts).  From it
-alone tokens can be read at any place, counted, and located.
+One shard is one compressed file image: a JSON header line, then zstandard-compressed sections (document
+ids, used ids, document offsets, each plane's running counts, and each plane in pieces).  Sections are
+inflated when first needed, so a token, a count or an occurrence costs a few pieces of each plane, not the file.
 """
 
 from __future__ import annotations
@@ -21,33 +21,78 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from palimpsest.llm.bpe import byte_characters
-from palimpsest.llm.common import shuffle_partitions
 from palimpsest.llm.segcodes import SegmentCoder
 from palimpsest.scratch import scratch
 
-MAGIC = b"WMX1\n"
+MAGIC = b"WMX2\n"
 #: Bits for which one running count is kept.
 BLOCK = 512
+#: Bits of a plane that are compressed together; a multiple of BLOCK.
+PIECE = 1 << 17
 #: Tokens after which a shard is closed; a document is never split, so one long document may exceed it.
 SHARD_TOKENS = 1 << 19
 
 
+class Planes:
+    """Bit planes in memory; counts[k] has the ones of plane k before each block."""
+
+    def __init__(self, planes: list[np.ndarray], length: int):
+        self.n, self.whole = len(planes), planes.__getitem__
+        blocks = -(-length // BLOCK)
+        self.counts = np.zeros((len(planes), blocks + 1), np.uint32)
+        for k, plane in enumerate(planes):
+            bits = np.bitwise_count(np.pad(plane, (0, blocks * (BLOCK // 8) - len(plane)))).reshape(blocks, -1).sum(axis=1, dtype=np.uint32)
+            np.cumsum(bits, out=self.counts[k, 1:])
+
+    def take(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Bytes of plane k at the given places; 0 past its end."""
+        plane = self.whole(k)
+        out = np.zeros(at.shape, np.uint8)
+        inside = at < len(plane)
+        out[inside] = plane[at[inside]]
+        return out
+
+
+class StoredPlanes:
+    """Bit planes of a shard file, inflated piece by piece on demand."""
+
+    def __init__(self, inflate, n: int):
+        self.inflate, self.n, self.known = inflate, n, {}
+
+    @property
+    def counts(self):
+        return self
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return np.frombuffer(self._get(("counts", k)), np.uint32)
+
+    def _get(self, name) -> bytes:
+        if name not in self.known:
+            self.known[name] = self.inflate(name)
+        return self.known[name]
+
+    def take(self, k: int, at: np.ndarray) -> np.ndarray:
+        out = np.zeros(at.shape, np.uint8)
+        piece, inside = at // (PIECE // 8), at % (PIECE // 8)
+        for j in np.unique(piece):
+            raw = np.frombuffer(self._get((k, int(j))), np.uint8)
+            mine = (piece == j) & (inside < len(raw))
+            out[mine] = raw[inside[mine]]
+        return out
+
+    def whole(self, k: int) -> np.ndarray:
+        parts, j = [], 0
+        while raw := self._get((k, j)):
+            parts.append(np.frombuffer(raw, np.uint8))
+            j += 1
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
 class WaveletMatrix:
     """A sequence of ids as bit planes over the ranks of the used ids, most significant bit first."""
 
-    def __init__(self, alphabet: np.ndarray, planes: list[np.ndarray], length: int, counts: np.ndarray | None = None):
+    def __init__(self, alphabet: np.ndarray, planes: Planes | StoredPlanes, length: int):
         self.alphabet, self.planes, self.length = alphabet, planes, length
-        #: ones before each block, one row per plane
-        self.counts = self._count() if counts is None else counts
-        self.zeros = [length - int(c[-1]) for c in self.counts]
-
-    def _count(self) -> np.ndarray:
-        blocks = -(-self.length // BLOCK)
-        out = np.zeros((len(self.planes), blocks + 1), np.uint32)
-        for k, plane in enumerate(self.planes):
-            bits = np.bitwise_count(np.pad(plane, (0, blocks * (BLOCK // 8) - len(plane)))).reshape(blocks, -1).sum(axis=1, dtype=np.uint32)
-            np.cumsum(bits, out=out[k, 1:])
-        return out
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -61,18 +106,21 @@ class WaveletMatrix:
             bit = (row & row.dtype.type(1 << k)) != 0
             planes.append(np.packbits(bit, bitorder="little"))
             row = np.concatenate([np.compress(~bit, row), np.compress(bit, row)])
-        return cls(alphabet, planes, len(ids))
+        return cls(alphabet, Planes(planes, len(ids)), len(ids))
+
+    def _zeros(self, k: int) -> int:
+        return self.length - int(self.planes.counts[k][-1])
 
     def _rank1(self, k: int, at: np.ndarray) -> np.ndarray:
-        """Ones among the first ``at`` bits of plane k."""
+        """Ones among the first ``at`` bits of plane k: the count of whole blocks, and of the bits of the last one."""
         block = at // BLOCK
-        out = self.counts[k][block].astype(np.int64)
-        for j in range(BLOCK // 8):  # whole bytes inside the block, then the part of a byte
+        out = self.planes.counts[k][block].astype(np.int64)
+        for j in range(BLOCK // 8):
             byte = block * (BLOCK // 8) + j
             bits = np.clip(at - byte * 8, 0, 8)
             if not (live := bits > 0).any():
                 break
-            value = self.planes[k][np.minimum(byte[live], len(self.planes[k]) - 1)]
+            value = self.planes.take(k, byte[live])
             out[live] += np.bitwise_count(value & ((1 << bits[live]) - 1).astype(np.uint8))
         return out
 
@@ -80,55 +128,65 @@ class WaveletMatrix:
         """The ids at the given places."""
         at = np.asarray(at, np.int64).copy()
         code = np.zeros(len(at), np.int64)
-        for k, plane in enumerate(self.planes):
-            bit = (plane[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        for k in range(self.planes.n):
+            bit = (self.planes.take(k, at >> 3) >> (at & 7).astype(np.uint8)) & 1
             ones = self._rank1(k, at)
-            at = np.where(bit == 1, self.zeros[k] + ones, at - ones)
+            at = np.where(bit == 1, self._zeros(k) + ones, at - ones)
             code = code << 1 | bit
         return self.alphabet[code]
 
-    def _walk(self, token: int, lo: int, hi: int) -> tuple[int, int, int] | None:
+    def _walk(self, token: int, lo, hi) -> tuple[int, np.ndarray, np.ndarray] | None:
+        """(code, begins, ends) of the last plane's ranges that hold the token's places in lo to hi - 1; None for an unused token."""
         code = int(np.searchsorted(self.alphabet, token))
         if code == len(self.alphabet) or self.alphabet[code] != token:
             return None
-        for k in range(len(self.planes)):
-            ones = self._rank1(k, np.array([lo, hi]))
-            if code >> (len(self.planes) - 1 - k) & 1:
-                lo, hi = self.zeros[k] + int(ones[0]), self.zeros[k] + int(ones[1])
-            else:
-                lo, hi = lo - int(ones[0]), hi - int(ones[1])
+        lo, hi = np.atleast_1d(np.asarray(lo, np.int64)), np.atleast_1d(np.asarray(hi, np.int64))
+        for k in range(self.planes.n):
+            a, b = self._rank1(k, lo), self._rank1(k, hi)
+            lo, hi = (self._zeros(k) + a, self._zeros(k) + b) if code >> (self.planes.n - 1 - k) & 1 else (lo - a, hi - b)
         return code, lo, hi
 
+    def counts_in(self, token: int, lo, hi) -> np.ndarray:
+        """How often ``token`` stands in each of the ranges of places lo to hi - 1."""
+        found = self._walk(token, lo, hi)
+        return found[2] - found[1] if found else np.zeros(len(np.atleast_1d(lo)), np.int64)
+
     def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
         """How often ``token`` stands in places lo to hi - 1."""
-        found = self._walk(token, lo, self.length if hi is None else hi)
-        return found[2] - found[1] if found else 0
+        return int(self.counts_in(token, lo, self.length if hi is None else hi)[0])
+
+    def _select(self, code: int, at: np.ndarray) -> np.ndarray:
+        """The places in the sequence of the given places of the last plane's order, by select in each plane upwards."""
+        for k in range(self.planes.n - 1, -1, -1):
+            one = code >> (self.planes.n - 1 - k) & 1
+            want = at - self._zeros(k) if one else at
+            row = self.planes.counts[k].astype(np.int64)
+            before = row if one else np.minimum(np.arange(len(row)) * BLOCK, self.length) - row
+            block = np.searchsorted(before, want, "right") - 1
+            raw = self.planes.take(k, block[:, None] * (BLOCK // 8) + np.arange(BLOCK // 8))
+            seen = np.cumsum(np.unpackbits(raw, axis=1, bitorder="little") == one, axis=1, dtype=np.int32)
+            at = block * BLOCK + (seen == (want - before[block] + 1)[:, None]).argmax(axis=1)
+        return at
 
     def select(self, token: int, n: int) -> int:
         """The place of the n-th (from 0) ``token``; -1 if there are fewer."""
         found = self._walk(token, 0, self.length)
-        if not found or not 0 <= n < found[2] - found[1]:
+        if not found or not 0 <= n < int(found[2][0] - found[1][0]):
             return -1
-        code, at, _ = found
-        at += n
-        for k in range(len(self.planes) - 1, -1, -1):
-            one = code >> (len(self.planes) - 1 - k) & 1
-            want = at - self.zeros[k] if one else at
-            row = self.counts[k].astype(np.int64)
-            before = row if one else np.minimum(np.arange(len(row)) * BLOCK, self.length) - row
-            block = int(np.searchsorted(before, want, "right")) - 1
-            bits = np.unpackbits(self.planes[k][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")[: self.length - block * BLOCK]
-            at = block * BLOCK + int(np.flatnonzero(bits == one)[want - before[block]])
-        return at
+        return int(self._select(found[0], found[1] + n)[0])
 
     def occurrences(self, token: int) -> np.ndarray:
-        return np.array([self.select(token, n) for n in range(self.count(token))], np.int64)
+        """All places of ``token`` in rising order, many at once."""
+        found = self._walk(token, 0, self.length)
+        at = np.arange(found[1][0], found[2][0]) if found else np.zeros(0, np.int64)
+        return np.concatenate([self._select(found[0], at[a : a + 2048]) for a in range(0, len(at), 2048)]) if len(at) else at
 
     def ids(self) -> np.ndarray:
         """The whole sequence, from the last plane up."""
-        row = np.zeros(self.length, np.uint16 if len(self.planes) <= 16 else np.uint32)
-        for j, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1], strict=True)):
-            bit = np.unpackbits(plane, count=self.length, bitorder="little").view(bool)
+        row = np.zeros(self.length, np.uint16 if self.planes.n <= 16 else np.uint32)
+        for j in range(self.planes.n):
+            k = self.planes.n - 1 - j
+            bit, zeros = np.unpackbits(self.planes.whole(k), count=self.length, bitorder="little").view(bool), self._zeros(k)
             up = np.empty_like(row)
             up[np.flatnonzero(~bit)] = row[:zeros]
             up[np.flatnonzero(bit)] = row[zeros:] | row.dtype.type(1 << j)
@@ -138,45 +196,83 @@ class WaveletMatrix:
 
 def to_file(matrix: WaveletMatrix, doc_ids: list, offsets: np.ndarray) -> bytes:
     press = zstandard.ZstdCompressor(level=1).compress
-    sections = [matrix.alphabet.tobytes(), offsets.astype(np.int64).tobytes(), matrix.counts.tobytes(), *(p.tobytes() for p in matrix.planes)]
-    packed = [press(x) for x in [json.dumps(doc_ids).encode(), *sections]]
-    head = {"length": matrix.length, "planes": len(matrix.planes), "block": BLOCK, "sections": [len(x) for x in packed]}
-    return MAGIC + json.dumps(head).encode() + b"\n" + b"".join(packed)
+    n, step = matrix.planes.n, PIECE // 8
+    parts = {"docs": json.dumps(doc_ids).encode(), "alphabet": matrix.alphabet.tobytes(), "offsets": offsets.astype(np.int64).tobytes()}
+    for k in range(n):
+        plane = matrix.planes.whole(k).tobytes()
+        parts[f"counts {k}"] = matrix.planes.counts[k].tobytes()
+        parts |= {f"{k} {j}": plane[j * step : (j + 1) * step] for j in range(-(-len(plane) // step))}
+    packed = {name: press(x) for name, x in parts.items()}
+    head = {"length": matrix.length, "planes": n, "sections": [[name, len(x)] for name, x in packed.items()]}
+    return MAGIC + json.dumps(head).encode() + b"\n" + b"".join(packed.values())
 
 
 def from_file(raw: bytes) -> tuple[WaveletMatrix, list, np.ndarray]:
-    """(matrix, document ids, document offsets) of a shard file."""
+    """(matrix, document ids, document offsets) of a shard file; planes and counts stay compressed until they are asked."""
+    raw = bytes(raw) if not isinstance(raw, bytes) else raw
     if not raw.startswith(MAGIC):
         raise ValueError("not a wavelet shard")
-    line = raw.index(b"\n", len(MAGIC)) + 1
-    head, parts, at = json.loads(raw[len(MAGIC) : line]), [], line
-    for size in head["sections"]:
-        parts.append(zstandard.decompress(raw[at : at + size]) if size else b"")
+    at = raw.index(b"\n", len(MAGIC)) + 1
+    head, where = json.loads(raw[len(MAGIC) : at]), {}
+    for name, size in head["sections"]:
+        where[name] = (at, at + size)
         at += size
-    counts = np.frombuffer(parts[3], np.uint32).reshape(head["planes"], -(-head["length"] // head["block"]) + 1)
-    matrix = WaveletMatrix(np.frombuffer(parts[1], np.uint32), [np.frombuffer(p, np.uint8) for p in parts[4:]], head["length"], counts)
-    return matrix, json.loads(parts[0]), np.frombuffer(parts[2], np.int64)
+    if at != len(raw):
+        raise ValueError("a wavelet shard is cut off")
+
+    def inflate(name) -> bytes:
+        a, b = where.get(name if isinstance(name, str) else f"{name[0]} {name[1]}", (0, 0))
+        return zstandard.decompress(raw[a:b]) if b > a else b""
+
+    matrix = WaveletMatrix(np.frombuffer(inflate("alphabet"), np.uint32), StoredPlanes(inflate, head["planes"]), head["length"])
+    return matrix, json.loads(inflate("docs")), np.frombuffer(inflate("offsets"), np.int64)
+
+
+#: The parts of a vocabulary file under which a plain word can be encoded by itself: words are runs of letters, cut
+#: from white space and marks, and spelled in bytes.  Fixed values of the file format.
+_LETTERS, _MARKS = r"[\p{L}]+", r"[^\s\p{L}\p{N}]+"
+
+
+def plain_words(spec: dict) -> tuple[bool, bool] | None:
+    """(whether words are lower-cased, whether a comma or full stop after a word is a token of its own) by the rules of
+    a tokenizer's JSON; None where these aren't rules for plain words, so that only the library may encode."""
+    normal = spec.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    steps = normal["normalizers"] if normal["type"] == "Sequence" else [normal]
+    harmless = lambda x: x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " "
+    before = spec.get("pre_tokenizer") or {}
+    cuts = before.get("pretokenizers", [])
+    if not all(map(harmless, steps)) or before.get("type") != "Sequence" or [x["type"] for x in cuts] != ["Split", "ByteLevel"]:
+        return None
+    split, spelled = cuts
+    choices = split["pattern"].get("Regex", "").split("|")
+    if split["behavior"] != "Removed" or not split["invert"] or _LETTERS not in choices or spelled["add_prefix_space"] or spelled["use_regex"] or spec["model"]["type"] != "BPE":
+        return None
+    return any(x["type"] == "Lowercase" for x in steps), _MARKS in choices
 
 
 @functools.lru_cache(maxsize=2)
 def coder(path: str) -> SegmentCoder:
-    """Encodes segments with the tokenizers library; plain Latin words go straight to its BPE model."""
+    """Encodes segments with the tokenizers library; where the file's rules allow, plain Latin words go straight to its BPE model."""
     tokenizer = Tokenizer.from_file(path)
-    shown = {b: c for b, c in enumerate(byte_characters())}
-    model, end = tokenizer.model, ",."
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    with open(path, encoding="utf-8") as f:
+        rules = plain_words(json.load(f))
+    shown, model = {b: c for b, c in enumerate(byte_characters())}, tokenizer.model
 
     def of_word(word: str) -> list[int]:
         spelled = word if word.isascii() else word.encode().decode("latin-1").translate(shown)
         return [t.id for t in model.tokenize(spelled)]
 
-    tails = {"": [], **{c: of_word(c) for c in end}}
+    tails = {c: of_word(c) for c in ",."} if rules and rules[1] else {}
 
     def encode_many(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out: list = [None] * len(segments)
         rest, known = [], {}
         for k, segment in enumerate(segments):
             text = segment.decode("utf-8")
-            word = text.strip(" \t\n\r\x0b\x0c").lower()
+            word = text.strip(" \t\n\r\x0b\x0c") if rules else ""
+            word = word.lower() if rules and rules[0] else word
             tail = word[-1:]
             if tail in tails:
                 word = word[: len(word) - len(tail)]
@@ -198,15 +294,15 @@ def coder(path: str) -> SegmentCoder:
 SHARD_SCHEMA = "part int, shard int, start long, n_docs long, n_tokens long, file binary"
 
 
-def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None) -> None:
+def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode each whole text, append ``end_id``, and write wavelet shards in ascending doc_id order.
 
     ``docs`` needs doc_id and text; other columns are ignored.  A null text counts as empty (its only
-    token is ``end_id``); null ids come first; rows that share an id stay separate, ordered by text.
+    token is ``end_id``); null ids come first; rows that share an id stay separate, ordered by a hash of the text.
     One row of the written table is one shard file; ``start`` counts tokens from its part's begin.
-    A part is one range of ids, so only one number per part is ever summed up over the whole table.
+    A part is one range of ids and hashes, so no id fills one alone, and only one number per part is ever
+    summed up over the whole table.
     """
-    n = partitions or shuffle_partitions(docs.sparkSession)
 
     def run(batches):
         part, shard, total = TaskContext.get().partitionId(), 0, 0
@@ -239,7 +335,8 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, s
         if ids:
             yield close()
 
-    by_id = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash").asc()]
+    by_id = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash")).repartitionByRange(*order).sortWithinPartitions(*order)
     by_id.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "none").parquet(path)
 
 
@@ -251,13 +348,19 @@ def read_shards(spark, path: str) -> DataFrame:
     return shards.join(F.broadcast(before), "part").withColumn("start", F.col("start") + F.col("_before")).drop("_before")
 
 
-def documents_of(shards: DataFrame) -> DataFrame:
-    """Per document, read back from the shard files: doc_id, start, n_tokens, ids_crc32."""
+def documents_of(shards: DataFrame, end_id: int = 2) -> DataFrame:
+    """Per document, read back from the shard files: doc_id, start, n_tokens, ids_crc32.
+
+    Every document must end with ``end_id``, which is read and counted in the stored planes.
+    """
 
     def run(batches):
         for batch in batches:
             for start, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 matrix, names, offsets = from_file(raw.as_py())
+                # The documents' ends by access and rank, the ids by decoding the planes in turn.
+                if len(names) and ((matrix.access(offsets[1:] - 1) != end_id).any() or (matrix.counts_in(end_id, offsets[:-1], offsets[1:]) < 1).any()):
+                    raise ValueError("a document of a shard doesn't end with the end token")
                 flat, ends = memoryview(matrix.ids().astype("<u4")).cast("B"), (offsets * 4).tolist()
                 crcs = [zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -269,7 +372,7 @@ def token_shards(docs: DataFrame, vocabulary: str, end_id: int = 2, path: str |
     """Write ``docs`` as shards (to ``path``, or to scratch space) and read every document back."""
     path = path or scratch(docs.sparkSession, "wavelet")
     write_shards(docs, vocabulary, path, end_id)
-    return documents_of(read_shards(docs.sparkSession, path))
+    return documents_of(read_shards(docs.sparkSession, path), end_id)
 
 
 def occurrence_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
@@ -286,3 +389,18 @@ def occurrence_counts(shards: DataFrame, tokens: list[int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(shard, pa.int32()), pa.array(list(tokens) * batch.num_rows, pa.int32()), pa.array(n, pa.int64())], names=["part", "shard", "token", "n"])
 
     return shards.select("part", "shard", "file").mapInArrow(run, "part int, shard int, token int, n long")
+
+
+def token_places(shards: DataFrame, token: int) -> DataFrame:
+    """doc_id, place: every occurrence of a token, by select alone; ``place`` counts from the document's begin."""
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column(0):
+                matrix, names, offsets = from_file(raw.as_py())
+                at = matrix.occurrences(token)
+                if len(at):
+                    doc = np.searchsorted(offsets, at, "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in doc], pa.int64()), pa.array(at - offsets[doc])], names=["doc_id", "place"])
+
+    return shards.select("file").mapInArrow(run, "doc_id long, place long")

@@ -84,16 +84,49 @@ def test_wavelet_matrix(values):
         at = np.flatnonzero(ids == token)
         assert matrix.count(token) == len(at) and matrix.occurrences(token).tolist() == at.tolist()
         assert matrix.count(token, len(ids) // 3, len(ids) // 2) == (ids[len(ids) // 3 : len(ids) // 2] == token).sum()
+        assert all(matrix.select(token, n) == at[n] for n in range(0, len(at), 7))
         assert matrix.select(token, len(at)) == -1
 
 
+def test_one_token_of_a_long_shard_reads_few_pieces():
+    ids = np.random.default_rng(1).integers(0, 3000, 2_000_000).astype(np.uint32)
+    matrix, _, _ = wavelet.from_file(wavelet.to_file(wavelet.WaveletMatrix.build(ids), [1], np.array([0, len(ids)])))
+    assert matrix.access([1_234_567])[0] == ids[1_234_567]
+    pieces = [name for name in matrix.planes.known if name[0] != "counts"]
+    assert len(pieces) <= 2 * matrix.planes.n < matrix.planes.n * len(ids) // wavelet.PIECE
+    assert matrix.occurrences(77).tolist() == np.flatnonzero(ids == 77).tolist()
+
+
+def test_rules_of_plain_words_come_from_the_file(tmp_path):
+    import json
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert wavelet.plain_words(spec) == (True, True)
+    cased = json.loads(json.dumps(spec))
+    cased["normalizer"]["normalizers"] = [x for x in cased["normalizer"]["normalizers"] if x["type"] != "Lowercase"]
+    stripped = json.loads(json.dumps(spec))
+    stripped["normalizer"]["normalizers"].append({"type": "StripAccents"})
+    assert wavelet.plain_words(cased) == (False, True) and wavelet.plain_words(stripped) is None
+    for k, other in enumerate((cased, stripped)):
+        path = str(tmp_path / f"{k}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(other, f)
+        own = Tokenizer.from_file(path)
+        texts = [t for t in HARD if t is not None] + ["Été à Paris, Brücke. The End"]
+        assert codes(wavelet.coder(path), texts) == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("n", [64, 1024, 1088, 4096, 64 * 5000])
 def test_matroska_round_trip(n):
     payload = random.Random(n).randbytes(n)
     raw = matroska.build(payload)
     found = matroska.read_packets(raw)
     assert matroska.payload_of(raw) == payload and found["tracks"] == {1: "A_PCM/INT/LIT"}
-    assert {place for _, _, place in found["cues"]} == found["clusters"]
+    assert {place: time for time, _, place in found["cues"]} == found["clusters"]
+    for time in found["clusters"].values():
+        group = matroska.FRAME * matroska.LACED * matroska.BLOCKS * matroska.SCALE
+        assert matroska.seek(raw, time + 5) == [p for p in found["packets"] if time <= p[1] < time + group]
     at = 0
     for track, time, lace, _, a, b in found["packets"]:
         assert track == 1 and time == (at - lace * matroska.FRAME) * matroska.SCALE
@@ -112,3 +145,18 @@ def test_matroska_lacing_unknown_sizes_and_groups():
     assert [(p[0], p[1], p[2], raw[p[4] : p[5]]) for p in found] == [(1, 15_000_000, 0, b"a" * 256), (1, 15_000_000, 1, b"bbb"), (1, 15_000_000, 2, b"cc"), (2, 16_000_000, 0, b"dd"), (2, 16_000_000, 1, b"ee")]
     with pytest.raises(ValueError):
         matroska.read_packets(raw[:-40])
+
+
+def test_damaged_matroska_streams_raise_one_error():
+    pick = random.Random(6)
+    whole = matroska.build(bytes(range(256)) * 40)
+    for _ in range(3000):
+        raw = bytearray(whole)
+        for _ in range(pick.randrange(1, 4)):
+            raw[pick.randrange(len(raw))] = pick.randrange(256)
+        raw = bytes(raw[: pick.randrange(len(raw)) if pick.random() < 0.3 else len(raw)])
+        for read in (matroska.read_packets, lambda x: matroska.seek(x, 10**9)):
+            try:
+                read(raw)
+            except ValueError:
+                pass

@@ -1,12 +1,14 @@
 """Each operator on small tables with nulls, empty and long texts, repeats, no rows, and clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.test_bytes import plain_shingles
 from tokenizers import Tokenizer
 
@@ -76,6 +78,8 @@ def test_wavelet_shards(spark, docs, rows, none, tmp_path):
     assert Counter(tuple(r) for r in got) == want and shards.count() > 5
     assert wavelet.occurrence_counts(shards, [2]).agg({"n": "sum"}).first()[0] == len(rows)
     assert wavelet.token_shards(none, path).count() == 0
+    places = Counter(r["doc_id"] for r in wavelet.token_places(shards, 2).collect())
+    assert places == Counter(r[0] for r in rows)
 
 
 def test_bpe_round_trip(docs, rows, none):
@@ -124,21 +128,33 @@ def test_suffix_dedup(spark, docs, rows, none, depth, anchor):
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     want = Counter((i, *x) for (i, *_), x in zip(rows, plain_removed([r[1] for r in rows], depth), strict=True))
     assert Counter(tuple(r) for r in repeats.measure(docs, depth, anchor).collect()) == want
-    cut = repeats.remove_repeats(docs, depth, anchor)
-    assert cut.columns == docs.columns and cut.count() == len(rows)
+    clash = docs.withColumnRenamed("source", "_row").withColumnRenamed("lang", "_spans")
+    cut = repeats.remove_repeats(clash, depth, anchor)
+    assert cut.columns == clash.columns and cut.count() == len(rows)
     assert repeats.measure(none, depth, anchor).count() == 0
 
 
-def test_matroska_columns(docs, rows, none):
+def test_matroska_columns(spark, docs, rows, none):
     got = matroska.read_back(matroska.mux(docs)).collect()
     assert len(got) == len(rows)
+    by_text = {}
     for r in got:
         raw = next((t or "").encode() for i, t, *_ in rows if i == r["doc_id"])
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        media, sound = matroska.build(payload), [x - 128 for x in payload]
+        groups = -(-len(payload) // (matroska.FRAME * matroska.LACED * matroska.BLOCKS))
+        turns = sum((a < 0) != (b < 0) for a, b in zip(sound, sound[1:], strict=False))
+        feature = f"packets={-(-len(payload) // matroska.FRAME)};clusters={groups};cues={groups};samples={len(payload)};peak={max(map(abs, sound))};sum={sum(sound)};crossings={turns}"
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, None)
+        assert tuple(r)[1:] == want and by_text.setdefault(raw, want) == want
     assert matroska.read_back(matroska.mux(none)).count() == 0
     packets = matroska.packets(matroska.mux(docs))
-    assert packets.count() >= len(rows)
+    assert packets.count() >= len(rows) and packets.where("error is not null").isEmpty()
+    good = matroska.build(b"x" * 6400)
+    bad = spark.createDataFrame([(1, 64, good), (2, 64, None), (3, 64, b""), (4, 64, good[:-30]), (5, 64, good[:60] + b"\0" + good[61:])], "doc_id long, n_bytes long, media binary")
+    errors = {r["doc_id"]: r["error"] for r in matroska.read_back(bad).collect()}
+    assert errors[1] is None and errors[2] == "no stream" and errors[4] and len(errors) == 5
+    assert matroska.packets(bad).where("error is not null").count() == sum(e is not None and k != 3 for k, e in errors.items())
 
 
 def plain_components(rows):
@@ -274,18 +290,39 @@ def test_license_passages(spark, none):
     assert licenses.passages(none).count() == 0
 
 
-def test_sharding(docs, rows, none):
+def plain_shard(key, weights):
+    draw = lambda k: -math.log((int(hashlib.md5(f"{key}:{k}".encode()).hexdigest()[:15], 16) + 1) / (2.0**60 + 1)) / weights[k]
+    return min((draw(k), k) for k in range(len(weights)) if weights[k] > 0)[1]
+
+
+def test_sharding(spark, docs, rows, none):
     weights = [1.0] * 7 + [3.0, 0.0]
-    got = sharding.assign(docs, weights).collect()
-    assert len(got) == len(rows) and all(r["grown_shard"] in (r["shard"], 9) and r["shard"] != 8 for r in got)
+    clash = docs.withColumnRenamed("source", "shard").withColumnRenamed("lang", "_part")
+    got = sharding.assign(clash, weights).collect()
+    assert len(got) == len(rows)
     slots = {}
     for r in got:
         raw = next((t or "").encode() for i, t, *_ in rows if i == r["doc_id"])
+        key = "null" if r["doc_id"] is None else str(r["doc_id"])
         assert (r["size"], r["text_crc32"], r["law"]) == (len(raw) + 16, zlib.crc32(raw), "key")
+        assert (r["shard"], r["grown_shard"]) == (plain_shard(key, weights), plain_shard(key, [*weights, 1.0]))
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert len({(r["doc_id"], r["shard"]) for r in got}) == len({r["doc_id"] for r in got})
     assert sharding.assign(none, weights).count() == 0
+    same = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one").alias("text")).repartition(5)
+    alike = sharding.assign(same, [1.0, 1.0])
+    assert sorted(r["slot"] for r in alike.collect()) == list(range(3000)) and alike.select("shard").distinct().count() == 1
+
+
+def test_prior_from_positives_and_unlabelled():
+    import numpy as np
+
+    pick = np.random.default_rng(5)
+    for share in (0.2, 0.5, 0.8):
+        side = lambda n, good: pick.normal(1.2 if good else -1.2, 1, (n, quality.WIDTH)).astype(np.float32)
+        unlabelled = np.vstack([side(int(4000 * share), True), side(int(4000 * (1 - share)), False)])
+        pick.shuffle(unlabelled)
+        assert abs(quality.estimate_prior(side(2000, True), unlabelled) - share) < 0.06
 
 
 def test_quality(spark, none):
@@ -298,9 +335,11 @@ def test_quality(spark, none):
         if i % 2:
             marks.append((i, int(good), 0))
     truth = {i: "***" not in t and "$$$" not in t for i, t, *_ in rows}
-    rows += [(1000, None, None, None, None), (1001, "", "en", "x", 0)]
+    rows += [(1000, None, None, None, None), (1001, "", "en", "x", 0), (None, "no id", "en", "x", 1), (1002, "word " * 40_000, "en", "x", 1), rows[0], rows[0]]
     labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
-    got = quality.score_quality(spark.createDataFrame(rows, DOCS), labels).collect()
+    clash = spark.createDataFrame(rows, DOCS).withColumnRenamed("source", "score").withColumnRenamed("lang", "quality")
+    got = quality.score_quality(clash, labels).collect()
+    assert len({r["score"] for r in got if r["doc_id"] == 0}) == 1 and len({r["score"] for r in got if r["doc_id"] in (1000, 1001)}) == 1
     held = [r for r in got if r["held_out"] and r["doc_id"] in truth]
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
     assert sum(truth[r["doc_id"]] == bool(r["predicted"]) for r in held) >= 0.97 * len(held)
