@@ -31,6 +31,18 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "All rights reserved."),
 ]
+#: Whole licence texts by identifier, without their copyright lines.  Fixed values.
+TEXTS = [
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+]
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.75
 
@@ -150,6 +162,34 @@ def passages(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
     return found.select("doc_id", "_m.license", "_m.template_no", "_m._t.*")
 
 
+def whole_texts(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, threshold: float = THRESHOLD) -> DataFrame:
+    """As ``passages`` for documents that as a whole are a licence text: all their words against whole templates.
+
+    ``first_word`` is 1 and ``n_words`` the document's words; ``template_no`` counts on after TEMPLATES.  A document
+    is compared with a template only if its number of different bigrams allows the threshold.
+    """
+    known = [(len(TEMPLATES) + k, name, template_bigrams(text)) for k, (name, text) in enumerate(texts)]
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    flat = F.concat(F.lit(" "), F.regexp_replace(lower, "[^a-z0-9]+", " "), F.lit(" "))
+    least = min(size_bounds(len(p), threshold)[0] for *_, p in known)
+    rows = docs.where(F.length("text") > 2 * least).select("doc_id", F.explode(F.array(flat)).alias("_flat"))
+    either = functools.reduce(lambda a, b: a | b, [F.col("_flat").contains(f" {p} ") for *_, pairs in known for p in gate(pairs, threshold)])
+    rows = rows.where(either).withColumn("_words", F.filter(F.split("_flat", " "), lambda w: w != ""))
+    rows = rows.select("doc_id", F.size("_words").alias("n_words"), F.explode(F.array(F.array_distinct(_pairs(F.col("_words"))))).alias("_pairs")).withColumn("n_window", F.size("_pairs"))
+    tries = []
+    for k, name, pairs in known:
+        shared = F.size(F.array_intersect("_pairs", F.array(*[F.lit(p) for p in pairs])))
+        tries.append(F.when(F.col("n_window").between(*size_bounds(len(pairs), threshold)), F.struct(F.lit(name).alias("license"), F.lit(k).alias("template_no"), shared.alias("n_shared"), F.lit(len(pairs)).alias("n"))))
+    found = rows.select("doc_id", "n_words", "n_window", F.explode(F.filter(F.array(*tries), lambda t: t.isNotNull())).alias("_t"))
+    dice = 2.0 * F.col("_t.n_shared") / (F.col("n_window") + F.col("_t.n"))
+    return found.where(2 * F.col("_t.n_shared") >= threshold * (F.col("n_window") + F.col("_t.n"))).select("doc_id", "_t.license", "_t.template_no", F.lit(1).alias("first_word"), "n_words", "_t.n_shared", "n_window", dice.alias("dice"))
+
+
+def notices(docs: DataFrame) -> DataFrame:
+    """All matches of ``passages`` and of ``whole_texts``: notices inside documents, and documents that are a licence."""
+    return passages(docs).unionByName(whole_texts(docs))
+
+
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
     """The same scan for DuckDB over the view ``documents``, without pruning."""
     rows = ", ".join("(%d, '%s', [%s])" % (k, name, ", ".join("'%s'" % p for p in template_bigrams(text))) for k, (name, text) in enumerate(templates))

@@ -47,7 +47,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.passages(table(spark, sf_dir, "documents"))
+    return licenses.notices(table(spark, sf_dir, "documents"))
 
 
 def op9_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

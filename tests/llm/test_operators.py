@@ -290,6 +290,29 @@ def test_license_passages(spark, none):
     assert licenses.passages(none).count() == 0
 
 
+def test_whole_license_texts(spark, none):
+    pick = random.Random(17)
+    wrapped = lambda t: "\n".join(" ".join(t.split()[i : i + 11]) for i in range(0, len(t.split()), 11))
+    rows = [(k, f"Copyright (c) 2020 Acme\n\n{wrapped(t)}") for k, (_, t) in enumerate(licenses.TEXTS)]
+    for i in range(30):
+        words = pick.choice(licenses.TEXTS)[1].split()
+        for _ in range(pick.randrange(60)):
+            words[pick.randrange(len(words))] = pick.choice(["the", "of", "SOFTWARE", ""])
+        rows.append((10 + i, " ".join(words)))
+    rows += [(50, None), (51, ""), (52, sentence(pick, 300)), (53, licenses.TEXTS[0][1] + " " + sentence(pick, 400)), (54, "word " * 60_000), (0, rows[0][1])]
+    want = Counter()
+    for i, text in rows:
+        a = set(licenses.template_bigrams(text or ""))
+        for k, (name, template) in enumerate(licenses.TEXTS):
+            b = set(licenses.template_bigrams(template))
+            if len(licenses.normal_words(text or "")) > 1 and 2 * len(a & b) >= 0.75 * (len(a) + len(b)):
+                want[i, name, len(licenses.TEMPLATES) + k, 1, len(licenses.normal_words(text)), len(a & b), len(a), round(2 * len(a & b) / (len(a) + len(b)), 9)] += 1
+    got = licenses.whole_texts(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_words int"))
+    assert Counter((*tuple(r)[:-1], round(r["dice"], 9)) for r in got.collect()) == want
+    assert {("MIT", 0), ("ISC", 1), ("BSD-2-Clause", 2)} <= {(k[1], k[0]) for k in want} and not any(k[0] in (52, 53) for k in want)
+    assert licenses.whole_texts(none).count() == 0
+
+
 def plain_shard(key, weights):
     draw = lambda k: -math.log((int(hashlib.md5(f"{key}:{k}".encode()).hexdigest()[:15], 16) + 1) / (2.0**60 + 1)) / weights[k]
     return min((draw(k), k) for k in range(len(weights)) if weights[k] > 0)[1]
