@@ -107,20 +107,23 @@ def exact_dups(rows: DataFrame, key: str, content: str) -> DataFrame:
     return rows.select(key, F.sha2(content, 256).alias("_h")).join(rows.groupBy(F.sha2(content, 256).alias("_h")).agg(F.min(key).alias("first")), "_h").select(key, "first")
 
 
-def near_dups(hashes: DataFrame, max_bits: int, bands: int = 8) -> DataFrame:
+def near_dups(hashes: DataFrame, max_bits: int, blocks: int = 6) -> DataFrame:
     """a, b, bits: pairs of different 64-bit hashes (id, hash) at most ``max_bits`` apart.
 
-    With more bands than wanted bits, some band of equal bits is sure, so bands are exact keys.  Equal
-    hashes are one class: only the least id of each stands for it, so copies give no pairs.
+    The bits are cut into ``blocks`` and keyed by every choice of all but ``max_bits`` of them: so many flipped
+    bits touch at most so many blocks, so some key is equal, and it is half of the hash or more, so that
+    only near hashes share one.  Equal hashes are one class: only the least id of each stands for it.
     """
-    if max_bits >= bands:
-        raise ValueError("max_bits must be less than bands")
-    width = 64 // bands
-    rows = hashes.groupBy("hash").agg(F.min("id").alias("id"))
-    keyed = rows.select("id", "hash", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("hash", k * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for k in range(bands)])).alias("_band"))
-    other = keyed.select(F.col("id").alias("b"), F.col("hash").alias("_h"), "_band")
+    if max_bits >= blocks:
+        raise ValueError("max_bits must be less than blocks")
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    mask = lambda chosen: sum(((1 << edges[k + 1]) - (1 << edges[k])) for k in chosen)
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = [F.struct(F.lit(i).alias("k"), F.col("hash").bitwiseAND(F.lit(signed(mask(c))).cast("long")).alias("v")) for i, c in enumerate(itertools.combinations(range(blocks), blocks - max_bits))]
+    keyed = hashes.groupBy("hash").agg(F.min("id").alias("id")).select("id", "hash", F.explode(F.array(*keys)).alias("_key"))
+    other = keyed.select(F.col("id").alias("b"), F.col("hash").alias("_h"), "_key")
     bits = F.bit_count(F.col("hash").bitwiseXOR(F.col("_h")))
-    return keyed.join(other, "_band").where("id < b").select(F.col("id").alias("a"), "b", bits.alias("bits")).where(F.col("bits") <= max_bits).distinct()
+    return keyed.join(other, "_key").where("id < b").select(F.col("id").alias("a"), "b", bits.alias("bits")).where(F.col("bits") <= max_bits).distinct()
 
 
 def content_hashes(rows: DataFrame, key: str, content: str) -> DataFrame:
@@ -223,32 +226,32 @@ def unit_norms(vectors: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     return vectors.select("vec_id", (F.abs(dot(F.col("embedding"), F.col("embedding")) - 1.0) <= tolerance).alias("ok"))
 
 
+#: Vectors of one side of a comparison.
+VECTORS = 4096
+
+
 def similar_pairs(queries: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     """a, b, cosine for a stated query set against all vectors: unit vectors, so the cosine is the dot product.
 
-    Queries go to every task in blocks of bounded size; vectors are scanned once per block.
+    Both sides are dealt into blocks of about VECTORS by a hash of the id, and every two blocks meet in one
+    group, so memory is bounded and nothing passes through the driver.
     """
-    spark, out = vectors.sparkSession, None
-    rows = queries.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()
     schema = "a long, b long, cosine double"
-    while True:
-        block = [r for _, r in zip(range(20_000), rows)]  # noqa: B905
-        if not block:
-            return spark.createDataFrame([], schema) if out is None else out
-        sent = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in block]), np.array([r["embedding"] for r in block], np.float64)))
-
-        def run(parts, sent=sent):
-            ids, q = sent.value
-            for pdf in parts:
-                if len(pdf):
-                    at = q @ np.stack(pdf["embedding"].to_numpy()).astype(np.float64).T
-                    i, j = np.nonzero(at >= least)
-                    mine = pdf["vec_id"].to_numpy()
-                    ok = ids[i] != mine[j]
-                    yield pd.DataFrame({"a": ids[i][ok], "b": mine[j][ok], "cosine": at[i[ok], j[ok]]})
-
-        found = vectors.select("vec_id", "embedding").mapInPandas(run, schema)
-        out = found if out is None else out.unionByName(found)
+    blocks = [max(1, -(-x.count() // VECTORS)) for x in (queries, vectors)]
+    side = lambda x, k: F.pmod(F.xxhash64("vec_id"), F.lit(blocks[k])).cast("int").alias(x)
+    every = lambda x, k: F.explode(F.sequence(F.lit(0), F.lit(blocks[k] - 1))).alias(x)
+    asked = queries.select(F.col("vec_id").alias("a"), F.col("embedding").alias("q"), side("_i", 0), every("_j", 1))
+    given = vectors.select(F.col("vec_id").alias("b"), F.col("embedding").alias("v"), every("_k", 0), side("_l", 1))
+
+    def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64"})
+        at = np.stack(q["q"].to_numpy()).astype(np.float64) @ np.stack(v["v"].to_numpy()).astype(np.float64).T
+        i, j = np.nonzero(at >= least)
+        out = pd.DataFrame({"a": q["a"].to_numpy()[i], "b": v["b"].to_numpy()[j], "cosine": at[i, j]})
+        return out[out["a"] != out["b"]]
+
+    return asked.groupBy("_i", "_j").cogroup(given.groupBy("_k", "_l")).applyInPandas(run, schema)
 
 
 def capture_facts(exif: DataFrame) -> DataFrame:

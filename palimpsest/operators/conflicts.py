@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.records import interval_bracket
+
 START, END = "construction_started", "demolition_completed"
 
 
@@ -80,3 +83,35 @@ def fighting_pairs(bag: DataFrame, kind: str) -> DataFrame:
     late = claims.join(edges, "rep").where("lo > _h").select("rep", F.col("fact_id").alias("_x"), F.col("lo").alias("_lo"))
     early = claims.join(edges, "rep").where("hi < _l").select("rep", F.col("fact_id").alias("_y"), F.col("hi").alias("_hi"))
     return early.join(late, "rep").where("_hi < _lo").select("rep", F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+
+
+def _meet(dates: list[list[tuple]]) -> list[tuple]:
+    """The intervals that all of some unions of intervals cover; infinities are open ends."""
+    now = [(float("-inf"), float("inf"))]
+    for date in dates:
+        now = [(max(a, c), min(b, d)) for a, b in now for c, d in date if max(a, c) <= min(b, d)]
+    return now
+
+
+def minimal_fighting_set(claims: DataFrame, key: str) -> DataFrame:
+    """key, facts: one irreducible set of claims without a common day, for each group whose consensus is empty.
+
+    ``claims`` has the key, fact_id and date (disjoint closed intervals; null is an open end).  Claims are dropped
+    in the order of their ids as long as the rest still has no common day.  Of claims with one date the
+    dropping leaves the last alone, so only that one of each date is gathered.
+    """
+    torn = interval_bracket(claims, key).where("conflict").select(key)
+    rows = claims.join(torn, key).groupBy(key, "date").agg(F.max("fact_id").alias("fact_id"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("fact_id")
+        end = lambda v, open_: open_ if pd.isna(v) else v
+        dates = [[(end(i["lo"], float("-inf")), end(i["hi"], float("inf"))) for i in date] for date in pdf["date"]]
+        keep = list(range(len(dates)))
+        for k in range(len(dates)):
+            rest = [x for x in keep if x != k]
+            if rest and not _meet([dates[x] for x in rest]):
+                keep = rest
+        return pd.DataFrame({key: pdf[key].iloc[:1], "facts": [[int(pdf["fact_id"].iloc[k]) for k in keep]]})
+
+    return rows.groupBy(key).applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, facts array<bigint>")

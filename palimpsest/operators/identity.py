@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.components import components
+from palimpsest.scratch import stored
 
 
 def representatives(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -26,16 +27,29 @@ def class_members(log: DataFrame, n: int) -> DataFrame:
 
 
 def update_reps(log: DataFrame, members: DataFrame, edges: DataFrame, as_of: int) -> DataFrame:
-    """member, as_of, rep: the rows to append so that the log agrees with the components of ``edges``.
+    """member, as_of, rep: the rows to append so that the log agrees with the components of all ``edges``.
 
-    Only the classes of members that the edges touch, or that the log had moved, can differ, and only
-    members whose representative changed get a row; merges and splits are the same comparison.
+    Only members whose representative changed get a row; merges and splits are the same comparison.
     """
     before = resolve_reps(members.select("member").distinct(), log, as_of)
     now = representatives(members, edges).withColumnRenamed("rep", "_now")
     return before.join(now, "member").where("rep <> _now").select("member", F.lit(as_of).cast("long").alias("as_of"), F.col("_now").alias("rep"))
 
 
+def update_touched(log: DataFrame, edges: DataFrame, touched: DataFrame, as_of: int) -> DataFrame:
+    """As ``update_reps``, from the classes of the ``touched`` members (ends of added or removed edges) alone.
+
+    ``edges`` are those that hold now.  No other class can change, so components are solved over the touched
+    classes' members and their edges only.
+    """
+    seeds = touched.select("member").distinct()
+    classes = resolve_reps(seeds, log, as_of).select("rep").distinct()
+    last = class_members(log, as_of).join(classes, "rep", "left_semi").select("member")
+    own = stored(seeds.unionByName(last).unionByName(classes.select(F.col("rep").alias("member"))).distinct(), "touched")
+    inside = edges.join(own.withColumnRenamed("member", "a"), "a", "left_semi").select("a", "b")
+    return update_reps(log, own, inside, as_of)
+
+
 def match_entities(decls: DataFrame, decl_refs: DataFrame, known_names: DataFrame, known_refs: DataFrame, reps: DataFrame) -> DataFrame:
     """decl, n_candidates, rep, outcome (matched, ambiguous or new) for each declaration.
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.scratch import stored
+
 #: Circles of a merged location beyond which the verdict is pending.
 MAX_CIRCLES = 1000
 _EARTH = 6371008.8
@@ -40,23 +42,41 @@ def _unit(lat, lon) -> np.ndarray:
 
 
 def caps_meet(lat, lon, radius_m) -> bool:
-    """Whether spherical circles share a point: a centre, or a crossing of two rims, lies in all of them."""
+    """Whether spherical circles share a point: a centre, or a crossing of two rims, lies in all of them.
+
+    Points are tried in small steps and the first one inside all circles ends the search, so memory is that
+    of one circle's crossings with the others.
+    """
     at, r = _unit(np.asarray(lat, float), np.asarray(lon, float)), np.minimum(np.asarray(radius_m, float) / _EARTH, np.pi)
-    tries = [at]
+    order = np.argsort(r, kind="stable")  # a common point is inside the smallest circle, so its rim is tried first
+    at, r = at[order], r[order]
+
+    def inside(points) -> bool:
+        for a in range(0, len(points), 256):
+            left = points[a : a + 256]
+            for c in range(0, len(at), 256):  # most points are outside one of the first circles
+                left = left[(np.arccos(np.clip(left @ at[c : c + 256].T, -1, 1)) <= r[c : c + 256] + 1e-9).all(axis=1)]
+                if not len(left):
+                    break
+            if len(left):
+                return True
+        return False
+
+    if inside(at):
+        return True
     for i in range(len(at)):
-        for j in range(i):
-            n = np.cross(at[i], at[j])
-            s = n @ n
-            if s < 1e-18:
-                continue
-            d, ci, cj = at[i] @ at[j], np.cos(r[i]), np.cos(r[j])
-            base = ((ci - d * cj) * at[i] + (cj - d * ci) * at[j]) / s
-            rest = (1 - base @ base) / s
-            if rest >= 0:
-                tries.append(np.stack([base + np.sqrt(rest) * n, base - np.sqrt(rest) * n]))
-    points = np.concatenate(tries)
-    gap = np.arccos(np.clip(points @ at.T, -1, 1))
-    return bool((gap <= r + 1e-9).all(axis=1).any())
+        n = np.cross(at[i], at[i + 1 :])
+        s = (n * n).sum(axis=1)
+        d, ci, cj = at[i + 1 :] @ at[i], np.cos(r[i]), np.cos(r[i + 1 :])
+        ok = s >= 1e-18
+        n, s, d, cj, other = n[ok], s[ok], d[ok], cj[ok], at[i + 1 :][ok]
+        base = ((ci - d * cj) / s)[:, None] * at[i] + ((cj - d * ci) / s)[:, None] * other
+        rest = (1 - (base * base).sum(axis=1)) / s
+        ok = rest >= 0
+        step = np.sqrt(rest[ok])[:, None] * n[ok]
+        if inside(np.concatenate([base[ok] + step, base[ok] - step])):
+            return True
+    return False
 
 
 def location_bracket(circles: DataFrame, key: str) -> DataFrame:
@@ -78,23 +98,20 @@ def location_bracket(circles: DataFrame, key: str) -> DataFrame:
 
 
 def connecting_glue(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """member, rep, glue: the edge ids on a shortest path from each member to its representative, least ids first.
+    """member, rep, glue: the edge ids on a shortest path from each member to its representative.
 
-    ``members`` has member and rep; ``edges`` edge_id, a and b inside classes.  A class is small by nature.
+    Of shortest paths the one with the least ids, compared from the representative's end.  ``members`` has
+    member and rep; ``edges`` edge_id, a and b inside classes.  All classes grow by one edge in each round, in
+    joins, so no task walks a class.
     """
-    own = edges.join(members.withColumnRenamed("member", "a"), "a").select("rep", "edge_id", "a", "b")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rep, near = pdf["rep"].iloc[0], {}
-        for e, a, b in sorted(zip(pdf["edge_id"], pdf["a"], pdf["b"], strict=True)):
-            near.setdefault(a, []).append((e, b))
-            near.setdefault(b, []).append((e, a))
-        path, todo = {rep: []}, [rep]
-        for x in todo:
-            for e, y in near.get(x, []):
-                if y not in path:
-                    path[y] = [*path[x], int(e)]
-                    todo.append(y)
-        return pd.DataFrame({"member": list(path), "rep": rep, "glue": [p[::-1] for p in path.values()]})
-
-    return own.groupBy("rep").applyInPandas(run, "member long, rep long, glue array<long>")
+    both = edges.select("edge_id", "a", "b").unionByName(edges.select("edge_id", F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
+    both = stored(both.distinct(), "edges")
+    none = F.array().cast("array<bigint>")
+    found = frontier = stored(members.select(F.col("rep").alias("member"), "rep", none.alias("path")).distinct(), "paths")
+    while True:
+        near = frontier.withColumnRenamed("member", "a").join(both, "a").select(F.col("b").alias("member"), "rep", F.concat("path", F.array(F.col("edge_id").cast("long"))).alias("path"))
+        new = near.groupBy("member", "rep").agg(F.min("path").alias("path")).join(found.select("member"), "member", "left_anti")
+        frontier = stored(new.select("member", "rep", "path"), "paths")
+        if frontier.isEmpty():
+            return found.join(members.select("member", "rep"), ["member", "rep"], "left_semi").select("member", "rep", F.reverse("path").alias("glue"))
+        found = found.unionByName(frontier)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, text
 from palimpsest.operators import capture, graph, identity, ingest, labels, listing
-from palimpsest.plans.claim_queries import _BOUNDS, _LIFE, _bag_sql, bag
+from palimpsest.plans.claim_queries import _BOUNDS, _LIFE, _VERDICT, _bag_sql
 from palimpsest.plans.registry import query
 from palimpsest.scratch import scratch, stored
 from palimpsest.sources import dumps
@@ -145,13 +145,13 @@ def job6_exact_dups(spark, d):
     return capture.exact_dups(T.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-_HASH = "xor(cast('0x' || substr(md5(substr(text, 1, 60)), 1, 15) as bigint), cast(1 as bigint) << (doc_id % 60)::int)"
+_HASH = "xor(cast('0x' || substr(md5(text), 1, 15) as bigint), cast(1 as bigint) << (doc_id % 60)::int)"
 
 
 @query(f"""with h as (select hash, min(doc_id) as id from (select doc_id, {_HASH} as hash from documents) group by hash)
 select a.id as a, b.id as b, bit_count(xor(a.hash, b.hash))::int as bits from h a join h b on a.id < b.id where bit_count(xor(a.hash, b.hash)) <= 3""")
 def job6_near_dups(spark, d):
-    h = F.conv(F.substring(F.md5(F.substring("text", 1, 60).cast("binary")), 1, 15), 16, 10).cast("long")
+    h = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 15), 16, 10).cast("long")
     bit = F.expr("shiftleft(1L, cast(doc_id % 60 as int))")
     return capture.near_dups(T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), h.bitwiseXOR(bit).alias("hash")), 3)
 
@@ -164,7 +164,7 @@ def job6_near_contents(spark, d):
 
 @query()
 def job7_clean_detections(spark, d):
-    x = T.table(spark, d, "lineitem").select((F.col("l_orderkey") % 500).alias("image"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("mask"), (F.col("l_discount") + F.col("l_tax")).alias("score"), F.lit(64).alias("width"), (F.col("l_partkey") % 4000).alias("_s"), F.col("l_quantity").cast("int").alias("_q"))
+    x = T.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("mask"), (F.col("l_discount") + F.col("l_tax")).alias("score"), F.lit(64).alias("width"), (F.col("l_partkey") % 4000).alias("_s"), F.col("l_quantity").cast("int").alias("_q"))
     runs = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda r: F.struct((F.col("_s") + r * 64).alias("start"), (F.col("_s") + r * 64 + F.col("_q")).alias("end")))
     return capture.clean_detections(x.select("image", "mask", "score", "width", runs.alias("runs")), 20)
 
@@ -201,7 +201,7 @@ def job10_capture_facts(spark, d):
 @query()
 def agg4_location_bracket(spark, d):
     p = T.points(spark, d)
-    return labels.location_bracket(p.select((F.col("fact_id") % 400).alias("rep"), "lat", "lon", (F.col("fact_id") % 7 * 2_000_000.0).alias("radius_m")), "rep")
+    return labels.location_bracket(p.select(F.expr("fact_id div 4").alias("rep"), "lat", "lon", (F.col("fact_id") % 7 * 2_000_000.0).alias("radius_m")), "rep")
 
 
 @query("select n_nationkey as rep, array_to_string(list_sort(list_distinct(list('a' || s_suppkey % 5))), ' ') as label from supplier join nation on s_nationkey = n_nationkey group by 1")
@@ -212,12 +212,12 @@ def agg20_provenance_label(spark, d):
     return labels.label_sum(rows, "rep", "label").select("rep", F.array_join(F.transform("label", lambda e: F.array_join(e, "+")), " ").alias("label"))
 
 
-@query("select c_custkey as member, c_custkey - c_custkey % 5 as rep, (c_custkey % 5)::int as hops from customer where c_custkey - c_custkey % 5 + 1 <= (select max(c_custkey) from customer)")
+@query("select c_custkey as member, c_custkey - c_custkey % 5 as rep, array_to_string(range(c_custkey, c_custkey - c_custkey % 5, -1), ',') as glue from customer ")
 def jn16_connecting_glue(spark, d):
     c = T.table(spark, d, "customer").select(F.col("c_custkey").alias("member"))
     edges = c.where("member % 5 <> 0").select(F.col("member").alias("edge_id"), F.col("member").alias("a"), (F.col("member") - 1).alias("b"))
     glue = labels.connecting_glue(c.withColumn("rep", F.col("member") - F.col("member") % 5), edges)
-    return glue.select("member", "rep", F.size("glue").alias("hops")).join(c, "member", "left_semi")
+    return glue.select("member", "rep", F.array_join(F.col("glue").cast("array<string>"), ",").alias("glue"))
 
 
 @query(sql("owned_events", """, m as (select owner as rep, event, role, day, case event % 3 when 0 then 'construction' when 1 then 'other' else 'demolition' end as stage, event % 3 as s, case when role = 'started' then 0 else 1 end as r from owned_events join
@@ -244,9 +244,23 @@ def str1_continuous_append(spark, d):
     return out.select("fact", "commit_id").crossJoin(F.broadcast(ids))
 
 
+def class_reps(spark, d, f):
+    return stored(identity.representatives(f.select(F.col("entity").alias("member")), T.same_edges(spark, d)), "reps")
+
+
 @query(_bag_sql(_LIFE, "select rep, earliest, affirmed, reached, floor, denies_after, claimed_through, unbounded, claimed from life"))
 def str2_streaming_lifespan(spark, d):
-    return jobs.streaming_lifespan(jobs.log_stream(spark, bag(spark, d)))
+    """Facts and retractions in the order of the log; late retractions take back what earlier batches folded."""
+    f = T.facts(spark, d)
+    return jobs.streaming_lifespan(jobs.log_stream(spark, f, 3), class_reps(spark, d, f))
+
+
+@query(_bag_sql(f"{_LIFE},\n{_VERDICT}", "select rep, verdict from verdicts where day = 25 and verdict <> 'unknown'"))
+def str2_verdict_changes(spark, d):
+    """The last of each class's changes leads to the verdict of the whole log."""
+    f = T.facts(spark, d)
+    changes = jobs.verdict_changes(jobs.lifespan_log(jobs.log_stream(spark, f, 3), class_reps(spark, d, f)), 25)
+    return changes.groupBy("rep").agg(F.max_by("after", "batch").alias("verdict")).where("verdict <> 'unknown'")
 
 
 @query(_bag_sql(_BOUNDS, """select rep, bound, case when bound = 'floor' then arg_min(fact_id, (-hi, fact_id)) else arg_min(fact_id, (lo, fact_id)) end as witness

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import geo, text
-from palimpsest.operators import existence, filters, folds, identity, listing, maps, records, snapshot
+from palimpsest.operators import conflicts, existence, filters, folds, identity, listing, maps, records, snapshot
 from palimpsest.plans.claim_queries import _LIFE, _VERDICT, _WINDOW, bag
 from palimpsest.plans.map_queries import _NORM, _REF_URL, urls
 from palimpsest.plans.registry import query
@@ -154,3 +154,51 @@ def agg1_interval_unions(spark, d):
     b = bag(spark, d).where("lo is null or hi is null or lo <= hi").withColumn("date", date)
     days = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, i: s + F.least(F.coalesce(i["hi"], F.lit(99999)), F.lit(99999)) - F.greatest(F.coalesce(i["lo"], F.lit(-99999)), F.lit(-99999)) + 1)
     return records.interval_bracket(b, "rep", "kind").select("rep", "kind", "support", days(F.col("consensus")).alias("agreed_days"), days(F.col("extent")).alias("any_days"), "conflict")
+
+
+@query("select event_id, 'Q' || (event_id % 30) as q, event_id % 30 <> 0 as item, event_id % 3 = 1 and event_id % 7 <> 0 as property, case event_id % 4 when 0 then 'de' when 1 then 'en' when 2 then 'zh' end as subtag from events")
+def sca17_ids_and_subtags(spark, d):
+    i = F.col("event_id")
+    q = F.concat(F.lit("Q"), (i % 30).cast("string"))
+    p = F.concat(F.element_at(F.array(*map(F.lit, ("p", "P", "PP"))), (i % 3 + 1).cast("int")), (i % 7).cast("string"))
+    tag = F.element_at(F.array(*map(F.lit, ("de", "EN-gb", "zh-Hant-TW", "1x"))), (i % 4 + 1).cast("int"))
+    return T.table(spark, d, "events").select("event_id", q.alias("q"), text.is_item_id(q).alias("item"), text.is_property_id(p).alias("property"), text.language_subtag(tag).alias("subtag"))
+
+
+@query("""select c as seq, sha256('{"author":"u' || min(user_id) || '","recorded_at":"' || strftime(date_trunc('second', min(ts)), '%Y-%m-%dT%H:%M:%SZ') || '","facts":[' || array_to_string(list_sort(list(event_id)), ',') || ']}') as commit_id from (select *, event_id // 10 as c from events) group by c""")
+def sca14_commit_ids(spark, d):
+    e = T.table(spark, d, "events").groupBy(F.expr("event_id div 10").alias("seq")).agg(F.min("user_id").alias("u"), F.min("ts").alias("ts"), F.collect_list("event_id").alias("facts"))
+    return e.select("seq", text.commit_id(F.concat(F.lit("u"), F.col("u").cast("string")), F.col("ts"), F.col("facts")).alias("commit_id"))
+
+
+@query()
+def sca9_circle_rectangles(spark, d):
+    """Distance of each point to the next one, and the rectangles that hold the circle through it."""
+    p = T.points(spark, d)
+    far = p.select((F.col("fact_id") - 1).alias("fact_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    x = p.join(far, "fact_id").withColumn("metres", geo.geodesic_m("lat", "lon", "lat2", "lon2"))
+    return x.select("fact_id", "lat", "lon", "lat2", "lon2", "metres", geo.bounding_rects(F.col("lat"), F.col("lon"), F.col("metres")).alias("rects"))
+
+
+@query()
+def agg15_minimal_sets(spark, d):
+    """Starts of classes without a common day, every fourth of two intervals: an irreducible set of each."""
+    one = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    two = F.array(one(F.col("lo"), F.col("hi")), one(F.col("hi") + 5, F.col("hi") + 9))
+    date = F.when((F.col("fact_id") % 4 == 0) & F.col("lo").isNotNull() & F.col("hi").isNotNull(), two).otherwise(F.array(one(F.col("lo"), F.col("hi"))))
+    claims = bag(spark, d).where("kind = 'existence' and (lo is null or hi is null or lo <= hi)").select("rep", "fact_id", date.alias("date"))
+    return conflicts.minimal_fighting_set(claims, "rep")
+
+
+@query(sql("rep_log", """, e(a, b) as (select c_custkey, c_custkey - 1 from customer where c_custkey % 5 <> 0),
+now as (select c_custkey as member, c_custkey - c_custkey % 5 as rep from customer),
+was as (select member, arg_max(greatest(rep, member - member % 5), as_of) as rep from rep_log where member % 10 < 5 group by member),
+touched as (select now.member from now where now.rep % 10 = 0)
+select now.member, 1000000000::bigint as as_of, now.rep from now join touched using (member) left join was using (member) where now.rep <> coalesce(was.rep, now.member) and now.rep % 10 = 0""").replace("\n, e(", ",\ne("))
+def gr5_update_touched(spark, d):
+    """Upkeep of every other class, over a log that is right for its own members."""
+    c = T.table(spark, d, "customer").select(F.col("c_custkey").alias("member"))
+    rep = F.col("member") - F.col("member") % 5
+    log = T.rep_log(spark, d).where("member % 10 < 5").withColumn("rep", F.greatest("rep", F.col("member") - F.col("member") % 5))
+    edges = c.where("member % 5 <> 0").select(F.col("member").alias("a"), (F.col("member") - 1).alias("b"))
+    return identity.update_touched(log, edges, c.where(rep % 10 == 0), 1_000_000_000)

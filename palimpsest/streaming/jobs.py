@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructField, StructType
 
-from palimpsest.operators import conflicts, identity, snapshot
+from palimpsest.operators import conflicts, existence, identity, snapshot
 from palimpsest.scratch import scratch, stored
 
-#: The seven values of a lifespan and how each is folded.  Fixed values.
-FOLDS = {"earliest": min, "affirmed": max, "reached": max, "floor": max, "denies_after": min, "claimed_through": max}
-FLAGS = ["unbounded", "claimed"]
-
 
 def log_stream(spark: SparkSession, facts: DataFrame, files: int = 4, order: str = "fact_id") -> DataFrame:
     """``facts`` written as files in log order, and read back as a stream of one file per trigger."""
@@ -28,42 +23,6 @@ def run_to_end(stream: DataFrame, each, mode: str = "append") -> None:
     q.awaitTermination()
 
 
-def streaming_lifespan(stream: DataFrame) -> DataFrame:
-    """rep and the lifespan's values from a stream of dated facts (rep, kind, lo, hi), by keyed state.
-
-    The fold is commutative, associative and idempotent, so neither order nor a replay matters and no
-    watermark is needed; each batch emits the entities that it changed.
-    """
-    spark, out = stream.sparkSession, scratch(stream.sparkSession, "lifespan")
-    kind, lo, hi = F.col("kind"), F.col("lo").cast("long"), F.col("hi").cast("long")
-    done = kind == "demolition_completed"
-    per = stream.select(
-        F.col("rep").cast("long").alias("rep"), F.coalesce(lo, hi).alias("earliest"), F.coalesce(hi, lo).alias("affirmed"), F.when(~done, lo).alias("reached"), F.when(kind == "construction_started", lo).alias("floor"),
-        F.when(done, hi).alias("denies_after"), F.when(done, hi).alias("claimed_through"), ((kind == "demolition_started") | (done & hi.isNull())).alias("unbounded"), kind.isin("demolition_started", "demolition_completed").alias("claimed"),
-    )
-    names = [*FOLDS, *FLAGS]
-    state_schema = ", ".join([*(f"{c} long" for c in FOLDS), *(f"{c} boolean" for c in FLAGS)])
-
-    def fold(key, parts, state: GroupState):
-        now = dict(zip(names, state.get if state.exists else [None] * len(FOLDS) + [False] * len(FLAGS), strict=True))
-        for pdf in parts:
-            for c, f in FOLDS.items():
-                seen = pdf[c].dropna()
-                if len(seen):
-                    value = int(seen.min() if f is min else seen.max())
-                    now[c] = value if now[c] is None else f(now[c], value)
-            for c in FLAGS:
-                now[c] = bool(now[c] or pdf[c].any())
-        state.update(tuple(now.values()))
-        yield pd.DataFrame([(key[0], *now.values())], columns=["rep", *names]).astype({c: "Int64" for c in FOLDS})
-
-    updates = per.groupBy("rep").applyInPandasWithState(fold, f"rep long, {state_schema}", state_schema, "update", GroupStateTimeout.NoTimeout)
-    run_to_end(updates, lambda batch, i: batch.withColumn("_batch", F.lit(i)).write.mode("append").parquet(out), "update")
-    rows = spark.read.schema(f"rep long, {state_schema}, _batch long").parquet(out)
-    last = rows.groupBy("rep").agg(F.max_by(F.struct(*names), "_batch").alias("_x"))
-    return last.select("rep", "_x.*")
-
-
 def continuous_append(bundles: DataFrame, first: int = 0) -> DataFrame:
     """Append a stream of bundles (commit_id, ts, fact): unknown ones get ids and are written, re-sent ones do nothing.
 
@@ -83,19 +42,18 @@ def continuous_append(bundles: DataFrame, first: int = 0) -> DataFrame:
     return spark.read.schema(schema).parquet(out)
 
 
-def conflict_alerts(stream: DataFrame, reps: DataFrame) -> DataFrame:
-    """The temporal conflicts after a stream of facts, kept per entity.
+def _refolded(stream: DataFrame, reps: DataFrame, fold, key: str = "rep") -> DataFrame:
+    """fold(live facts of classes) after each batch of a stream of facts, for the classes that the batch touches, with ``batch``.
 
-    Retraction isn't monotone: each batch joins the log, and only the entities that it touches (by new
-    facts, or by retractions of theirs) are derived again from the whole log.
+    Retraction isn't monotone: a batch touches the classes of its new facts and of all that its retractions
+    reach.  Only those are folded again, from the log as it then is.  Every batch writes folders named by its
+    number, so a repeated batch overwrites itself and changes nothing.
     """
-    spark = stream.sparkSession
-    log, out = scratch(spark, "log"), scratch(spark, "alerts")
-    schema = stream.schema
-    alert = "rep long, bound string, witnesses array<long>, bookends array<long>, witness long, batch int"
+    spark, schema = stream.sparkSession, stream.schema
+    log, out, touched_log = scratch(spark, "log"), scratch(spark, "folds"), scratch(spark, "touched")
     spark.createDataFrame([], schema).write.parquet(f"{log}/batch=-1")
-    spark.createDataFrame([], "rep long, bound string, witnesses array<long>, bookends array<long>, witness long").write.parquet(f"{out}/batch=-1")
-    touched_log = scratch(spark, "touched")
+    shape = fold(spark.createDataFrame([], StructType([*schema.fields, StructField("rep", reps.schema["rep"].dataType)]))).schema
+    spark.createDataFrame([], shape).write.parquet(f"{out}/batch=-1")
 
     def each(batch: DataFrame, i: int) -> None:
         batch.write.mode("overwrite").parquet(f"{log}/batch={i}")
@@ -104,13 +62,47 @@ def conflict_alerts(stream: DataFrame, reps: DataFrame) -> DataFrame:
         hit = snapshot.touched_targets(batch.select("fact_id"), edges)
         member = facts.join(hit, "fact_id", "left_semi").select("entity").distinct()
         touched = stored(member.join(reps.withColumnRenamed("member", "entity"), "entity").select("rep").distinct(), "touched")
-        own = facts.where("kind in ('existence', 'construction_started', 'demolition_completed', 'event')").join(reps.withColumnRenamed("member", "entity"), "entity").join(touched, "rep", "left_semi")
+        own = facts.where(F.col("kind").isin(snapshot.DATED)).join(reps.withColumnRenamed("member", "entity"), "entity").join(touched, "rep", "left_semi")
         touched.write.mode("overwrite").parquet(f"{touched_log}/batch={i}")
-        conflicts.temporal_conflicts(snapshot.live(own, snapshot.effective_retractors(edges))).write.mode("overwrite").parquet(f"{out}/batch={i}")
+        fold(snapshot.live(own, snapshot.effective_retractors(edges))).write.mode("overwrite").parquet(f"{out}/batch={i}")
 
     run_to_end(stream, each)
-    last = spark.read.schema("rep long, batch int").parquet(touched_log).groupBy("rep").agg(F.max("batch").alias("batch"))
-    return spark.read.schema(alert).parquet(out).join(last, ["rep", "batch"]).drop("batch")
+    marked = spark.read.schema(f"{key} {reps.schema['rep'].dataType.simpleString()}, batch int").parquet(touched_log)
+    return marked.join(spark.read.parquet(out).where("batch >= 0"), [key, "batch"], "left")
+
+
+def _latest(folded: DataFrame) -> DataFrame:
+    """The rows of each class's last batch; a class that has lost all its facts has none."""
+    last = folded.groupBy("rep").agg(F.max("batch").alias("batch"))
+    return folded.join(last, ["rep", "batch"]).drop("batch")
+
+
+def lifespan_log(stream: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep, batch and the lifespan's values after each batch of a stream of facts that touches the class.
+
+    The facts are folded by plain aggregates.  Values are null after a batch that retracts all of a class.
+    """
+    return _refolded(stream, reps, existence.lifespan)
+
+
+def streaming_lifespan(stream: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep and the lifespan's values when a stream of facts, retractions among them, is done."""
+    return _latest(lifespan_log(stream, reps)).where("claimed is not null")
+
+
+def verdict_changes(log: DataFrame, day: int) -> DataFrame:
+    """rep, batch, before, after: each change of a class's existence verdict at a day, from a ``lifespan_log``.
+
+    A class is unknown before its first batch.
+    """
+    now = log.select("rep", "batch", F.when(F.col("claimed").isNotNull(), existence.verdict(day)).otherwise("unknown").alias("after"))
+    before = F.coalesce(F.lag("after").over(Window.partitionBy("rep").orderBy("batch")), F.lit("unknown"))
+    return now.withColumn("before", before).where("before <> after").select("rep", "batch", "before", "after")
+
+
+def conflict_alerts(stream: DataFrame, reps: DataFrame) -> DataFrame:
+    """The temporal conflicts after a stream of facts, kept per entity."""
+    return _latest(_refolded(stream, reps, conflicts.temporal_conflicts)).where("witness is not null")
 
 
 def rep_log_upkeep(edges: DataFrame) -> DataFrame:
@@ -124,8 +116,8 @@ def rep_log_upkeep(edges: DataFrame) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{seen}/batch={i}")
         all_edges = spark.read.schema(edges.schema).parquet(seen)
         before = spark.read.schema("member long, as_of long, rep long, batch int").parquet(log).where(F.col("batch") < i).drop("batch")
-        members = all_edges.select(F.col("a").alias("member")).unionByName(all_edges.select(F.col("b").alias("member"))).distinct()
-        identity.update_reps(before, members, all_edges.select("a", "b"), i + 1).write.mode("overwrite").parquet(f"{log}/batch={i}")
+        ends = batch.select(F.col("a").alias("member")).unionByName(batch.select(F.col("b").alias("member")))
+        identity.update_touched(before, all_edges, ends, i + 1).write.mode("overwrite").parquet(f"{log}/batch={i}")
 
     run_to_end(edges, each)
     return spark.read.schema("member long, as_of long, rep long, batch int").parquet(log).drop("batch")
@@ -135,5 +127,6 @@ def seen_urls(stream: DataFrame, key: str, time: str, within: str = "30 days") -
     """The first row per key of a capture stream, with state that the watermark bounds."""
     out = scratch(stream.sparkSession, "urls")
     first = stream.withWatermark(time, within).dropDuplicatesWithinWatermark([key])
-    run_to_end(first, lambda batch, i: batch.write.mode("append").parquet(out))
+    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")
+    run_to_end(first, lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"))
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
