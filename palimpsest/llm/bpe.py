@@ -328,6 +328,21 @@ def coder(path: str) -> SegmentCoder:
     return SegmentCoder(load(path).encode_segments)
 
 
+def forgetting(run):
+    """``run`` over the batches of a task, after which the vocabulary leaves the worker's memory."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            load.cache_clear()
+            coder.cache_clear()
+            buffers.release()
+
+    return whole
+
+
 def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """``docs`` with a column ``ids`` (array<int>): the byte-level BPE ids of each whole text.
 
@@ -350,7 +365,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
             column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "ids"])
 
-    return keep.mapInArrow(run, extended(keep.schema, ids=ArrayType(IntegerType())))
+    return keep.mapInArrow(forgetting(run), extended(keep.schema, ids=ArrayType(IntegerType())))
 
 
 def decode(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -365,7 +380,7 @@ def decode(docs: DataFrame, vocabulary: str) -> DataFrame:
             texts = load(vocabulary).decode(flat, offsets - offsets[0])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return keep.mapInArrow(run, extended(keep.schema, decoded=StringType()))
+    return keep.mapInArrow(forgetting(run), extended(keep.schema, decoded=StringType()))
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -377,7 +392,7 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     from hashlib import sha256
 
     def run(batches):
-        for batch in batches:
+        for batch in buffers.slices(batches):
             doc_ids = batch.column(0)
             for first, ids, offsets in coder(vocabulary).documents(batch.column(1)):
                 raw, ends = memoryview(ids.astype("<u4")).cast("B"), (offsets * 4).tolist()
@@ -385,4 +400,4 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
                 of_text = [sha256(x).hexdigest() for x in load(vocabulary).decode(ids, offsets)]
                 yield pa.RecordBatch.from_arrays([doc_ids.slice(first, len(of_ids)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(forgetting(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

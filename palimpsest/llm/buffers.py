@@ -7,6 +7,10 @@ Every helper treats a null text as an empty one.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -60,6 +64,34 @@ def slices(batches, rows: int = 1000):
             yield batch.slice(at, rows)
 
 
+def text_slices(texts: pa.Array, rows: int = 1000):
+    """The texts in slices of few rows."""
+    for at in range(0, len(texts), rows):
+        yield texts.slice(at, rows)
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker process is kept for later tasks of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """``run`` over the batches of a task, after which the worker's freed memory goes back to the system."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def runs_of_documents(offsets: np.ndarray, limit: int = CHUNK_BYTES, most: int | None = None):
     """(first, last + 1) documents, ``most`` at most, whose bytes together stay under ``limit``; a longer document is alone."""
     first, n = 0, len(offsets) - 1

@@ -188,7 +188,7 @@ def _pass(docs: DataFrame, sent, threshold: float, k: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return docs.mapInArrow(run, _FOUND)
+    return docs.mapInArrow(buffers.tidy(run), _FOUND)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm import buffers
 from palimpsest.llm.common import keyed_text, without
 from palimpsest.operators.components import components
-from palimpsest.scratch import drop, stored
+from palimpsest.scratch import drop, free_driver, stored
 
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -148,7 +148,7 @@ def loads(docs: DataFrame, slices: int = 16) -> np.ndarray:
         return pa.table({"slice": found.column("slice")[:1], "salt": pa.array([0], pa.int32()), "counts": pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())})
 
     schema = "slice int, salt int, counts binary"
-    some = docs.select("text").mapInArrow(count, schema).groupBy("slice", "salt").applyInArrow(add, schema)
+    some = docs.select("text").mapInArrow(buffers.tidy(count), schema).groupBy("slice", "salt").applyInArrow(add, schema)
     rows = some.groupBy("slice").applyInArrow(add, schema).collect()
     out = np.zeros((slices, width), np.int64)
     for r in rows:
@@ -197,7 +197,7 @@ def profile(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 part = [batch.column(c).slice(first, count) for c in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*part, pa.array(sizes), pa.array(frequent), pa.array(digest, pa.binary()), prefix, pa.array(at, pa.binary()), pa.array(packed, pa.binary())], names=names)
 
-    return keyed_text(docs).mapInArrow(run, "doc_id long, text_key binary, n long, frequent long, digest binary, prefix array<long>, point binary, packed binary")
+    return keyed_text(docs).mapInArrow(buffers.tidy(run), "doc_id long, text_key binary, n long, frequent long, digest binary, prefix array<long>, point binary, packed binary")
 
 
 def _bounded(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def _bounded(pairs: DataFrame, known: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(buffers.tidy(run), "a long, b long")
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
@@ -255,7 +255,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield linked(rows)
 
     side = lambda x: texts.select(F.col("node").alias(x), F.col("packed").alias(f"t{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(buffers.tidy(run), "a long, b long")
 
 
 def _search(node, root, n, at, asked) -> np.ndarray:
@@ -334,7 +334,7 @@ def _tree_pairs(members: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield found(held.combine_chunks())
 
-    return entries.unionByName(queries).repartition(*key[:3]).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
+    return entries.unionByName(queries).repartition(*key[:3]).sortWithinPartitions(*key).mapInArrow(buffers.tidy(run), "a long, b long").distinct()
 
 
 def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -359,6 +359,7 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = stored(distinct.join(used, "node").select("node", "digest", "rank", "n", "point"), "points")
     texts = stored(sets.select("digest", "packed").join(known.select("node", "digest"), "digest").groupBy("node").agg(F.first("packed").alias("packed")), "texts", "none")
     leads = known.groupBy(F.col("rank").alias("lead")).agg(F.min("node").alias("first"))
+    free_driver(sets.sparkSession)
     star = near.join(leads, "lead").where("first <> node").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct()
     found = stored(_verified(_bounded(star, known), texts), "links")
     roots = stored(components(found), "roots")
@@ -367,6 +368,7 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = _verified(_tree_pairs(members), texts)
     linked = components(found.unionByName(rest))
     drop(near, known, texts, found, roots)
+    free_driver(sets.sparkSession)
     return distinct, linked
 
 

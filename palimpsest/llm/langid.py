@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import buffers
 from palimpsest.llm.common import id_remainder, unused
+from palimpsest.scratch import free_driver
 
 #: Families of language codes.  Fixed values; a code that isn't listed is a family of its own.
 FAMILIES = {
@@ -62,14 +63,14 @@ def profiles(texts: pa.Array):
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 150) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear SVM (squared hinge, classes weighted alike) by accelerated descent; y is +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
     step = 1 / (2 * 2.0 + penalty)
-    w = ahead = np.zeros(x.shape[1])
+    w = ahead = np.zeros(x.shape[1], np.float32)
     for k in range(steps):
         slack = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - step * (penalty * ahead - 2 * (share * y * slack) @ x)
-        ahead = new + k / (k + 3) * (new - w)
+        new = (ahead - step * (penalty * ahead - 2 * (share * y * slack).astype(np.float32) @ x)).astype(np.float32)
+        ahead = new + np.float32(k / (k + 3)) * (new - w)
         w = new
     return w[:-1].astype(np.float32), float(w[-1])
 
@@ -144,27 +145,35 @@ def train(labelled: DataFrame, sample: int = SAMPLE, families: dict[str, str] =
     drawn = rows.where(F.pmod("h", F.lit(1 << 20)) < rate[F.col("lang")] * (1 << 20)).dropDuplicates(["lang", "h"])
 
     def run(batches):
-        for batch in batches:
+        for batch in buffers.slices(batches):
             for first, x, _ in profiles(batch.column(1)):
                 flat = [row.astype(np.float16).tobytes() for row in x]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(x)), batch.column(2).slice(first, len(x)), pa.array(flat, pa.binary())], names=["lang", "h", "x"])
 
-    got = drawn.select("lang", "text", "h").mapInArrow(run, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
+    got = drawn.select("lang", "text", "h").mapInArrow(buffers.tidy(run), "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
     labels = np.array(got["lang"].to_pylist(), object)
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, CELLS).astype(np.float32)
     kept = np.concatenate([np.flatnonzero(labels == a)[: 2 * sample] for a in sorted(set(labels))])
-    labels, x = labels[kept], x[kept]
+    raw = got["x"].take(pa.array(kept)).combine_chunks()
+    raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
+    x = np.frombuffer(raw.buffers()[2], np.float16)[: len(kept) * CELLS].reshape(-1, CELLS).astype(np.float32)
+    labels = labels[kept]
+    del got, raw
     kin = np.array([families.get(a, a) for a in labels], object)
-    return Model(Duels.fit(x, kin), {k: Duels.fit(x[kin == k], labels[kin == k]) for k in sorted(set(kin))})
+    model = Model(Duels.fit(x, kin), {k: Duels.fit(x[kin == k], labels[kin == k]) for k in sorted(set(kin))})
+    del x
+    buffers.release()
+    free_driver(labelled.sparkSession)
+    return model
 
 
 def _judged(texts: pa.Array, model: Model) -> tuple[pa.Array, pa.Array]:
     """(lang_pred, score) of each text."""
     lang, score = [], []
-    for _, x, has in profiles(texts):
-        best, sure = model.predict(x)
-        lang.append(np.where(has, best, UNKNOWN))
-        score.append(np.where(has, sure, 0.0))
+    for part in buffers.text_slices(texts):
+        for _, x, has in profiles(part):
+            best, sure = model.predict(x)
+            lang.append(np.where(has, best, UNKNOWN))
+            score.append(np.where(has, sure, 0.0))
     flat = np.concatenate(lang).tolist() if lang else []
     return pa.array(flat, pa.string()), pa.array(np.concatenate(score) if score else np.zeros(0), pa.float64())
 

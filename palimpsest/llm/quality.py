@@ -153,7 +153,7 @@ def _drawn(docs: DataFrame, positives: DataFrame, n_positive: int, sample: int)
     chosen = stored(rows.where(at < rate * (1 << 20)).groupBy("h", "_kind").agg(F.min("doc_id").alias("doc_id")), "drawn")
 
     def run(batches):
-        for batch in batches:
+        for batch in buffers.slices(batches):
             for first, x in features(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(x)), batch.column(2).slice(first, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "kind", "x"])
 
@@ -187,7 +187,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf("double")
     def judge(texts: pa.Array) -> pa.Array:
-        parts = [model.score(x) for _, x in features(texts)]
+        parts = [model.score(x) for part in buffers.text_slices(texts) for _, x in features(part)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     scored = keep.withColumn("score", judge.asNondeterministic()("text"))  # only the text goes to Python, once

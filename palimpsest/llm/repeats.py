@@ -21,7 +21,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from palimpsest.llm import buffers
 from palimpsest.llm.common import unused
-from palimpsest.scratch import drop, stored
+from palimpsest.scratch import drop, free_driver, stored
 
 #: Bytes of a repeated window, and of the anchor block that is its first digit.
 DEPTH, ANCHOR = 200, 100
@@ -86,7 +86,7 @@ def _base(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, str, str]:
             column = pa.array([press.compress(x.as_py().encode()) if x.is_valid else None for x in batch.column(place)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != place), column], names=schema.names)
 
-    return stored(kept.mapInArrow(run, schema), "base", "none"), row, packed
+    return stored(kept.mapInArrow(buffers.tidy(run), schema), "base", "none"), row, packed
 
 
 def unpacked(batch: pa.RecordBatch, column: int) -> pa.Array:
@@ -109,7 +109,7 @@ def records(texts: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataF
                 if len(doc):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r[first:last][doc], a, whole, lo.astype(np.int32), hi.astype(np.int32))], names=names)
 
-    return texts.mapInArrow(run, "r long, anchor long, whole long, lo int, hi int")
+    return texts.mapInArrow(buffers.tidy(run), "r long, anchor long, whole long, lo int, hi int")
 
 
 def _windows(opened: DataFrame, depth: int) -> DataFrame:
@@ -131,7 +131,7 @@ def _windows(opened: DataFrame, depth: int) -> DataFrame:
                 code = buffers.mix(buffers.Rolling(data).range(at, at + depth) ^ np.repeat(a[x].view(np.uint64), count))
                 yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(np.full(len(at), batch.column(0)[k].as_py())), pa.array(at.astype(np.int32)), pa.array(np.repeat(sole[x], count))], names=names)
 
-    return opened.select("r", "packed", "runs").mapInArrow(run, "code long, r long, at int, sole boolean")
+    return opened.select("r", "packed", "runs").mapInArrow(buffers.tidy(run), "code long, r long, at int, sole boolean")
 
 
 def repeated_ranges(texts: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
@@ -164,6 +164,7 @@ def repeated_ranges(texts: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR)
     spans = numbered.groupBy("r", "_g").agg(F.min("lo").alias("begin"), (F.max("hi") + depth).cast("int").alias("end"))
     out = stored(spans.groupBy("r").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
     drop(alike, digits, opened)
+    free_driver(texts.sparkSession)
     return out
 
 
@@ -208,7 +209,7 @@ def measure(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     spans = repeated_ranges(base.select(row, packed), depth, anchor).withColumnRenamed("r", row)
-    return base.join(spans, row, "left").select("doc_id", packed, "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return base.join(spans, row, "left").select("doc_id", packed, "spans").mapInArrow(buffers.tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def whole_characters(data: bytes, begin: int, end: int) -> tuple[int, int]:
@@ -245,5 +246,5 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) ->
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     spans = repeated_ranges(base.select(row, packed), depth, anchor).withColumnRenamed("r", row).withColumnRenamed("spans", span)
-    out = base.join(spans, row, "left").select(*others, packed, span).mapInArrow(run, docs.schema)
+    out = base.join(spans, row, "left").select(*others, packed, span).mapInArrow(buffers.tidy(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
