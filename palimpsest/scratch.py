@@ -43,3 +43,9 @@ def drop(*frames: DataFrame) -> None:
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_driver(spark: SparkSession) -> None:
+    """Collect the driver's JVM garbage once an operator's intermediate tables are gone: plans and broadcasts of its many jobs
+    hold memory until then, and Spark's cleaner drops what they refer to on executors."""
+    spark.sparkContext._jvm.System.gc()
