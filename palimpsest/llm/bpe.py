@@ -325,7 +325,7 @@ def load(path: str) -> ByteBpe:
 
 @functools.lru_cache(maxsize=2)
 def coder(path: str) -> SegmentCoder:
-    return SegmentCoder(load(path).encode_segments)
+    return SegmentCoder(load(path).encode_segments, run_bytes=1 << 20)  # decoding takes some twenty times a run's bytes
 
 
 def forgetting(run):

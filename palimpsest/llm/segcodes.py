@@ -14,8 +14,8 @@ import pyarrow as pa
 
 from palimpsest.llm import buffers
 
-#: Bytes of text that are coded together.
-RUN_BYTES = 2 << 20
+#: Bytes of text that are coded together, unless a coder says otherwise.
+RUN_BYTES = 4 << 20
 
 
 class SegmentCoder:
@@ -26,8 +26,8 @@ class SegmentCoder:
     128 bits of hash and its length, so that only new segments become Python objects.
     """
 
-    def __init__(self, encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 400_000):
-        self.encode_many, self.limit = encode_many, limit
+    def __init__(self, encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000, run_bytes: int = RUN_BYTES):
+        self.encode_many, self.limit, self.run_bytes = encode_many, limit, run_bytes
         self.forget()
 
     def forget(self) -> None:
@@ -88,6 +88,6 @@ class SegmentCoder:
     def documents(self, texts: pa.Array):
         """Yield (first document, ids, offsets) for runs of documents."""
         data, offsets = buffers.utf8(texts)
-        for first, last in buffers.runs_of_documents(offsets, RUN_BYTES):
+        for first, last in buffers.runs_of_documents(offsets, self.run_bytes):
             part = offsets[first : last + 1]
             yield first, *self.run(data[part[0] : part[-1]], part - part[0])

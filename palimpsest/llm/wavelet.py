@@ -57,7 +57,7 @@ class StoredPlanes:
     """Bit planes of a shard file, inflated piece by piece on demand."""
 
     def __init__(self, inflate, n: int):
-        self.inflate, self.n, self.known = inflate, n, {}
+        self.inflate, self.n, self.known, self.full = inflate, n, {}, {}
 
     @property
     def counts(self):
@@ -73,6 +73,10 @@ class StoredPlanes:
 
     def take(self, k: int, at: np.ndarray) -> np.ndarray:
         out = np.zeros(at.shape, np.uint8)
+        if k in self.full:  # the plane has been read as a whole
+            mine = at < len(self.full[k])
+            out[mine] = self.full[k][at[mine]]
+            return out
         piece, inside = at // (PIECE // 8), at % (PIECE // 8)
         for j in np.unique(piece):
             raw = np.frombuffer(self._get((k, int(j))), np.uint8)
@@ -81,11 +85,13 @@ class StoredPlanes:
         return out
 
     def whole(self, k: int) -> np.ndarray:
-        parts, j = [], 0
-        while raw := self._get((k, j)):
-            parts.append(np.frombuffer(raw, np.uint8))
-            j += 1
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        if k not in self.full:
+            parts, j = [], 0
+            while raw := self._get((k, j)):
+                parts.append(raw)
+                j += 1
+            self.full[k] = np.frombuffer(b"".join(parts), np.uint8)
+        return self.full[k]
 
 
 class WaveletMatrix:
@@ -114,15 +120,10 @@ class WaveletMatrix:
     def _rank1(self, k: int, at: np.ndarray) -> np.ndarray:
         """Ones among the first ``at`` bits of plane k: the count of whole blocks, and of the bits of the last one."""
         block = at // BLOCK
-        out = self.planes.counts[k][block].astype(np.int64)
-        for j in range(BLOCK // 8):
-            byte = block * (BLOCK // 8) + j
-            bits = np.clip(at - byte * 8, 0, 8)
-            if not (live := bits > 0).any():
-                break
-            value = self.planes.take(k, byte[live])
-            out[live] += np.bitwise_count(value & ((1 << bits[live]) - 1).astype(np.uint8))
-        return out
+        inside = (at - block * BLOCK)[:, None] - np.arange(0, BLOCK, 8)
+        raw = self.planes.take(k, block[:, None] * (BLOCK // 8) + np.arange(BLOCK // 8))
+        mask = ((1 << np.clip(inside, 0, 8)) - 1).astype(np.uint8)
+        return self.planes.counts[k][block].astype(np.int64) + np.bitwise_count(raw & mask).sum(axis=1, dtype=np.int64)
 
     def access(self, at) -> np.ndarray:
         """The ids at the given places."""
@@ -358,10 +359,11 @@ def documents_of(shards: DataFrame, end_id: int = 2) -> DataFrame:
         for batch in batches:
             for start, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 matrix, names, offsets = from_file(raw.as_py())
-                # The documents' ends by access and rank, the ids by decoding the planes in turn.
+                # The ids by decoding the planes in turn, the documents' ends by access and rank.
+                decoded = matrix.ids()
                 if len(names) and ((matrix.access(offsets[1:] - 1) != end_id).any() or (matrix.counts_in(end_id, offsets[:-1], offsets[1:]) < 1).any()):
                     raise ValueError("a document of a shard doesn't end with the end token")
-                flat, ends = memoryview(matrix.ids().astype("<u4")).cast("B"), (offsets * 4).tolist()
+                flat, ends = memoryview(decoded.astype("<u4")).cast("B"), (offsets * 4).tolist()
                 crcs = [zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
