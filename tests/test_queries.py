@@ -24,6 +24,8 @@ def duck():
 def plain(v):
     if isinstance(v, float):
         return round(v, 6)
+    if isinstance(v, list | tuple):
+        return tuple(map(plain, v))
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None)
     return v
