@@ -5,7 +5,8 @@ group that has become single is dropped after each pass; the groups left at full
 repeated windows.  The first digit of a window is an anchor, the block of ANCHOR bytes with the least hash
 inside it, which equal windows share at the same place; neighbouring windows with one anchor travel as one
 record.  The second digit is all that such a record covers.  Only records whose second digit differs inside
-one group of the first are opened, and their windows compared at full depth.
+one group of the first are opened, and their windows compared at full depth.  Digits are hashes, so what they
+take for equal is then compared byte by byte, and what differs is grouped anew by its bytes.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -25,9 +26,17 @@ from palimpsest.scratch import drop, free_driver, stored
 
 #: Bytes of a repeated window, and of the anchor block that is its first digit.
 DEPTH, ANCHOR = 200, 100
+#: Bits of the hashes that stand for digits; tests take few, so that different strings collide.
+BITS = 64
+#: Members of a group of equal digits that are put in order together; larger groups are ordered in parts.
+PART = 500
 _U = np.uint64
 
 
+def _low_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return hashes if bits >= 64 else hashes & np.int64((1 << bits) - 1)
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of values[i : i + width] for every i, by block-wise running minima."""
     n = len(values) - width + 1
@@ -95,7 +104,7 @@ def unpacked(batch: pa.RecordBatch, column: int) -> pa.Array:
     return pa.array([unpack.decompress(x.as_py()) if x.is_valid else None for x in batch.column(column)], pa.binary()).cast(pa.string())
 
 
-def records(texts: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
+def records(texts: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, bits: int = BITS) -> DataFrame:
     """r, anchor, whole, lo, hi: the records of all ``texts`` (r, packed) of at least ``depth`` bytes (see ``anchors``)."""
     names = ["r", "anchor", "whole", "lo", "hi"]
 
@@ -107,14 +116,14 @@ def records(texts: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataF
                 part = offsets[first : last + 1]
                 doc, a, whole, lo, hi = anchors(data[part[0] : part[-1]], part - part[0], depth, anchor)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r[first:last][doc], a, whole, lo.astype(np.int32), hi.astype(np.int32))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r[first:last][doc], _low_bits(a, bits), _low_bits(whole, bits), lo.astype(np.int32), hi.astype(np.int32))], names=names)
 
     return texts.mapInArrow(buffers.tidy(run), "r long, anchor long, whole long, lo int, hi int")
 
 
-def _windows(opened: DataFrame, depth: int) -> DataFrame:
-    """code, r, at, sole: every window of the records of ``opened`` (r, packed, runs)."""
-    names = ["code", "r", "at", "sole"]
+def _windows(opened: DataFrame, depth: int, bits: int) -> DataFrame:
+    """code, r, at: every window of the records of ``opened`` (r, packed, runs)."""
+    names = ["code", "r", "at"]
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
@@ -122,48 +131,138 @@ def _windows(opened: DataFrame, depth: int) -> DataFrame:
             runs = batch.column(2)
             spans = runs.flatten()
             ends = runs.offsets.to_numpy()
-            lo, hi, a, sole = (spans.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            lo, hi, a = (spans.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             for k in range(batch.num_rows):
                 data = np.frombuffer(unpack.decompress(batch.column(1)[k].as_py()), np.uint8)
                 x = slice(ends[k] - ends[0], ends[k + 1] - ends[0])
                 count = hi[x].astype(np.int64) - lo[x] + 1
                 at = buffers.ragged_positions(lo[x].astype(np.int64), count)
                 code = buffers.mix(buffers.Rolling(data).range(at, at + depth) ^ np.repeat(a[x].view(np.uint64), count))
-                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(np.full(len(at), batch.column(0)[k].as_py())), pa.array(at.astype(np.int32)), pa.array(np.repeat(sole[x], count))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(_low_bits(code.view(np.int64), bits)), pa.array(np.full(len(at), batch.column(0)[k].as_py())), pa.array(at.astype(np.int32))], names=names)
+
+    return opened.select("r", "packed", "runs").mapInArrow(buffers.tidy(run), "code long, r long, at int")
+
+
+def _ways(n: str) -> Column:
+    """In how many parts a group of ``n`` is put in order."""
+    return (F.expr(f"{n} div {PART}") + 1).cast("int").alias("ways")
+
+
+def _linked(members: DataFrame, keys: list[str]) -> DataFrame:
+    """``members`` (keys, ways, r, lo, hi) with the one before each in its part of the group: its row ``other``, and how far on in that it
+    lies (``shift``).  Both are null for the first of a part; ``more`` tells whether one comes after."""
+    split = members.withColumn("part", F.pmod(F.hash("r", "lo"), "ways")).repartition(*keys, "part")
+    w = Window.partitionBy(*keys, "part").orderBy("r", "lo")
+    before = [F.lag("r").over(w).alias("other"), (F.lag("lo").over(w) - F.col("lo")).alias("shift")]
+    return stored(split.select(*keys, "ways", "r", "lo", "hi", *before, F.lead("r").over(w).isNotNull().alias("more")), "linked")
+
+
+def _heads(linked: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ways, r, lo, hi, more: the first of each group, and whether it has other members."""
+    firsts = linked.where("other is null")
+    whole = firsts.where("ways = 1").select(*keys, "ways", "r", "lo", "hi", "more")
+    split = firsts.where("ways > 1").groupBy(*keys, "ways").agg(F.min(F.struct("r", "lo", "hi")).alias("x"), (F.bool_or("more") | (F.count("*") > 1)).alias("more"))
+    return whole.unionByName(split.select(*keys, "ways", "x.*", "more"))
+
+
+def _runs(linked: DataFrame, keys: list[str], depth: int) -> DataFrame:
+    """r, lo, stop, other, shift: byte ranges of rows, and how far on in which other row the digits say that the same bytes stand.
+
+    The first of a part meets the first of its group, and that itself, at shift 0.  Neighbouring ranges with one
+    ``other`` and ``shift`` are joined.
+    """
+    heads, names = _heads(linked, keys).where("more"), ["r", "lo", "hi", "other", "shift"]
+    alone = heads.where("ways = 1").select("r", "lo", "hi", F.col("r").alias("other"), F.lit(0).alias("shift"))
+    above = heads.where("ways > 1").select(*keys, F.col("r").alias("_r"), F.col("lo").alias("_lo"))
+    firsts = linked.where("other is null and ways > 1").join(above, keys).select("r", "lo", "hi", F.col("_r").alias("other"), (F.col("_lo") - F.col("lo")).alias("shift"))
+    pairs = linked.where("other is not null").select(names).union(firsts).union(alone)
+    w = Window.partitionBy("r", "other", "shift").orderBy("lo")
+    fresh = F.coalesce((F.col("lo") > F.lag("hi").over(w) + depth).cast("int"), F.lit(0))
+    numbered = pairs.withColumn("_new", fresh).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("r", "other", "shift", "_g").agg(F.min("lo").alias("lo"), (F.max("hi") + depth).cast("int").alias("stop"))
+    return stored(runs.select("r", "lo", "stop", "other", "shift"), "runs")
+
+
+def _raw(texts: DataFrame) -> DataFrame:
+    """r, bytes of ``texts`` (r, packed), null ones left out."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in buffers.slices(batches, 200):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([unpack.decompress(x.as_py()) for x in batch.column(1)], pa.binary())], names=["r", "bytes"])
 
-    return opened.select("r", "packed", "runs").mapInArrow(buffers.tidy(run), "code long, r long, at int, sole boolean")
+    r, packed = texts.columns
+    return texts.where(F.col(packed).isNotNull()).mapInArrow(buffers.tidy(run), "r long, bytes binary")
 
 
-def repeated_ranges(texts: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
+_ITSELF = "r = other and shift = 0"
+
+
+def _refuted(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Those of ``runs`` whose bytes are not the ones they were taken for."""
+    raw = _raw(texts)
+    there = runs.where(f"not ({_ITSELF})").join(raw.withColumnRenamed("r", "other"), "other")
+    there = there.withColumn("piece", F.expr("substring(bytes, lo + shift + 1, stop - lo)")).drop("bytes")
+    return stored(there.join(raw, "r").where("substring(bytes, lo + 1, stop - lo) <> piece").select(*runs.columns), "refuted")
+
+
+def _mended(texts: DataFrame, runs: DataFrame, refuted: DataFrame, depth: int, anchor: int, bits: int) -> DataFrame:
+    """r, lo, stop: what is repeated, where some of ``runs`` are refuted.
+
+    Firsts that a refuted run leads to are dropped too.  All windows with an anchor that stands in a dropped
+    range are compared by their bytes: windows that are equal have one anchor, so none is left out.
+    """
+    sides = refuted.select("r", "lo", "stop").union(refuted.select("other", F.col("lo") + F.col("shift"), F.col("stop") + F.col("shift"))).distinct()
+    meets = lambda x: (F.col("x.r") == F.col("s.r")) & (F.col("x.lo") < F.col("s.stop")) & (x > F.col("s.lo"))
+    sole = runs.where(_ITSELF).select("r", "lo", "stop")
+    doubted = stored(sole.alias("x").join(sides.alias("s"), meets(F.col("x.stop")), "left_semi").union(sides).distinct(), "doubted")
+    firsts = sole.alias("x").join(doubted.alias("s"), meets(F.col("x.stop")), "left_anti")
+    proven = runs.where(f"not ({_ITSELF})").join(refuted, runs.columns, "left_anti").select("r", "lo", "stop")
+    all_records = records(texts, depth, anchor, bits)
+    open_anchors = all_records.alias("x").join(doubted.alias("s"), meets(F.col("x.hi") + depth), "left_semi").select("anchor").distinct()
+    windows = F.explode(F.expr(f"transform(sequence(lo, hi), x -> struct(x as at, substring(bytes, x + 1, {depth}) as window))"))
+    opened = all_records.join(open_anchors, "anchor").join(_raw(texts), "r").select("r", windows.alias("w")).select("r", "w.*")
+    found = opened.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    exact = opened.join(found, "window").select("r", F.col("at").alias("lo"), (F.col("at") + depth).alias("stop"))
+    return firsts.union(proven).union(exact)
+
+
+def repeated_ranges(texts: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, bits: int = BITS) -> DataFrame:
     """r, spans: maximal byte ranges (begin, end) of each of ``texts`` (r, packed) that repeated windows cover.
 
     Pass 1 counts records by their first digit and drops the single ones.  Pass 2 compares the second digit:
-    where a whole group agrees, all its windows are repeated.  In the other groups each different second
-    digit sends one record on; pass 3 opens these and compares windows at full depth.  Counts are made
-    before each shuffle and answers come back by joins, so a very frequent string is never in one task.
+    records that share it are repeated.  In groups of the first digit that don't agree, each different second
+    digit sends one record on; pass 3 opens these and compares windows at full depth.  Each member of a group
+    is then compared with another by its bytes (``_refuted``), and groups that a hash brought together by
+    chance are formed again by bytes (``_mended``): the result doesn't depend on the hashes.  Groups are
+    counted before each shuffle and split in parts, so a very frequent string is never in one task.
     """
-    all_records = records(texts, depth, anchor)
+    texts = texts.toDF("r", "packed")
+    all_records = records(texts, depth, anchor, bits)
     seen = all_records.groupBy("anchor").agg(F.count("*").alias("_n"), F.min("whole").alias("_a"), F.max("whole").alias("_b")).where("_n > 1")
-    seen = stored(seen.select("anchor", (F.col("_a") != F.col("_b")).alias("mixed")), "anchors")
-    alike = stored(all_records.join(seen, "anchor"), "records")
-    drop(seen)
-    mixed = alike.where("mixed")
-    digits = mixed.groupBy("anchor", "whole").agg(F.count("*").alias("_n"), F.min(F.struct("r", "lo", "hi")).alias("_x"))
-    digits = stored(digits.select("anchor", "whole", (F.col("_n") == 1).alias("sole"), "_x.r", "_x.lo", "_x.hi"), "digits")
-    twice = mixed.select("r", "anchor", "whole", "lo", "hi").join(digits.where("not sole").select("anchor", "whole"), ["anchor", "whole"])
-    covered = alike.where("not mixed").select("r", "lo", "hi").unionByName(twice.select("r", "lo", "hi"))
-    runs = digits.groupBy("r").agg(F.collect_list(F.struct("lo", "hi", "anchor", "sole")).alias("runs"))
-    opened = stored(texts.toDF("r", "packed").join(runs, "r"), "opened", "none")
-    windows = _windows(opened, depth)
-    found = windows.groupBy("code").agg(F.count("*").alias("_n")).where("_n > 1").select("code")
-    single = windows.where("sole").select("code", "r", "at").join(found, "code").select("r", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    seen = stored(seen.select("anchor", _ways("_n"), (F.col("_a") != F.col("_b")).alias("mixed")), "anchors")
+    keys = ["anchor", "whole", "mixed"]
+    linked = _linked(all_records.join(seen, "anchor"), keys)
+    by_records = _runs(linked, keys, depth)
+    heads = _heads(linked, keys).where("mixed").groupBy("r").agg(F.collect_list(F.struct("lo", "hi", "anchor")).alias("runs"))
+    opened = stored(texts.join(heads, "r"), "opened", "none")
+    drop(seen, linked)
+    windows = _windows(opened, depth, bits)
+    found = windows.groupBy("code").agg(F.count("*").alias("_n")).where("_n > 1").select("code", _ways("_n"))
+    linked = _linked(windows.join(found, "code").select("code", "ways", "r", F.col("at").alias("lo"), F.col("at").alias("hi")), ["code"])
+    drop(opened)
+    by_windows = _runs(linked, ["code"], depth)
+    drop(linked)
+    runs = by_records.unionByName(by_windows)
+    refuted = _refuted(texts, runs)
+    covered = runs.select("r", "lo", "stop") if refuted.isEmpty() else _mended(texts, runs, refuted, depth, anchor, bits)
     # Ranges that meet become one before a row's are gathered.
-    w = Window.partitionBy("r").orderBy("lo", "hi")
-    fresh = F.coalesce((F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)) + depth).cast("int"), F.lit(0))
-    numbered = covered.unionByName(single).withColumn("_new", fresh).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = numbered.groupBy("r", "_g").agg(F.min("lo").alias("begin"), (F.max("hi") + depth).cast("int").alias("end"))
+    w = Window.partitionBy("r").orderBy("lo", "stop")
+    fresh = F.coalesce((F.col("lo") > F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
+    numbered = covered.distinct().withColumn("_new", fresh).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = numbered.groupBy("r", "_g").agg(F.min("lo").alias("begin"), F.max("stop").alias("end"))
     out = stored(spans.groupBy("r").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
-    drop(alike, digits, opened)
+    drop(by_records, by_windows, refuted)
     free_driver(texts.sparkSession)
     return out
 
@@ -186,13 +285,13 @@ def _kept(data: bytes, spans) -> tuple[list[tuple[int, int]], bytes]:
     return runs, b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def measure(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
+def measure(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, bits: int = BITS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs`` (doc_id, text).
 
     Removed is each byte that a string of ``depth`` bytes covers which also starts anywhere else, in the same
     or another row; overlaps count, matches never cross rows, and all is judged on the input.  Null texts
     count as empty; texts shorter than ``depth`` lose nothing; repeated rows lose all windows.  Strings are
-    compared by 64-bit codes.  Other columns are left out.
+    compared by their bytes in the end, whatever ``bits`` of hashes say.  Other columns are left out.
     """
     base, row, packed = _base(docs.select("doc_id", "text"), ["doc_id"])
 
@@ -208,7 +307,7 @@ def measure(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR) -> DataFr
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    spans = repeated_ranges(base.select(row, packed), depth, anchor).withColumnRenamed("r", row)
+    spans = repeated_ranges(base.select(row, packed), depth, anchor, bits).withColumnRenamed("r", row)
     return base.join(spans, row, "left").select("doc_id", packed, "spans").mapInArrow(buffers.tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

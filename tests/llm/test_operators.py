@@ -123,11 +123,15 @@ def plain_removed(texts, depth):
 
 
 @pytest.mark.parametrize("depth, anchor", [(200, 100), (24, 12), (9, 3)])
-def test_suffix_dedup(spark, docs, rows, none, depth, anchor):
+def test_suffix_dedup(spark, docs, rows, none, depth, anchor, monkeypatch):
     rows = [r for r in rows if r[0] != 307] + [(400, "ab" * 150 + "c" + "ab" * 120, "en", "x", 1)]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
     want = Counter((i, *x) for (i, *_), x in zip(rows, plain_removed([r[1] for r in rows], depth), strict=True))
     assert Counter(tuple(r) for r in repeats.measure(docs, depth, anchor).collect()) == want
+    # Hashes of few bits, which take many different strings for equal, and groups in many parts.
+    monkeypatch.setattr(repeats, "PART", 3)
+    for bits in (4, 10):
+        assert Counter(tuple(r) for r in repeats.measure(docs, depth, anchor, bits).collect()) == want
     clash = docs.withColumnRenamed("source", "_row").withColumnRenamed("lang", "_spans")
     cut = repeats.remove_repeats(clash, depth, anchor)
     assert cut.columns == clash.columns and cut.count() == len(rows)
