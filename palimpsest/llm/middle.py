@@ -22,8 +22,8 @@ from pyspark.sql.types import StructType
 MARKS = {b"<P>": 0, b"<M>": 1, b"<S>": 2}
 #: Units of a piece, and bytes after which a piece is cut even inside a unit.
 UNITS, PIECE_BYTES = 8192, 1 << 16
-#: Input splits whose pieces go to one partition.
-SPLITS = 4
+#: Bytes of text for each partition of the sort.
+PARTITION_BYTES = 256 << 20
 #: Hundredths that stay plain, and of the others those that begin with the suffix.
 PLAIN_FROM, SUFFIX_FIRST = 90, 20
 
@@ -109,12 +109,13 @@ def _emit(seed: int):
 def pieces(docs: DataFrame, seed: int = 1) -> RDD:
     """((document key, place), piece) sorted within partitions; place 0 holds (doc_id, form), others (units, bytes).
 
-    ``docs`` has doc_id and text.  Partitions follow the input's splits, and are as many as the session's shuffle
-    partitions at least; each row is a document of its own, so no key gathers more than one text.
+    ``docs`` has doc_id and text.  The texts' bytes are summed up first, as the number of partitions follows them; it
+    is the session's shuffle partitions at least.  Each row is a document of its own, so no key gathers more than one text.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).rdd
-    wide = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions() // SPLITS)
-    return rows.mapPartitionsWithIndex(_emit(seed)).repartitionAndSortWithinPartitions(wide, by_document)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wide = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+    return rows.rdd.mapPartitionsWithIndex(_emit(seed)).repartitionAndSortWithinPartitions(wide, by_document)
 
 
 def _documents(stream: Iterator) -> Iterator[tuple[bytes, Iterator]]:
