@@ -1,6 +1,6 @@
 """Vectorised work on the UTF-8 bytes of whole Arrow batches.
 
-A batch of texts is one byte buffer plus document offsets.  Word limits, rolling hashes and
+A batch of texts is one byte buffer plus document offsets.  Word limits, hashes and
 shingles are computed over the buffer with numpy, so no Python object is made per word.
 Every helper treats a null text as an empty one.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,10 @@ def _odd_inverse(p: int) -> int:
     return pow(p, -1, 1 << 64)
 
 
-#: Multipliers of two independent polynomial hashes over the ring of 64-bit integers.
-_P = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
-_P_INV = tuple(_odd_inverse(p) for p in _P)
-_BYTE_CODE = tuple(np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1) for seed in (11, 23))
+#: Multiplier of a polynomial hash over the ring of 64-bit integers.
+_P = 0x9E3779B97F4A7C15
+_P_INV = _odd_inverse(_P)
+_BYTE_CODE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -144,46 +145,81 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Arra
 
 #: A power is a product of one entry of a low and one of a high table, so tables stay small for texts of any length.
 _STEP = 12
-_tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+_tables: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _table(which: int, n: int, inverse: bool) -> tuple[np.ndarray, np.ndarray]:
+def _table(n: int, inverse: bool) -> tuple[np.ndarray, np.ndarray]:
     """p^0 to p^(2^_STEP - 1), and p^(k * 2^_STEP) for as many k as ``n`` places need."""
-    have = _tables.get((which, inverse))
+    have = _tables.get(inverse)
     steps = (n >> _STEP) + 1
     if have is None or len(have[1]) < steps:
-        p = (_P_INV if inverse else _P)[which]
+        p = _P_INV if inverse else _P
         grow = lambda base, size: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
-        have = _tables[which, inverse] = grow(p, 1 << _STEP), grow(pow(p, 1 << _STEP, 1 << 64), 1 << max(9, (steps - 1).bit_length()))
+        have = _tables[inverse] = grow(p, 1 << _STEP), grow(pow(p, 1 << _STEP, 1 << 64), 1 << max(9, (steps - 1).bit_length()))
     return have
 
 
-def _powers(which: int, n: int, inverse: bool) -> np.ndarray:
+def _powers(n: int, inverse: bool) -> np.ndarray:
     """1, p, p^2, ... for n places."""
-    low, high = _table(which, n, inverse)
+    low, high = _table(n, inverse)
     return (high[: (n >> _STEP) + 1, None] * low).ravel()[:n]
 
 
 class Rolling:
-    """Hashes of any byte ranges of one buffer in constant time each."""
+    """Hashes of any byte ranges of one buffer in constant time each.
 
-    def __init__(self, data: np.ndarray, which: int = 0):
-        self.which, self.n = which, len(data)
+    They are polynomials, so texts of a regular build may collide: whoever uses them compares bytes in the end.
+    """
+
+    def __init__(self, data: np.ndarray):
+        self.n = len(data)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[which][data] * _powers(which, len(data), False), out=self.sums[1:])
+        np.cumsum(_BYTE_CODE[data] * _powers(len(data), False), out=self.sums[1:])
 
     def range(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        low, high = _table(self.which, self.n + 1, True)
+        low, high = _table(self.n + 1, True)
         return mix((self.sums[ends] - self.sums[starts]) * (high[starts >> _STEP] * low[starts & ((1 << _STEP) - 1)]))
 
     def windows(self, length: int) -> np.ndarray:
         """The hash of data[i : i + length] for every i."""
         if self.n < length:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[length:] - self.sums[: self.n - length + 1]) * _powers(self.which, self.n - length + 1, True))
+        return mix((self.sums[length:] - self.sums[: self.n - length + 1]) * _powers(self.n - length + 1, True))
+
 
+#: Seeds of independent hashes of byte ranges, and bytes up to which a range is hashed by numpy, eight at a time.
+_SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344)
+_STEPPED = 64
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges of one buffer.
+
+    Each step takes eight bytes in and mixes, so nothing about it is linear, and texts of a regular build collide no
+    more often than others; ranges of one length up to eight bytes never do.  Longer ranges than ``_STEPPED`` take BLAKE2.
+    """
+    length = ends - starts
+    out = mix(length.astype(np.uint64) * _U(0x9FB21C651E98DF25) + _U(_SEEDS[seed]))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, 0, (1,))
+    long = length > _STEPPED
+    rows = np.flatnonzero((length > 0) & ~long)
+    at, left = starts[rows], length[rows]
+    while len(rows):
+        chunk = words[at] & _TAIL[np.minimum(left, 8)]
+        out[rows] = mix(out[rows] ^ (chunk * _U(0x9E3779B97F4A7C15)))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    if long.any():
+        view = memoryview(np.ascontiguousarray(data))
+        key = _SEEDS[seed].to_bytes(8, "big")
+        for k in np.flatnonzero(long):
+            out[k] = int.from_bytes(blake2b(view[starts[k] : ends[k]], digest_size=8, key=key).digest(), "big")
+    return out
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word (ASCII lower case, split at ASCII white space), and each document's word offsets."""
     low = _LOWER[data]
     solid = np.zeros(len(data) + 2, dtype=np.int8)
@@ -196,7 +232,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     at = inner[(inner > 0)] - 1
     after[at] = 0
     ends = np.flatnonzero((solid[1:-1] == 1) & (after == 0)) + 1
-    hashes = Rolling(low).range(begins, ends) if len(begins) else np.zeros(0, np.uint64)
+    hashes = range_hashes(low, begins, ends, seed) if len(begins) else np.zeros(0, np.uint64)
     return hashes, np.searchsorted(begins, offsets)
 
 
@@ -235,10 +271,10 @@ def distinct_per_document(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.n
     return hashes, np.searchsorted(doc, np.arange(len(offsets)))
 
 
-def shingle_sets(texts: pa.Array, k: int = 5):
+def shingle_sets(texts: pa.Array, k: int = 5, seed: int = 0):
     """Yield (first document, distinct shingle hashes, offsets) for runs of documents of bounded size."""
     data, offsets = utf8(texts)
     for first, last in runs_of_documents(offsets):
         part = offsets[first : last + 1]
-        words, at = word_hashes(data[part[0] : part[-1]], part - part[0])
+        words, at = word_hashes(data[part[0] : part[-1]], part - part[0], seed)
         yield first, *distinct_per_document(*shingle_hashes(words, at, k))

@@ -167,12 +167,12 @@ def prefix_size(n):
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def profile(docs: DataFrame, level: np.ndarray) -> DataFrame:
+def profile(docs: DataFrame, level: np.ndarray, exact: bool = False) -> DataFrame:
     """doc_id, text_key, n, frequent, digest, prefix, point, packed: the shingle set of each whole text.
 
     ``digest`` (BLAKE2 of 16 bytes over the set's sorted hashes) identifies the set, ``prefix`` has its rarest
     shingles in the one order that ``level`` and then the hash give, ``frequent`` counts the shingles above
-    level 0, ``packed`` is the compressed text.
+    level 0, ``packed`` is the compressed text.  ``exact`` shows the whole prefix of every set.
     """
     sent = docs.sparkSession.sparkContext.broadcast(level)
     names = ["doc_id", "text_key", "n", "frequent", "digest", "prefix", "point", "packed"]
@@ -186,7 +186,7 @@ def profile(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 doc, at_level = np.repeat(np.arange(count), sizes), sent.value[_group(hashes)]
                 frequent = np.bincount(doc, weights=at_level > 0, minlength=count).astype(np.int64)
                 kept = np.where(sizes > 0, prefix_size(sizes), 0)
-                kept = np.where(frequent > FREQUENT * sizes, kept, np.minimum(kept, SKETCH))
+                kept = kept if exact else np.where(frequent > FREQUENT * sizes, kept, np.minimum(kept, SKETCH))
                 ordered = hashes[np.argsort(doc * 64 + at_level, kind="stable")] if frequent.any() else hashes
                 rare = ordered[buffers.ragged_positions(offsets[:-1], kept)].view(np.int64)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)), pa.array(rare))
@@ -233,7 +233,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             packed = {x: t for a, b, ta, tb in rows for x, t in ((a, ta), (b, tb))}
             order, sets = list(packed), {}
             texts_of = pa.array([unpack.decompress(packed[x].as_py()) for x in order], pa.binary()).cast(pa.string())
-            for first, hashes, offsets in buffers.shingle_sets(texts_of):
+            # By another hash than the one that found the pair.
+            for first, hashes, offsets in buffers.shingle_sets(texts_of, seed=1):
                 for k, (lo, hi) in enumerate(zip(offsets, offsets[1:], strict=False)):
                     sets[order[first + k]] = hashes[lo:hi]
             found = []
@@ -343,8 +344,9 @@ def links(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     Two linked sets have a shingle in common among their rarest (see ``prefix_size``, SKETCH).  The holders of a
     shingle meet in the neighbourhood of its lead, the holder with the most frequent shingles, which in a
     group of near copies is the least changed.  First every set is compared with its leads; then the sets
-    that stayed outside their lead's component are searched for in the neighbourhood's tree.  So no link
-    between different components is missed, while a large group of near copies mostly costs one star.
+    that stayed outside their lead's component are searched for in the neighbourhood's tree.  Where sets show
+    their whole prefix, no link between different components is missed; a pair of sets that both show SKETCH
+    shingles is missed with the chance told there.  A large group of near copies mostly costs one star.
     """
     distinct = sets.where("n > 0").groupBy("digest").agg(*[F.first(c).alias(c) for c in ("n", "frequent", "prefix", "point")])
     distinct = distinct.withColumn("node", F.monotonically_increasing_id())
@@ -376,9 +378,9 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _placed(docs: DataFrame) -> DataFrame:
+def _placed(docs: DataFrame, exact: bool) -> DataFrame:
     """doc_id, text_key, n, component_id of each row of ``docs``."""
-    sets = stored(profile(docs, levels(loads(docs))), "profiles", "none")
+    sets = stored(profile(docs, levels(loads(docs)), exact), "profiles", "none")
     members = stored(sets.select("doc_id", "text_key", "n", "digest"), "members")
     nodes, linked = links(sets)
     roots = stored(_rooted(nodes.select("node", "digest"), linked).select("digest", "root"), "roots")
@@ -388,21 +390,23 @@ def _placed(docs: DataFrame) -> DataFrame:
     return placed.join(lowest, "root", "left").select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("_low")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text).
 
     Words are runs without ASCII white space in ASCII lower case; a set has the distinct 5-word shingles,
     or the whole sequence of a text with fewer words.  Texts without words have n_shingles 0 and are linked
     with nothing.  component_id is the smallest doc_id reachable over links, the row's own included; null ids
-    are smaller than none.  Repeated rows are copies of each other.  Other columns are left out.
+    are smaller than none.  Repeated rows are copies of each other.  Other columns are left out.  Sets are known by
+    64-bit hashes of their shingles; a pair is found by one hash and verified by another.  ``exact`` rules out the small
+    chance of SKETCH at the price of more candidates: then every link is found for certain, hashes aside.
     """
-    return _placed(docs).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return _placed(docs, exact).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, exact: bool = False) -> DataFrame:
     """``docs`` without the documents that a smaller doc_id of their component stands for; columns unchanged.
 
     Rows with a null id are kept.  Of rows that share the kept id all stay; rows that share an id but not the
     text are judged each by its own text.
     """
-    return without(docs, _placed(docs).where("doc_id <> component_id").select("doc_id", "text_key"))
+    return without(docs, _placed(docs, exact).where("doc_id <> component_id").select("doc_id", "text_key"))

@@ -6,12 +6,12 @@ repeated windows.  The first digit of a window is an anchor, the block of ANCHOR
 inside it, which equal windows share at the same place; neighbouring windows with one anchor travel as one
 record.  The second digit is all that such a record covers.  Only records whose second digit differs inside
 one group of the first are opened, and their windows compared at full depth.  Digits are hashes, so what they
-take for equal is then compared byte by byte, and what differs is grouped anew by its bytes.
+take for equal is then compared by 256-bit digests of its bytes, and what differs is grouped anew by its bytes.
 """
 
 from __future__ import annotations
 
-from hashlib import sha256
+from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
@@ -50,20 +50,38 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, depth: int, anchor: int):
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of values[i : i + width] stands first, for every i.
+
+    The upper bits of the values, with the place in the lower ones, tell it for nearly all; the others are looked through.
+    """
+    if len(values) < width:
+        return np.zeros(0, np.int64)
+    mask = _U((1 << int(len(values)).bit_length()) - 1)
+    least = sliding_least(values, width)
+    at = (sliding_least((values & ~mask) | np.arange(len(values), dtype=np.uint64), width) & mask).astype(np.int64)
+    wrong = np.flatnonzero(values[at] != least)
+    for part in np.array_split(wrong, -(-len(wrong) // 10_000)) if len(wrong) else ():
+        ahead = np.lib.stride_tricks.sliding_window_view(values, width)[part]
+        at[part] = part + (ahead == least[part, None]).argmax(axis=1)
+    return at
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, depth: int, anchor: int, bits: int = BITS):
     """(document, anchor hash, record hash, first window, last window) of each run of windows with one anchor.
 
-    Windows are counted inside their document.  Equal windows have equal anchor hashes, and two records with
-    both hashes alike cover equal bytes.
+    Windows are counted inside their document.  An anchor is the first of the blocks of least hash in a window: the
+    window alone decides it, so equal windows have equal anchors at equal places, whatever stands around them.  Two
+    records with both hashes alike cover equal bytes, unless the hashes collide.
     """
     none = np.zeros(0, np.int64)
     if len(data) < depth:
         return none, none, none, none, none
     rolling = buffers.Rolling(data)
     blocks = rolling.windows(anchor)
-    mask = _U((1 << int(len(data)).bit_length()) - 1)
-    place = np.arange(len(blocks), dtype=np.uint64)
-    at = (sliding_least((blocks & ~mask) | place, depth - anchor + 1) & mask).astype(np.int64)
+    if bits < 64:
+        blocks = blocks & ~_U((1 << (64 - bits)) - 1)
+    at = least_places(blocks, depth - anchor + 1)
     room = np.maximum(0, np.diff(offsets) - depth + 1)
     starts = buffers.ragged_positions(offsets[:-1], room)
     if not len(starts):
@@ -114,9 +132,9 @@ def records(texts: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, bits: in
             r = batch.column(0).to_numpy()
             for first, last in buffers.runs_of_documents(offsets):
                 part = offsets[first : last + 1]
-                doc, a, whole, lo, hi = anchors(data[part[0] : part[-1]], part - part[0], depth, anchor)
+                doc, a, whole, lo, hi = anchors(data[part[0] : part[-1]], part - part[0], depth, anchor, bits)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r[first:last][doc], _low_bits(a, bits), _low_bits(whole, bits), lo.astype(np.int32), hi.astype(np.int32))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (r[first:last][doc], a, _low_bits(whole, bits), lo.astype(np.int32), hi.astype(np.int32))], names=names)
 
     return texts.mapInArrow(buffers.tidy(run), "r long, anchor long, whole long, lo int, hi int")
 
@@ -198,12 +216,38 @@ def _raw(texts: DataFrame) -> DataFrame:
 _ITSELF = "r = other and shift = 0"
 
 
+def _digests(texts: DataFrame, ranges: DataFrame) -> DataFrame:
+    """r, lo, stop, digest: 256 bits of BLAKE2 over the bytes of each of the distinct ``ranges`` (r, lo, stop) of ``texts``.
+
+    Texts without a range stay where they are, the others travel compressed, once; a row's ranges are as many as its
+    text is long at most.
+    """
+    asked = ranges.groupBy("r").agg(F.collect_list(F.struct("lo", "stop")).alias("asked"))
+    names = ["r", "lo", "stop", "digest"]
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in buffers.slices(batches, 200):
+            for r, packed, spans in zip(*batch.columns, strict=True):
+                view = memoryview(unpack.decompress(packed.as_py()))
+                lo, stop = (spans.values.field(k) for k in range(2))
+                found = [blake2b(view[a:b], digest_size=32).digest() for a, b in zip(lo.to_pylist(), stop.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r.as_py()] * len(found), pa.int64()), lo, stop, pa.array(found, pa.binary())], names=names)
+
+    return texts.join(asked, "r").select("r", "packed", "asked").mapInArrow(buffers.tidy(run), "r long, lo int, stop int, digest binary")
+
+
 def _refuted(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """Those of ``runs`` whose bytes are not the ones they were taken for."""
-    raw = _raw(texts)
-    there = runs.where(f"not ({_ITSELF})").join(raw.withColumnRenamed("r", "other"), "other")
-    there = there.withColumn("piece", F.expr("substring(bytes, lo + shift + 1, stop - lo)")).drop("bytes")
-    return stored(there.join(raw, "r").where("substring(bytes, lo + 1, stop - lo) <> piece").select(*runs.columns), "refuted")
+    """Those of ``runs`` whose bytes are not the ones they were taken for, by digests of both sides' bytes."""
+    claims = runs.where(f"not ({_ITSELF})")
+    there = claims.select(F.col("other").alias("r"), (F.col("lo") + F.col("shift")).alias("lo"), (F.col("stop") + F.col("shift")).alias("stop"))
+    digests = stored(_digests(texts, claims.select("r", "lo", "stop").union(there).distinct()), "digests")
+    own = digests.withColumnRenamed("digest", "own")
+    far = digests.toDF("other", "_lo", "_stop", "far")
+    both = claims.withColumns({"_lo": F.col("lo") + F.col("shift"), "_stop": F.col("stop") + F.col("shift")}).join(own, ["r", "lo", "stop"]).join(far, ["other", "_lo", "_stop"])
+    out = stored(both.where("own <> far").select(*runs.columns), "refuted")
+    drop(digests)
+    return out
 
 
 def _mended(texts: DataFrame, runs: DataFrame, refuted: DataFrame, depth: int, anchor: int, bits: int) -> DataFrame:
@@ -233,7 +277,7 @@ def repeated_ranges(texts: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR,
     Pass 1 counts records by their first digit and drops the single ones.  Pass 2 compares the second digit:
     records that share it are repeated.  In groups of the first digit that don't agree, each different second
     digit sends one record on; pass 3 opens these and compares windows at full depth.  Each member of a group
-    is then compared with another by its bytes (``_refuted``), and groups that a hash brought together by
+    is then compared with another by a digest of its bytes (``_refuted``), and groups that a hash brought together by
     chance are formed again by bytes (``_mended``): the result doesn't depend on the hashes.  Groups are
     counted before each shuffle and split in parts, so a very frequent string is never in one task.
     """
@@ -291,7 +335,7 @@ def measure(docs: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, bits: int
     Removed is each byte that a string of ``depth`` bytes covers which also starts anywhere else, in the same
     or another row; overlaps count, matches never cross rows, and all is judged on the input.  Null texts
     count as empty; texts shorter than ``depth`` lose nothing; repeated rows lose all windows.  Strings are
-    compared by their bytes in the end, whatever ``bits`` of hashes say.  Other columns are left out.
+    compared by 256-bit digests or by their bytes in the end, whatever ``bits`` of hashes say.  Other columns are left out.
     """
     base, row, packed = _base(docs.select("doc_id", "text"), ["doc_id"])
 

@@ -22,8 +22,8 @@ class SegmentCoder:
     """encode_many(list of segments as bytes) -> (ids end to end as uint32, id count of each segment).
 
     Known segments are kept until there are ``limit`` of them, then all are forgotten: memory stays
-    bounded whatever the corpus holds, and results don't depend on what is kept.  A segment is known by
-    128 bits of hash and its length, so that only new segments become Python objects.
+    bounded whatever the corpus holds, and results don't depend on what is kept.  A known segment is found by
+    a hash and then compared byte by byte, so that only new segments become Python objects.
     """
 
     def __init__(self, encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 700_000, run_bytes: int = RUN_BYTES):
@@ -31,7 +31,8 @@ class SegmentCoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.checks, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.raw, self.raw_used, self.places = np.zeros(1 << 18, np.uint8), 0, np.zeros(1, np.int64)
         self.ids, self.used, self.known = np.zeros(1 << 16, np.uint32), 0, 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
@@ -48,30 +49,49 @@ class SegmentCoder:
         self.lengths[have : have + len(new)] = lengths
         self.starts[have : have + len(new)] = self.used + np.cumsum(lengths) - lengths
         self.known, self.used = have + len(new), total
+        self._remember(new)
         return np.arange(have, have + len(new))
 
+    def _remember(self, new: list[bytes]) -> None:
+        """The bytes of new segments, by slot."""
+        raw = np.frombuffer(b"".join(new), np.uint8)
+        total = self.raw_used + len(raw)
+        while len(self.raw) < total:
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        self.raw[self.raw_used : total] = raw
+        self.places = np.concatenate([self.places, self.raw_used + np.cumsum([len(x) for x in new])])
+        self.raw_used = total
+
+    def _same(self, slots: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Whether known segments have the bytes of the given ranges."""
+        at = self.places[slots]
+        same = self.places[slots + 1] - at == lengths
+        rows = np.flatnonzero(same & (lengths > 0))
+        if len(rows):
+            differ = self.raw[buffers.ragged_positions(at[rows], lengths[rows])] != data[buffers.ragged_positions(starts[rows], lengths[rows])]
+            same[rows] = ~np.logical_or.reduceat(differ, np.cumsum(lengths[rows]) - lengths[rows])
+        return same
+
     def _slots_of(self, distinct: pa.Array) -> np.ndarray:
         data, ends = np.frombuffer(distinct.buffers()[2], np.uint8), np.frombuffer(distinct.buffers()[1], np.int64)
         ends = ends[distinct.offset : distinct.offset + len(distinct) + 1]
         data, ends = data[ends[0] : ends[-1]], ends - ends[0]
-        size = np.diff(ends).astype(np.uint64)
-        key = buffers.mix(buffers.Rolling(data, 0).range(ends[:-1], ends[1:]) + size)
-        check = buffers.Rolling(data, 1).range(ends[:-1], ends[1:])
+        key = buffers.range_hashes(data, ends[:-1], ends[1:])
         if self.known + len(key) > self.limit:
             self.forget()
-        at = np.searchsorted(self.keys, key)
-        inside = np.minimum(at, max(0, len(self.keys) - 1))
-        same_key = (self.keys[inside] == key) if len(self.keys) else np.zeros(len(key), bool)
-        hit = same_key & (self.checks[inside] == check) if len(self.keys) else same_key
-        slots = np.zeros(len(key), np.int64)
-        slots[hit] = self.slots[inside[hit]]
+        hit, slots = np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit, slots = self.keys[at] == key, self.slots[at]
+        same_key = hit.copy()
+        hit[hit] = self._same(slots[hit], data, ends[:-1][hit], np.diff(ends)[hit])
         new = np.flatnonzero(~hit)
         if len(new):
             slots[new] = self._learn(distinct.take(pa.array(new)).to_pylist())
             fresh = new[~same_key[new]]
             fresh = fresh[np.argsort(key[fresh], kind="stable")]
             place = np.searchsorted(self.keys, key[fresh])
-            self.keys, self.checks, self.slots = (np.insert(a, place, b[fresh]) for a, b in ((self.keys, key), (self.checks, check), (self.slots, slots)))
+            self.keys, self.slots = (np.insert(a, place, b[fresh]) for a, b in ((self.keys, key), (self.slots, slots)))
         return slots
 
     def run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from palimpsest.llm import bpe, buffers, matroska, wavelet
+from palimpsest.llm import bpe, buffers, matroska, repeats, segcodes, wavelet
 
 HARD = ["", None, " ", "  a  b  　 c  d", "foo <|endoftext|> bar  <|endoftext|>x", "aaaaaaaaa a" * 3, "a" * 700, "don't I'll 'tis we've'd", "\n\n x \t\n y ", "été É ́x  日本語 テスト 😀 \x1c \x85 1234 12.5%", "x" * 60 + " " * 70 + "y", "ÀÉÎ ŒUVRE İstanbul ΣΑΣ ß ẞ ª µ x.y, z.", "<|startoftext|>Hi <|endoftext|>"]
 TEXT = st.text(st.sampled_from("ab Eé\n\t.,'1日 <|endoftext>sß"), max_size=60)
@@ -160,3 +160,59 @@ def test_damaged_matroska_streams_raise_one_error():
                 read(raw)
             except ValueError:
                 pass
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+
+
+TWISTED = [t for n in (64, 1024, 4096) for t in (thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba")))]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_regular_words_do_not_collide(seed):
+    data, offsets = buffers.utf8(pa.array([*TWISTED, *(t + "x" for t in TWISTED), *map(str, range(5000))]))
+    words, _ = buffers.word_hashes(data, offsets, seed)
+    assert len(np.unique(words)) == len(words) == 2 * len(TWISTED) + 5000
+
+
+def test_regular_words_as_segments():
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    made = bpe.coder(public_tokenizers.path("byte_bpe_50k.json"))
+    for texts in (TWISTED[:1], TWISTED[1:2], TWISTED, [" ".join(TWISTED)], ["a b " + t for t in TWISTED]):
+        for first, ids, offsets in made.documents(pa.array(texts)):
+            for k, (a, b) in enumerate(zip(offsets, offsets[1:])):
+                assert ids[a:b].tolist() == own.encode(texts[first + k], add_special_tokens=False).ids
+
+
+def test_segments_of_equal_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(buffers, "range_hashes", lambda data, starts, ends, seed=0: np.zeros(len(starts), np.uint64))
+    coder = segcodes.SegmentCoder(lambda new: (np.array([x for s in new for x in s], np.uint32), np.array([len(s) for s in new])))
+    for texts in (["one two", "two one", ""], ["three one", "one two"], ["two"]):
+        for first, ids, offsets in coder.documents(pa.array(texts)):
+            assert [bytes(ids[a:b].tolist()).decode() for a, b in zip(offsets, offsets[1:])] == texts[first:]
+
+
+@pytest.mark.parametrize("bits", [3, 8, 16, 64])
+def test_anchors_depend_on_the_window_alone(bits):
+    pick = np.random.default_rng(bits)
+    text = pick.integers(97, 100, 3000).astype(np.uint8)
+    text[500:900] = 97
+    alone = {}
+    for doc, a, _, lo, hi in zip(*repeats.anchors(text, np.array([0, len(text)]), 60, 20, bits), strict=True):
+        alone |= {at: a for at in range(lo, hi + 1)}
+    for before, after in ((1, 0), (5000, 200_000), (123_456, 1_000_000)):
+        data = np.concatenate([pick.integers(0, 256, before).astype(np.uint8), text, pick.integers(0, 256, after).astype(np.uint8)])
+        found = {}
+        for doc, a, _, lo, hi in zip(*repeats.anchors(data, np.array([0, before, before + len(text), len(data)]), 60, 20, bits), strict=True):
+            if doc == 1:
+                found |= {at: a for at in range(lo, hi + 1)}
+        assert found == alone and len(alone) == len(text) - 59
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=60), st.integers(1, 12))
+def test_least_places(values, width):
+    array = np.array(values, np.uint64)
+    want = [i + values[i : i + width].index(min(values[i : i + width])) for i in range(len(values) - width + 1)]
+    assert repeats.least_places(array, width).tolist() == want

@@ -372,3 +372,22 @@ def test_quality(spark, none):
     assert sum(truth[r["doc_id"]] == bool(r["predicted"]) for r in held) >= 0.97 * len(held)
     assert quality.score_quality(none, labels).count() == 0
     assert quality.score_quality(spark.createDataFrame(rows[:5], DOCS), labels.limit(0)).count() == 5
+
+
+def test_regular_words_in_sets(spark):
+    """Words that polynomial hashes modulo a power of two take for one another."""
+    bits = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    rows = [(1, bits), (2, other), (3, f"{bits} {bits} {bits} {bits} {bits} {other} {bits} {other} {bits} {bits}"), (4, bits.upper())]
+    docs = spark.createDataFrame([(*r, "en", "x", 1) for r in rows], DOCS)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {(i, len(plain_shingles(t)), 1 if i in (1, 4) else i) for i, t in rows}
+    item = spark.createDataFrame([(1, f"{bits} w x y z {other} w x")], "item_id long, text string")
+    held = spark.createDataFrame([(1, f"{bits} w x y z {other} w", "en", "x", 1)], DOCS)
+    assert [(r["n_item"], r["n_shared"]) for r in decontam.contaminated(held, item).collect()] == [(4, 3)]
+
+
+def test_exact_mode_gives_the_same_components(spark, docs):
+    columns = ("doc_id", "n_shingles", "component_id")
+    plain, exact = (Counter(tuple(r[c] for c in columns) for r in jaccard.jaccard_components(docs, exact=x).collect()) for x in (False, True))
+    assert plain == exact
