@@ -101,22 +101,30 @@ def viewport_tiles(boxes: DataFrame, level: int, limit: int = VIEWPORT_TILES) ->
 _A, _B = 6378137.0, 6356752.314245179
 
 
-def ellipsoid_metres(lat1, lon1, lat2, lon2) -> np.ndarray:
-    """Vincenty's inverse distance for arrays of degrees; near-antipodal pairs, where it doesn't settle, by haversine."""
+#: Rounds after which an inverse solution that hasn't settled counts as near-antipodal.
+_ROUNDS = 60
+
+
+def ellipsoid_inverse(lat1, lon1, lat2, lon2) -> tuple[np.ndarray, np.ndarray]:
+    """(metres, azimuth at the first point in radians) by Vincenty's inverse solution for arrays of degrees.
+
+    Near-antipodal pairs, where it doesn't settle, are taken as on a sphere.
+    """
     f = 1 - _B / _A
-    lat1, lon1, lat2, lon2 = (np.radians(np.asarray(v, float)) for v in (lat1, lon1, lat2, lon2))
+    lat1, lon1, lat2, lon2 = np.broadcast_arrays(*(np.radians(np.asarray(v, float)) for v in (lat1, lon1, lat2, lon2)))
     u1, u2 = np.arctan((1 - f) * np.tan(lat1)), np.arctan((1 - f) * np.tan(lat2))
+    s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
     l = (lon2 - lon1 + np.pi) % (2 * np.pi) - np.pi  # noqa: E741
     lam, done = l.copy(), np.zeros(l.shape, bool)
     with np.errstate(all="ignore"):
-        for _ in range(200):
+        for _ in range(_ROUNDS):
             s, c = np.sin(lam), np.cos(lam)
-            sin_sigma = np.hypot(np.cos(u2) * s, np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * c)
-            cos_sigma = np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * c
+            sin_sigma = np.hypot(c2 * s, c1 * s2 - s1 * c2 * c)
+            cos_sigma = s1 * s2 + c1 * c2 * c
             sigma = np.arctan2(sin_sigma, cos_sigma)
-            sin_alpha = np.where(sin_sigma == 0, 0, np.cos(u1) * np.cos(u2) * s / np.where(sin_sigma == 0, 1, sin_sigma))
+            sin_alpha = np.where(sin_sigma == 0, 0, c1 * c2 * s / np.where(sin_sigma == 0, 1, sin_sigma))
             cos2 = 1 - sin_alpha**2
-            mid = np.where(cos2 < 1e-15, 0, cos_sigma - 2 * np.sin(u1) * np.sin(u2) / np.where(cos2 < 1e-15, 1, cos2))
+            mid = np.where(cos2 < 1e-15, 0, cos_sigma - 2 * s1 * s2 / np.where(cos2 < 1e-15, 1, cos2))
             k = f / 16 * cos2 * (4 + f * (4 - 3 * cos2))
             new = l + (1 - k) * f * sin_alpha * (sigma + k * sin_sigma * (mid + k * cos_sigma * (2 * mid**2 - 1)))
             done = np.abs(new - lam) < 1e-12
@@ -128,8 +136,46 @@ def ellipsoid_metres(lat1, lon1, lat2, lon2) -> np.ndarray:
         b = q / 1024 * (256 + q * (q * (74 - 47 * q) - 128))
         d = b * sin_sigma * (mid + b / 4 * (cos_sigma * (2 * mid**2 - 1) - b / 6 * mid * (4 * sin_sigma**2 - 3) * (4 * mid**2 - 3)))
         exact = _B * a * (sigma - d)
+    settled = done & np.isfinite(exact)
+    lam = np.where(settled, lam, l)
     h = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin(l / 2) ** 2
-    return np.where(done & np.isfinite(exact), exact, 2 * 6371008.8 * np.arcsin(np.sqrt(np.clip(h, 0, 1))))
+    metres = np.where(settled, exact, 2 * 6371008.8 * np.arcsin(np.sqrt(np.clip(h, 0, 1))))
+    return metres, np.arctan2(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam))
+
+
+def ellipsoid_metres(lat1, lon1, lat2, lon2) -> np.ndarray:
+    """Geodesic distance for arrays of degrees (see ``ellipsoid_inverse``)."""
+    return ellipsoid_inverse(lat1, lon1, lat2, lon2)[0]
+
+
+def ellipsoid_direct(lat, lon, azimuth, metres) -> tuple[np.ndarray, np.ndarray]:
+    """(lat, lon) in degrees that lie ``metres`` from points in a direction (radians), by Vincenty's direct solution."""
+    f = 1 - _B / _A
+    lat, lon, azimuth, metres = np.broadcast_arrays(np.radians(np.asarray(lat, float)), np.radians(np.asarray(lon, float)), np.asarray(azimuth, float), np.asarray(metres, float))
+    u = np.arctan((1 - f) * np.tan(lat))
+    su, cu, sa, ca = np.sin(u), np.cos(u), np.sin(azimuth), np.cos(azimuth)
+    sigma1 = np.arctan2(su, cu * ca)
+    sin_alpha = cu * sa
+    cos2 = 1 - sin_alpha**2
+    q = cos2 * (_A**2 - _B**2) / _B**2
+    a = 1 + q / 16384 * (4096 + q * (q * (320 - 175 * q) - 768))
+    b = q / 1024 * (256 + q * (q * (74 - 47 * q) - 128))
+    sigma = start = metres / (_B * a)
+    for _ in range(_ROUNDS):
+        mid = np.cos(2 * sigma1 + sigma)
+        step = b * np.sin(sigma) * (mid + b / 4 * (np.cos(sigma) * (2 * mid**2 - 1) - b / 6 * mid * (4 * np.sin(sigma) ** 2 - 3) * (4 * mid**2 - 3)))
+        new = start + step
+        settled = (np.abs(new - sigma) < 1e-13).all()
+        sigma = new
+        if settled:
+            break
+    mid = np.cos(2 * sigma1 + sigma)
+    s, c = np.sin(sigma), np.cos(sigma)
+    there = np.arctan2(su * c + cu * s * ca, (1 - f) * np.hypot(sin_alpha, su * s - cu * c * ca))
+    lam = np.arctan2(s * sa, cu * c - su * s * ca)
+    k = f / 16 * cos2 * (4 + f * (4 - 3 * cos2))
+    away = lam - (1 - k) * f * sin_alpha * (sigma + k * s * (mid + k * c * (2 * mid**2 - 1)))
+    return np.degrees(there), np.degrees((lon + away + np.pi) % (2 * np.pi) - np.pi)
 
 
 @pandas_udf(DoubleType())

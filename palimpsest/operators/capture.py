@@ -171,11 +171,12 @@ def near_dups_wide(hashes: DataFrame, max_bits: int, blocks: int = 8) -> DataFra
 
 
 def clean_detections(masks: DataFrame, k: int, overlap: float = 0.7, survive: float = 0.1) -> DataFrame:
-    """image, mask, score, pixels, left, place: detections of each image after clean-up.
+    """image, mask, score, pixels, column, place: detections of each image after clean-up.
 
     ``masks`` has image, mask, score, width, runs (array of start, end pixels, end exclusive).  In score
     order a mask goes when it overlaps a kept one by more than ``overlap``; pixels belong to the first mask
-    that has them; masks with less than ``survive`` of their pixels left go; the best k are placed from left to right.
+    that has them; masks with less than ``survive`` of their pixels left go; the best k are placed from left to right by ``column``, the mean
+    column of their pixels (the smaller mask on ties).
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -201,11 +202,11 @@ def clean_detections(masks: DataFrame, k: int, overlap: float = 0.7, survive: fl
                 grown[: len(taken)] = taken
             grown[:size] |= mine
             taken = grown
-            out.append((row.image, row.mask, row.score, int(left.sum()), int((np.flatnonzero(left) % row.width).min())))
-        best = pd.DataFrame(out, columns=["image", "mask", "score", "pixels", "left"]).head(k).sort_values(["left", "mask"])
+            out.append((row.image, row.mask, row.score, int(left.sum()), float((np.flatnonzero(left) % row.width).mean())))
+        best = pd.DataFrame(out, columns=["image", "mask", "score", "pixels", "column"]).head(k).sort_values(["column", "mask"])
         return best.assign(place=range(len(best)))
 
-    return masks.groupBy("image").applyInPandas(run, "image long, mask long, score double, pixels long, left long, place int")
+    return masks.groupBy("image").applyInPandas(run, "image long, mask long, score double, pixels long, column double, place int")
 
 
 def panels(images: DataFrame) -> DataFrame:

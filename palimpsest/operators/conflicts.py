@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from palimpsest.operators.records import interval_bracket
 
 START, END = "construction_started", "demolition_completed"
+#: Kinds that say an entity was there, and kinds whose upper end a removal bounds.  A finished construction and a begun
+#: demolition are neither witnesses nor bounds.
+WITNESSES, BUILDING = ("existence", "event"), ("construction_started", "construction_completed")
 
 
 def lifetime_bounds(bag: DataFrame) -> DataFrame:
@@ -21,21 +24,26 @@ def lifetime_bounds(bag: DataFrame) -> DataFrame:
 
 
 def witness_violations(bag: DataFrame, bounds: DataFrame) -> DataFrame:
-    """rep, fact_id, lo, hi, bound (floor or ceiling): witnesses wholly before the floor or after the ceiling."""
-    seen = bag.where(~F.col("kind").isin(START, END)).select("rep", "fact_id", "kind", "lo", "hi").join(bounds, "rep")
+    """rep, fact_id, kind, lo, hi, bound (floor or ceiling): witnesses wholly before the floor or after the ceiling.
+
+    Existence and events witness; other kinds don't.  An ``event`` column is kept.
+    """
+    seen = bag.where(F.col("kind").isin(*WITNESSES)).join(bounds, "rep")
     below = seen.where(F.col("hi") < F.col("floor")).withColumn("bound", F.lit("floor"))
     above = seen.where(F.col("lo") > F.col("ceiling")).withColumn("bound", F.lit("ceiling"))
-    return below.unionByName(above).select("rep", "fact_id", "kind", "lo", "hi", "bound")
+    return below.unionByName(above).select("rep", "fact_id", "kind", "lo", "hi", "bound", *(["event"] if "event" in bag.columns else []))
 
 
 def temporal_conflicts(bag: DataFrame) -> DataFrame:
     """rep, bound, witnesses, bookends, witness: one conflict per group of witnesses and bound.
 
-    Existence facts with the same exact dates are a group, each event is one by itself.  ``witness`` is the
-    fact nearest the bound (smallest id on ties), ``bookends`` all facts that make the bound.
+    Existence facts with the same exact dates are a group, and so are the facts of one ``event`` (each event fact by
+    itself where the column is absent or null).  ``witness`` is the fact nearest the bound (smallest id on ties),
+    ``bookends`` all facts that make the bound.
     """
+    event = F.coalesce(F.concat(F.lit("e"), F.col("event").cast("string")), F.concat(F.lit("f"), F.col("fact_id").cast("string"))) if "event" in bag.columns else F.concat(F.lit("f"), F.col("fact_id").cast("string"))
     out = witness_violations(bag, lifetime_bounds(bag))
-    group = F.when(F.col("kind") == "event", F.concat(F.lit("e"), F.col("fact_id").cast("string"))).otherwise(F.concat_ws(",", F.lit("x"), F.coalesce(F.col("lo").cast("string"), F.lit("-")), F.coalesce(F.col("hi").cast("string"), F.lit("-"))))
+    group = F.when(F.col("kind") == "event", event).otherwise(F.concat_ws(",", F.lit("x"), F.coalesce(F.col("lo").cast("string"), F.lit("-")), F.coalesce(F.col("hi").cast("string"), F.lit("-"))))
     near = F.when(F.col("bound") == "floor", F.struct((-F.col("hi")).alias("d"), F.col("fact_id").alias("i"))).otherwise(F.struct(F.col("lo").alias("d"), F.col("fact_id").alias("i")))
     found = out.withColumn("_g", group).groupBy("rep", "bound", "_g").agg(F.sort_array(F.collect_set("fact_id")).alias("witnesses"), F.min_by("fact_id", near).alias("witness"))
     ends = bag.where(F.col("kind").isin(START, END)).groupBy("rep", F.when(F.col("kind") == START, "floor").otherwise("ceiling").alias("bound")).agg(F.sort_array(F.collect_set("fact_id")).alias("bookends"))
@@ -45,19 +53,19 @@ def temporal_conflicts(bag: DataFrame) -> DataFrame:
 def narrow(bag: DataFrame) -> DataFrame:
     """``bag`` with new_lo, new_hi and rules: bookends narrowed by what else is known of the entity.
 
-    A construction's upper end falls to the latest removal; a completed demolition's lower end rises to the
+    A begun or finished construction's upper end falls to the latest removal; a completed demolition's lower end rises to the
     strongest of witness reach and earliest start.  Contradictory classes and open moved ends stay as they are.
     """
     start, end = F.col("kind") == START, F.col("kind") == END
     chain = bag.groupBy("rep").agg(
-        F.max(F.when(~start & ~end, F.col("lo"))).alias("_w"),
+        F.max(F.when(F.col("kind").isin(*WITNESSES), F.col("lo"))).alias("_w"),
         F.when(~F.coalesce(F.bool_or(end & F.col("hi").isNull()), F.lit(False)), F.max(F.when(end, F.col("hi")))).alias("_d"),
         F.when(~F.coalesce(F.bool_or(start & F.col("lo").isNull()), F.lit(False)), F.min(F.when(start, F.col("lo")))).alias("_c"),
         F.coalesce(F.max(F.when(start, F.col("lo"))) > F.min(F.when(end, F.col("hi"))), F.lit(False)).alias("_bad"),
     )
     x = bag.join(chain, "rep")
     no = F.lit(False)
-    cut = start & ~F.col("_bad") & F.coalesce(F.col("hi") > F.col("_d"), no) & (F.col("lo").isNull() | F.coalesce(F.col("lo") <= F.col("_d"), no))
+    cut = F.col("kind").isin(*BUILDING) & ~F.col("_bad") & F.coalesce(F.col("hi") > F.col("_d"), no) & (F.col("lo").isNull() | F.coalesce(F.col("lo") <= F.col("_d"), no))
     fits = lambda v: end & ~F.col("_bad") & F.coalesce(F.col("lo") < v, no) & (F.col("hi").isNull() | F.coalesce(v <= F.col("hi"), no))
     best = F.greatest(F.when(fits(F.col("_w")), F.col("_w")), F.when(fits(F.col("_c")), F.col("_c")))
     rules = F.array_compact(F.array(F.when(cut, "construction_before_demolition"), F.when(fits(F.col("_w")) & (F.col("_w") == best), "witness_before_demolition"), F.when(fits(F.col("_c")) & (F.col("_c") == best), "start_before_demolition")))
@@ -65,11 +73,15 @@ def narrow(bag: DataFrame) -> DataFrame:
 
 
 def built_by(bag: DataFrame) -> DataFrame:
-    """rep, built_by, evidence: the earliest upper end of a witness, where no start is asserted; all ties are evidence."""
-    seen = bag.where((~F.col("kind").isin(START, END)) & F.col("hi").isNotNull())
+    """rep, built_by, precision, evidence: the earliest upper end of a witness, where no start is asserted.
+
+    All ties are evidence; ``precision`` is the finest of theirs (null where the column is absent).
+    """
+    precision = F.max("precision") if "precision" in bag.columns else F.lit(None).cast("int")
+    seen = bag.where(F.col("kind").isin(*WITNESSES) & F.col("hi").isNotNull())
     seen = seen.join(bag.where(F.col("kind") == START).select("rep").distinct(), "rep", "left_anti")
     least = seen.groupBy("rep").agg(F.min("hi").alias("built_by"))
-    return seen.join(least, "rep").where("hi = built_by").groupBy("rep", "built_by").agg(F.sort_array(F.collect_set("fact_id")).alias("evidence"))
+    return seen.join(least, "rep").where("hi = built_by").groupBy("rep", "built_by").agg(precision.alias("precision"), F.sort_array(F.collect_set("fact_id")).alias("evidence"))
 
 
 def fighting_pairs(bag: DataFrame, kind: str) -> DataFrame:

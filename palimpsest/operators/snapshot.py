@@ -9,7 +9,7 @@ from palimpsest.operators import folds
 from palimpsest.scratch import stored
 
 #: Kinds of facts that speak of a day.  Fixed values.
-DATED = ["existence", "construction_started", "demolition_completed", "event"]
+DATED = ["existence", "construction_started", "construction_completed", "demolition_started", "demolition_completed", "event"]
 
 
 def facts_at(facts: DataFrame, n: int) -> DataFrame:

@@ -21,7 +21,7 @@ def live_facts(spark, d):
 
 def bag(spark, d):
     """Live dated facts with the representative of their entity's class."""
-    facts = live_facts(spark, d).where("kind in ('existence', 'construction_started', 'demolition_completed', 'event')")
+    facts = T.events_of(live_facts(spark, d).where(F.col("kind").isin(snapshot.DATED)))
     reps = identity.representatives(facts.select(F.col("entity").alias("member")), T.same_edges(spark, d))
     return stored(facts.join(reps.withColumnRenamed("member", "entity"), "entity"), "bag")
 
@@ -163,7 +163,7 @@ def gr5_update_reps(spark, d):
 _LIFE = """life as (select rep, min(case when lo is null then hi else lo end) as earliest, max(case when hi is null then lo else hi end) as affirmed,
  max(case when kind <> 'demolition_completed' then lo end) as reached, max(case when kind = 'construction_started' then lo end) as floor,
  min(case when kind = 'demolition_completed' then hi end) as denies_after, max(case when kind = 'demolition_completed' then hi end) as claimed_through,
- coalesce(bool_or(kind = 'demolition_completed' and hi is null), false) as unbounded, coalesce(bool_or(kind = 'demolition_completed'), false) as claimed from bag group by rep),
+ coalesce(bool_or(kind = 'demolition_started' or (kind = 'demolition_completed' and hi is null)), false) as unbounded, coalesce(bool_or(kind in ('demolition_started', 'demolition_completed')), false) as claimed from bag group by rep),
 pres as (select *, (not claimed or (not unbounded and coalesce(reached > claimed_through, false))) as presumes from life)"""
 _DAYS = "(select unnest([5, 15, 25, 45]) as day)"
 _VERDICT = f"""verdicts as (select rep, day, case when denied and supported then 'contested' when denied then 'absent' when not supported then 'unknown' when affirms then 'uncontested' else 'presumed' end as verdict
@@ -220,8 +220,8 @@ def agg10_sightings(spark, d):
 
 _BOUNDS = """bounds as (select rep, case when not coalesce(bool_or(kind = 'construction_started' and lo is null), false) then min(case when kind = 'construction_started' then lo end) end as floor,
  case when not coalesce(bool_or(kind = 'demolition_completed' and hi is null), false) then max(case when kind = 'demolition_completed' then hi end) end as ceiling from bag group by rep),
-viol as (select w.rep, fact_id, kind, lo, hi, 'floor' as bound from bag w join bounds using (rep) where kind in ('existence', 'event') and hi < floor
- union all select w.rep, fact_id, kind, lo, hi, 'ceiling' from bag w join bounds using (rep) where kind in ('existence', 'event') and lo > ceiling)"""
+viol as (select w.rep, fact_id, kind, event, lo, hi, 'floor' as bound from bag w join bounds using (rep) where kind in ('existence', 'event') and hi < floor
+ union all select w.rep, fact_id, kind, event, lo, hi, 'ceiling' from bag w join bounds using (rep) where kind in ('existence', 'event') and lo > ceiling)"""
 
 
 @query(_bag_sql(_BOUNDS, "select rep, floor, ceiling from bounds"))
@@ -232,12 +232,12 @@ def agg11_lifetime_bounds(spark, d):
 @query(_bag_sql(_BOUNDS, "select rep, fact_id, lo, hi, bound from viol"))
 def jn10_witness_violations(spark, d):
     b = bag(spark, d)
-    return conflicts.witness_violations(b, conflicts.lifetime_bounds(b)).drop("kind")
+    return conflicts.witness_violations(b, conflicts.lifetime_bounds(b)).drop("kind", "event")
 
 
 @query(_bag_sql(_BOUNDS, """select rep, bound, witness, array_to_string(witnesses, ',') as witnesses, array_to_string(list_sort(list_distinct(bookends)), ',') as bookends from
 (select rep, bound, list_sort(list(distinct fact_id)) as witnesses, case when bound = 'floor' then arg_min(fact_id, (-hi, fact_id)) else arg_min(fact_id, (lo, fact_id)) end as witness
- from viol group by rep, bound, case when kind = 'event' then 'e' || fact_id else coalesce(lo::varchar, '-') || ',' || coalesce(hi::varchar, '-') end)
+ from viol group by rep, bound, case when kind = 'event' then 'e' || event else coalesce(lo::varchar, '-') || ',' || coalesce(hi::varchar, '-') end)
 join (select rep, case when kind = 'construction_started' then 'floor' else 'ceiling' end as bound, list(fact_id) as bookends from bag where kind in ('construction_started', 'demolition_completed') group by all) using (rep, bound)"""))
 def agg12_temporal_conflicts(spark, d):
     c = conflicts.temporal_conflicts(bag(spark, d))
@@ -247,7 +247,7 @@ def agg12_temporal_conflicts(spark, d):
 @query(_bag_sql("""chain as (select rep, max(case when kind in ('existence', 'event') then lo end) as w, case when not coalesce(bool_or(kind = 'demolition_completed' and hi is null), false) then max(case when kind = 'demolition_completed' then hi end) end as dd,
  case when not coalesce(bool_or(kind = 'construction_started' and lo is null), false) then min(case when kind = 'construction_started' then lo end) end as c,
  coalesce(max(case when kind = 'construction_started' then lo end) > min(case when kind = 'demolition_completed' then hi end), false) as bad from bag group by rep),
-x as (select bag.*, w, dd, c, bad, kind = 'construction_started' and not bad and coalesce(hi > dd, false) and (lo is null or coalesce(lo <= dd, false)) as cut,
+x as (select bag.*, w, dd, c, bad, kind in ('construction_started', 'construction_completed') and not bad and coalesce(hi > dd, false) and (lo is null or coalesce(lo <= dd, false)) as cut,
  kind = 'demolition_completed' and not bad and coalesce(lo < w, false) and (hi is null or coalesce(w <= hi, false)) as fw, kind = 'demolition_completed' and not bad and coalesce(lo < c, false) and (hi is null or coalesce(c <= hi, false)) as fc from bag join chain using (rep))""",
 """select fact_id, coalesce(greatest(case when fw then w end, case when fc then c end), lo) as new_lo, case when cut then dd else hi end as new_hi,
 array_to_string(list_filter([case when cut then 'construction_before_demolition' end, case when fw and w = greatest(case when fw then w end, case when fc then c end) then 'witness_before_demolition' end, case when fc and c = greatest(case when fw then w end, case when fc then c end) then 'start_before_demolition' end], lambda r: r is not null), '+') as rules from x"""))
@@ -256,9 +256,9 @@ def agg13_narrow(spark, d):
 
 
 @query(_bag_sql("""w as (select * from bag where kind in ('existence', 'event') and hi is not null and rep not in (select rep from bag where kind = 'construction_started'))""",
-"select rep, m as built_by, array_to_string(list_sort(list(distinct fact_id)), ',') as evidence from w join (select rep, min(hi) as m from w group by rep) using (rep) where hi = m group by rep, m"))
+"select rep, m as built_by, max(precision) as precision, array_to_string(list_sort(list(distinct fact_id)), ',') as evidence from w join (select rep, min(hi) as m from w group by rep) using (rep) where hi = m group by rep, m"))
 def agg14_built_by(spark, d):
-    return conflicts.built_by(bag(spark, d)).select("rep", "built_by", F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"))
+    return conflicts.built_by(bag(spark, d)).select("rep", "built_by", "precision", F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"))
 
 
 @query(_bag_sql("", "select p.rep, least(p.fact_id, q.fact_id) as a, greatest(p.fact_id, q.fact_id) as b from bag p join bag q on p.rep = q.rep and p.kind = q.kind and p.hi < q.lo where p.kind = 'construction_started'"))

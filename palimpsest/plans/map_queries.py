@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, geo, text
-from palimpsest.operators import folds, identity, listing, maps, validate
+from palimpsest.operators import folds, identity, listing, maps, places, validate
 from palimpsest.plans.registry import query
 from palimpsest.sources import testbed as T
 from palimpsest.sources.testbed import sql
@@ -59,6 +59,40 @@ def flt5_circles_in_viewport(spark, d):
     return maps.circles_in_viewport(T.viewports(spark, d), circles(spark, d))
 
 
+@query(sql("members viewports", """, inside as (select box, location, shape, j, lat between south and north and ((west <= east and lon between west and east) or (west > east and (lon >= west or lon <= east))) as ok from viewports, members)
+select box, location from inside group by box, location, shape having case shape when 0 then bool_or(ok) when 1 then bool_and(ok) when 2 then bool_and(ok or j >= 2) when 3 then bool_or(ok and j < 2) else location % 2 = 1 and bool_and(ok or j >= 3) end""").replace("\n, inside", ",\ninside"))
+def flt5_trees_in_viewport(spark, d):
+    """Location trees of points against all boxes."""
+    return places.in_viewport(T.viewports(spark, d), T.place_trees(spark, d))
+
+
+@query()
+def flt5_wide_trees_in_viewport(spark, d):
+    """Location trees of wide circles against all boxes."""
+    return places.in_viewport(T.viewports(spark, d), T.place_trees(spark, d, radius=True))
+
+
+_COVERS = """, cand as (select distinct location // {n} as key, lat, lon from members),
+held as (select key, c.lat, c.lon, location, shape, case shape when 0 then bool_or(same) when 1 then bool_and(same) when 2 then true when 3 then bool_or(same and j < 2) else location % 2 = 1 and bool_and(same or j >= 3) end as ok
+ from (select key, c.lat, c.lon, m.location, shape, j, m.lat = c.lat and m.lon = c.lon as same from cand c join members m on m.location // {n} = key) c group by key, c.lat, c.lon, location, shape),
+met as (select key, lat, lon, bool_and(ok) as ok from held group by key, lat, lon),
+seen as (select key, bool_or(ok) as ok from met group by key),
+trees as (select location // {n} as key, bool_or(shape in (2, 3)) as open, count(*) filter (shape < 2 or (shape < 4 and j < 2) or (shape = 4 and j < 3)) as n_circles from members group by 1)
+select {key}, n_circles, case when not ok then 'conflict' when open then 'pending' else 'consistent' end as verdict from seen join trees using (key)"""
+
+
+@query(sql("members", _COVERS.format(n=3, key="key as site")).replace("\n, cand", ",\ncand"))
+def agg4_tree_bracket(spark, d):
+    """What the trees of every three locations say of one site."""
+    return places.bracket(T.place_trees(spark, d).withColumn("site", F.expr("location div 3")), "site")
+
+
+@query(sql("members", _COVERS.format(n=1, key="key as location") + "").replace("\n, cand", ",\ncand").replace("select key as location, n_circles, case when not ok then 'conflict' when open then 'pending' else 'consistent' end as verdict from", "select key as location, 'empty' as fault from") + " where not ok")
+def val7_tree_faults(spark, d):
+    """Submitted trees that no resolution can save."""
+    return places.faults(T.place_trees(spark, d))
+
+
 @query(sql("points", f", {_keyed_sql('points')} select tile, fact_id from (select quadkey >> 42 as tile, fact_id, row_number() over (partition by quadkey >> 42 order by quadkey, fact_id) as rn from located) where rn <= 32").replace("\n, tiles_", ",\ntiles_"))
 def win1_tile_top_n(spark, d):
     return maps.tile_top_n(located(spark, d), 3).select("tile", "fact_id")

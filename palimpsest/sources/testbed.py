@@ -24,7 +24,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fact_id, commit_seq, entity, kind, lo, hi, value, retracts_fact_id, retracts_commit_seq from ``events``."""
     e = table(spark, sf_dir, "events")
     i = F.col("event_id")
-    kind = F.when(F.col("event_type") == "view", "existence").when(F.col("event_type") == "signup", "construction_started").when((F.col("event_type") == "purchase") & (i % 3 == 0), "demolition_completed").when(F.col("event_type") == "purchase", "event").when(F.col("event_type") == "click", "name").otherwise("retract")
+    kind = F.when(F.col("event_type") == "view", "existence").when((F.col("event_type") == "signup") & (i % 4 == 1), "construction_completed").when(F.col("event_type") == "signup", "construction_started").when((F.col("event_type") == "purchase") & (i % 12 == 0), "demolition_started").when((F.col("event_type") == "purchase") & (i % 3 == 0), "demolition_completed").when(F.col("event_type") == "purchase", "event").when(F.col("event_type") == "click", "name").otherwise("retract")
     error, whole = F.col("event_type") == "error", i % 11 == 0
     d = day("ts")
     return e.select(
@@ -36,7 +36,13 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dated kinds of ``facts``."""
-    return facts(spark, sf_dir).where("kind in ('existence', 'construction_started', 'demolition_completed', 'event')")
+    return facts(spark, sf_dir).where("kind in ('existence', 'construction_started', 'construction_completed', 'demolition_started', 'demolition_completed', 'event')")
+
+
+def events_of(facts: DataFrame) -> DataFrame:
+    """``facts`` with event, which several facts of kind event share, and precision (9 year, 10 month, 11 day)."""
+    event = F.when(F.col("kind") == "event", F.col("entity") * 2 + F.expr("fact_id div 20 % 2"))
+    return facts.withColumns({"event": event, "precision": F.col("fact_id") % 3 + 9})
 
 
 def same_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,14 +147,36 @@ def image_reps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(i.alias("member"), F.when(i % 20 == 1, i - 1).otherwise(i).alias("rep"))
 
 
+def place_trees(spark: SparkSession, sf_dir: str, radius: bool = False) -> DataFrame:
+    """location, path, kind, lat, lon, radius_m: a location of every four customers, in five shapes; every third has its members at one place.
+
+    Circles are points, or have radii of up to 600 km.
+    """
+    k = F.col("c_custkey")
+    at, j, shape = F.expr("c_custkey div 4"), k % 4, F.expr("c_custkey div 4 % 5")
+    key = F.when(at % 3 == 0, at).otherwise(k)
+    lat, lon = place_of(key)
+    size = F.when(F.lit(radius), k % 13 * 50_000.0).otherwise(F.lit(0.0))
+    none = F.lit(None).cast("double")
+    path = lambda *v: F.array(*[(F.lit(x) if isinstance(x, int) else x).cast("long") for x in v]) if v else F.array().cast("array<long>")
+    base = table(spark, sf_dir, "customer").withColumns({"location": at, "_j": j, "_s": shape})
+    leaf = base.where("_s in (0, 1) or (_s in (2, 3) and _j < 2) or (_s = 4 and _j < 3)")
+    circles = leaf.select("location", F.when(F.col("_s").isin(2, 3), path(0, F.col("_j"))).otherwise(path(F.col("_j"))).alias("path"), F.lit("circle").alias("kind"), lat, lon, size.alias("radius_m"))
+    trees = base.select("location", "_s").distinct()
+    inner = lambda rows, where, kind: rows.select("location", where.alias("path"), kind.alias("kind"), none.alias("lat"), none.alias("lon"), none.alias("radius_m"))
+    out = circles.unionByName(inner(trees, path(), F.when(F.col("_s").isin(0, 2), "one_of").otherwise("all_of")))
+    out = out.unionByName(inner(trees.where("_s in (2, 3)"), path(0), F.when(F.col("_s") == 2, "all_of").otherwise("one_of")))
+    return out.unionByName(inner(trees.where("_s in (2, 3)"), path(1), F.lit("reference"))).unionByName(inner(trees.where("_s = 4"), path(3), F.when(F.col("location") % 2 == 0, "empty").otherwise("unbounded")))
+
+
 _DAY = "date_diff('day', date '2024-01-01', cast({} as date))"
 VIEWS = {
     "facts": f"""facts as (select event_id as fact_id, event_id // 10 as commit_seq, user_id * 20 + event_id % 20 as entity,
- case when event_type = 'view' then 'existence' when event_type = 'signup' then 'construction_started' when event_type = 'purchase' and event_id % 3 = 0 then 'demolition_completed' when event_type = 'purchase' then 'event' when event_type = 'click' then 'name' else 'retract' end as kind,
+ case when event_type = 'view' then 'existence' when event_type = 'signup' and event_id % 4 = 1 then 'construction_completed' when event_type = 'signup' then 'construction_started' when event_type = 'purchase' and event_id % 12 = 0 then 'demolition_started' when event_type = 'purchase' and event_id % 3 = 0 then 'demolition_completed' when event_type = 'purchase' then 'event' when event_type = 'click' then 'name' else 'retract' end as kind,
  case when event_id % 17 = 0 and event_id % 19 <> 0 then null else {_DAY.format("ts")} end as lo, case when event_id % 19 = 0 then null else {_DAY.format("ts")} + cast(floor(value) as bigint) % 30 end as hi, value,
  case when event_type = 'error' and event_id % 11 <> 0 and event_id - 1 - event_id % 7 >= 0 then event_id - 1 - event_id % 7 end as retracts_fact_id,
  case when event_type = 'error' and event_id % 11 = 0 and event_id // 10 >= 1 then event_id // 10 - 1 end as retracts_commit_seq from events)""",
-    "dated": "dated as (select * from facts where kind in ('existence', 'construction_started', 'demolition_completed', 'event'))",
+    "dated": "dated as (select * from facts where kind in ('existence', 'construction_started', 'construction_completed', 'demolition_started', 'demolition_completed', 'event'))",
     "same_edges": "same_edges as (select distinct entity as a, entity - 1 as b from facts where entity % 10 in (1, 2))",
     "rep_log": "rep_log as (select o_custkey as member, o_orderkey as as_of, least(o_custkey, o_orderkey % (o_custkey + 1)) as rep from orders)",
     "owned_events": f"""owned_events as (select o_orderkey as event, o_custkey as owner, ['modified', 'damaged', 'repaired', 'moved', 'usage_changed'][cast(substr(o_orderpriority, 1, 1) as int)] as kind, {_DAY.format("o_orderdate")} as started, {_DAY.format("m")} as completed
@@ -166,6 +194,7 @@ VIEWS["placing_facts"] = f"""placing_facts as (select c_custkey * 4 as fact_id,
  union all select o_orderkey * 4 + 1, 'moved_to_location', null, o_orderkey, null, case when o_orderkey % 13 <> 0 then lat end, case when o_orderkey % 13 <> 0 then lon end, o_orderkey % 50 * 1000.0::double from (select *, {_AT.format("(o_orderkey + 17)")} from orders)
  union all select i * 4 + 2, 'captured_location', null, null, i, {_AT.format("(i + 31)")}, i % 50 * 1000.0::double from (select distinct l_orderkey as i from lineitem)
  union all select event_id * 4 + 3, 'name', user_id, null, null, null, null, null from events)"""
+VIEWS["members"] = f"""members as (select c_custkey // 4 as location, c_custkey % 4 as j, c_custkey // 4 % 5 as shape, {_AT.format("(case when c_custkey // 4 % 3 = 0 then c_custkey // 4 else c_custkey end)")} from customer)"""
 VIEWS["said"] = f"""o_ as (select o_orderkey as event, ['modified', 'damaged', 'repaired', 'moved', 'usage_changed'][cast(substr(o_orderpriority, 1, 1) as int)] as kind, {_DAY.format("o_orderdate")} as d, o_orderstatus as status, {_AT.format("(o_orderkey + 17)")} from orders),
 l_ as (select l_orderkey as event, {_DAY.format("l_shipdate")} as d, l_linenumber as n from lineitem)"""
 VIEWS["shown"] = f"""shown as (select l_orderkey as image, l_orderkey * 8 + l_linenumber as f, {_DAY.format("l_shipdate")} as d, l_partkey, l_linestatus, l_linenumber as n, case when l_orderkey % 20 = 1 then l_orderkey - 1 else l_orderkey end as rep from lineitem)"""
@@ -187,7 +216,7 @@ VIEWS["retracted"] = _retraction_sql()
 VIEWS["live"] = "live as (select * from facts where fact_id not in (select fact_id from retracted))"
 VIEWS["reps"] = """reach(a, b) as (select a, b from same_edges union select b, a from same_edges union select reach.a, e.b from reach join (select a, b from same_edges union select b, a from same_edges) e on reach.b = e.a),
 reps as (select a as member, least(a, min(b)) as rep from reach group by a)"""
-VIEWS["bag"] = "bag as (select f.*, coalesce(rep, entity) as rep from live f left join reps on entity = member where kind in ('existence', 'construction_started', 'demolition_completed', 'event'))"
+VIEWS["bag"] = "bag as (select f.*, case when kind = 'event' then entity * 2 + fact_id // 20 % 2 end as event, 9 + fact_id % 3 as precision, coalesce(rep, entity) as rep from live f left join reps on entity = member where kind in ('existence', 'construction_started', 'construction_completed', 'demolition_started', 'demolition_completed', 'event'))"
 _NEEDS = {"dated": ["facts"], "same_edges": ["facts"], "retracted": ["facts"], "live": ["facts", "retracted"], "reps": ["facts", "same_edges"], "bag": ["facts", "retracted", "live", "same_edges", "reps"]}
 
 

@@ -144,7 +144,7 @@ def plain_detections(masks, k):
         left = mine - taken
         if len(left) >= 0.1 * len(mine):
             taken |= mine
-            out.append((mask, score, len(left), min(p % width for p in left)))
+            out.append((mask, score, len(left), sum(p % width for p in left) / len(left)))
     best = sorted(out[:k], key=lambda x: (x[3], x[0]))
     return [(*x, i) for i, x in enumerate(best)]
 
@@ -158,7 +158,9 @@ def test_clean_detections(spark):
     frame = spark.createDataFrame(out, "image long, mask long, score double, width int, runs array<struct<start:int,end:int>>")
     got = {}
     for r in capture.clean_detections(frame, 3).collect():
-        got.setdefault(r["image"], []).append((r["mask"], r["score"], r["pixels"], r["left"], r["place"]))
+        got.setdefault(r["image"], []).append((r["mask"], r["score"], r["pixels"], r["column"], r["place"]))
+    placed = capture.clean_detections(spark.createDataFrame([(1, 1, 0.9, 100, [(0, 2), (60, 90)]), (1, 2, 0.8, 100, [(10, 20)])], frame.schema), 5)
+    assert {r["mask"]: r["place"] for r in placed.collect()} == {2: 0, 1: 1}
     for image in range(30):
         assert sorted(got.get(image, []), key=lambda x: x[4]) == plain_detections([m for m in out if m[0] == image], 3)
 
