@@ -264,11 +264,11 @@ def str2_verdict_changes(spark, d):
 
 
 @query(_bag_sql(_BOUNDS, """select rep, bound, case when bound = 'floor' then arg_min(fact_id, (-hi, fact_id)) else arg_min(fact_id, (lo, fact_id)) end as witness
- from viol group by rep, bound, case when kind = 'event' then 'e' || fact_id else coalesce(lo::varchar, '-') || ',' || coalesce(hi::varchar, '-') end"""))
+ from viol group by rep, bound, case when kind = 'event' then 'e' || event else coalesce(lo::varchar, '-') || ',' || coalesce(hi::varchar, '-') end"""))
 def str3_conflict_alerts(spark, d):
     f = T.facts(spark, d)
     reps = stored(identity.representatives(f.select(F.col("entity").alias("member")), T.same_edges(spark, d)), "reps")
-    return jobs.conflict_alerts(jobs.log_stream(spark, f, 2), reps).select("rep", "bound", "witness")
+    return jobs.conflict_alerts(jobs.log_stream(spark, T.events_of(f), 2), reps).select("rep", "bound", "witness")
 
 
 @query("""with recursive e(a, b) as (select c_custkey, c_custkey - 1 from customer where c_custkey % 5 <> 0),

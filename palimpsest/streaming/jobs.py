@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
 
-from palimpsest.operators import conflicts, existence, identity, snapshot
-from palimpsest.scratch import scratch, stored
+from palimpsest.operators import existence, identity, snapshot
+from palimpsest.scratch import scratch
+from palimpsest.streaming import state
+from palimpsest.streaming.state import run_to_end
 
 
 def log_stream(spark: SparkSession, facts: DataFrame, files: int = 4, order: str = "fact_id") -> DataFrame:
@@ -17,12 +18,6 @@ def log_stream(spark: SparkSession, facts: DataFrame, files: int = 4, order: str
     return spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def run_to_end(stream: DataFrame, each, mode: str = "append") -> None:
-    """Hand every micro-batch to each(batch, id); ends when the input at the start is used up."""
-    q = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", scratch(stream.sparkSession, "checkpoint")).trigger(availableNow=True).start()
-    q.awaitTermination()
-
-
 def continuous_append(bundles: DataFrame, first: int = 0) -> DataFrame:
     """Append a stream of bundles (commit_id, ts, fact): unknown ones get ids and are written, re-sent ones do nothing.
 
@@ -42,35 +37,6 @@ def continuous_append(bundles: DataFrame, first: int = 0) -> DataFrame:
     return spark.read.schema(schema).parquet(out)
 
 
-def _refolded(stream: DataFrame, reps: DataFrame, fold, key: str = "rep") -> DataFrame:
-    """fold(live facts of classes) after each batch of a stream of facts, for the classes that the batch touches, with ``batch``.
-
-    Retraction isn't monotone: a batch touches the classes of its new facts and of all that its retractions
-    reach.  Only those are folded again, from the log as it then is.  Every batch writes folders named by its
-    number, so a repeated batch overwrites itself and changes nothing.
-    """
-    spark, schema = stream.sparkSession, stream.schema
-    log, out, touched_log = scratch(spark, "log"), scratch(spark, "folds"), scratch(spark, "touched")
-    spark.createDataFrame([], schema).write.parquet(f"{log}/batch=-1")
-    shape = fold(spark.createDataFrame([], StructType([*schema.fields, StructField("rep", reps.schema["rep"].dataType)]))).schema
-    spark.createDataFrame([], shape).write.parquet(f"{out}/batch=-1")
-
-    def each(batch: DataFrame, i: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={i}")
-        facts = spark.read.schema(schema).parquet(log)
-        edges = snapshot.retraction_edges(facts)
-        hit = snapshot.touched_targets(batch.select("fact_id"), edges)
-        member = facts.join(hit, "fact_id", "left_semi").select("entity").distinct()
-        touched = stored(member.join(reps.withColumnRenamed("member", "entity"), "entity").select("rep").distinct(), "touched")
-        own = facts.where(F.col("kind").isin(snapshot.DATED)).join(reps.withColumnRenamed("member", "entity"), "entity").join(touched, "rep", "left_semi")
-        touched.write.mode("overwrite").parquet(f"{touched_log}/batch={i}")
-        fold(snapshot.live(own, snapshot.effective_retractors(edges))).write.mode("overwrite").parquet(f"{out}/batch={i}")
-
-    run_to_end(stream, each)
-    marked = spark.read.schema(f"{key} {reps.schema['rep'].dataType.simpleString()}, batch int").parquet(touched_log)
-    return marked.join(spark.read.parquet(out).where("batch >= 0"), [key, "batch"], "left")
-
-
 def _latest(folded: DataFrame) -> DataFrame:
     """The rows of each class's last batch; a class that has lost all its facts has none."""
     last = folded.groupBy("rep").agg(F.max("batch").alias("batch"))
@@ -80,9 +46,9 @@ def _latest(folded: DataFrame) -> DataFrame:
 def lifespan_log(stream: DataFrame, reps: DataFrame) -> DataFrame:
     """rep, batch and the lifespan's values after each batch of a stream of facts that touches the class.
 
-    The facts are folded by plain aggregates.  Values are null after a batch that retracts all of a class.
+    Dates are counted in keyed state (see ``state``).  Values are null after a batch that retracts all of a class.
     """
-    return _refolded(stream, reps, existence.lifespan)
+    return state.lifespans(stream, reps)
 
 
 def streaming_lifespan(stream: DataFrame, reps: DataFrame) -> DataFrame:
@@ -101,8 +67,8 @@ def verdict_changes(log: DataFrame, day: int) -> DataFrame:
 
 
 def conflict_alerts(stream: DataFrame, reps: DataFrame) -> DataFrame:
-    """The temporal conflicts after a stream of facts, kept per entity."""
-    return _latest(_refolded(stream, reps, conflicts.temporal_conflicts)).where("witness is not null")
+    """The temporal conflicts after a stream of facts, from state kept per class."""
+    return _latest(state.alerts(stream, reps)).where("witness is not null")
 
 
 def rep_log_upkeep(edges: DataFrame) -> DataFrame:
