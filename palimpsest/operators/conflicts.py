@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.records import interval_bracket
@@ -97,33 +98,88 @@ def fighting_pairs(bag: DataFrame, kind: str) -> DataFrame:
     return early.join(late, "rep").where("_hi < _lo").select("rep", F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
 
 
-def _meet(dates: list[list[tuple]]) -> list[tuple]:
-    """The intervals that all of some unions of intervals cover; infinities are open ends."""
-    now = [(float("-inf"), float("inf"))]
-    for date in dates:
-        now = [(max(a, c), min(b, d)) for a, b in now for c, d in date if max(a, c) <= min(b, d)]
-    return now
+def _end(side: str, pick) -> Column:
+    """The least lo or greatest hi of a union of intervals (column ``date``); null where any is open."""
+    ends = F.transform("date", lambda i: i[side].cast("long"))
+    return F.when(~F.exists(ends, lambda v: v.isNull()), pick(ends))
+
+
+def _hulls(claims: DataFrame, key: str) -> DataFrame:
+    return claims.select(key, "fact_id", "date", _end("lo", F.array_min).alias("lo"), _end("hi", F.array_max).alias("hi"))
+
+
+def fighting_blocks(claims: DataFrame, key: str) -> DataFrame:
+    """key, day, n_before, n_after: all claims that end on a day fight all claims that begin after it.
+
+    ``claims`` has the key, fact_id and date (array of disjoint closed intervals lo, hi; null is an open end).  Blocks have
+    every pair of claims of which one is over before the other begins, each once; there is a row for each day on which one
+    ends at most, whatever the number of pairs.  Claims are counted by day before a group's days are walked.
+    """
+    hulls = _hulls(claims, key)
+    ends = hulls.where("hi is not null").select(key, F.col("hi").alias("day"), F.lit(1).alias("e"), F.lit(0).alias("s"))
+    begins = hulls.where("lo is not null").select(key, F.col("lo").alias("day"), F.lit(0).alias("e"), F.lit(1).alias("s"))
+    days = ends.unionByName(begins).groupBy(key, "day").agg(F.sum("e").alias("n_before"), F.sum("s").alias("_s"))
+    later = Window.partitionBy(key).orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return days.withColumn("n_after", F.coalesce(F.sum("_s").over(later), F.lit(0))).where("n_before > 0 and n_after > 0").select(key, "day", "n_before", "n_after")
+
+
+def block_pairs(blocks: DataFrame, claims: DataFrame, key: str) -> DataFrame:
+    """key, a, b: the pairs of facts that ``blocks`` stand for; for blocks whose pairs somebody wants to read."""
+    hulls = _hulls(claims, key)
+    early = blocks.select(key, "day").join(hulls.select(key, F.col("hi").alias("day"), F.col("fact_id").alias("_x")), [key, "day"])
+    late = hulls.where("lo is not null").select(key, F.col("lo").alias("_lo"), F.col("fact_id").alias("_y"))
+    return early.join(late, key).where("_lo > day").select(key, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+
+
+def gap_pairs(claims: DataFrame, key: str) -> DataFrame:
+    """key, a, b, n: dates without a common day although neither is over before the other begins: one lies in the other's gaps.
+
+    Claims with one date are one row, known by their smallest fact; ``n`` is the number of pairs of claims.  Only dates of
+    several intervals meet the others of their key.
+    """
+    dates = _hulls(claims, key).groupBy(key, "date", "lo", "hi").agg(F.min("fact_id").alias("fact"), F.count(F.lit(1)).alias("n"))
+    x = dates.where(F.size("date") > 1).select(key, *(F.col(c).alias(f"_{c}") for c in ("date", "lo", "hi", "fact", "n")))
+    within = (F.col("lo").isNull() | F.col("_hi").isNull() | (F.col("lo") <= F.col("_hi"))) & (F.col("_lo").isNull() | F.col("hi").isNull() | (F.col("_lo") <= F.col("hi")))
+    no_later = lambda a, b: F.coalesce(a <= b, F.lit(True))
+    common = F.exists("date", lambda i: F.exists("_date", lambda j: no_later(i["lo"], j["hi"]) & no_later(j["lo"], i["hi"])))
+    once = (F.size("date") == 1) | (F.col("_fact") < F.col("fact"))
+    return dates.join(x, key).where(once & within & ~common).select(key, F.least("fact", "_fact").alias("a"), F.greatest("fact", "_fact").alias("b"), (F.col("n") * F.col("_n")).alias("n"))
+
+
+def deletion_minimal(dates: list[list[tuple]]) -> list[int]:
+    """Which of some unions of intervals are left when each, in order, is dropped if the rest still has no common day."""
+    edges = sorted({d for date in dates for lo, hi in date for d in (lo, hi + 1)})
+    place = {d: k for k, d in enumerate(edges)}
+    cover = np.zeros((len(dates), len(edges)), np.int32)
+    for k, date in enumerate(dates):
+        for lo, hi in date:
+            cover[k, place[lo] : place[hi + 1]] = 1
+    total, left, keep = cover.sum(axis=0), len(dates), []
+    for k in range(len(dates)):
+        # Without k the rest has a common day where all the others cover one.
+        if left > 1 and (total - cover[k]).max(initial=0) < left - 1:
+            total, left = total - cover[k], left - 1
+        else:
+            keep.append(k)
+    return keep
 
 
 def minimal_fighting_set(claims: DataFrame, key: str) -> DataFrame:
-    """key, facts: one irreducible set of claims without a common day, for each group whose consensus is empty.
+    """key, facts: one irreducible set of claims without a common day, for each group that has none but no disjoint pair.
 
-    ``claims`` has the key, fact_id and date (disjoint closed intervals; null is an open end).  Claims are dropped
-    in the order of their ids as long as the rest still has no common day.  Of claims with one date the
-    dropping leaves the last alone, so only that one of each date is gathered.
+    ``claims`` is as in ``fighting_blocks``.  Where a pair is disjoint, the pairs tell all (``fighting_blocks`` and
+    ``gap_pairs``), and there is no set; so every set has three claims or more, and only unions can make one.  Claims are
+    dropped in the order of their ids as long as the rest still has no common day.  Of claims with one date the dropping
+    leaves the last alone, so only that one of each date is gathered.
     """
-    torn = interval_bracket(claims, key).where("conflict").select(key)
+    pairs = fighting_blocks(claims, key).select(key).unionByName(gap_pairs(claims, key).select(key)).distinct()
+    torn = interval_bracket(claims, key).where("conflict").select(key).join(pairs, key, "left_anti")
     rows = claims.join(torn, key).groupBy(key, "date").agg(F.max("fact_id").alias("fact_id"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("fact_id")
-        end = lambda v, open_: open_ if pd.isna(v) else v
-        dates = [[(end(i["lo"], float("-inf")), end(i["hi"], float("inf"))) for i in date] for date in pdf["date"]]
-        keep = list(range(len(dates)))
-        for k in range(len(dates)):
-            rest = [x for x in keep if x != k]
-            if rest and not _meet([dates[x] for x in rest]):
-                keep = rest
+        end = lambda v, open_: open_ if pd.isna(v) else int(v)
+        keep = deletion_minimal([[(end(i["lo"], -(1 << 40)), end(i["hi"], 1 << 40)) for i in date] for date in pdf["date"]])
         return pd.DataFrame({key: pdf[key].iloc[:1], "facts": [[int(pdf["fact_id"].iloc[k]) for k in keep]]})
 
     return rows.groupBy(key).applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, facts array<bigint>")

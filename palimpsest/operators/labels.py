@@ -7,8 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.scratch import stored
-
 #: Circles of a merged location beyond which the verdict is pending.
 MAX_CIRCLES = 1000
 _EARTH = 6371008.8
@@ -30,10 +28,45 @@ def label_times(a: Column, b: Column) -> Column:
     return minimal(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.array_union(x, y)))))
 
 
+def environments(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """key, env: the environments (sorted arrays of distinct atoms) of ``rows``' labels, a row for each."""
+    return rows.select(key, F.explode(label).alias("_e")).select(key, F.array_sort(F.array_distinct("_e")).alias("env")).distinct()
+
+
+def minimal_environments(envs: DataFrame, key: str) -> DataFrame:
+    """key, env: those of a key's environments that hold no other one of it.
+
+    An environment meets only those that hold its first atom, in a join on key and atom, which AQE splits; no key's
+    environments are gathered.  The empty one, which needs nothing, leaves itself alone.
+    """
+    envs = envs.select(key, "env").distinct()
+    free = envs.where(F.size("env") == 0)
+    small = envs.where(F.size("env") > 0).select(key, F.element_at("env", 1).alias("_atom"), F.col("env").alias("_small"))
+    held = envs.select(key, "env", F.explode("env").alias("_atom")).join(small, [key, "_atom"])
+    more = held.where((F.size("_small") < F.size("env")) & (F.size(F.array_except("_small", "env")) == 0)).select(key, "env").distinct()
+    rest = envs.where(F.size("env") > 0).join(more, [key, "env"], "left_anti").join(free.select(key), key, "left_anti")
+    return rest.unionByName(free)
+
+
+def times(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """key, env: what needs both: the minimal unions of an environment of ``a`` and one of ``b`` with the same key."""
+    both = a.select(key, F.col("env").alias("_a")).join(b.select(key, F.col("env").alias("_b")), key)
+    return minimal_environments(both.select(key, F.array_sort(F.array_union("_a", "_b")).alias("env")), key)
+
+
+def plus(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """key, env: what needs either."""
+    return minimal_environments(a.select(key, "env").unionByName(b.select(key, "env")), key)
+
+
+def stamped(envs: DataFrame, atom: str) -> DataFrame:
+    """``envs`` with a further atom, such as the rule that a derivation took, in each environment."""
+    return envs.withColumn("env", F.array_sort(F.array_union("env", F.array(F.lit(atom)))))
+
+
 def label_sum(rows: DataFrame, key: str, label: str) -> DataFrame:
-    """key, label: ``label_plus`` over a group; environments are made distinct before they are gathered."""
-    envs = rows.select(key, F.explode(label).alias("_e")).select(key, F.array_sort(F.array_distinct("_e")).alias("_e")).distinct()
-    return envs.groupBy(key).agg(F.collect_list("_e").alias("_all")).select(key, minimal(F.col("_all")).alias("label"))
+    """key, label: ``label_plus`` over a group; only the minimal environments are gathered."""
+    return minimal_environments(environments(rows, key, label), key).groupBy(key).agg(F.array_sort(F.collect_list("env")).alias("label"))
 
 
 def _unit(lat, lon) -> np.ndarray:
@@ -97,21 +130,12 @@ def location_bracket(circles: DataFrame, key: str) -> DataFrame:
     return judged.unionByName(counts.where(F.col("n_circles") > MAX_CIRCLES).withColumn("verdict", F.lit("pending")))
 
 
-def connecting_glue(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """member, rep, glue: the edge ids on a shortest path from each member to its representative.
+def connecting_glue(support: DataFrame, edges: DataFrame, *keys: str) -> DataFrame:
+    """keys, edge_id, a, b: the identity edges that make one value of what several members said.
 
-    Of shortest paths the one with the least ids, compared from the representative's end.  ``members`` has
-    member and rep; ``edges`` edge_id, a and b inside classes.  All classes grow by one edge in each round, in
-    joins, so no task walks a class.
+    ``support`` has the value's keys and each ``member`` that contributed to it.  An edge counts for a value when both
+    its ends are among its members: a value that one member alone asserted has none.
     """
-    both = edges.select("edge_id", "a", "b").unionByName(edges.select("edge_id", F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-    both = stored(both.distinct(), "edges")
-    none = F.array().cast("array<bigint>")
-    found = frontier = stored(members.select(F.col("rep").alias("member"), "rep", none.alias("path")).distinct(), "paths")
-    while True:
-        near = frontier.withColumnRenamed("member", "a").join(both, "a").select(F.col("b").alias("member"), "rep", F.concat("path", F.array(F.col("edge_id").cast("long"))).alias("path"))
-        new = near.groupBy("member", "rep").agg(F.min("path").alias("path")).join(found.select("member"), "member", "left_anti")
-        frontier = stored(new.select("member", "rep", "path"), "paths")
-        if frontier.isEmpty():
-            return found.join(members.select("member", "rep"), ["member", "rep"], "left_semi").select("member", "rep", F.reverse("path").alias("glue"))
-        found = found.unionByName(frontier)
+    said = support.select(*keys, "member").distinct()
+    at = edges.where("a <> b").join(said.withColumnRenamed("member", "a"), "a")
+    return at.join(said.withColumnRenamed("member", "b"), [*keys, "b"]).select(*keys, "edge_id", "a", "b")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, text
-from palimpsest.operators import capture, graph, identity, ingest, labels, listing
-from palimpsest.plans.claim_queries import _BOUNDS, _LIFE, _VERDICT, _bag_sql
+from palimpsest.operators import capture, conflicts, graph, identity, ingest, labels, listing
+from palimpsest.plans.claim_queries import _BOUNDS, _LIFE, _VERDICT, _bag_sql, bag
 from palimpsest.plans.registry import query
 from palimpsest.scratch import scratch, stored
 from palimpsest.sources import dumps
@@ -212,12 +212,31 @@ def agg20_provenance_label(spark, d):
     return labels.label_sum(rows, "rep", "label").select("rep", F.array_join(F.transform("label", lambda e: F.array_join(e, "+")), " ").alias("label"))
 
 
-@query("select c_custkey as member, c_custkey - c_custkey % 5 as rep, array_to_string(range(c_custkey, c_custkey - c_custkey % 5, -1), ',') as glue from customer ")
+@query(sql("names", """, said as (select distinct lang, entity from names), edges as (select entity as a, entity - 1 as b from (select distinct entity from names) where entity % 5 <> 0)
+select x.lang as value, a as edge_id from edges join said x on x.entity = a join said y on y.entity = b and y.lang = x.lang""").replace("\n, said", ",\nsaid"))
 def jn16_connecting_glue(spark, d):
-    c = T.table(spark, d, "customer").select(F.col("c_custkey").alias("member"))
-    edges = c.where("member % 5 <> 0").select(F.col("member").alias("edge_id"), F.col("member").alias("a"), (F.col("member") - 1).alias("b"))
-    glue = labels.connecting_glue(c.withColumn("rep", F.col("member") - F.col("member") % 5), edges)
-    return glue.select("member", "rep", F.array_join(F.col("glue").cast("array<string>"), ",").alias("glue"))
+    """Which of the edges inside classes of five connect the entities that have a name in one language."""
+    n = T.names(spark, d)
+    edges = n.select("entity").distinct().where("entity % 5 <> 0").select(F.col("entity").alias("edge_id"), F.col("entity").alias("a"), (F.col("entity") - 1).alias("b"))
+    return labels.connecting_glue(n.select(F.col("lang").alias("value"), F.col("entity").alias("member")), edges, "value").select("value", "edge_id")
+
+
+_EDGE_ATOM = "case when entity % 10 in (1, 2) then ['e' || entity] else [] end"
+
+
+@query(_bag_sql("""w as (select * from bag where kind in ('existence', 'event') and hi is not null and rep not in (select rep from bag where kind = 'construction_started')),
+tied as (select w.* from w join (select rep, min(hi) as m from w group by rep) using (rep) where hi = m),
+envs as (select distinct rep, list_sort(list_concat(['f' || fact_id, 'built_by'], """ + _EDGE_ATOM + """)) as env from tied)""",
+"select rep, array_to_string(env, '+') as env from envs x where not exists (select 1 from envs y where y.rep = x.rep and len(y.env) < len(x.env) and list_has_all(x.env, y.env))"))
+def agg20_woven_labels(spark, d):
+    """Why a class is held to have been built by a day: the tied witnesses, each with the edge that brings it into the class, under the rule's stamp."""
+    b = bag(spark, d)
+    facts = conflicts.built_by(b).select("rep", F.explode("evidence").alias("fact_id")).join(b.select("fact_id", "entity"), "fact_id")
+    said = facts.select("fact_id", F.array(F.concat(F.lit("f"), F.col("fact_id").cast("string"))).alias("env"))
+    joins = F.when(F.col("entity") % 10 < 1, F.array().cast("array<string>")).when(F.col("entity") % 10 < 3, F.array(F.concat(F.lit("e"), F.col("entity").cast("string")))).otherwise(F.array().cast("array<string>"))
+    woven = labels.stamped(labels.times(said, facts.select("fact_id", joins.alias("env")), "fact_id"), "built_by")
+    summed = labels.minimal_environments(woven.join(facts.select("fact_id", "rep"), "fact_id"), "rep")
+    return summed.select("rep", F.array_join("env", "+").alias("env"))
 
 
 @query(sql("owned_events", """, m as (select owner as rep, event, role, day, case event % 3 when 0 then 'construction' when 1 then 'other' else 'demolition' end as stage, event % 3 as s, case when role = 'started' then 0 else 1 end as r from owned_events join

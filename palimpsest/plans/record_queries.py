@@ -9,7 +9,7 @@ from palimpsest.operators import conflicts, existence, filters, folds, identity,
 from palimpsest.plans.claim_queries import _LIFE, _VERDICT, _WINDOW, bag
 from palimpsest.plans.map_queries import _NORM, _REF_URL, urls
 from palimpsest.plans.registry import query
-from palimpsest.scratch import scratch
+from palimpsest.scratch import scratch, stored
 from palimpsest.sources import testbed as T
 from palimpsest.sources.testbed import sql
 
@@ -180,14 +180,41 @@ def sca9_circle_rectangles(spark, d):
     return x.select("fact_id", "lat", "lon", "lat2", "lon2", "metres", geo.bounding_rects(F.col("lat"), F.col("lon"), F.col("metres")).alias("rects"))
 
 
-@query()
-def agg15_minimal_sets(spark, d):
-    """Starts of classes without a common day, every fourth of two intervals: an irreducible set of each."""
+def _unions(spark, d):
+    """rep, fact_id, date of existence claims, every fourth of two intervals."""
     one = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
     two = F.array(one(F.col("lo"), F.col("hi")), one(F.col("hi") + 5, F.col("hi") + 9))
     date = F.when((F.col("fact_id") % 4 == 0) & F.col("lo").isNotNull() & F.col("hi").isNotNull(), two).otherwise(F.array(one(F.col("lo"), F.col("hi"))))
-    claims = bag(spark, d).where("kind = 'existence' and (lo is null or hi is null or lo <= hi)").select("rep", "fact_id", date.alias("date"))
-    return conflicts.minimal_fighting_set(claims, "rep")
+    return bag(spark, d).where("kind = 'existence' and (lo is null or hi is null or lo <= hi)").select("rep", "fact_id", date.alias("date"))
+
+
+_PAIRS = """, said as (select rep, fact_id, lo, hi from bag where kind = 'existence' and (lo is null or hi is null or lo <= hi)),
+parts as (select rep, fact_id, coalesce(lo, -100000) as lo, coalesce(hi, 100000) as hi from said union all select rep, fact_id, hi + 5, hi + 9 from said where fact_id % 4 = 0 and lo is not null and hi is not null),
+hulls as (select rep, fact_id, min(lo) as lo, max(hi) as hi from parts group by rep, fact_id),
+pairs as (select x.rep, x.fact_id as a, y.fact_id as b, x.hi < y.lo or y.hi < x.lo as apart, not exists (select 1 from parts p join parts q on p.lo <= q.hi and q.lo <= p.hi where p.fact_id = x.fact_id and q.fact_id = y.fact_id) as fights from hulls x join hulls y on x.rep = y.rep and x.fact_id < y.fact_id)
+"""
+
+
+@query(sql("bag", _PAIRS + "select rep, count(*) filter (where apart) as n_apart, count(*) filter (where fights and not apart) as n_in_gaps from pairs where fights group by rep").replace("\n, said", ",\nsaid"))
+def agg15_fighting_counts(spark, d):
+    """How many pairs of claims have no common day: those one of which is over first, by blocks, and those that lie in each other's gaps."""
+    claims = stored(_unions(spark, d), "claims")
+    apart = conflicts.fighting_blocks(claims, "rep").groupBy("rep").agg(F.sum(F.col("n_before") * F.col("n_after")).alias("n_apart"))
+    gaps = conflicts.gap_pairs(claims, "rep").groupBy("rep").agg(F.sum("n").alias("n_in_gaps"))
+    return apart.join(gaps, "rep", "full").select("rep", F.coalesce("n_apart", F.lit(0)).alias("n_apart"), F.coalesce("n_in_gaps", F.lit(0)).alias("n_in_gaps"))
+
+
+@query(sql("bag", _PAIRS + "select rep, a, b from pairs where apart").replace("\n, said", ",\nsaid"))
+def agg15_block_pairs(spark, d):
+    """The pairs that the blocks stand for."""
+    claims = stored(_unions(spark, d), "claims")
+    return conflicts.block_pairs(conflicts.fighting_blocks(claims, "rep"), claims, "rep")
+
+
+@query()
+def agg15_minimal_sets(spark, d):
+    """Claims of classes without a common day and without a disjoint pair: an irreducible set of each."""
+    return conflicts.minimal_fighting_set(stored(_unions(spark, d), "claims"), "rep")
 
 
 @query(sql("rep_log", """, e(a, b) as (select c_custkey, c_custkey - 1 from customer where c_custkey % 5 <> 0),

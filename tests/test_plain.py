@@ -89,16 +89,26 @@ def test_minimal_fighting_sets(spark):
     by_rep = {}
     for rep, fact, date in out:
         by_rep.setdefault(rep, []).append((fact, days(date)))
-    want = {}
+    want, pairs = {}, {(rep, f, g) for rep, claimed in by_rep.items() for f, x in claimed for g, y in claimed if f < g and not x & y}
     for rep, claimed in by_rep.items():
-        if not set.intersection(*(d for _, d in claimed)):
+        if not set.intersection(*(d for _, d in claimed)) and rep not in {p[0] for p in pairs}:
             keep = dict(claimed)
             for fact, _ in claimed:
                 rest = {f: d for f, d in keep.items() if f != fact}
                 if rest and not set.intersection(*rest.values()):
                     keep = rest
             want[rep] = sorted(keep)
-    assert {r["rep"]: sorted(r["facts"]) for r in conflicts.minimal_fighting_set(claims, "rep").collect()} == want and any(len(x) > 2 for x in want.values())
+    assert {r["rep"]: sorted(r["facts"]) for r in conflicts.minimal_fighting_set(claims, "rep").collect()} == want and all(len(x) > 2 for x in want.values()) and want
+    blocks = conflicts.fighting_blocks(claims, "rep")
+    apart = {tuple(r) for r in conflicts.block_pairs(blocks, claims, "rep").collect()}
+    gaps = conflicts.gap_pairs(claims, "rep").collect()
+    same = {}
+    for rep, fact, date in out:
+        same.setdefault((rep, str(date)), []).append(fact)
+    copies = {(rep, min(facts)): facts for (rep, _), facts in same.items()}
+    inside = {(r["rep"], min(f, g), max(f, g)) for r in gaps for f in copies[r["rep"], r["a"]] for g in copies[r["rep"], r["b"]]}
+    assert not apart & inside and apart | inside == pairs and inside and len(inside) == sum(r["n"] for r in gaps)
+    assert sum(r["n_before"] * r["n_after"] for r in blocks.collect()) == len(apart)
     brackets = {r["rep"]: r for r in records.interval_bracket(claims, "rep").collect()}
     for rep, claimed in by_rep.items():
         r, wide = brackets[rep], lambda spans: days([(s["lo"], s["hi"]) for s in spans])
@@ -176,26 +186,43 @@ def test_circle_rectangles_hold_their_circle(spark):
         assert inside, r
 
 
-def test_glue_is_the_least_shortest_path(spark):
-    pick, edges, members = random.Random(2), [], []
-    for c in range(20):
-        nodes = [c * 20 + k for k in range(9)]
-        members += [(n, nodes[0]) for n in nodes]
-        links = {(nodes[k], nodes[pick.randrange(k)]) for k in range(1, 9)} | {tuple(pick.sample(nodes, 2)) for _ in range(4)}
-        edges += [(1000 * c + e, a, b) for e, (a, b) in enumerate(sorted(links, key=lambda _: pick.random()))]
-    got = {r["member"]: r["glue"] for r in labels.connecting_glue(spark.createDataFrame(members, "member long, rep long"), spark.createDataFrame(edges, "edge_id long, a long, b long")).collect()}
-    for rep in {r for _, r in members}:
-        path, level = {rep: []}, [rep]
-        while level:
-            near = {}
-            for x in level:
-                for e, a, b in edges:
-                    for y in ([b] if a == x else []) + ([a] if b == x else []):
-                        if y not in path:
-                            near[y] = min(near.get(y, [math.inf]), [*path[x], e])
-            path |= near
-            level = list(near)
-        assert all(got[m] == p[::-1] for m, p in path.items())
+def test_glue_joins_the_members_of_a_value(spark):
+    edges = [(1, 10, 11), (2, 11, 12), (3, 12, 13), (4, 10, 12), (5, 10, 10)]
+    support = [("both ends", 10), ("both ends", 11), ("both ends", 11), ("one member", 12), ("a chain", 11), ("a chain", 12), ("a chain", 13), ("ends of a path", 11), ("ends of a path", 13), ("all", 10), ("all", 11), ("all", 12)]
+    got = {}
+    for r in labels.connecting_glue(spark.createDataFrame(support, "value string, member long"), spark.createDataFrame(edges, "edge_id long, a long, b long"), "value").collect():
+        got.setdefault(r["value"], set()).add(r["edge_id"])
+    assert got == {"both ends": {1}, "a chain": {2, 3}, "all": {1, 2, 4}}
+
+
+def plain_minimal(envs):
+    return {e for e in envs if not any(o < e for o in envs)}
+
+
+def test_labels_obey_the_laws_of_a_semiring(spark):
+    pick, rows = random.Random(3), {}
+    for side in "abc":
+        for key in range(40):
+            rows[side, key] = {frozenset(pick.sample("uvwxyz", pick.choice([0, 1, 1, 2, 2, 3]) if pick.random() < 0.9 else 4)) for _ in range(pick.randrange(0, 5))}
+    frame = {s: spark.createDataFrame([(k, sorted(e)) for (x, k), envs in rows.items() if x == s for e in envs], "k long, env array<string>") for s in "abc"}
+
+    def read(df):
+        out = {}
+        for r in df.collect():
+            assert frozenset(r["env"]) not in out.setdefault(r["k"], set())
+            out[r["k"]].add(frozenset(r["env"]))
+        return out
+
+    want = {k: plain_minimal({x | y for x in rows["a", k] for y in rows["b", k]}) for k in range(40)}
+    product = labels.times(frame["a"], frame["b"], "k")
+    assert read(product) == {k: v for k, v in want.items() if v} == read(labels.times(frame["b"], frame["a"], "k"))
+    assert read(labels.plus(frame["a"], frame["b"], "k")) == {k: m for k in range(40) if (m := plain_minimal(rows["a", k] | rows["b", k]))}
+    spread = labels.plus(labels.times(frame["a"], frame["c"], "k"), labels.times(frame["b"], frame["c"], "k"), "k")
+    assert read(labels.times(labels.plus(frame["a"], frame["b"], "k"), frame["c"], "k")) == read(spread)
+    assert all("stamp" in e for envs in read(labels.stamped(frame["a"], "stamp")).values() for e in envs)
+    summed = {r["k"]: {frozenset(e) for e in r["label"]} for r in labels.label_sum(frame["a"].selectExpr("k", "array(env, env) as label"), "k", "label").collect()}
+    assert summed == {k: m for k in range(40) if (m := plain_minimal(rows["a", k]))}
+
 
 
 def test_upkeep_of_touched_classes_equals_the_whole(spark):
