@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -42,18 +43,21 @@ class _Page(HTMLParser):
             self.text.append(data.strip())
 
 
+def page_fields(url: str | None, html: str | None) -> tuple:
+    """(title, author, published, text, images) of one page."""
+    p = _Page()
+    p.feed(html or "")
+    p.close()
+    title = " ".join("".join(p.title).split()) or p.meta.get("og:title") or None
+    return title, p.meta.get("author"), p.meta.get("article:published_time"), " ".join(p.text), [urljoin(url or "", s) for s in p.images]
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, title, author, published, text, images (absolute, in order, without data: links) of html pages."""
 
     def run(parts):
         for pdf in parts:
-            rows = []
-            for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
-                p = _Page()
-                p.feed(html or "")
-                p.close()
-                title = " ".join("".join(p.title).split()) or p.meta.get("og:title") or None
-                rows.append((page_id, title, p.meta.get("author"), p.meta.get("article:published_time"), " ".join(p.text), [urljoin(url or "", s) for s in p.images]))
+            rows = [(page_id, *page_fields(url, html)) for page_id, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True)]
             yield pd.DataFrame(rows, columns=["page_id", "title", "author", "published", "text", "images"])
 
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, title string, author string, published string, text string, images array<string>")
@@ -80,23 +84,24 @@ def mirror_requests(images: DataFrame, key: Column, shown: Column, accept: str,
 POST = "id string, author string, title string, body string, media array<struct<url:string>>, replies string"
 
 
+def post_text(title: str | None, body: str | None, replies: list | None) -> str:
+    """Title, body and all nested replies in reading order, a line each."""
+    lines, todo = [x for x in (title, body) if x], (replies or [])[::-1]
+    while todo:
+        c = todo.pop()
+        if c.get("body"):
+            lines.append(f"{c.get('author') or '?'}: {c['body']}")
+        todo += (c.get("replies") or [])[::-1]
+    return "\n".join(lines)
+
+
 def normalize_posts(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, text with all nested comments in reading order; id, place, url of media) of post JSON (id, json)."""
-    import json
-
     posts = raw.select(F.from_json("json", POST).alias("p")).select("p.*")
 
     def run(parts):
         for pdf in parts:
-            out = []
-            for i, title, body, replies in zip(pdf["id"], pdf["title"], pdf["body"], pdf["replies"], strict=True):
-                lines, todo = [x for x in (title, body) if x], json.loads(replies)[::-1] if replies else []
-                while todo:
-                    c = todo.pop()
-                    if c.get("body"):
-                        lines.append(f"{c.get('author') or '?'}: {c['body']}")
-                    todo += (c.get("replies") or [])[::-1]
-                out.append((i, "\n".join(lines)))
+            out = [(i, post_text(title, body, json.loads(replies) if replies else None)) for i, title, body, replies in zip(pdf["id"], pdf["title"], pdf["body"], pdf["replies"], strict=True)]
             yield pd.DataFrame(out, columns=["id", "text"])
 
     return posts.select("id", "title", "body", "replies").mapInPandas(run, "id string, text string"), posts.select("id", F.posexplode("media").alias("place", "_m")).select("id", "place", "_m.url")

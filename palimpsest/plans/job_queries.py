@@ -47,6 +47,16 @@ def src1_2_dump_lines(spark, d):
     return lines.agg(F.count("*").alias("n_items")).crossJoin(bad.agg(F.count("*").alias("n_malformed")))
 
 
+@query("select count(*) as n_items, count(*) filter (p_partkey % 50 = 0) as n_malformed from part")
+def src1_gzip_members(spark, d):
+    """The dump written as gzip files and read by their members."""
+    path = scratch(spark, "gzip")
+    dump(spark, d).select("value").write.option("compression", "gzip").text(path)
+    lines = stored(dumps.read_entity_dump(spark, path, members=True), "lines")
+    good, bad = dumps.parse_entities(lines)
+    return lines.agg(F.count("*").alias("n_items")).crossJoin(bad.agg(F.count("*").alias("n_malformed")))
+
+
 @query(f"select 'Q' || (k + 1) as child, 'Q' || (k // 4) as parent from {_GOOD}")
 def src3_subclass_view(spark, d):
     return dumps.subclass_view(dump(spark, d))

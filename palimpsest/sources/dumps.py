@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources import gzip_members
+
 _SNAK = "struct<snaktype:string,datavalue:struct<type:string,value:string>>"
 #: The typed part of an item; ``value`` stays JSON text, since its form depends on ``type``.
 ITEM = f"id string, type string, lastrevid bigint, labels map<string,struct<language:string,value:string>>, claims map<string,array<struct<mainsnak:{_SNAK},qualifiers:map<string,array<{_SNAK}>>,rank:string>>>, sitelinks map<string,struct<title:string>>, _corrupt string"
 
 
-def read_entity_dump(spark: SparkSession, path: str) -> DataFrame:
+def read_entity_dump(spark: SparkSession, path: str, members: bool = False) -> DataFrame:
     """value, item: each item's untouched line and its JSON, without brackets, blanks and trailing commas.
 
-    Compressed text is read by Spark's codecs; bzip2 splits, a gzip file is one task.
+    Compressed text is read by Spark's codecs; bzip2 splits, a gzip file is one task.  With ``members`` the members of
+    gzip files are read in parallel (see ``gzip_members``), from a path that all tasks can open; what is damaged is left out.
     """
-    lines = spark.read.text(path)
+    if members:
+        gzip_members.register(spark)
+        lines = spark.read.format("gzip_members").load(path).where("error is null")
+    else:
+        lines = spark.read.text(path)
     item = F.regexp_replace(F.trim("value"), r",\s*$", "")
     return lines.select("value", item.alias("item")).where(~F.col("item").isin("", "[", "]"))
 
