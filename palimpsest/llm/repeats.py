@@ -217,37 +217,39 @@ _ITSELF = "r = other and shift = 0"
 
 
 def _digests(texts: DataFrame, ranges: DataFrame) -> DataFrame:
-    """r, lo, stop, digest: 256 bits of BLAKE2 over the bytes of each of the distinct ``ranges`` (r, lo, stop) of ``texts``.
+    """claim, digest: 256 bits of BLAKE2 over the bytes of each of ``ranges`` (r, claim, lo, stop) of ``texts``.
 
-    Texts without a range stay where they are, the others travel compressed, once; a row's ranges are as many as its
-    text is long at most.
+    Texts without a range stay where they are, the others travel compressed, once, to their ranges.  A row has as many of
+    these as its text is long at most; the head of a large group also has one for each of the group's parts.
     """
-    asked = ranges.groupBy("r").agg(F.collect_list(F.struct("lo", "stop")).alias("asked"))
-    names = ["r", "lo", "stop", "digest"]
+    asked = ranges.groupBy("r").agg(F.collect_list(F.struct("claim", "lo", "stop")).alias("asked"))
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in buffers.slices(batches, 200):
-            for r, packed, spans in zip(*batch.columns, strict=True):
-                view = memoryview(unpack.decompress(packed.as_py()))
-                lo, stop = (spans.values.field(k) for k in range(2))
-                found = [blake2b(view[a:b], digest_size=32).digest() for a, b in zip(lo.to_pylist(), stop.to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([r.as_py()] * len(found), pa.int64()), lo, stop, pa.array(found, pa.binary())], names=names)
+            for packed, spans in zip(*batch.columns, strict=True):
+                view, known = memoryview(unpack.decompress(packed.as_py())), {}
+                claim, lo, stop = (spans.values.field(k) for k in range(3))
+                places = list(zip(lo.to_pylist(), stop.to_pylist(), strict=True))
+                for a, b in set(places):
+                    known[a, b] = blake2b(view[a:b], digest_size=32).digest()
+                yield pa.RecordBatch.from_arrays([claim, pa.array([known[x] for x in places], pa.binary())], names=["claim", "digest"])
 
-    return texts.join(asked, "r").select("r", "packed", "asked").mapInArrow(buffers.tidy(run), "r long, lo int, stop int, digest binary")
+    return texts.join(asked, "r").select("packed", "asked").mapInArrow(buffers.tidy(run), "claim long, digest binary")
 
 
 def _refuted(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """Those of ``runs`` whose bytes are not the ones they were taken for, by digests of both sides' bytes."""
+    """Those of ``runs`` whose bytes are not the ones they were taken for, by digests of both sides' bytes.
+
+    A run is known by a hash; two runs that share one are both taken for refuted unless all their bytes are equal, which
+    only means that they are formed again by bytes.
+    """
+    claim = F.xxhash64("r", "lo", "stop", "other", "shift").alias("claim")
     claims = runs.where(f"not ({_ITSELF})")
-    there = claims.select(F.col("other").alias("r"), (F.col("lo") + F.col("shift")).alias("lo"), (F.col("stop") + F.col("shift")).alias("stop"))
-    digests = stored(_digests(texts, claims.select("r", "lo", "stop").union(there).distinct()), "digests")
-    own = digests.withColumnRenamed("digest", "own")
-    far = digests.toDF("other", "_lo", "_stop", "far")
-    both = claims.withColumns({"_lo": F.col("lo") + F.col("shift"), "_stop": F.col("stop") + F.col("shift")}).join(own, ["r", "lo", "stop"]).join(far, ["other", "_lo", "_stop"])
-    out = stored(both.where("own <> far").select(*runs.columns), "refuted")
-    drop(digests)
-    return out
+    here = claims.select("r", claim, "lo", "stop")
+    there = claims.select(F.col("other").alias("r"), claim, (F.col("lo") + F.col("shift")).alias("lo"), (F.col("stop") + F.col("shift")).alias("stop"))
+    differ = _digests(texts, here.unionByName(there)).groupBy("claim").agg(F.min("digest").alias("_a"), F.max("digest").alias("_b")).where("_a <> _b").select("claim")
+    return stored(claims.withColumn("claim", claim).join(stored(differ, "differ"), "claim", "left_semi").select(*runs.columns), "refuted")
 
 
 def _mended(texts: DataFrame, runs: DataFrame, refuted: DataFrame, depth: int, anchor: int, bits: int) -> DataFrame:
