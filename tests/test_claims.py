@@ -206,17 +206,17 @@ def test_plans_push_filters_and_prune_columns(spark):
     assert "LessThan(event_id,50)" in plan and "ReadSchema: struct<event_id:bigint,event_type:string>" in plan
 
 
-BAG = "rep long, fact_id long, kind string, lo int, hi int, event long, precision int"
+FULL_BAG = "rep long, fact_id long, kind string, lo int, hi int, event long, precision int"
 
 
 def test_finished_constructions_and_begun_demolitions_bear_no_witness(spark):
     from palimpsest.operators import conflicts
 
     rows = [(1, 1, "construction_started", 100, 110, None, 11), (1, 2, "construction_completed", 80, 90, None, 11), (1, 3, "demolition_started", 40, 50, None, 11)]
-    assert conflicts.temporal_conflicts(spark.createDataFrame(rows, BAG)).collect() == []
-    assert conflicts.built_by(spark.createDataFrame([(1, 3, "demolition_started", 40, 60, None, 11)], BAG)).collect() == []
+    assert conflicts.temporal_conflicts(spark.createDataFrame(rows, FULL_BAG)).collect() == []
+    assert conflicts.built_by(spark.createDataFrame([(1, 3, "demolition_started", 40, 60, None, 11)], FULL_BAG)).collect() == []
     rows = [(1, 1, "construction_completed", 10, 90, None, 11), (1, 2, "demolition_completed", 20, 60, None, 11), (1, 3, "demolition_started", 55, 70, None, 11), (1, 4, "existence", 30, 40, None, 11)]
-    got = {r["fact_id"]: (r["new_lo"], r["new_hi"], r["rules"]) for r in conflicts.narrow(spark.createDataFrame(rows, BAG)).collect()}
+    got = {r["fact_id"]: (r["new_lo"], r["new_hi"], r["rules"]) for r in conflicts.narrow(spark.createDataFrame(rows, FULL_BAG)).collect()}
     assert got == {1: (10, 60, ["construction_before_demolition"]), 2: (30, 60, ["witness_before_demolition"]), 3: (55, 70, []), 4: (30, 40, [])}
 
 
@@ -224,7 +224,7 @@ def test_endpoints_of_an_event_are_one_conflict(spark):
     from palimpsest.operators import conflicts
 
     rows = [(1, 1, "construction_started", 100, 110, None, 9)] + [(1, k, "event", k, k, e, 9 + k % 3) for k, e in ((10, 5), (20, 5), (30, None), (40, None), (50, 6))]
-    got = {(tuple(r["witnesses"]), r["witness"]) for r in conflicts.temporal_conflicts(spark.createDataFrame(rows, BAG)).collect()}
+    got = {(tuple(r["witnesses"]), r["witness"]) for r in conflicts.temporal_conflicts(spark.createDataFrame(rows, FULL_BAG)).collect()}
     assert got == {((10, 20), 20), ((30,), 30), ((40,), 40), ((50,), 50)}
     ties = [(2, k, "existence", 1, 7, None, p) for k, p in ((4, 9), (5, 11), (6, 10))] + [(2, 7, "event", 1, 8, 3, 11)]
-    assert [tuple(r) for r in conflicts.built_by(spark.createDataFrame(ties, BAG)).collect()] == [(2, 7, 11, [4, 5, 6])]
+    assert [tuple(r) for r in conflicts.built_by(spark.createDataFrame(ties, FULL_BAG)).collect()] == [(2, 7, 11, [4, 5, 6])]
