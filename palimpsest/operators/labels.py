@@ -41,7 +41,7 @@ def minimal_environments(envs: DataFrame, key: str) -> DataFrame:
     """
     envs = envs.select(key, "env").distinct()
     free = envs.where(F.size("env") == 0)
-    small = envs.where(F.size("env") > 0).select(key, F.element_at("env", 1).alias("_atom"), F.col("env").alias("_small"))
+    small = envs.where(F.size("env") > 0).select(key, F.get("env", F.lit(0)).alias("_atom"), F.col("env").alias("_small"))
     held = envs.select(key, "env", F.explode("env").alias("_atom")).join(small, [key, "_atom"])
     more = held.where((F.size("_small") < F.size("env")) & (F.size(F.array_except("_small", "env")) == 0)).select(key, "env").distinct()
     rest = envs.where(F.size("env") > 0).join(more, [key, "env"], "left_anti").join(free.select(key), key, "left_anti")

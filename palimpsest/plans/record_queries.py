@@ -211,10 +211,14 @@ def agg15_block_pairs(spark, d):
     return conflicts.block_pairs(conflicts.fighting_blocks(claims, "rep"), claims, "rep")
 
 
-@query()
+@query(sql("bag", """select rep, array_to_string(list_sort(list(fact_id)), ',') as facts from (select rep // 40 as rep, max(fact_id) as fact_id from bag where kind = 'existence' group by rep // 40, fact_id % 3) group by rep having count(*) = 3"""))
 def agg15_minimal_sets(spark, d):
-    """Claims of classes without a common day and without a disjoint pair: an irreducible set of each."""
-    return conflicts.minimal_fighting_set(stored(_unions(spark, d), "claims"), "rep")
+    """Claims of three unions of intervals, each two of which have common days but not all three: an irreducible set of each forty classes that have all."""
+    day, k = (F.col("rep") % 50).cast("int"), F.col("fact_id") % 3
+    span = lambda *ends: F.array(*[F.struct((day + a).alias("lo"), (day + b).alias("hi")) for a, b in ends])
+    date = F.when(k == 0, span((0, 10))).when(k == 1, span((5, 20))).otherwise(span((0, 3), (15, 20)))
+    claims = stored(bag(spark, d).where("kind = 'existence'").withColumn("rep", F.expr("rep div 40")).select("rep", "fact_id", date.alias("date")), "claims")
+    return conflicts.minimal_fighting_set(claims, "rep").select("rep", F.array_join(F.array_sort("facts").cast("array<string>"), ",").alias("facts"))
 
 
 @query(sql("rep_log", """, e(a, b) as (select c_custkey, c_custkey - 1 from customer where c_custkey % 5 <> 0),
