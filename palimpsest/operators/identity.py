@@ -50,22 +50,39 @@ def update_touched(log: DataFrame, edges: DataFrame, touched: DataFrame, as_of:
     return update_reps(log, own, inside, as_of)
 
 
+def _anchors(decls: DataFrame, decl_refs: DataFrame, known_names: DataFrame, known_refs: DataFrame, reps: DataFrame, *more: str) -> DataFrame:
+    """decl, rep and the columns ``more`` of the known facts that a declaration's references, or else its name, hit."""
+    by_ref = decl_refs.join(known_refs, "ref").select("decl", "entity", *more)
+    nameless = decls.join(decl_refs.select("decl").distinct(), "decl", "left_anti")
+    by_name = nameless.join(known_names, ["name_norm", "lang"]).select("decl", "entity", *more)
+    found = by_ref.unionByName(by_name).join(reps.withColumnRenamed("member", "entity"), "entity", "left")
+    return found.select("decl", F.coalesce("rep", "entity").alias("rep"), *more)
+
+
 def match_entities(decls: DataFrame, decl_refs: DataFrame, known_names: DataFrame, known_refs: DataFrame, reps: DataFrame) -> DataFrame:
     """decl, n_candidates, rep, outcome (matched, ambiguous or new) for each declaration.
 
     ``decls`` has decl, name_norm, lang; ``decl_refs`` decl, ref; the known tables entity and the anchor.
     A declaration with references is matched on references only, one without any on name and language.
     """
-    by_ref = decl_refs.join(known_refs, "ref").select("decl", "entity")
-    nameless = decls.join(decl_refs.select("decl").distinct(), "decl", "left_anti")
-    by_name = nameless.join(known_names, ["name_norm", "lang"]).select("decl", "entity")
-    found = by_ref.unionByName(by_name).join(reps.withColumnRenamed("member", "entity"), "entity", "left").select("decl", F.coalesce("rep", "entity").alias("rep"))
+    found = _anchors(decls, decl_refs, known_names, known_refs, reps)
     per = found.groupBy("decl").agg(F.countDistinct("rep").alias("n_candidates"), F.min("rep").alias("_rep"))
     out = decls.select("decl").join(per, "decl", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
     outcome = F.when(F.col("n_candidates") == 0, "new").when(F.col("n_candidates") == 1, "matched").otherwise("ambiguous")
     return out.select("decl", "n_candidates", F.when(F.col("n_candidates") == 1, F.col("_rep")).alias("rep"), outcome.alias("outcome"))
 
 
+def match_basis(decls: DataFrame, decl_refs: DataFrame, known_names: DataFrame, known_refs: DataFrame, reps: DataFrame) -> DataFrame:
+    """decl, rep, fact_id: the facts on which each matched declaration's identity rests, a row each.
+
+    As ``match_entities``, where the known tables also have fact_id.  These rows are what the identity facts of a batch cite;
+    ambiguous declarations have none.  A popular anchor's facts stay rows, so none is gathered.
+    """
+    found = _anchors(decls, decl_refs, known_names, known_refs, reps, "fact_id")
+    one = found.groupBy("decl").agg(F.min("rep").alias("_a"), F.max("rep").alias("_b")).where("_a = _b").select("decl")
+    return found.join(one, "decl").select("decl", "rep", "fact_id").distinct()
+
+
 def match_images(decls: DataFrame, facts: DataFrame) -> DataFrame:
     """decl, n_candidates, image for declarations (decl, source_url) against known image facts (image, source_url)."""
     per = decls.join(facts, "source_url").groupBy("decl").agg(F.countDistinct("image").alias("n_candidates"), F.min("image").alias("_image"))

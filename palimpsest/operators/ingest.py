@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions import dates, text
+from palimpsest.functions import dates, geo, text
+from palimpsest.operators import listing
 
 #: Significant events by item id: (ids, contribution, payload, dates taken).  Fixed values.
 EVENTS = [
@@ -29,6 +30,9 @@ PICTURES = [("P18", "photograph", "exterior"), ("P3451", "photograph", "exterior
 #: Link properties that give references: (property, system).  Fixed values.
 LINKS = [("P856", "url"), ("P973", "url"), ("P402", "osm"), ("P1584", "pleiades")]
 
+#: Records that are items, not properties or lexemes.
+IS_ITEM = "id rlike '^Q[1-9][0-9]*$'"
+
 
 def asserted(claims: Column) -> Column:
     """Claims that the item still asserts: deprecated ones are dropped."""
@@ -54,27 +58,62 @@ def _rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "event_item string, kind string, payload string, take string")
 
 
-def contributions(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, kind, payload, started, completed as days; warnings id, property, reason) from claim rows.
+def _lifecycle(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, kind, payload, started, completed, at; warnings id, property, reason) from claim rows.
 
-    Properties give one date each; significant events give start and end, a point, or one contribution per
-    distinct point, by the rule table.  Events that the table lacks and unreadable dates are warnings.
+    ``at`` is the earliest day of the contribution that the dates belong to: all inceptions of an item are one
+    contribution, and so are all its removals.
     """
     spark = claims.sparkSession
     plain = spark.createDataFrame(PROPERTIES, "property string, kind string, payload string")
     own = claims.join(F.broadcast(plain), "property").withColumn("_t", _time(F.col("value")))
     end = F.col("kind").isin("demolition_completed", "construction_completed")
-    by_property = own.where("_t is not null").select("id", "kind", "payload", F.when(~end, F.col("_t.day")).alias("started"), F.when(end, F.col("_t.day")).alias("completed"))
+    pooled = F.when(F.col("property").isin("P571", "P576"), F.min("_t.day").over(Window.partitionBy("id", "property"))).otherwise(F.col("_t.day"))
+    by_property = own.where("_t is not null").withColumn("at", pooled).select("id", "kind", "payload", F.when(~end, F.col("_t.day")).alias("started"), F.when(end, F.col("_t.day")).alias("completed"), "at")
     events = claims.where("property = 'P793'").withColumn("event_item", F.get_json_object("value", "$.id")).join(F.broadcast(_rules(spark)), "event_item", "left")
     points = F.array_distinct(F.filter(F.transform(F.coalesce(F.col("qualifiers")["P585"], F.array()), lambda q: _time(q["datavalue"]["value"])["day"]), lambda d: d.isNotNull()))
     events = events.withColumn("_start", _qualifier("P580")["day"]).withColumn("_end", _qualifier("P582")["day"]).withColumn("_points", points)
     span = events.where("take = 'span'").select("id", "kind", "payload", F.col("_start").alias("started"), F.coalesce("_end", F.get("_points", F.lit(0))).alias("completed"))
     point = events.where("take = 'point'").withColumn("_d", F.get("_points", F.lit(0))).select("id", "kind", "payload", F.when(~end, F.col("_d")).alias("started"), F.when(end, F.col("_d")).alias("completed"))
     many = events.where("take = 'points'").select("id", "kind", "payload", F.explode("_points").alias("started")).withColumn("completed", F.lit(None).cast("long"))
-    found = by_property.unionByName(span).unionByName(point).unionByName(many).where("started is not null or completed is not null")
+    dated = span.unionByName(point).unionByName(many).where("started is not null or completed is not null").withColumn("at", F.least("started", "completed"))
     unread = own.where("_t is null").select("id", "property", F.lit("unreadable date").alias("reason"))
     unknown = events.where("kind is null").select("id", "property", F.concat(F.lit("unknown event "), F.coalesce("event_item", F.lit("?"))).alias("reason"))
-    return found.distinct(), unread.unionByName(unknown)
+    return by_property.unionByName(dated), unread.unionByName(unknown)
+
+
+def contributions(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, kind, payload, started, completed as days; warnings id, property, reason) from claim rows.
+
+    Properties give one date each; significant events give start and end, a point, or one contribution per
+    distinct point, by the rule table.  Events that the table lacks and unreadable dates are warnings.
+    """
+    found, warnings = _lifecycle(claims)
+    return found.drop("at").distinct(), warnings
+
+
+def split_contributions(found: DataFrame) -> DataFrame:
+    """``found`` (a lifecycle with ``at``) with ``part``: what is built after a demolition is a new building at the same item.
+
+    Construction kinds count as constructions, demolition kinds as demolitions; on one day constructions lead.
+    """
+    phase = F.when(F.col("kind").startswith("construction"), "construction").when(F.col("kind").startswith("demolition"), "demolition").otherwise("other")
+    keyed = found.select(F.col("id").alias("entity"), "at", phase.alias("kind"), F.struct("kind", "payload", "started", "completed").alias("_x"))
+    return listing.split_on_rebuild(keyed).select(F.col("entity").alias("id"), F.col("part").cast("int").alias("part"), "_x.kind", "_x.payload", "_x.started", "_x.completed").distinct()
+
+
+def sites(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, lat, lon, radius_m; warnings id, property, reason) from the coordinates of an item.
+
+    The precision is an angle; the radius is its length along the meridian, toward the equator near a pole, and null without one.
+    """
+    rows = claims.where("property = 'P625'")
+    number = lambda k: F.get_json_object("value", f"$.{k}").cast("double")
+    lat, lon, angle = number("latitude"), number("longitude"), F.abs(number("precision"))
+    good = (F.col("value_type") == "globecoordinate") & lat.between(-90, 90) & lon.between(-180, 180)
+    radius = F.abs(geo.meridian_m(lat) - geo.meridian_m(F.when(lat + angle <= 90, lat + angle).otherwise(lat - angle)))
+    found = rows.where(good).select("id", lat.alias("lat"), lon.alias("lon"), radius.alias("radius_m")).distinct()
+    return found, rows.where(~F.coalesce(good, F.lit(False))).select("id", "property", F.lit("unreadable coordinate").alias("reason"))
 
 
 def names(items: DataFrame, claims: DataFrame) -> DataFrame:
@@ -100,22 +139,53 @@ def image_facts(claims: DataFrame) -> DataFrame:
     return claims.join(F.broadcast(rules), "property").select("id", F.regexp_replace("value", '^"|"$', "").alias("file"), "medium", "perspective").distinct()
 
 
+#: Columns of a bundle's facts.
+FACTS = "id string, part int, kind string, key string, value string, lang string, day long, lat double, lon double, radius_m double"
+
+
 def build_bundles(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts as id, kind, key, value, lang, day; warnings): all facts of every item, one bundle per item."""
+    """(facts as ``FACTS``; warnings): all facts of every item, one bundle per item.
+
+    An item that was torn down and built again is several entities, ``part`` 0, 1 and on.  Names and references are said
+    of each, pictures of the latest.  Each stands on the item's site (``construction_location``, whether or not its
+    construction is dated), and each but the first ``replaces`` the one before (``value``).  Items whose id isn't that of an
+    item (Q and a number) have nothing to model and give no fact.
+    """
+    items = items.where(IS_ITEM)
     claims = claim_rows(items)
-    life, warnings = contributions(claims)
-    blank = lambda t: F.lit(None).cast(t)
-    name = names(items, claims).select("id", F.lit("name").alias("kind"), F.col("name_type").alias("key"), F.col("name").alias("value"), "lang", blank("long").alias("day"))
-    ref = references(items, claims).select("id", F.lit("reference").alias("kind"), F.col("system").alias("key"), F.col("key").alias("value"), blank("string").alias("lang"), blank("long").alias("day"))
-    event = life.select("id", F.col("kind"), F.col("payload").alias("key"), F.when(F.col("completed").isNotNull() & F.col("started").isNotNull(), F.concat_ws("/", F.col("started").cast("string"), F.col("completed").cast("string"))).alias("value"), blank("string").alias("lang"), F.coalesce("started", "completed").alias("day"))
-    image = image_facts(claims).select("id", F.lit("image").alias("kind"), F.col("medium").alias("key"), F.col("file").alias("value"), blank("string").alias("lang"), blank("long").alias("day"))
-    return name.unionByName(ref).unionByName(event).unionByName(image), warnings
+    found, warnings = _lifecycle(claims)
+    life = split_contributions(found)
+    place, unplaced = sites(claims)
+    last = items.select("id").distinct().join(life.groupBy("id").agg(F.max("part").alias("_last")), "id", "left").select("id", F.coalesce("_last", F.lit(0)).alias("_last"))
+    parts = last.select("id", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("part"))
+
+    def fact(rows: DataFrame, kind, **columns) -> DataFrame:
+        given = {"part": F.col("part"), "kind": kind, **columns}
+        names_ = [c.split() for c in FACTS.split(", ")]
+        return rows.select("id", *[given.get(n, F.lit(None)).cast(t).alias(n) for n, t in names_[1:]])
+
+    name = fact(names(items, claims).join(parts, "id"), F.lit("name"), key=F.col("name_type"), value=F.col("name"), lang=F.col("lang"))
+    ref = fact(references(items, claims).join(parts, "id"), F.lit("reference"), key=F.col("system"), value=F.col("key"))
+    both = F.when(F.col("completed").isNotNull() & F.col("started").isNotNull(), F.concat_ws("/", F.col("started").cast("string"), F.col("completed").cast("string")))
+    event = fact(life, F.col("kind"), key=F.col("payload"), value=both, day=F.coalesce("started", "completed"))
+    image = fact(image_facts(claims).join(last, "id"), F.lit("image"), part=F.col("_last"), key=F.col("medium"), value=F.col("file"))
+    site = fact(place.join(parts, "id"), F.lit("construction_location"), lat=F.col("lat"), lon=F.col("lon"), radius_m=F.col("radius_m"))
+    newer = fact(parts.where("part > 0"), F.lit("replaces"), value=F.col("part") - 1)
+    facts = name.unionByName(ref).unionByName(event).unionByName(image).unionByName(site).unionByName(newer)
+    return facts, warnings.unionByName(unplaced)
 
 
 def ingest_stats(items: DataFrame, bad: DataFrame, facts: DataFrame, warnings: DataFrame) -> DataFrame:
-    """n_items, n_malformed, n_facts, n_warnings in one row."""
+    """n_items, n_malformed, n_facts, n_warnings, n_commits, n_entities, n_skipped, n_failed in one row.
+
+    Every item gives a commit, for it has a reference to itself, and one entity per part; records with another id are
+    skipped.  An item that gives no fact for all that has failed.
+    """
+    per = facts.groupBy("id").agg(F.count("*").alias("n"), F.max("part").alias("last"))
+    kept = items.where(IS_ITEM).select("id").distinct().join(per, "id", "left").agg(F.count("n").alias("n_commits"), F.coalesce(F.sum(F.col("last") + 1), F.lit(0)).alias("n_entities"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_facts"), F.count_if(F.col("n").isNull()).alias("n_failed"))
+    seen = items.agg(F.count("*").alias("n_items"), F.count_if(~F.expr(IS_ITEM)).alias("n_skipped"))
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    return count(items, "n_items").crossJoin(count(bad, "n_malformed")).crossJoin(count(facts, "n_facts")).crossJoin(count(warnings, "n_warnings"))
+    return seen.crossJoin(count(bad, "n_malformed")).crossJoin(kept).crossJoin(count(warnings, "n_warnings"))
 
 
 def infer_usage(items: DataFrame, by_use: DataFrame, by_type: DataFrame) -> DataFrame:

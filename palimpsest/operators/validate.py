@@ -74,6 +74,29 @@ def retraction_targets(facts: DataFrame) -> DataFrame:
     return x.select("fact_id", fault.alias("fault")).where("fault is not null")
 
 
+def supersede_targets(facts: DataFrame) -> DataFrame:
+    """fact_id, fault of facts that supersede another (supersedes_fact_id, replacement_fact_id), a row per fault.
+
+    ``same_as_replacement`` stands alone; else the target must exist before the own commit (unknown_target, same_commit), and
+    the replacement in the own commit or before (unknown_replacement).
+    """
+    known = facts.select(F.col("fact_id").alias("_id"), F.col("commit_seq").alias("_c"))
+    x = facts.where("supersedes_fact_id is not null").select("fact_id", "commit_seq", "supersedes_fact_id", "replacement_fact_id")
+    apart = x.where("not (supersedes_fact_id <=> replacement_fact_id)")
+    late = F.col("_c").isNull() | (F.col("_c") > F.col("commit_seq"))
+    target = apart.join(known, F.col("supersedes_fact_id") == F.col("_id"), "left").select("fact_id", F.when(late, "unknown_target").when(F.col("_c") == F.col("commit_seq"), "same_commit").alias("fault"))
+    other = apart.join(known, F.col("replacement_fact_id") == F.col("_id"), "left").select("fact_id", F.when(late, "unknown_replacement").alias("fault"))
+    same = x.where("supersedes_fact_id <=> replacement_fact_id").select("fact_id", F.lit("same_as_replacement").alias("fault"))
+    return same.unionByName(target).unionByName(other).where("fault is not null")
+
+
+def commit_targets(facts: DataFrame) -> DataFrame:
+    """fact_id, fault of retractions of whole commits that no earlier commit answers to."""
+    known = facts.select(F.col("commit_seq").alias("_c")).distinct()
+    x = facts.where("retracts_commit_seq is not null").join(known, F.col("retracts_commit_seq") == F.col("_c"), "left")
+    return x.where("_c is null or _c >= commit_seq").select("fact_id", F.lit("unknown_commit").alias("fault"))
+
+
 def declaration_faults(declared: DataFrame, used: DataFrame, known: DataFrame) -> DataFrame:
     """bundle, subject, fault: duplicated, unused or unknown declarations, and undeclared uses.
 

@@ -88,12 +88,40 @@ def job1_build_bundles(spark, d):
     return ingest.build_bundles(items(spark, d))[0].groupBy("kind").agg(F.count("*").alias("n"))
 
 
+def rebuilt_items(spark, d):
+    """Items from ``part`` that were begun, torn down (two thirds) and built anew, at a site (three quarters)."""
+    snak = lambda value, kind: f'{{"mainsnak":{{"snaktype":"value","datavalue":{{"type":"{kind}","value":{value}}}}},"rank":"%s"'
+    time = '{"time":"+%d-00-00T00:00:00Z","precision":9}'
+    form = '{"id":"Q%d","type":"item","lastrevid":1,"labels":{"en":{"language":"en","value":"N %d"}},"claims":{"P571":[' + snak(time, "time") + '}],"P576":[' + snak(time, "time") + '}],'
+    form += '"P793":[' + snak('{"id":"Q385378"}', "wikibase-entityid") + ',"qualifiers":{"P580":[{"snaktype":"value","datavalue":{"type":"time","value":' + time + "}}]}}],"
+    form += '"P625":[' + snak('{"latitude":%d,"longitude":%d,"precision":0.01}', "globecoordinate") + '}],"P18":[' + snak('"File %d.jpg"', "string") + '}]},"sitelinks":{}}'
+    k, normal = F.col("p_partkey"), F.lit("normal")
+    rank = lambda n: F.when(k % n == 0, "deprecated").otherwise("normal")
+    line = F.format_string(form, k + 1, k, k % 300 + 1500, normal, k % 300 + 1600, rank(3), normal, k % 300 + 1700, k % 90, k % 180, rank(4), k, normal)
+    return dumps.parse_entities(T.table(spark, d, "part").select(line.alias("value"), line.alias("item")))[0]
+
+
+@query("""with p as (select p_partkey as k, 'Q' || (p_partkey + 1) as id, case when p_partkey % 3 = 0 then 0 else 1 end as last from part), q as (select *, unnest(range(0, last + 1))::int as part from p),
+y as (select *, (date_diff('day', date '0001-01-01', make_date((k % 300 + 1500)::int, 1, 1)) + 1) as a, (date_diff('day', date '0001-01-01', make_date((k % 300 + 1600)::int, 1, 1)) + 1) as b, (date_diff('day', date '0001-01-01', make_date((k % 300 + 1700)::int, 1, 1)) + 1) as c from p)
+select id, part, 'name' as kind, 'common' as key, 'N ' || k as value, 'en' as lang, null::bigint as day, null::double as lat, null::double as lon from q
+union all select id, part, 'reference', 'wikidata', id, null, null, null, null from q
+union all select id, last, 'image', 'photograph', 'File ' || k || '.jpg', null, null, null, null from p
+union all select id, 0, 'construction_started', null, null, null, a, null, null from y
+union all select id, 0, 'demolition_completed', null, null, null, b, null, null from y where k % 3 <> 0
+union all select id, last, 'construction', null, null, null, c, null, null from y
+union all select id, part, 'construction_location', null, null, null, null, k % 90, k % 180 from q where k % 4 <> 0
+union all select id, 1, 'replaces', null, '0', null, null, null, null from p where last = 1""")
+def job1_bundle_facts(spark, d):
+    """All facts of items that were rebuilt: splits, their common site, and what replaces what."""
+    return ingest.build_bundles(rebuilt_items(spark, d))[0].drop("radius_m")
+
+
 @query(f"select 'Q' || (k + 1) as id, 'File ' || k || '.jpg' as file, 'photograph' as medium, 'exterior' as perspective from {_GOOD}")
 def job3_image_facts(spark, d):
     return ingest.image_facts(ingest.claim_rows(items(spark, d)))
 
 
-@query(f"select (select count(*) from {_GOOD}) as n_items, (select count(*) from part where p_partkey % 50 = 0) as n_malformed, (select 5 * count(*) + count(*) filter (k % 3 < 2) from {_GOOD}) as n_facts, (select count(*) filter (k % 3 = 2) from {_GOOD}) as n_warnings")
+@query(f"select n as n_items, (select count(*) from part where p_partkey % 50 = 0) as n_malformed, (select 5 * count(*) + count(*) filter (k % 3 < 2) from {_GOOD}) as n_facts, (select count(*) filter (k % 3 = 2) from {_GOOD}) as n_warnings, n as n_commits, n as n_entities, 0::bigint as n_skipped, 0::bigint as n_failed from (select count(*) as n from {_GOOD})")
 def agg19_ingest_stats(spark, d):
     good, bad = dumps.parse_entities(stored(dump(spark, d), "lines"))
     facts, warnings = ingest.build_bundles(good)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from palimpsest.operators import walks
 from palimpsest.plans.registry import query
 from palimpsest.scratch import scratch
 from palimpsest.sources import testbed as T
@@ -34,3 +35,28 @@ def str1_ledger(spark, d):
     log = ledger.facts(spark, folder, plain).agg((F.coalesce(F.max("fact_id") + 1, F.lit(0)) == F.countDistinct("fact_id")).alias("dense"))
     same = F.coalesce((F.col("_f") == F.col("first_id")) & (F.col("_n") == F.col("n_facts")), F.lit(True))
     return first.join(again, "commit_id", "left").crossJoin(F.broadcast(log)).select("commit_id", "outcome", "n_facts", "rules", "dense", same.alias("replayed"))
+
+
+def walk(spark, d):
+    """The walk of the log's facts by entity, written, and an entity in its middle."""
+    f, path = T.facts(spark, d), scratch(spark, "walk")
+    walks.write_class_walk(f.select(F.col("entity").alias("rep"), "fact_id"), path)
+    return path, f.agg(F.expr("max(entity) div 2")).first()[0]
+
+
+@query(sql("facts", """, w as (select distinct entity as rep, fact_id from facts), m as (select max(entity) // 2 as m from facts),
+p as (select rep, fact_id from w, m where (rep, fact_id) > (m, 50) order by 1, 2 limit 256), z as (select max(rep) as rep from p)
+select rep, fact_id, (select count(*) from w, m where (rep, fact_id) > (m, 50)) > 256 as more, (select max(rep) from w) > (select rep from z) as more_classes from p""").replace("\n, w as", ",\nw as"))
+def win2_walk_page(spark, d):
+    """A page of the written walk, whether rows remain past it, and whether classes do."""
+    path, middle = walk(spark, d)
+    got = walks.page(spark, path, (middle, 50), 256)
+    return got.rows.select("rep", "fact_id", F.lit(got.next is not None).alias("more"), F.lit(got.next_class is not None).alias("more_classes"))
+
+
+@query(sql("facts", """, w as (select distinct entity as rep, fact_id from facts), m as (select max(entity) // 2 as m from facts),
+c as (select distinct rep from w, m where rep > m order by 1 limit 100) select rep, fact_id from w where rep in (select rep from c)""").replace("\n, w as", ",\nw as"))
+def win2_class_page(spark, d):
+    """The next hundred classes past a class, each with all its rows."""
+    path, middle = walk(spark, d)
+    return walks.class_page(spark, path, (middle, walks.LAST), 100).rows

@@ -354,11 +354,24 @@ def agg6_outgoing_edges(spark, d):
 cand as (select decl, n.entity from decls join names n on n.fact_id % 5 <> 0 and lower(trim(n.name)) = name_norm and n.lang = decls.lang where decl % 10 <> 0 union all select decl, n.entity from decls join names n on n.fact_id % 5 <> 0 and n.fact_id = decl + 1 where decl % 10 = 0)
 select decl, count(distinct c.entity // 2) as n_candidates, case when count(distinct c.entity // 2) = 1 then min(c.entity // 2) end as rep, case count(distinct c.entity // 2) when 0 then 'new' when 1 then 'matched' else 'ambiguous' end as outcome from decls left join cand c using (decl) group by decl""").replace("\n, decls", ",\ndecls"))
 def jn11_match_entities(spark, d):
+    return identity.match_entities(*_declared(spark, d))
+
+
+def _declared(spark, d):
+    """Declarations, their references, known names and references with fact_id, and classes of two, from ``names``."""
     n = T.names(spark, d).withColumn("name_norm", text.normalize_name(F.col("name")))
     decls, known = n.where("fact_id % 5 = 0").withColumnRenamed("fact_id", "decl"), n.where("fact_id % 5 <> 0")
     refs = decls.where("decl % 10 = 0").select("decl", (F.col("decl") + 1).alias("ref"))
     reps = known.select(F.col("entity").alias("member")).distinct().withColumn("rep", F.expr("member div 2"))
-    return identity.match_entities(decls.select("decl", "name_norm", "lang"), refs, known.select("entity", "name_norm", "lang"), known.select("entity", F.col("fact_id").alias("ref")), reps)
+    return decls.select("decl", "name_norm", "lang"), refs, known.select("entity", "name_norm", "lang", "fact_id"), known.select("entity", F.col("fact_id").alias("ref"), "fact_id"), reps
+
+
+@query(sql("names", """, decls as (select fact_id as decl, lower(trim(name)) as name_norm, lang from names where fact_id % 5 = 0),
+cand as (select decl, n.entity // 2 as rep, fact_id from decls join names n on n.fact_id % 5 <> 0 and lower(trim(n.name)) = name_norm and n.lang = decls.lang where decl % 10 <> 0 union select decl, n.entity // 2, fact_id from decls join names n on n.fact_id % 5 <> 0 and n.fact_id = decl + 1 where decl % 10 = 0)
+select decl, rep, fact_id from cand where decl in (select decl from cand group by 1 having count(distinct rep) = 1)""").replace("\n, decls", ",\ndecls"))
+def jn11_match_basis(spark, d):
+    """The facts that each matched declaration's identity rests on."""
+    return identity.match_basis(*_declared(spark, d))
 
 
 @query(f"""select page_id as decl, coalesce(n, 0) as n_candidates, case when n = 1 then image end as image from {_NORM} left join (select norm, count(distinct page_id) as n, min(page_id) as image from {_NORM} where page_id % 2 = 0 group by norm) using (norm) where page_id % 2 = 1""")
@@ -489,3 +502,26 @@ def val12_accepted_bundles(spark, d):
     x = T.table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "bundle")
     ok, _ = validate.validate(x.select("bundle").distinct(), {"tax": x.where("l_tax > 0.07"), "lines": x.where("l_linenumber > 6")})
     return ok
+
+
+_SUPERSEDED = """x as (select fact_id, commit_seq, case when kind = 'name' then case fact_id % 4 when 0 then fact_id + 100000000 when 1 then fact_id - 40 when 2 then fact_id else fact_id // 2 end end as target, case when kind = 'name' then case fact_id % 3 when 0 then fact_id + 1000000000 when 1 then fact_id - 40 else fact_id end end as replacement from facts)"""
+
+
+@query(sql("facts", f""", {_SUPERSEDED}
+select fact_id, 'same_as_replacement' as fault from x where target = replacement
+union all select x.fact_id, case when t.fact_id is null or t.commit_seq > x.commit_seq then 'unknown_target' else 'same_commit' end from x left join facts t on t.fact_id = target where target is not null and target <> replacement and (t.fact_id is null or t.commit_seq >= x.commit_seq)
+union all select x.fact_id, 'unknown_replacement' from x left join facts t on t.fact_id = replacement where target is not null and target <> replacement and (t.fact_id is null or t.commit_seq > x.commit_seq)""").replace("\n, x as", ",\nx as"))
+def val10_supersede_targets(spark, d):
+    f, i = T.facts(spark, d), F.col("fact_id")
+    target = F.when(i % 4 == 0, i + 100_000_000).when(i % 4 == 1, i - 40).when(i % 4 == 2, i).otherwise(F.expr("fact_id div 2"))
+    other = F.when(i % 3 == 0, i + 1_000_000_000).when(i % 3 == 1, i - 40).otherwise(i)
+    named = F.col("kind") == "name"
+    return validate.supersede_targets(f.withColumns({"supersedes_fact_id": F.when(named, target), "replacement_fact_id": F.when(named, other)}))
+
+
+@query(sql("facts", """, x as (select fact_id, commit_seq, case when fact_id % 9 = 0 then commit_seq when fact_id % 9 = 1 then commit_seq + 3 else retracts_commit_seq end as r from facts where retracts_commit_seq is not null)
+select fact_id, 'unknown_commit' as fault from x where r >= commit_seq or r not in (select commit_seq from facts)""").replace("\n, x as", ",\nx as"))
+def val10_commit_targets(spark, d):
+    i, c = F.col("fact_id"), F.col("commit_seq")
+    r = F.when(F.col("retracts_commit_seq").isNotNull(), F.when(i % 9 == 0, c).when(i % 9 == 1, c + 3).otherwise(F.col("retracts_commit_seq")))
+    return validate.commit_targets(T.facts(spark, d).withColumn("retracts_commit_seq", r))
