@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, text
-from palimpsest.operators import capture, conflicts, graph, identity, ingest, labels, listing
+from palimpsest.operators import capture, conflicts, graph, identity, ingest, labels, listing, vectors
 from palimpsest.plans.claim_queries import _BOUNDS, _LIFE, _VERDICT, _bag_sql, bag
 from palimpsest.plans.registry import query
 from palimpsest.scratch import scratch, stored
@@ -213,6 +213,22 @@ def job8_similar_pairs(spark, d):
     return capture.similar_pairs(v.where("vec_id % 50 = 0"), v, 0.3).withColumn("cosine", F.round("cosine", 4))
 
 
+@query("""with r as (select embedding::double[] as e, min(vec_id) as id from embeddings group by embedding)
+select a.id as a, b.id as b, round(list_cosine_similarity(a.e, b.e), 4) as cosine from r a join r b on a.id < b.id where list_cosine_similarity(a.e, b.e) >= 0.3""")
+def job8_similar_within(spark, d):
+    """All pairs of distinct vectors, from cells around centroids."""
+    index = vectors.build(vectors.representatives(T.table(spark, d, "embeddings")))
+    return vectors.similar_within(index, 0.3).withColumn("cosine", F.round("cosine", 4))
+
+
+@query()
+def job8_nearest(spark, d):
+    """The ten nearest of the stated queries, from three quarters of the cells."""
+    v = vectors.representatives(T.table(spark, d, "embeddings"))
+    index = vectors.build(v)
+    return vectors.nearest(T.table(spark, d, "embeddings").where("vec_id % 50 = 0").join(v.select("vec_id"), "vec_id", "left_semi"), index, 10, max(1, 3 * len(index.centroids) // 4))
+
+
 @query("select vec_id, abs(list_inner_product(embedding::double[], embedding::double[]) - 1) <= 1e-6 as ok from embeddings")
 def job8_unit_norms(spark, d):
     return capture.unit_norms(T.table(spark, d, "embeddings"))
