@@ -50,13 +50,28 @@ def update_touched(log: DataFrame, edges: DataFrame, touched: DataFrame, as_of:
     return update_reps(log, own, inside, as_of)
 
 
-def _anchors(decls: DataFrame, decl_refs: DataFrame, known_names: DataFrame, known_refs: DataFrame, reps: DataFrame, *more: str) -> DataFrame:
-    """decl, rep and the columns ``more`` of the known facts that a declaration's references, or else its name, hit."""
-    by_ref = decl_refs.join(known_refs, "ref").select("decl", "entity", *more)
-    nameless = decls.join(decl_refs.select("decl").distinct(), "decl", "left_anti")
-    by_name = nameless.join(known_names, ["name_norm", "lang"]).select("decl", "entity", *more)
-    found = by_ref.unionByName(by_name).join(reps.withColumnRenamed("member", "entity"), "entity", "left")
-    return found.select("decl", F.coalesce("rep", "entity").alias("rep"), *more)
+def _anchored(decls: DataFrame, decl_refs: DataFrame, known_names: DataFrame, known_refs: DataFrame, reps: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(decl, anchors: the references of a declaration, or else its names; anchor, rep and ``more`` of the known facts).
+
+    Anchors are structs of reference, name and language.  Declarations with the same anchors have the same candidates, so
+    these are found once for each set of anchors, and copies of a popular name never meet each other one by one.
+    """
+    none = F.lit(None)
+    by_name = F.struct(none.cast(decl_refs.schema["ref"].dataType).alias("ref"), F.col("name_norm"), F.col("lang"))
+    by_ref = F.struct(F.col("ref"), none.cast(decls.schema["name_norm"].dataType).alias("name_norm"), none.cast(decls.schema["lang"].dataType).alias("lang"))
+    nameless = decls.join(decl_refs.select("decl").distinct(), "decl", "left_anti").where("name_norm is not null and lang is not null")
+    cited = decl_refs.where("ref is not null")
+    own = cited.select("decl", by_ref.alias("anchor")).unionByName(nameless.select("decl", by_name.alias("anchor")))
+    sets = own.groupBy("decl").agg(F.array_sort(F.collect_set("anchor")).alias("anchors"))
+    known = known_refs.select(by_ref.alias("anchor"), "entity", *more).unionByName(known_names.select(by_name.alias("anchor"), "entity", *more))
+    known = known.join(reps.withColumnRenamed("member", "entity"), "entity", "left")
+    return sets, known.select("anchor", F.coalesce("rep", "entity").alias("rep"), *more).distinct()
+
+
+def _candidates(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """anchors, n_candidates, rep (the least) of each set of anchors."""
+    hit = sets.select("anchors").distinct().select("anchors", F.explode("anchors").alias("anchor")).join(known.select("anchor", "rep").distinct(), "anchor")
+    return hit.groupBy("anchors").agg(F.countDistinct("rep").alias("n_candidates"), F.min("rep").alias("_rep"))
 
 
 def match_entities(decls: DataFrame, decl_refs: DataFrame, known_names: DataFrame, known_refs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -65,8 +80,8 @@ def match_entities(decls: DataFrame, decl_refs: DataFrame, known_names: DataFram
     ``decls`` has decl, name_norm, lang; ``decl_refs`` decl, ref; the known tables entity and the anchor.
     A declaration with references is matched on references only, one without any on name and language.
     """
-    found = _anchors(decls, decl_refs, known_names, known_refs, reps)
-    per = found.groupBy("decl").agg(F.countDistinct("rep").alias("n_candidates"), F.min("rep").alias("_rep"))
+    sets, known = _anchored(decls, decl_refs, known_names, known_refs, reps)
+    per = sets.join(_candidates(sets, known), "anchors").drop("anchors")
     out = decls.select("decl").join(per, "decl", "left").withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)))
     outcome = F.when(F.col("n_candidates") == 0, "new").when(F.col("n_candidates") == 1, "matched").otherwise("ambiguous")
     return out.select("decl", "n_candidates", F.when(F.col("n_candidates") == 1, F.col("_rep")).alias("rep"), outcome.alias("outcome"))
@@ -76,11 +91,11 @@ def match_basis(decls: DataFrame, decl_refs: DataFrame, known_names: DataFrame,
     """decl, rep, fact_id: the facts on which each matched declaration's identity rests, a row each.
 
     As ``match_entities``, where the known tables also have fact_id.  These rows are what the identity facts of a batch cite;
-    ambiguous declarations have none.  A popular anchor's facts stay rows, so none is gathered.
+    ambiguous declarations have none, and are left out before any fact is joined.  A popular anchor's facts stay rows, so none is gathered.
     """
-    found = _anchors(decls, decl_refs, known_names, known_refs, reps, "fact_id")
-    one = found.groupBy("decl").agg(F.min("rep").alias("_a"), F.max("rep").alias("_b")).where("_a = _b").select("decl")
-    return found.join(one, "decl").select("decl", "rep", "fact_id").distinct()
+    sets, known = _anchored(decls, decl_refs, known_names, known_refs, reps, "fact_id")
+    one = sets.join(_candidates(sets, known).where("n_candidates = 1"), "anchors", "left_semi")
+    return one.select("decl", F.explode("anchors").alias("anchor")).join(known, "anchor").select("decl", "rep", "fact_id").distinct()
 
 
 def match_images(decls: DataFrame, facts: DataFrame) -> DataFrame:
