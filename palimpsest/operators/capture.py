@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import itertools
 import json
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,6 +178,28 @@ def near_dups_wide(hashes: DataFrame, max_bits: int, blocks: int = 8) -> DataFra
     return keyed.join(other, "_band").where("id < b").select(F.col("id").alias("a"), "b", bits.alias("bits")).where(F.col("bits") <= max_bits).distinct()
 
 
+def _mask(starts: list[int], ends: list[int]) -> int:
+    """The pixels of some runs (end exclusive) as the bits of a number."""
+    if not starts:
+        return 0
+    bits, low = 0, min(starts)
+    for a, b in zip(starts, ends, strict=True):
+        if b > a:
+            bits |= ((1 << (b - a)) - 1) << (a - low)
+    return bits << low
+
+
+def _mean_columns(masks: list[tuple[int, int, int]]) -> list[float]:
+    """The mean column of each of some masks (pixels, their number above 0, width)."""
+    lows = [(pixels & -pixels).bit_length() - 1 for pixels, _, _ in masks]
+    packed = [(m >> low).to_bytes(((m >> low).bit_length() + 7) // 8, "little") for (m, _, _), low in zip(masks, lows, strict=True)]
+    begin = np.cumsum([0, *map(len, packed[:-1])]) * 8
+    counts = np.array([n for _, n, _ in masks])
+    places = np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(packed), np.uint8), bitorder="little")) + np.repeat(np.array(lows) - begin, counts)
+    sums = np.add.reduceat(places % np.repeat([w for _, _, w in masks], counts), np.cumsum([0, *counts[:-1]]))
+    return (sums / counts).tolist()
+
+
 def clean_detections(masks: DataFrame, k: int, overlap: float = 0.7, survive: float = 0.1) -> DataFrame:
     """image, mask, score, pixels, column, place: detections of each image after clean-up.
 
@@ -182,36 +207,55 @@ def clean_detections(masks: DataFrame, k: int, overlap: float = 0.7, survive: fl
     order a mask goes when it overlaps a kept one by more than ``overlap``; pixels belong to the first mask
     that has them; masks with less than ``survive`` of their pixels left go; the best k are placed from left to right by ``column``, the mean
     column of their pixels (the smaller mask on ties).
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, taken, out = [], None, []
-        for row in pdf.sort_values(["score", "mask"], ascending=[False, True]).itertuples():
-            size = max((int(r["end"]) for r in row.runs), default=0)
-            mine = np.zeros(size, bool)
-            for r in row.runs:
-                mine[int(r["start"]) : int(r["end"])] = True
-            total = int(mine.sum())
-            both = lambda m: int((m[: min(len(m), size)] & mine[: min(len(m), size)]).sum())  # noqa: B023, E731
-            if not total or any((i := both(m)) / (n + total - i) > overlap for m, n in kept):
-                continue
-            kept.append((mine, total))
-            left = mine.copy()
-            if taken is not None:
-                n = min(len(taken), size)
-                left[:n] &= ~taken[:n]
-            if int(left.sum()) < survive * total:
-                continue
-            grown = np.zeros(max(size, 0 if taken is None else len(taken)), bool)
-            if taken is not None:
-                grown[: len(taken)] = taken
-            grown[:size] |= mine
-            taken = grown
-            out.append((row.image, row.mask, row.score, int(left.sum()), float((np.flatnonzero(left) % row.width).mean())))
-        best = pd.DataFrame(out, columns=["image", "mask", "score", "pixels", "column"]).head(k).sort_values(["column", "mask"])
-        return best.assign(place=range(len(best)))
-
-    return masks.groupBy("image").applyInPandas(run, "image long, mask long, score double, pixels long, column double, place int")
+    Images lie one after the other in sorted partitions and batches of rows, so no image is a group of its own; what is
+    held is one image's kept masks, and none once its best k are known.
+    """
+    columns = [("image", pa.int64()), ("mask", pa.int64()), ("score", pa.float64()), ("pixels", pa.int64()), ("column", pa.float64()), ("place", pa.int32())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, kept, taken, n_best, best, bits = (), [], 0, 0, [], 0
+
+        def placed() -> pa.RecordBatch:
+            found = [(*x, at) for x, at in zip(best, _mean_columns([x[3:] for x in best]), strict=True)]
+            out = [(i, mask, score, n, at, place) for _, group in itertools.groupby(found, lambda x: x[0]) for place, (i, mask, score, _, n, _, at) in enumerate(sorted(group, key=lambda x: (x[6], x[1])))]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(zip(*out, strict=True), columns, strict=True)], [n for n, _ in columns])
+
+        for b in batches:
+            runs = b.column("runs")
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)).tolist()
+            flat = runs.flatten()
+            starts, stops = (flat.field(c).to_numpy(zero_copy_only=False).tolist() for c in (0, 1))
+            at = 0
+            for i, mask, score, width, end in zip(*(b.column(c).to_pylist() for c in ("image", "mask", "score", "width")), ends, strict=True):
+                begin, at = at, end
+                if image != (i,):
+                    if len(best) >= 4096 or bits > 1 << 26:
+                        yield placed()
+                        best, bits = [], 0
+                    image, kept, taken, n_best = (i,), [], 0, 0
+                if n_best == k:
+                    continue
+                mine = _mask(starts[begin:end], stops[begin:end])
+                total = mine.bit_count()
+                if not total or any((both := (m & mine).bit_count()) / (n + total - both) > overlap for m, n in kept):
+                    continue
+                kept.append((mine, total))
+                left = mine & ~taken
+                n = left.bit_count()
+                if n and n >= survive * total:
+                    taken |= mine
+                    best.append((i, mask, score, left, n, width))
+                    bits += left.bit_length()
+                    n_best += 1
+                    if n_best == k:
+                        kept = []
+        if best:
+            yield placed()
+
+    rows = masks.select(F.col("image").cast("long"), F.col("mask").cast("long"), F.col("score").cast("double"), F.col("width").cast("long"), F.transform("runs", lambda r: F.struct(r["start"].cast("long").alias("start"), r["end"].cast("long").alias("end"))).alias("runs"))
+    order = rows.repartition("image").sortWithinPartitions("image", F.nanvl("score", F.lit(None)).desc_nulls_last(), "mask")
+    return order.mapInArrow(run, "image long, mask long, score double, pixels long, column double, place int")
 
 
 def panels(images: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.functions import geo
 from palimpsest.operators import capture, conflicts, identity, labels, listing, maps, records
@@ -260,3 +261,39 @@ def test_an_entity_that_moved_out_takes_no_slot(spark):
 def test_a_replayed_url_batch_changes_nothing(spark):
     got = [r["url"] for r in job_queries.str5_seen_urls(spark, DIR).collect()]
     assert len(got) == len(set(got)) == T.table(spark, DIR, "events").select("user_id").distinct().count()
+
+
+def test_clean_detections_in_any_batches(spark):
+    """Images go in batches of rows, not as groups of their own, and a batch may end inside an image."""
+    pick, rows = random.Random(21), []
+    for image in range(40):
+        for mask in range(pick.randrange(1, 12)):
+            start, n = pick.randrange(3000), pick.randrange(0, 40)
+            rows.append((image, mask, round(pick.random(), 1), 64, [(start + r * 64, start + r * 64 + n) for r in range(pick.randrange(0, 4))]))
+    frame = spark.createDataFrame(rows, "image long, mask long, score double, width int, runs array<struct<start:int,end:int>>").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        out = capture.clean_detections(frame, 4)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {}
+        for r in out.collect():
+            got.setdefault(r["image"], []).append((r["mask"], r["score"], r["pixels"], r["column"], r["place"]))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for image in range(40):
+        assert sorted(got.get(image, []), key=lambda x: x[4]) == plain_detections([m for m in rows if m[0] == image], 4)
+
+
+def test_matching_of_a_popular_name_is_linear(spark):
+    """Declarations of one name don't each meet all facts of it; several references of one declaration count together."""
+    decls = spark.range(3000).select(F.col("id").alias("decl"), F.lit("a").alias("name_norm"), F.lit("en").alias("lang"))
+    known = spark.range(3000).select(F.col("id").alias("entity"), F.lit("a").alias("name_norm"), F.lit("en").alias("lang"), F.col("id").alias("fact_id"))
+    refs = spark.createDataFrame([(0, 7), (0, 8), (1, 7), (2, -1), (3, None)], "decl long, ref long")
+    cited = spark.createDataFrame([(5, 7, 70), (6, 8, 80), (5, 7, 71)], "entity long, ref long, fact_id long")
+    reps = spark.createDataFrame([(6, 5)], "member long, rep long")
+    got = {r["decl"]: tuple(r)[1:] for r in identity.match_entities(decls, refs, known, cited, reps).collect()}
+    assert got == {0: (1, 5, "matched"), 1: (1, 5, "matched"), 2: (0, None, "new"), 3: (0, None, "new"), **{k: (2999, None, "ambiguous") for k in range(4, 3000)}}
+    assert sorted(map(tuple, identity.match_basis(decls, refs, known, cited, reps).collect())) == [(0, 5, 70), (0, 5, 71), (0, 5, 80), (1, 5, 70), (1, 5, 71)]
+    sets, facts = identity._anchored(decls, refs, known, cited, reps)
+    assert identity._candidates(sets, facts).count() == 3
