@@ -21,6 +21,8 @@ from palimpsest.scratch import stored
 MAX_CELLS, SAMPLE = 4096, 20_000
 #: Vectors of one side of a comparison in one task.
 VECTORS = 4096
+#: Probes (query and cell) that a task makes at once, and queries of a block that meet the other block at once.
+PROBES, STRIP = 16_384, 256
 #: Slack of angles, which sums of squares get wrong by far less.
 _SLACK = 1e-6
 
@@ -88,11 +90,12 @@ def build(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE) ->
 def _probes(queries: DataFrame, index: Index, choose: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """a, q, cell: each query (vec_id, unit) with the cells that ``choose`` marks among its angles to all centroids."""
     centroids = index.centroids
+    step = max(1, PROBES // max(1, len(centroids)))  # a query may be asked of every cell, and each probe carries its vector
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for s in range(0, len(b), 1024):
-                x = np.stack(b["unit"].to_numpy()[s : s + 1024])
+            for s in range(0, len(b), step):
+                x = np.stack(b["unit"].to_numpy()[s : s + step])
                 i, j = np.nonzero(choose(_angles(x @ centroids.T)))
                 yield pd.DataFrame({"a": b["vec_id"].to_numpy()[s + i], "q": list(x[i]), "cell": j.astype(np.int32)})
 
@@ -114,9 +117,12 @@ def _compared(asked: DataFrame, index: Index, keep: Callable, schema: str) -> Da
     def run(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(v):
             return pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64"})
-        a, b, at = q["a"].to_numpy(), v["b"].to_numpy(), np.stack(q["q"].to_numpy()) @ np.stack(v["v"].to_numpy()).T
-        i, j = keep(a, b, at)
-        return pd.DataFrame({"a": a[i], "b": b[j], "cosine": at[i, j]})
+        a, b, across, found = q["a"].to_numpy(), v["b"].to_numpy(), np.stack(v["v"].to_numpy()).T, []
+        for s in range(0, len(a), STRIP):
+            at = np.stack(q["q"].to_numpy()[s : s + STRIP]) @ across
+            i, j = keep(a[s : s + STRIP], b, at)
+            found.append((a[s + i], b[j], at[i, j]))
+        return pd.DataFrame({name: np.concatenate(x) for name, x in zip(("a", "b", "cosine"), zip(*found, strict=True), strict=True)})
 
     return left.groupBy("cell", "_i", "_j").cogroup(right.groupBy("cell", "_i", "_j")).applyInPandas(run, schema)
 

@@ -67,3 +67,18 @@ def test_recall(spark):
         hits += len({ids[j] for j in np.argsort(-at[n])[:k]} & got[ids[n]])
     print("recall", hits / (k * len(asked)), len(ids), len(index.centroids))
     assert hits >= 0.9 * k * len(asked)
+
+
+def test_probes_of_many_cells_leave_in_bounded_batches(spark):
+    """Each probe carries its query's vector, so what a task makes at once may not grow with the number of cells."""
+    pick = np.random.default_rng(5)
+    x = pick.normal(size=(2000, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, unit array<double>").coalesce(1)
+    index = vectors.Index(None, x[:1000], np.zeros(1000), np.ones(1000, dtype=np.int64))
+
+    def all_cells(angles):
+        assert angles.size <= 16_384
+        return np.ones(angles.shape, dtype=bool)
+
+    assert vectors._probes(rows, index, all_cells).count() == 2000 * 1000
