@@ -134,29 +134,38 @@ def near_dups(hashes: DataFrame, max_bits: int, blocks: int = 6) -> DataFrame:
     return keyed.join(other, "_key").where("id < b").select(F.col("id").alias("a"), "b", bits.alias("bits")).where(F.col("bits") <= max_bits).distinct()
 
 
+#: Words of a text whose hashes are held at once.
+WORDS = 1024
+
+
 def content_hashes(rows: DataFrame, key: str, content: str) -> DataFrame:
     """id, hash (array of four longs): 256-bit similarity hash of the whole content; no row for content without a word.
 
     Each bit is the majority of that bit over the content's words, so a changed word changes few bits.
     """
 
-    def run(parts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
         from collections import Counter
 
-        for pdf in parts:
-            out, pdf = [], pdf[np.array([bool(t.split()) for t in pdf["content"]], bool)]
-            for text in pdf["content"]:
-                words = Counter(text.split())
-                counts = np.array(list(words.values()))
-                raw = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=32).digest() for w in words)
-                votes = counts @ np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 32), axis=1).astype(np.int64)
-                out.append(np.packbits(2 * votes > counts.sum()).view(">i8").astype(np.int64).tolist())
-            if out:
-                yield pd.DataFrame({"id": pdf["id"].to_numpy(), "hash": out})
-
-    texts = rows.select(F.col(key).alias("id"), F.col(content).alias("content")).where("content is not null")
-    return texts.mapInPandas(run, "id long, hash array<long>")
+        for b in batches:
+            ids, out = [], []
+            for i, text in zip(b.column("id").to_pylist(), b.column("content"), strict=True):  # one text at a time, not a column of them
+                words = Counter(text.as_py().split())
+                if not words:
+                    continue
+                total, votes = sum(words.values()), np.zeros(256, np.int64)
+                items = iter(words.items())
+                while some := list(itertools.islice(items, WORDS)):
+                    raw = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=32).digest() for w, _ in some)
+                    votes += np.array([n for _, n in some]) @ np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 32), axis=1).astype(np.int64)
+                ids.append(i)
+                out.append(np.packbits(2 * votes > total).view(">i8").astype(np.int64).tolist())
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["id", "hash"])
+
+    texts = rows.select(F.col(key).cast("long").alias("id"), F.col(content).alias("content")).where("content is not null")
+    return texts.mapInArrow(run, "id long, hash array<long>")
 
 
 def near_dups_wide(hashes: DataFrame, max_bits: int, blocks: int = 8) -> DataFrame:
