@@ -34,10 +34,11 @@ def event_records(facts: DataFrame, owners: DataFrame, reps: DataFrame) -> DataF
 
     ``facts`` has event, slot, fact_id, value, lo, hi, lat, lon; ``owners`` event, owner; ``reps`` member, rep.
     The destination is that of the least fact, with the number of different ones.  An event without an owner
-    gives no record.  All slots fold in one aggregation.
+    gives no record.  All slots fold in one aggregation, over rows that are dealt by event once: the distinct counts
+    then need no shuffle of rows expanded for each of them.
     """
     place = F.when(F.col("slot") == "destination", F.struct("lat", "lon"))
-    folded = facts.groupBy("event").agg(
+    folded = facts.select("event", "slot", "fact_id", "value", "lo", "hi", "lat", "lon").repartition("event").groupBy("event").agg(
         _claimed("kind").alias("_kinds"), *[c for slot in EVENT_DATES for c in _bracket(slot)],
         F.min_by(place, F.when(F.col("slot") == "destination", F.col("fact_id"))).alias("_place"), F.count_distinct(place).alias("n_places"),
         *[_claimed(slot).alias(name) for slot, name in EVENT_SETS.items()], F.count_distinct("fact_id").alias("support"),
@@ -51,7 +52,8 @@ def image_records(facts: DataFrame, composites: DataFrame, reps: DataFrame) -> D
     """One record per image class: rep, medium, subject dates, urls, depicted entities, parents, sub-images, support.
 
     ``facts`` has image, slot (medium, subject_date, url, depicts), fact_id, value, lo, hi; ``composites``
-    subimage, parent, fact_id; ``reps`` member, rep.  An edge inside one class is none.
+    subimage, parent, fact_id; ``reps`` member, rep.  An edge inside one class is none.  Rows are dealt by class once, as
+    in ``event_records``.
     """
     to = lambda rows, key: rows.join(reps.select(F.col("member").alias(key), F.col("rep").alias(f"_{key}")), key, "left").withColumn(f"_{key}", F.coalesce(f"_{key}", key))
     edges = to(to(composites, "subimage"), "parent").where("_subimage <> _parent")
@@ -60,7 +62,7 @@ def image_records(facts: DataFrame, composites: DataFrame, reps: DataFrame) -> D
     down = edges.select(F.col("_parent").alias("rep"), F.lit("subimage").alias("slot"), "fact_id", F.col("_subimage").alias("far"), *none)
     own = to(facts, "image").select(F.col("_image").alias("rep"), "slot", "fact_id", F.lit(None).cast("long").alias("far"), "value", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))
     far = lambda slot: F.sort_array(F.collect_set(F.when(F.col("slot") == slot, F.col("far"))))
-    rows = own.unionByName(up).unionByName(down)
+    rows = own.unionByName(up).unionByName(down).repartition("rep")
     folded = rows.groupBy("rep").agg(_claimed("medium").alias("_media"), *_bracket("subject_date"), _claimed("url").alias("urls"), _claimed("depicts").alias("depicts"), far("parent").alias("parents"), far("subimage").alias("subimages"), F.count_distinct("fact_id").alias("support"))
     return folded.select("rep", _agreed(F.col("_media")).alias("medium"), "subject_date_lo", "subject_date_hi", "subject_date_conflict", "urls", "depicts", "parents", "subimages", "support")
 
