@@ -6,6 +6,7 @@ import random
 import pytest
 
 from palimpsest.functions import sql_names
+from palimpsest.plans import job_queries
 from palimpsest.sources import gzip_members
 
 
@@ -75,3 +76,10 @@ def test_functions_by_name(spark):
     assert got == [("p", "T\nb\nx: r\n?: s", 0, "u"), ("p", "T\nb\nx: r\n?: s", 1, "v"), ("q", "b", None, None)]
     r = spark.sql("select normalize_nfc('é') as n, geodesic_m(52.52D, 13.405D, 48.8566D, 2.3522D) as m").first()
     assert r["n"] == "é" and abs(r["m"] - 879_700) < 500
+
+
+def test_dumps_are_made_by_many_tasks(spark, monkeypatch):
+    """A narrow table is one split, so its lines are dealt by their number before they are made and compressed."""
+    monkeypatch.setattr(job_queries, "ITEMS", 50)
+    assert len(job_queries.dump(spark, "/root/testdata/sf0.001").inputFiles()) >= 4
+    assert job_queries.rebuilt_items(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
