@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import dates, geo, text
 from palimpsest.operators import listing
+from palimpsest.scratch import stored
 
 #: Significant events by item id: (ids, contribution, payload, dates taken).  Fixed values.
 EVENTS = [
@@ -86,8 +87,10 @@ def contributions(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, kind, payload, started, completed as days; warnings id, property, reason) from claim rows.
 
     Properties give one date each; significant events give start and end, a point, or one contribution per
-    distinct point, by the rule table.  Events that the table lacks and unreadable dates are warnings.
+    distinct point, by the rule table.  Events that the table lacks and unreadable dates are warnings.  Claims of
+    lifecycle properties are written once, since each rule reads them.
     """
+    claims = stored(claims.where(F.col("property").isin("P793", *(p for p, _, _ in PROPERTIES))), "claims")
     found, warnings = _lifecycle(claims)
     return found.drop("at").distinct(), warnings
 
@@ -149,12 +152,13 @@ def build_bundles(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     An item that was torn down and built again is several entities, ``part`` 0, 1 and on.  Names and references are said
     of each, pictures of the latest.  Each stands on the item's site (``construction_location``, whether or not its
     construction is dated), and each but the first ``replaces`` the one before (``value``).  Items whose id isn't that of an
-    item (Q and a number) have nothing to model and give no fact.
+    item (Q and a number) have nothing to model and give no fact.  Items, claims and parts are written once, since each kind
+    of fact reads them, and parsing a dump is most of the work.
     """
-    items = items.where(IS_ITEM)
-    claims = claim_rows(items)
+    items = stored(items.where(IS_ITEM).select("id", "labels", "claims", "sitelinks"), "items")
+    claims = stored(claim_rows(items), "claims")
     found, warnings = _lifecycle(claims)
-    life = split_contributions(found)
+    life = stored(split_contributions(found), "parts")
     place, unplaced = sites(claims)
     last = items.select("id").distinct().join(life.groupBy("id").agg(F.max("part").alias("_last")), "id", "left").select("id", F.coalesce("_last", F.lit(0)).alias("_last"))
     parts = last.select("id", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("part"))
