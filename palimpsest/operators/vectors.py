@@ -73,8 +73,9 @@ def build(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE) ->
     centroids = fit(vectors, cells, sample)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
+        for whole in batches:
+            for s in range(0, len(whole), STRIP):  # a strip's angles to all centroids
+                b = whole[s : s + STRIP]
                 x = _unit(b["embedding"])
                 near = x @ centroids.T
                 cell = near.argmax(axis=1)
