@@ -132,3 +132,15 @@ def test_alerts_equal_the_batch_operator(spark, reps):
     live = snapshot.live(spark.createDataFrame(log, FACTS)).where(f"kind in {tuple(snapshot.DATED)}").join(reps.withColumnRenamed("member", "entity"), "entity")
     want = {(r["rep"], r["bound"], tuple(r["witnesses"]), r["witness"]) for r in conflicts.temporal_conflicts(live).collect()}
     assert got == want and want
+
+
+def test_buckets_hold_classes_and_batches_stay_whole(spark):
+    """Classes share state keys, and a batch of many files is folded once: before, each class was a key, and 64 files made a run."""
+    folder = scratch(spark, "life")
+    rows = [(rep, rep * 70 + k, "existence", k, k + 5, None, 1) for rep in range(2000) for k in range(2)]
+    df = spark.createDataFrame(rows, "rep long, fact_id long, kind string, lo int, hi int, event long, n int")
+    df.repartition(70, "fact_id").write.option("maxRecordsPerFile", 40).parquet(f"{folder}/deltas/batch=0")
+    found, reports = state.folded(spark, folder, "life", state.bound_key, state.life_of, state.LIFE)
+    got = {r["rep"]: (r["earliest"], r["affirmed"]) for r in found.collect()}
+    assert found.count() == 2000 and got == {rep: (0, 6) for rep in range(2000)}
+    assert max(r["held"] for r in reports) <= state.BUCKETS
