@@ -30,6 +30,8 @@ DEPTH, ANCHOR = 200, 100
 BITS = 64
 #: Members of a group of equal digits that are put in order together; larger groups are ordered in parts.
 PART = 500
+#: Bytes of a text whose records of one group stay in one part, so that its periodic stretches are linked in place.
+STRETCH = 1 << 14
 _U = np.uint64
 
 
@@ -168,8 +170,12 @@ def _ways(n: str) -> Column:
 
 def _linked(members: DataFrame, keys: list[str]) -> DataFrame:
     """``members`` (keys, ways, r, lo, hi) with the one before each in its part of the group: its row ``other``, and how far on in that it
-    lies (``shift``).  Both are null for the first of a part; ``more`` tells whether one comes after."""
-    split = members.withColumn("part", F.pmod(F.hash("r", "lo"), "ways")).repartition(*keys, "part")
+    lies (``shift``).  Both are null for the first of a part; ``more`` tells whether one comes after.
+
+    A part has whole stretches of rows: what is periodic in one, and passages that go through many groups of the same rows, then
+    have one ``other`` and ``shift`` from record to record, and ``_runs`` joins them."""
+    stretch = F.hash("r", F.expr(f"lo div {STRETCH}"))
+    split = members.withColumn("part", F.pmod(stretch, "ways")).repartition(*keys, "part")
     w = Window.partitionBy(*keys, "part").orderBy("r", "lo")
     before = [F.lag("r").over(w).alias("other"), (F.lag("lo").over(w) - F.col("lo")).alias("shift")]
     return stored(split.select(*keys, "ways", "r", "lo", "hi", *before, F.lead("r").over(w).isNotNull().alias("more")), "linked")

@@ -138,6 +138,21 @@ def test_suffix_dedup(spark, docs, rows, none, depth, anchor, monkeypatch):
     assert repeats.measure(none, depth, anchor).count() == 0
 
 
+@pytest.mark.parametrize("stretch", [1 << 14, 64])
+def test_periodic_text_and_passages_are_compared_by_document(spark, monkeypatch, stretch):
+    """A group far larger than a part needs a few comparisons for each document, not one for each of its records."""
+    pick, claims, refuted = random.Random(5), [], repeats._refuted
+    passage = sentence(pick, 150)
+    texts = [f"{sentence(pick, 9)}{k} " + ("onhe. Is " * pick.randrange(80, 120) if k % 2 else passage) + f"{k} {sentence(pick, 9)}" for k in range(60)] + ["a" * 2000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(repeats, "PART", 20)
+    monkeypatch.setattr(repeats, "STRETCH", stretch)
+    monkeypatch.setattr(repeats, "_refuted", lambda t, runs: claims.append(runs.where("not (r = other and shift = 0)").count()) or refuted(t, runs))
+    want = Counter((i, *x) for i, x in enumerate(plain_removed(texts, 200)))
+    assert Counter(tuple(r) for r in repeats.measure(docs).collect()) == want
+    assert stretch == 64 or claims[0] <= 8 * len(texts)
+
+
 def test_matroska_columns(spark, docs, rows, none):
     got = matroska.read_back(matroska.mux(docs)).collect()
     assert len(got) == len(rows)
