@@ -32,6 +32,8 @@ BITS = 64
 PART = 500
 #: Bytes of a text whose records of one group stay in one part, so that its periodic stretches are linked in place.
 STRETCH = 1 << 14
+#: Bytes of texts whose records a worker makes at once: some twenty arrays of eight bytes each for every one of them.
+AT_ONCE = 1 << 18
 _U = np.uint64
 
 
@@ -132,7 +134,7 @@ def records(texts: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, bits: in
         for batch in buffers.slices(batches):
             data, offsets = buffers.utf8(unpacked(batch, 1))
             r = batch.column(0).to_numpy()
-            for first, last in buffers.runs_of_documents(offsets):
+            for first, last in buffers.runs_of_documents(offsets, AT_ONCE):
                 part = offsets[first : last + 1]
                 doc, a, whole, lo, hi = anchors(data[part[0] : part[-1]], part - part[0], depth, anchor, bits)
                 if len(doc):

@@ -147,6 +147,7 @@ def test_periodic_text_and_passages_are_compared_by_document(spark, monkeypatch,
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     monkeypatch.setattr(repeats, "PART", 20)
     monkeypatch.setattr(repeats, "STRETCH", stretch)
+    monkeypatch.setattr(repeats, "AT_ONCE", stretch * 10)
     monkeypatch.setattr(repeats, "_refuted", lambda t, runs: claims.append(runs.where("not (r = other and shift = 0)").count()) or refuted(t, runs))
     want = Counter((i, *x) for i, x in enumerate(plain_removed(texts, 200)))
     assert Counter(tuple(r) for r in repeats.measure(docs).collect()) == want
