@@ -11,10 +11,25 @@ from palimpsest.streaming import state
 from palimpsest.streaming.state import run_to_end
 
 
+def _timed(spark: SparkSession, path: str) -> None:
+    """Set the files' times a second apart, in the order of their names: a stream takes files by time, and tasks end in any order."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = lambda: sorted(((f.getPath().getName(), f) for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")), key=lambda x: x[0])
+    found = files()
+    first = min((f.getModificationTime() for _, f in found), default=0) // 1000 - len(found)
+    for k, (_, f) in enumerate(found):
+        fs.setTimes(f.getPath(), (first + k) * 1000, -1)
+    times = [f.getModificationTime() for _, f in files()]
+    if any(b <= a for a, b in zip(times, times[1:], strict=False)):
+        raise RuntimeError(f"{path} keeps no file times, so a stream can't read it in log order")
+
+
 def log_stream(spark: SparkSession, facts: DataFrame, files: int = 4, order: str = "fact_id") -> DataFrame:
     """``facts`` written as files in log order, and read back as a stream of one file per trigger."""
     path = scratch(spark, "log")
     facts.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
+    _timed(spark, path)
     return spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 

@@ -144,3 +144,17 @@ def test_buckets_hold_classes_and_batches_stay_whole(spark):
     got = {r["rep"]: (r["earliest"], r["affirmed"]) for r in found.collect()}
     assert found.count() == 2000 and got == {rep: (0, 6) for rep in range(2000)}
     assert max(r["held"] for r in reports) <= state.BUCKETS
+
+
+def test_a_log_streams_in_its_order(spark):
+    """The files of a log are read in log order, whichever task ends first: here the first range is much the longest to write."""
+    from pyspark.sql import functions as F
+
+    i = F.col("fact_id")
+    wide = F.when(i < 300, F.repeat(F.sha2(i.cast("string"), 256), 2000)).when(i < 600, F.repeat(F.sha2(i.cast("string"), 256), 400)).otherwise("")
+    facts = spark.range(1200).select(F.col("id").alias("fact_id")).withColumn("wide", wide)
+    seen = []
+    state.run_to_end(jobs.log_stream(spark, facts, 4), lambda batch, n: seen.append(tuple(batch.agg(F.min("fact_id"), F.max("fact_id"), F.count("*")).first())))
+    seen = [x for x in seen if x[2]]
+    assert len(seen) == 4 and sum(x[2] for x in seen) == 1200
+    assert all(a[1] < b[0] for a, b in zip(seen, seen[1:], strict=False))
