@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,10 @@ MAX_CELLS, SAMPLE = 4096, 20_000
 VECTORS = 4096
 #: Probes (query and cell) that a task makes at once, and queries of a block that meet the other block at once.
 PROBES, STRIP = 16_384, 256
+#: Bytes of a block's vectors, comparisons that a task makes at once, and pairs that it gives out at once.
+BLOCK_BYTES, COMPARED, GIVEN = 1 << 21, 1 << 18, 1 << 15
+#: Every two partitions of blocks are a task: so many partitions where each has three blocks, then more, of so many blocks each.
+PARTITIONS, PARTITION_BLOCKS = 32, 16
 #: Slack of angles, which sums of squares get wrong by far less.
 _SLACK = 1e-6
 
@@ -128,16 +133,86 @@ def _compared(asked: DataFrame, index: Index, keep: Callable, schema: str) -> Da
     return left.groupBy("cell", "_i", "_j").cogroup(right.groupBy("cell", "_i", "_j")).applyInPandas(run, schema)
 
 
+def _packed(index: Index, reach: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """part, block, ids, units, cells, ends, reach: the rows of an index, ordered by cell, in blocks of at most ``VECTORS`` and ``BLOCK_BYTES``.
+
+    A block has the cells of its rows with the place where each ends, and the cells that ``reach`` marks among any row's angles to all centroids.
+    """
+    centroids = index.centroids
+    size = max(1, min(VECTORS, BLOCK_BYTES // (8 * max(1, centroids.shape[1]))))
+    parts = max(1, -(-int(index.counts.sum()) * 4 // (3 * size)))  # ranges are drawn by a sample: three quarters of a block each
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = 0
+        for whole in batches:
+            pieces = -(-len(whole) // size)
+            for k in range(pieces):
+                b = whole[k * len(whole) // pieces : (k + 1) * len(whole) // pieces]
+                x, cell, near = np.stack(b["unit"].to_numpy()), b["cell"].to_numpy(), np.zeros(len(centroids), dtype=bool)
+                for s in range(0, len(x), STRIP):
+                    near |= reach(_angles(x[s : s + STRIP] @ centroids.T)).any(axis=0)
+                ends = np.append(np.flatnonzero(cell[1:] != cell[:-1]) + 1, len(cell)).astype(np.int32)
+                yield pd.DataFrame({"n": [n], "ids": [b["vec_id"].to_numpy(np.int64).tobytes()], "units": [x.tobytes()], "cells": [cell[ends - 1]], "ends": [ends], "reach": [np.flatnonzero(near).astype(np.int32)]})
+                n += 1
+
+    rows = index.rows.select("vec_id", "unit", "cell").repartitionByRange(parts, "cell", "vec_id").sortWithinPartitions("cell", "vec_id")
+    blocks = rows.mapInPandas(pack, "n long, ids binary, units binary, cells array<int>, ends array<int>, reach array<int>")
+    return stored(blocks.withColumn("part", F.spark_partition_id()).withColumn("block", F.col("part") * F.lit(1 << 32) + F.col("n")).drop("n"), "blocks")
+
+
 def similar_within(index: Index, least: float) -> DataFrame:
     """a, b, cosine of all pairs of an index (a < b) with a cosine of at least ``least``: exact.
 
     A row within the angle of another lies, by the triangle inequality, in a cell whose centroid is no further from that
     other than the angle and the cell's radius together; these cells alone are looked at.  Index ``representatives``, so
-    that copies don't meet each other.
+    that copies don't meet each other.  Every two blocks of rows meet once, in a Cartesian product of partitions: what is
+    written follows the rows, not the pairs of rows and cells.
     """
-    limit, radii = float(np.arccos(np.clip(least, -1.0, 1.0))), index.radii
-    asked = _probes(index.rows, index, lambda angles: (radii >= 0) & (angles <= limit + radii + _SLACK))
-    return _compared(asked, index, lambda a, b, at: np.nonzero((at >= least) & (a[:, None] < b[None, :])), "a long, b long, cosine double")
+    limit, radii, centroids = float(np.arccos(np.clip(least, -1.0, 1.0))), index.radii, index.centroids
+    reach = lambda angles, cells=slice(None): (radii[cells] >= 0) & (angles <= limit + radii[cells] + _SLACK)
+    blocks = _packed(index, reach)
+    parts = int(blocks.agg(F.coalesce(F.max("part"), F.lit(0)) + 1).first()[0])
+    n = max(min(parts, 8), min(parts // 3, PARTITIONS), -(-parts // PARTITION_BLOCKS))
+    # Both sides have all columns and the same filters, so that one shuffle serves them.
+    dealt = blocks.where("block is not null and reach is not null and cells is not null").repartitionById(n, F.col("part") % n)
+    left, right = (dealt.select(*[F.col(c).alias(f"{side}_{c}") for c in blocks.columns]) for side in ("l", "r"))
+    met = left.hint("shuffle_replicate_nl").join(right, (F.col("l_block") <= F.col("r_block")) & F.arrays_overlap("l_reach", "r_cells"))
+
+    def pairs(l: dict, r: dict) -> Iterator[tuple[np.ndarray, ...]]:
+        a, b = np.frombuffer(l["ids"], np.int64), np.frombuffer(r["ids"], np.int64)
+        x, y = np.frombuffer(l["units"]).reshape(len(a), -1), np.frombuffer(r["units"]).reshape(len(b), -1)
+        cells, start = np.array(r["cells"]), 0
+        near = reach(_angles(x @ centroids[cells].T), cells)
+        for k, end in enumerate(r["ends"]):
+            rows, of = np.flatnonzero(near[:, k]), y[start:end].T
+            step = max(1, COMPARED // (end - start))
+            for s in range(0, len(rows), step):
+                some = rows[s : s + step]
+                at = (x[some] @ of).ravel()
+                hits = np.flatnonzero(at >= least)
+                one, two, cosine = a[some[hits // (end - start)]], b[start + hits % (end - start)], at[hits]
+                if l["block"] == r["block"]:
+                    one, two, cosine = (v[one < two] for v in (one, two, cosine))
+                yield np.minimum(one, two), np.maximum(one, two), cosine
+            start = end
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give = lambda held: pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*held, strict=True)], names=["a", "b", "cosine"])
+        held, n = [], 0
+        for batch in batches:
+            column = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for k in range(batch.num_rows):
+                l, r = ({c: column[f"{side}_{c}"][k].as_buffer() if c in ("ids", "units") else column[f"{side}_{c}"][k].as_py() for c in ("ids", "units", "block", "cells", "ends")} for side in ("l", "r"))
+                for found in pairs(l, r):
+                    held.append(found)
+                    n += len(found[0])
+                    if n >= GIVEN:
+                        yield give(held)
+                        held, n = [], 0
+        if n:
+            yield give(held)
+
+    return met.mapInArrow(run, "a long, b long, cosine double")
 
 
 def nearest(queries: DataFrame, index: Index, k: int, probes: int) -> DataFrame:

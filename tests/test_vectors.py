@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.operators import vectors
 
@@ -39,6 +40,36 @@ def test_exact_pairs(spark, monkeypatch, least):
     assert all(abs(at[p] - c) < 1e-9 for p, c in got.items())
 
 
+def written(spark, after=-1):
+    """The last stage, and the bytes that all stages after a given one have shuffled or written."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    stages = [s for s in (found.apply(k) for k in range(found.size())) if s.stageId() > after]
+    return max((s.stageId() for s in stages), default=after), sum(s.shuffleWriteBytes() + s.outputBytes() for s in stages)
+
+
+def test_all_pairs_write_no_more_than_their_rows(spark):
+    """Where the threshold prunes no cell, each row meets every cell; before, each such meeting was written with its vector."""
+    n, dim = 3000, 32
+    index = vectors.build(frame(spark, np.random.default_rng(2).normal(size=(n, dim))), 50)
+    last, _ = written(spark)
+    pairs = vectors.similar_within(index, -1.0)
+    assert pairs.agg(F.count("*"), F.sum((pairs.a < pairs.b).cast("int"))).first() == (n * (n - 1) // 2,) * 2
+    assert 0 < written(spark, last)[1] < 6 * n * dim * 8
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_pairs_of_partitions_of_several_blocks(spark, monkeypatch, blocks):
+    for name, value in (("VECTORS", 17), ("PARTITIONS", 1), ("PARTITION_BLOCKS", blocks), ("COMPARED", 50)):
+        monkeypatch.setattr(vectors, name, value)
+    x = clustered(3, 200)
+    index = vectors.build(frame(spark, x, range(1000, 800, -1)), 9)
+    at = cosines(x)
+    got = [(r.a, r.b) for r in vectors.similar_within(index, 0.5).collect()]
+    want = {(1000 - int(j), 1000 - int(i)) for i, j in zip(*np.nonzero(at >= 0.5), strict=True) if i < j}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_copies_and_odd_vectors(spark):
     rows = [[1, 0], [1, 0], None, [0, 0], [float("nan"), 1], [1, 0.01], [0, 1], [2, 0]]
     reps = vectors.representatives(frame(spark, rows))
